@@ -35,7 +35,7 @@ def missing(df: DataFrame, name: str) -> Column:
 def present(df: DataFrame, name: str) -> Column:
     """The value with NaN turned into null, so aggregates skip it."""
     if is_floating(df.schema[name].dataType):
-        return F.when(~missing(df, name), col(name))
+        return F.nanvl(col(name), F.lit(None).cast(df.schema[name].dataType))
     return col(name)
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -18,11 +20,14 @@ def with_residual(
 
 
 def regression_metrics(
-    scored: DataFrame, label: str = "sales", prediction: str = "prediction"
+    scored: DataFrame,
+    label: str = "sales",
+    prediction: str = "prediction",
+    by: Sequence[str] = (),
 ) -> DataFrame:
-    """n, R2, MAE, RMSE and MAPE in one aggregate."""
+    """n, R2, MAE, RMSE and MAPE in one aggregate, per group if asked."""
     y, error = col(label), col(label) - col(prediction)
-    sums = scored.agg(
+    sums = scored.groupBy(*[col(c) for c in by]).agg(
         F.count(error).alias("n"),
         F.avg(error * error).alias("mse"),
         F.avg(F.abs(error)).alias("mae"),
@@ -30,6 +35,7 @@ def regression_metrics(
         (F.avg(F.abs(F.try_divide(error, y + F.lit(MAPE_EPSILON)))) * 100).alias("mape"),
     )
     return sums.select(
+        *by,
         "n",
         (1 - F.try_divide(col("mse"), col("spread"))).alias("r2"),
         "mae",

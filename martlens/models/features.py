@@ -35,11 +35,15 @@ def hash_bucket(keys: Sequence[str], buckets: int, seed: int) -> Column:
     return F.pmod(number, F.lit(buckets))
 
 
+def test_condition(keys: Sequence[str], test_share: float = 0.2, seed: int = 42) -> Column:
+    return hash_bucket(keys, 10_000, seed) < round(test_share * 10_000)
+
+
 def hash_split(
     df: DataFrame, keys: Sequence[str], test_share: float = 0.2, seed: int = 42
 ) -> tuple[DataFrame, DataFrame]:
     """(train, test); rows of equal keys fall on the same side."""
-    in_test = hash_bucket(keys, 10_000, seed) < round(test_share * 10_000)
+    in_test = test_condition(keys, test_share, seed)
     return df.filter(~in_test), df.filter(in_test)
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -18,17 +18,14 @@ from martlens.models.features import (
     CATEGORICAL,
     FEATURES,
     LABEL,
-    hash_split,
     label_indexer,
     prepare,
+    test_condition,
     with_fold,
 )
 from martlens.operators.cleaning import drop_incomplete
 from martlens.sources.tables import materialize
 
-Stage = Callable[[DataFrame], DataFrame]
-
-
 @dataclass(frozen=True)
 class ModelConfig:
     """What to fit.
@@ -109,24 +106,26 @@ def build_pipeline(config: ModelConfig) -> Pipeline:
 
 @dataclass(frozen=True)
 class Trained:
+    """A fitted pipeline and the written rows it came from, marked by side."""
+
     config: ModelConfig
     model: PipelineModel
-    train: DataFrame = field(repr=False)
-    test: DataFrame = field(repr=False)
+    rows: DataFrame = field(repr=False)
+
+    @property
+    def train(self) -> DataFrame:
+        return self.rows.filter("side = 'train'")
+
+    @property
+    def test(self) -> DataFrame:
+        return self.rows.filter("side = 'test'")
 
     def predict(self, df: DataFrame) -> DataFrame:
         return self.model.transform(df).drop("features", "scaled")
 
     def metrics(self) -> DataFrame:
-        """R2, MAE, RMSE and MAPE on the train and the test side."""
-        sides = [("test", self.test), ("train", self.train)]
-        scored = [
-            regression_metrics(self.predict(df), self.config.label).select(
-                F.lit(name).alias("side"), "*"
-            )
-            for name, df in sides
-        ]
-        return scored[0].unionByName(scored[1])
+        """R2, MAE, RMSE and MAPE of the train and the test side, in one pass."""
+        return regression_metrics(self.predict(self.rows), self.config.label, by=["side"])
 
     def coefficients(self) -> DataFrame:
         """Slopes of a linear model on the original scale, and the intercept."""
@@ -137,7 +136,7 @@ class Trained:
         )
         intercept = float(regressor.intercept - slopes @ scaler.mean.toArray())
         rows = [(n, float(s)) for n, s in zip(self.config.features, slopes, strict=True)]
-        return self.train.sparkSession.createDataFrame(
+        return self.rows.sparkSession.createDataFrame(
             [("intercept", intercept), *rows], "term string, value double"
         )
 
@@ -145,7 +144,7 @@ class Trained:
         """Features of a forest, most important first."""
         weights = self.model.stages[-1].featureImportances.toArray()
         rows = [(n, float(w)) for n, w in zip(self.config.features, weights, strict=True)]
-        return self.train.sparkSession.createDataFrame(
+        return self.rows.sparkSession.createDataFrame(
             rows, "feature string, importance double"
         ).orderBy(F.desc("importance"), "feature")
 
@@ -164,16 +163,20 @@ def train(
     config: ModelConfig,
     keys: Sequence[str],
     test_share: float = 0.2,
-    stage: Stage = materialize,
+    partitions: int | None = None,
 ) -> Trained:
     """Split, fit on the train side, keep both sides for scoring.
 
-    ``stage`` stores the narrow training columns once: a fit scans its input
-    several times, and the joins behind it should not run each time.
+    The narrow training columns are written once to the shared folder: a fit
+    scans its input several times, and the joins behind it should not run each
+    time, nor after the loss of an executor.
     """
-    data = stage(training_frame(df, config, keys))
-    fit_on, hold_out = hash_split(data, keys, test_share, config.seed)
-    return Trained(config, build_pipeline(config).fit(fit_on), fit_on, hold_out)
+    in_test = test_condition(keys, test_share, config.seed)
+    marked = training_frame(df, config, keys).withColumn(
+        "side", F.when(in_test, "test").otherwise("train")
+    )
+    rows = materialize(marked, "training", partitions)
+    return Trained(config, build_pipeline(config).fit(rows.filter("side = 'train'")), rows)
 
 
 def save(trained: Trained, path: str) -> None:

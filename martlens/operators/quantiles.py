@@ -2,11 +2,14 @@
 
 The built-in exact ``percentile`` keeps every distinct value of the column in
 one aggregation buffer, which one task has to hold in the end.  Here a sketch
-first proposes two values around each wanted rank, a counting pass checks the
-proposal and says how many rows lie strictly between them, and only once those
-are few does an exact percentile run, on those rows alone.  Every pass is one
-distributed aggregate that returns one row; each shrinks the candidates by a
-factor of several hundred, however hot single values are.
+proposes boundary values around each wanted rank, a counting pass tells exactly
+between which boundaries each rank lies and how many rows lie there too, and
+only once those are few are they sorted.  Each pass is one distributed
+aggregate with a small result, and each shrinks the candidates by a factor of
+several hundred: a hot value becomes a boundary and drops out.
+
+All columns share the passes: a row becomes one entry per column, so the aggregates stay
+narrow however many columns there are.
 """
 
 from __future__ import annotations
@@ -14,8 +17,10 @@ from __future__ import annotations
 import math
 from collections.abc import Iterable, Sequence
 from dataclasses import dataclass
+from functools import reduce
+from operator import or_
 
-from pyspark.sql import Column, DataFrame, Row
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from martlens.functions.columns import col, present
@@ -41,63 +46,122 @@ class Bracket:
         return keep
 
 
-def _propose(
-    values: DataFrame, search: dict[tuple[str, int], Bracket], accuracy: int, margin: float
-) -> dict[tuple[str, int], tuple[float, float]]:
-    """Two sketched values around each rank; ranks of one bracket share a sketch."""
-    ends: dict[Bracket, set[float]] = {}
+Rank = tuple[str, int]  # a column and a 0-based position in its sorted values
 
-    def around(rank: int, b: Bracket) -> tuple[float, float]:
-        at = (rank - b.below) / b.inside
-        return max(at - margin, 0.0), min(at + margin, 1.0)
 
-    for (_, rank), b in search.items():
-        ends.setdefault(b, set()).update(around(rank, b))
-    probes = {b: sorted(fractions) for b, fractions in ends.items()}
-    row = values.agg(
-        *[
-            F.percentile_approx(F.when(b.condition(), col(b.column)), fractions, accuracy)
-            for b, fractions in probes.items()
-        ]
-    ).first()
-    found = {
-        b: dict(zip(fractions, row[i], strict=True))
-        for i, (b, fractions) in enumerate(probes.items())
-    }
-    return {
-        key: tuple(found[b][fraction] for fraction in around(key[1], b))
-        for key, b in search.items()
-    }
+def _inside(values: DataFrame, brackets: Sequence[Bracket]) -> DataFrame:
+    """(bracket number, v) of every value inside one of the brackets."""
+    entries: dict[str, Column] = {}
+    for i, b in enumerate(brackets):
+        entry = F.struct(F.lit(i).alias("bracket"), col(b.column).alias("v"))
+        so_far = entries.get(b.column)
+        entries[b.column] = (
+            so_far.when(b.condition(), entry) if so_far is not None
+            else F.when(b.condition(), entry)
+        )
+    long = values.select(F.explode(F.array(*entries.values())).alias("entry"))
+    return long.filter("entry IS NOT NULL").select("entry.bracket", "entry.v")
 
 
-def _count(values: DataFrame, pairs: Iterable[tuple[str, float, float]]) -> dict[tuple, Row]:
-    """For each (column, a, b): rows below a, equal to a, between, equal to b."""
-    pairs = list(dict.fromkeys(pairs))
-    aggregates = []
-    for c, a, b in pairs:
-        v, lo, hi = col(c), F.lit(a), F.lit(b)
-        aggregates.append(
-            F.struct(
-                F.count_if(v < lo).alias("less"),
-                F.count_if(v == lo).alias("at_lo"),
-                F.count_if((v > lo) & (v < hi)).alias("between"),
-                F.count_if((v == hi) & (hi > lo)).alias("at_hi"),
-            )
-        )
-    row = values.agg(*aggregates).first()
-    return {pair: row[i] for i, pair in enumerate(pairs)}
-
-
-def _pick(values: DataFrame, search: dict[tuple[str, int], Bracket]) -> dict:
-    """The order statistics inside small brackets, exactly."""
-    staged = values
-    picks = []
-    for i, ((c, rank), b) in enumerate(search.items()):
-        fraction = (rank - b.below + 0.5) / b.inside  # mid-step: immune to rounding
-        staged = staged.withColumn(f"in_{i}", F.when(b.condition(), col(c)))
-        picks.append(F.expr(f"percentile_disc({fraction!r}D) WITHIN GROUP (ORDER BY in_{i})"))
-    row = staged.agg(*picks).first()
-    return {key: row[i] for i, key in enumerate(search)}
+def _propose(
+    values: DataFrame, search: dict[Rank, Bracket], accuracy: int
+) -> dict[str, list[float]]:
+    """Sketched boundary values around each rank, per column."""
+    brackets = list(dict.fromkeys(search.values()))
+    margin = 2.0 / accuracy
+    wanted: dict[Bracket, set[float]] = {b: set() for b in brackets}
+    for (_, rank), b in search.items():
+        # neighbouring ranks round to one grid point and share its boundaries
+        point = round((rank - b.below) / b.inside / margin)
+        wanted[b] |= {max((point - 1) * margin, 0.0), min((point + 1) * margin, 1.0)}
+    fractions = sorted(set().union(*wanted.values()))
+    rows = (
+        _inside(values, brackets)
+        .groupBy("bracket")
+        .agg(F.percentile_approx("v", fractions, accuracy).alias("ends"))
+        .collect()  # one row per bracket
+    )
+    out: dict[str, set[float]] = {}
+    for row in rows:
+        b = brackets[row["bracket"]]
+        ends = dict(zip(fractions, row["ends"], strict=True))
+        out.setdefault(b.column, set()).update(ends[f] for f in wanted[b])
+    return {c: sorted(ends) for c, ends in out.items()}
+
+
+def _locate(
+    values: DataFrame, boundaries: dict[str, list[float]], search: dict[Rank, Bracket]
+) -> dict[Rank, float | Bracket]:
+    """For each rank the boundary it falls on, or the bracket it falls into."""
+    names, stride = list(boundaries), 2 * max(map(len, boundaries.values())) + 1
+    slots = []
+    for i, (c, ends) in enumerate(boundaries.items()):
+        # slot 2k: between boundary k and k+1; 2k-1: on boundary k; one number
+        # for column and slot keeps the grouping key a plain integer
+        slot = F.when(col(c).isNull(), F.lit(None))
+        for k, end in enumerate(ends):
+            slot = slot.when(col(c) < F.lit(end), i * stride + 2 * k)
+            slot = slot.when(col(c) == F.lit(end), i * stride + 2 * k + 1)
+        slots.append(slot.otherwise(i * stride + 2 * len(ends)))
+    rows = (
+        values.select(F.explode(F.array(*slots)).alias("slot"))
+        .filter("slot IS NOT NULL")
+        .groupBy("slot")
+        .count()
+        .collect()  # a few rows per column
+    )
+    sizes: dict[str, dict[int, int]] = {}
+    for row in rows:
+        i, slot = divmod(row["slot"], stride)
+        sizes.setdefault(names[i], {})[slot] = row["count"]
+    found: dict[Rank, float | Bracket] = {}
+    for c, rank in search:
+        below, ends = 0, boundaries[c]
+        for slot, size in sorted(sizes[c].items()):
+            if rank < below + size:
+                break
+            below += size
+        k = slot // 2
+        if slot % 2:
+            found[c, rank] = ends[k]
+        else:
+            old = search[c, rank]
+            lo = ends[k - 1] if k else old.lo
+            hi = ends[k] if k < len(ends) else old.hi
+            found[c, rank] = Bracket(c, lo, hi, below, size)
+    return found
+
+
+def _pick(values: DataFrame, search: dict[Rank, Bracket]) -> dict[Rank, float]:
+    """The order statistics inside small brackets, by sorting their values."""
+    brackets = list(dict.fromkeys(search.values()))
+    number = {b: i for i, b in enumerate(brackets)}
+    in_order = Window.partitionBy("bracket").orderBy("v")
+    counted = (
+        _inside(values, brackets)
+        .groupBy("bracket", "v")
+        .agg(F.count(F.lit(1)).alias("n"))
+        .withColumn("upto", F.sum("n").over(in_order))
+    )
+    wanted = [
+        (F.col("bracket") == number[b])
+        & (F.col("upto") > rank - b.below)
+        & (F.col("upto") - F.col("n") <= rank - b.below)
+        for (_, rank), b in search.items()
+    ]
+    rows = counted.filter(reduce(or_, wanted)).collect()  # at most one row per rank
+    answers = {}
+    for key, b in search.items():
+        local = key[1] - b.below
+        for row in rows:
+            if row["bracket"] == number[b] and row["upto"] - row["n"] <= local < row["upto"]:
+                answers[key] = row["v"]
+    return answers
+
+
+def _ranks(total: int, probabilities: Iterable[float]) -> set[int]:
+    positions = [p * (total - 1) for p in probabilities]
+    return {f(x) for x in positions for f in (math.floor, math.ceil)}
 
 
 def exact_quantiles(
@@ -106,11 +170,11 @@ def exact_quantiles(
     probabilities: Sequence[float],
     approximate: bool = False,
     accuracy: int = 2_000,
-    max_rows: int = 20_000,
+    max_rows: int = 50_000,
 ) -> dict[str, list[float | None]]:
     """Quantiles with linear interpolation; null and NaN are skipped.
 
-    ``max_rows`` bounds the rows that reach the final exact step of one rank.
+    ``max_rows`` bounds the rows that are sorted in one task for one rank.
     ``approximate`` returns the answer of a single sketch pass instead.
     """
     values = df.select(*[present(df, c).cast("double").alias(c) for c in columns])
@@ -122,33 +186,20 @@ def exact_quantiles(
 
     counts = values.agg(*[F.count(col(c)) for c in columns]).first()
     total = {c: counts[i] for i, c in enumerate(columns)}
-    search: dict[tuple[str, int], Bracket] = {}
-    for c in columns:
-        for p in probabilities if total[c] else ():
-            position = p * (total[c] - 1)
-            for rank in {math.floor(position), math.ceil(position)}:
-                search[c, rank] = Bracket(c, None, None, 0, total[c])
-
-    answers: dict[tuple[str, int], float] = {}
-    margin = 2.0 / accuracy
+    search: dict[Rank, Bracket] = {
+        (c, rank): Bracket(c, None, None, 0, total[c])
+        for c in columns
+        if total[c]
+        for rank in _ranks(total[c], probabilities)
+    }
+    answers: dict[Rank, float] = {}
     while wide := {k: b for k, b in search.items() if b.inside > max_rows}:
-        proposals = _propose(values, wide, accuracy, margin)
-        measured = _count(values, [(c, *proposals[c, r]) for c, r in wide])
-        for c, rank in wide:
-            a, b = proposals[c, rank]
-            m = measured[c, a, b]
-            past_lo = m.less + m.at_lo
-            if m.less <= rank < past_lo:
-                answers[c, rank] = a
-            elif past_lo <= rank < past_lo + m.between:
-                search[c, rank] = Bracket(c, a, b, past_lo, m.between)
-                continue
-            elif past_lo + m.between <= rank < past_lo + m.between + m.at_hi:
-                answers[c, rank] = b
-            else:  # the sketch missed the rank: look wider next time
-                margin = min(margin * 4, 1.0)
-                continue
-            del search[c, rank]
+        for key, place in _locate(values, _propose(values, wide, accuracy), wide).items():
+            if isinstance(place, Bracket):
+                search[key] = place
+            else:
+                answers[key] = place
+                del search[key]
     if search:
         answers.update(_pick(values, search))
 

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from martlens.functions.columns import col, present
@@ -13,29 +14,63 @@ from martlens.operators.quantiles import exact_quantiles
 FENCE_FACTOR = 1.5  # fixed value: fences lie this many quartile ranges out
 
 
-def pearson(a: Column, b: Column) -> Column:
-    """Correlation over rows where both are present; null for a constant.
+def correlation_matrix(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Pairwise-complete Pearson correlations as (a, b, r); null for a constant.
 
-    The built-in ``corr`` raises a division error on a constant column under
-    ANSI rules, hence the quotient.
+    Rows are grouped by which columns they carry.  Within such a group every
+    pair sees the same rows, so one set of sums serves all pairs, and a pair
+    adds up the groups that carry both its columns.  Columns are centred by a
+    first pass, which keeps the sums of products accurate.  Only those sums,
+    one row per pattern of missing columns, reach the driver.
     """
-    both = a.isNotNull() & b.isNotNull()
-    spread = F.stddev_pop(F.when(both, a)) * F.stddev_pop(F.when(both, b))
-    return F.try_divide(F.covar_pop(a, b), spread)
-
-
-def correlation_matrix(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Pairwise-complete Pearson correlations as (a, b, r), one aggregate."""
     values = df.select(*[present(df, c).cast("double").alias(c) for c in columns])
-    pairs = [(x, y) for i, x in enumerate(columns) for y in columns[i:]]
-    wide = values.agg(*[pearson(col(x), col(y)).alias(f"{x}|{y}") for x, y in pairs])
-    entries = []
-    for x, y in pairs:
-        for a, b in {(x, y), (y, x)}:
-            entries.append(
-                F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), col(f"{x}|{y}").alias("r"))
-            )
-    return wide.select(F.inline(F.array(*entries)))
+    means = [m or 0.0 for m in values.agg(*[F.avg(col(c)) for c in columns]).first()]
+    size = len(columns)
+    carried = [F.shiftleft(col(c).isNotNull().cast("int"), i) for i, c in enumerate(columns)]
+    sums = (
+        values.select(
+            sum(carried[1:], carried[0]).alias("carried"),
+            *[(col(c) - F.lit(means[i])).alias(f"x{i}") for i, c in enumerate(columns)],
+        )
+        .groupBy("carried")
+        .agg(
+            F.count(F.lit(1)).alias("n"),
+            *[F.sum(f"x{i}").alias(f"s{i}") for i in range(size)],
+            *[
+                F.sum(F.col(f"x{i}") * F.col(f"x{j}")).alias(f"p{i}_{j}")
+                for i in range(size)
+                for j in range(i, size)
+            ],
+        )
+        .collect()
+    )
+    rows = []
+    for i in range(size):
+        for j in range(i, size):
+            need = (1 << i) | (1 << j)
+            groups = [g for g in sums if g["carried"] & need == need]
+            r = _pearson(groups, i, j, means)
+            rows += [(columns[x], columns[y], r) for x, y in {(i, j), (j, i)}]
+    return df.sparkSession.createDataFrame(rows, "a string, b string, r double")
+
+
+def _pearson(groups: Sequence[Row], i: int, j: int, means: Sequence[float]) -> float | None:
+    def total(name: str) -> float:
+        return math.fsum(g[name] for g in groups)
+
+    n = sum(g["n"] for g in groups)
+    if n < 2:
+        return None
+
+    def deviation(x: int, y: int) -> float:
+        return total(f"p{x}_{y}") - total(f"s{x}") * total(f"s{y}") / n
+
+    # below this a column only varies by the rounding of its mean
+    noise = [n * (1e-13 * abs(means[x])) ** 2 for x in (i, j)]
+    spread = [deviation(i, i), deviation(j, j)]
+    if any(v <= limit for v, limit in zip(spread, noise, strict=True)):
+        return None
+    return deviation(i, j) / math.sqrt(spread[0]) / math.sqrt(spread[1])
 
 
 def quartiles(df: DataFrame, column: str, approximate: bool = False) -> tuple:

@@ -47,8 +47,14 @@ def replace_table(df: DataFrame, name: str, label: str | None = None) -> DataFra
     return spark.table(name)
 
 
-def materialize(df: DataFrame, label: str = "stage") -> DataFrame:
-    """Cut the lineage by a written parquet copy in the shared folder."""
+def materialize(
+    df: DataFrame, label: str = "stage", partitions: int | None = None
+) -> DataFrame:
+    """Cut the lineage by a written parquet copy in the shared folder.
+
+    ``partitions`` spreads the rows first: for inputs of fewer files than the
+    cluster has cores.
+    """
     path = scratch_path(df.sparkSession, label)
-    df.write.parquet(path)
+    (df.repartition(partitions) if partitions else df).write.parquet(path)
     return df.sparkSession.read.parquet(path)

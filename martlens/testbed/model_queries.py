@@ -10,7 +10,7 @@ from martlens.models.evaluation import regression_metrics, residual_histogram, w
 from martlens.models.scoring import derive_scenarios, score_scenarios
 from martlens.models.training import ModelConfig, cross_validate, train, training_frame
 from martlens.sources.tables import materialize
-from martlens.testbed.bindings import LINE_KEYS, sales_lines, star
+from martlens.testbed.bindings import LINE_KEYS, sales_lines, star, table
 from martlens.testbed.registry import finish, register
 
 # -- encoding and scaling -----------------------------------------------------
@@ -29,7 +29,7 @@ from martlens.testbed.registry import finish, register
 def label_encode(spark, sf_dir):
     """Codes in sorted label order, and how many rows got each."""
     names = features.CATEGORICAL
-    labels = star(spark, sf_dir).rollup(names, [])
+    labels = materialize(star(spark, sf_dir).rollup(names, []), "labels")
     model = features.label_indexer(names).fit(labels)
     entries = [
         F.struct(
@@ -59,7 +59,7 @@ def label_encode(spark, sf_dir):
 )
 def label_decode(spark, sf_dir):
     """The code book of a fitted encoder."""
-    labels = star(spark, sf_dir).rollup(features.CATEGORICAL, [])
+    labels = materialize(star(spark, sf_dir).rollup(features.CATEGORICAL, []), "labels")
     model = features.label_indexer(features.CATEGORICAL).fit(labels)
     return finish(features.label_table(model, labels))
 
@@ -139,8 +139,19 @@ _SIDES = f""", d AS (
 """
 
 
+def _spread(spark, sf_dir) -> int | None:
+    """One partition per core when the fact has fewer files than cores."""
+    cores = spark.sparkContext.defaultParallelism
+    files = len(table(spark, sf_dir, "lineitem").inputFiles())
+    return cores if files < cores else None
+
+
+def _train(spark, sf_dir, lines, config):
+    return train(lines, config, LINE_KEYS, partitions=_spread(spark, sf_dir))
+
+
 def _simple(spark, sf_dir):
-    return train(sales_lines(spark, sf_dir), _SIMPLE, LINE_KEYS)
+    return _train(spark, sf_dir, sales_lines(spark, sf_dir), _SIMPLE)
 
 
 @register(
@@ -252,7 +263,7 @@ def _lines(spark, sf_dir, columns):
 @register("ols_multi")
 def ols_multi(spark, sf_dir):
     config = ModelConfig("linear")
-    return train(_lines(spark, sf_dir, config.features), config, LINE_KEYS).metrics()
+    return _train(spark, sf_dir, _lines(spark, sf_dir, config.features), config).metrics()
 
 
 _LEAKING = ModelConfig("linear", features.FEATURES_WITH_PROFIT, missing="drop")
@@ -270,14 +281,15 @@ _LEAKING = ModelConfig("linear", features.FEATURES_WITH_PROFIT, missing="drop")
 def ols_with_profit(spark, sf_dir):
     """Sales are profit plus cost, so this feature set must fit exactly."""
     lines = _lines(spark, sf_dir, _LEAKING.features)
-    return finish(train(lines, _LEAKING, LINE_KEYS).metrics())
+    return finish(_train(spark, sf_dir, lines, _LEAKING).metrics())
 
 
 @register("kfold_r2_multi")
 def kfold_r2_multi(spark, sf_dir):
     config = ModelConfig("linear")
     lines = _lines(spark, sf_dir, config.features)
-    data = materialize(training_frame(lines, config, LINE_KEYS), "folds")
+    data = training_frame(lines, config, LINE_KEYS)
+    data = materialize(data, "folds", _spread(spark, sf_dir))
     fit_on, _ = features.hash_split(data, LINE_KEYS)
     return cross_validate(fit_on, config, LINE_KEYS, 5)
 
@@ -285,13 +297,13 @@ def kfold_r2_multi(spark, sf_dir):
 @register("forest_metrics")
 def forest_metrics(spark, sf_dir):
     config = ModelConfig("forest")
-    return train(_lines(spark, sf_dir, config.features), config, LINE_KEYS).metrics()
+    return _train(spark, sf_dir, _lines(spark, sf_dir, config.features), config).metrics()
 
 
 @register("forest_importance")
 def forest_importance(spark, sf_dir):
     config = ModelConfig("forest")
-    return train(_lines(spark, sf_dir, config.features), config, LINE_KEYS).importances()
+    return _train(spark, sf_dir, _lines(spark, sf_dir, config.features), config).importances()
 
 
 # -- scoring ------------------------------------------------------------------
@@ -344,7 +356,7 @@ def scenario_inputs(spark, sf_dir):
 )
 def scored(spark, sf_dir):
     """The exact-fit linear model predicts units times price for any order."""
-    fitted = train(_lines(spark, sf_dir, _LEAKING.features), _LEAKING, LINE_KEYS)
+    fitted = _train(spark, sf_dir, _lines(spark, sf_dir, _LEAKING.features), _LEAKING)
     out = score_scenarios(fitted.model, _scenarios(spark, sf_dir), _LEAKING.features)
     return finish(
         out.drop("in_range").withColumns(
@@ -357,5 +369,5 @@ def scored(spark, sf_dir):
 @register("score_scenarios_forest")
 def scored_forest(spark, sf_dir):
     config = ModelConfig("forest")
-    fitted = train(_lines(spark, sf_dir, config.features), config, LINE_KEYS)
+    fitted = _train(spark, sf_dir, _lines(spark, sf_dir, config.features), config)
     return score_scenarios(fitted.model, _scenarios(spark, sf_dir), config.features)
