@@ -28,6 +28,13 @@ def build_session(app_name: str = "martlens", **extra: str) -> SparkSession:
     return builder.getOrCreate()
 
 
+def apply_settings(spark: SparkSession) -> SparkSession:
+    """Put the run-time settings on a session someone else created."""
+    for key, value in SETTINGS.items():
+        spark.conf.set(key, value)
+    return spark
+
+
 def scratch_path(spark: SparkSession, label: str) -> str:
     """A fresh path below the cluster's shared folder.
 

@@ -260,10 +260,65 @@ def _lines(spark, sf_dir, columns):
     return star(spark, sf_dir).select(*columns, "sales", *keys)
 
 
-@register("ols_multi")
+_METRICS_OF_RESIDUAL = """count(*) AS n,
+           round(1 - avg(r * r) / var_pop(y), 6) AS r2, round(avg(abs(r)), 4) AS mae,
+           round(sqrt(avg(r * r)), 4) AS rmse, round(avg(abs(r / (y + 1e-9))) * 100, 4) AS mape"""
+
+
+def _encoded_sql() -> str:
+    """CTE ``d0``: the features as numbers f0.., the label y, split and fold."""
+    codes = ", ".join(
+        f"dense_rank() OVER (ORDER BY {c}) - 1.0 AS f{i}" if c in features.CATEGORICAL
+        else f"CAST({c} AS DOUBLE) AS f{i}"
+        for i, c in enumerate(features.FEATURES)
+    )
+    return f""", d0 AS MATERIALIZED (
+      SELECT {codes}, sales AS y, {_IN_TEST} AS in_test, {_bucket_sql(5)} AS fold FROM star)
+"""
+
+
+def _residual_sql(tag: str, fit_on: str) -> str:
+    """CTEs that end in ``{tag}_r``: least-squares residuals r of every row of d0.
+
+    The features are removed one after the other (successive orthogonalization)
+    with coefficients taken from the rows ``fit_on`` selects, so the residual of
+    any other row is its label minus the prediction.
+    """
+    k = len(features.FEATURES)
+    means = ", ".join(f"avg(f{i}) AS m{i}" for i in range(k))
+    centred = ", ".join(f"f{i} - m{i} AS x{i}" for i in range(k))
+    out = f""", {tag}_m AS (SELECT avg(y) AS my, {means} FROM d0 WHERE {fit_on}),
+    {tag}_0 AS MATERIALIZED (
+      SELECT in_test, fold, y, y - my AS r, {centred} FROM d0, {tag}_m)
+"""
+    for j in range(k):
+        later = range(j + 1, k)
+        sums = "".join(f", sum(x{j} * x{i}) AS c{i}" for i in later)
+        rest = "".join(
+            f", x{i} - coalesce(c{i} / nullif(d, 0), 0) * x{j} AS x{i}" for i in later
+        )
+        name = f"{tag}_r" if j == k - 1 else f"{tag}_{j + 1}"
+        out += f""", {tag}_c{j} AS (
+      SELECT sum(x{j} * x{j}) AS d, sum(x{j} * r) AS cr{sums} FROM {tag}_{j} WHERE {fit_on}),
+    {name} AS MATERIALIZED (
+      SELECT in_test, fold, y, r - coalesce(cr / nullif(d, 0), 0) * x{j} AS r{rest}
+      FROM {tag}_{j}, {tag}_c{j})
+"""
+    return out
+
+
+@register(
+    "ols_multi",
+    _encoded_sql()
+    + _residual_sql("a", "NOT in_test")
+    + f"""SELECT CASE WHEN in_test THEN 'test' ELSE 'train' END AS side, {_METRICS_OF_RESIDUAL}
+    FROM a_r GROUP BY side""",
+    star=True,
+)
 def ols_multi(spark, sf_dir):
     config = ModelConfig("linear")
-    return _train(spark, sf_dir, _lines(spark, sf_dir, config.features), config).metrics()
+    fitted = _train(spark, sf_dir, _lines(spark, sf_dir, config.features), config)
+    return finish(fitted.metrics(), r2=6)
 
 
 _LEAKING = ModelConfig("linear", features.FEATURES_WITH_PROFIT, missing="drop")
@@ -284,14 +339,24 @@ def ols_with_profit(spark, sf_dir):
     return finish(_train(spark, sf_dir, lines, _LEAKING).metrics())
 
 
-@register("kfold_r2_multi")
+@register(
+    "kfold_r2_multi",
+    _encoded_sql()
+    + "".join(_residual_sql(f"k{i}", f"NOT in_test AND fold <> {i}") for i in range(5))
+    + " UNION ALL ".join(
+        f"SELECT {i}::BIGINT AS fold, round(1 - avg(r * r) / var_pop(y), 6) AS r2 FROM k{i}_r "
+        f"WHERE NOT in_test AND fold = {i}"
+        for i in range(5)
+    ),
+    star=True,
+)
 def kfold_r2_multi(spark, sf_dir):
     config = ModelConfig("linear")
     lines = _lines(spark, sf_dir, config.features)
     data = training_frame(lines, config, LINE_KEYS)
     data = materialize(data, "folds", _spread(spark, sf_dir))
     fit_on, _ = features.hash_split(data, LINE_KEYS)
-    return cross_validate(fit_on, config, LINE_KEYS, 5)
+    return finish(cross_validate(fit_on, config, LINE_KEYS, 5), r2=6)
 
 
 @register("forest_metrics")

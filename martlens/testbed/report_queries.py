@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from martlens.functions.columns import is_year_end, month_short_name, month_start
 from martlens.operators import statistics
 from martlens.operators.filters import dashboard_filter, filter_options
 from martlens.plans import dashboard, reports
+from martlens.sources.tables import materialize
 from martlens.testbed.bindings import LINE_KEYS, sales_lines, star, table
 from martlens.testbed.registry import finish, register
 
@@ -135,17 +139,59 @@ def kpi_dashboard(spark, sf_dir):
     return finish(reports.kpi_dashboard(sales_lines(spark, sf_dir)), revenue=2, units=2)
 
 
+_CHOICE = "order_year IN (1996, 1997) AND region = 'ASIA' AND division = 'PROMO'"
+
+
+@register("kpi_filtered", _KPI_SQL + f"WHERE {_CHOICE}", star=True)
+def kpi_filtered(spark, sf_dir):
+    """The dashboard figures of one filter choice, straight from the fact."""
+    lines = star(spark, sf_dir).select(*_FILTERED, "gross_profit", "units")
+    chosen = dashboard_filter(lines, [1996, 1997], "ASIA", "PROMO", "order_date")
+    return finish(reports.kpi_dashboard(chosen), revenue=2, units=2)
+
+
+# report -> (key columns as one text in SQL, measure)
+_PAGE = {
+    "monthly_trend": ("order_year || '-' || order_month", "sales"),
+    "region_sales": ("region", "sales"),
+    "division_share": ("division", "sales"),
+    "ship_mode_share": ("ship_mode", "sales"),
+    "product_profit": ("product_name", "gross_profit"),
+    "quarter_season": ("order_year || '-' || quarter", "sales"),
+}
+_PAGE_KEYS = {
+    "monthly_trend": ("order_year", "order_month"),
+    "region_sales": ("region",),
+    "division_share": ("division",),
+    "ship_mode_share": ("ship_mode",),
+    "product_profit": ("product_name",),
+    "quarter_season": ("order_year", "quarter"),
+}
+
+
 @register(
-    "kpi_filtered",
-    _KPI_SQL + "WHERE order_year IN (1996, 1997) AND region = 'ASIA' AND division = 'PROMO'",
+    "dashboard_page",
+    " UNION ALL ".join(
+        f"SELECT '{name}' AS report, CAST({label} AS VARCHAR) AS label, "
+        f"round(sum({measure}), 4) AS amount FROM star "
+        "WHERE order_year IN (1996, 1997, 1998) AND region = 'ASIA' GROUP BY label"
+        for name, (label, measure) in _PAGE.items()
+    ),
     star=True,
 )
-def kpi_filtered(spark, sf_dir):
-    """The dashboard figures of one filter choice, from the roll-up."""
-    chosen = dashboard.dashboard(
-        dashboard.build_rollup(star(spark, sf_dir)), [1996, 1997], "ASIA", "PROMO"
-    )
-    return finish(chosen["kpis"], revenue=2, units=2)
+def dashboard_page(spark, sf_dir):
+    """The page's reports for one filter choice, from a roll-up written once."""
+    rollup = materialize(dashboard.build_rollup(star(spark, sf_dir)), "rollup")
+    page = dashboard.dashboard(rollup, [1996, 1997, 1998], "ASIA")
+    parts = [
+        page[name].select(
+            F.lit(name).alias("report"),
+            F.concat_ws("-", *keys).alias("label"),
+            F.round(_PAGE[name][1], 4).alias("amount"),
+        )
+        for name, keys in _PAGE_KEYS.items()
+    ]
+    return reduce(DataFrame.unionByName, parts)
 
 
 # -- reports ------------------------------------------------------------------
