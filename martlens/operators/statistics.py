@@ -118,9 +118,12 @@ def box_stats(df: DataFrame, column: str, approximate: bool = False) -> DataFram
 
 
 def _bin_number(value: Column, lo: Column, hi: Column, bins: int) -> Column:
-    """1..bins over [lo, hi]; the upper end belongs to the last bin."""
-    number = F.least(F.width_bucket(value, lo, hi, F.lit(bins)), F.lit(bins))
-    return F.coalesce(number, F.lit(1)).cast("bigint")
+    """1..bins over [lo, hi]; the upper end belongs to the last bin.
+
+    All values equal leave no width to divide: they share the first bin.
+    """
+    number = F.width_bucket(value, lo, hi, F.lit(bins))
+    return F.when(lo == hi, 1).otherwise(F.least(number, F.lit(bins))).cast("bigint")
 
 
 def _extent(values: DataFrame, column: str) -> tuple[Column, Column]:
