@@ -8,14 +8,31 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from martlens.functions.columns import col, missing
+from martlens.sources.tables import materialize
 
 
-def drop_exact_copies(df: DataFrame, row_id: str, business: Sequence[str]) -> DataFrame:
-    """Keep, of rows equal in all business columns, the one with the least id.
+def repeated_hashes(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """64-bit row hashes that occur more than once, written out.
 
-    An aggregate, not a window: copies collapse before the shuffle, so a group
-    holding a third of the table still costs one row per map task.
+    Rows of any other hash have no copy.  Two different rows may share a hash,
+    so the hash only narrows down who has to be compared in full.  Written
+    first, the list has a known size, and a join with it is a broadcast only
+    when that size is small.
     """
+    hashed = df.select(F.xxhash64(*[col(c) for c in columns]).alias("__hash"))
+    counted = hashed.groupBy("__hash").agg(F.count(F.lit(1)).alias("n"))
+    return materialize(counted.filter("n > 1").select("__hash"), "hashes")
+
+
+def split_by_hash(df: DataFrame, columns: Sequence[str]) -> tuple[DataFrame, DataFrame]:
+    """(rows that may have copies, rows that cannot have any)."""
+    hashed = df.withColumn("__hash", F.xxhash64(*[col(c) for c in columns]))
+    repeated = repeated_hashes(df, columns)
+    may, cannot = (hashed.join(repeated, "__hash", how) for how in ("left_semi", "left_anti"))
+    return may.drop("__hash"), cannot.drop("__hash")
+
+
+def _collapse(df: DataFrame, row_id: str, business: Sequence[str]) -> DataFrame:
     rest = [c for c in df.columns if c != row_id and c not in business]
     grouped = df.groupBy(*[col(c) for c in business])
     if not rest:
@@ -24,19 +41,38 @@ def drop_exact_copies(df: DataFrame, row_id: str, business: Sequence[str]) -> Da
         carried = F.struct(*[col(c) for c in rest])
         kept = grouped.agg(
             F.min(col(row_id)).alias(row_id), F.min_by(carried, col(row_id)).alias("__rest")
-        ).select(row_id, *business, "__rest.*")
+        ).select(row_id, *[col(c) for c in business], "__rest.*")
     return kept.select(*[col(c) for c in df.columns])
 
 
-def exact_copies(df: DataFrame, row_id: str, business: Sequence[str]) -> DataFrame:
+def drop_exact_copies(
+    df: DataFrame, row_id: str, business: Sequence[str], wide: bool = False
+) -> DataFrame:
+    """Keep, of rows equal in all business columns, the one with the least id.
+
+    An aggregate, not a window: copies collapse before the shuffle, so a group
+    holding a third of the table still costs one row per map task.  ``wide``
+    is for long rows such as texts: rows whose hash is unique are passed on
+    without a shuffle and only the others are grouped.
+    """
+    if not wide:
+        return _collapse(df, row_id, business)
+    may, cannot = split_by_hash(df, business)
+    return cannot.unionByName(_collapse(may, row_id, business))
+
+
+def exact_copies(
+    df: DataFrame, row_id: str, business: Sequence[str], wide: bool = False
+) -> DataFrame:
     """The rows ``drop_exact_copies`` removes.
 
-    Ids are compared alone first; whole rows are read again only for the ids
-    found, a side Spark broadcasts when its measured size is small.
+    Ids are compared alone first.  The ids found are written out, and whole
+    rows are read again for them: by broadcast when the written list is small.
     """
-    kept = df.groupBy(*[col(c) for c in business]).agg(F.min(col(row_id)).alias(row_id))
-    extra = df.select(col(row_id)).join(kept.select(row_id), row_id, "left_anti")
-    return df.join(extra, row_id, "left_semi")
+    compared = split_by_hash(df, business)[0] if wide else df
+    kept = compared.groupBy(*[col(c) for c in business]).agg(F.min(col(row_id)).alias(row_id))
+    extra = compared.select(col(row_id)).join(kept.select(row_id), row_id, "left_anti")
+    return df.join(materialize(extra, "copies"), row_id, "left_semi")
 
 
 def consolidate_lines(

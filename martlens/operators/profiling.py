@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from martlens.functions.columns import col, missing, numeric_columns, present
+from martlens.operators.cleaning import split_by_hash
 from martlens.operators.quantiles import exact_quantiles
 
 
@@ -50,8 +51,13 @@ def duplicate_keys(df: DataFrame, *keys: str) -> DataFrame:
     )
 
 
-def duplicate_row_count(df: DataFrame) -> DataFrame:
-    """Rows that repeat an earlier identical row (null equals null)."""
+def duplicate_row_count(df: DataFrame, wide: bool = False) -> DataFrame:
+    """Rows that repeat an earlier identical row (null equals null).
+
+    ``wide`` groups only the rows whose hash occurs more than once.
+    """
+    if wide:
+        df, _ = split_by_hash(df, df.columns)
     copies = df.groupBy(*[col(c) for c in df.columns]).agg(F.count(F.lit(1)).alias("n"))
     return copies.agg(
         F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).cast("bigint").alias("n_duplicates")

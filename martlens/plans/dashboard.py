@@ -16,6 +16,7 @@ from martlens.operators.filters import ALL, dashboard_filter, has_rows
 from martlens.operators.statistics import correlation_matrix
 from martlens.plans import reports
 from martlens.plans.star import Star
+from martlens.sources.tables import materialize
 
 DIMENSIONS = (
     "order_year", "order_month", "quarter", "region", "division", "target", "ship_mode",
@@ -63,6 +64,12 @@ def dashboard(
 def correlations(
     star: Star, years: Sequence[int] | None = None, region: str = ALL, division: str = ALL
 ) -> DataFrame:
-    """The correlation matrix is not additive: it reads the filtered fact rows."""
-    df = star.select(*CORRELATED, "order_year", "region", "division")
-    return correlation_matrix(dashboard_filter(df, years, region, division), CORRELATED)
+    """The correlation matrix is not additive: it reads the filtered fact rows.
+
+    It reads them twice, so the joins behind them run once into a written copy.
+    """
+    filters = {"order_year": years is not None, "region": region != ALL,
+               "division": division != ALL}
+    df = star.select(*CORRELATED, *[c for c, used in filters.items() if used])
+    chosen = dashboard_filter(df, years, region, division).select(*CORRELATED)
+    return correlation_matrix(materialize(chosen, "correlated"), CORRELATED)

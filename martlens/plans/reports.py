@@ -60,16 +60,28 @@ def share_of_total(totals: DataFrame, measure: str, name: str = "share") -> Data
 # -- headline figures ---------------------------------------------------------
 
 
-def kpi_headline(df: DataFrame, approximate: bool = False) -> DataFrame:
-    """Total, mean and median sale, transactions and the order date range."""
-    median = exact_quantiles(df.select("sales"), ["sales"], [0.5], approximate)["sales"][0]
+def kpi_headline(
+    df: DataFrame, sales: DataFrame | None = None, approximate: bool = False
+) -> DataFrame:
+    """Total, mean and median sale, transactions and the order date range.
+
+    A median cannot be taken from a roll-up: ``sales`` are then the fact rows.
+    """
+    values = (df if sales is None else sales).select("sales")
+    median = exact_quantiles(values, ["sales"], [0.5], approximate)["sales"][0]
     return df.agg(
         _total(df, "sales").alias("total_sales"),
-        F.avg(present(df, "sales")).alias("average_sale"),
-        F.lit(median).cast("double").alias("median_sale"),
-        F.count(F.lit(1)).alias("n_transactions"),
+        _values(df, "sales").alias("__n"),
+        _rows(df).alias("n_transactions"),
         F.to_date(F.min("order_date")).alias("first_order"),
         F.to_date(F.max("order_date")).alias("last_order"),
+    ).select(
+        "total_sales",
+        ratio("total_sales", "__n").alias("average_sale"),
+        F.lit(median).cast("double").alias("median_sale"),
+        "n_transactions",
+        "first_order",
+        "last_order",
     )
 
 

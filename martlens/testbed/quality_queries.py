@@ -11,7 +11,7 @@ from martlens.plans.star import merge_growth
 from martlens.session import scratch_path
 from martlens.sources.readers import read_csv
 from martlens.sources.schemas import TableSpec
-from martlens.sources.tables import replace_table, save_table
+from martlens.sources.tables import materialize, replace_table, save_table
 from martlens.testbed.bindings import TABLES, sales_lines, star, table
 from martlens.testbed.registry import finish, register
 
@@ -211,7 +211,9 @@ def distinct_keys(spark, sf_dir):
     """,
 )
 def duplicate_row_count(spark, sf_dir):
-    return profiling.duplicate_row_count(table(spark, sf_dir, "documents").drop("doc_id"))
+    return profiling.duplicate_row_count(
+        table(spark, sf_dir, "documents").drop("doc_id"), wide=True
+    )
 
 
 @register("distinct_values", "SELECT DISTINCT o_orderpriority AS ship_mode FROM orders")
@@ -314,7 +316,9 @@ _DESCRIBED = (
     star=True,
 )
 def describe_numeric(spark, sf_dir):
-    return finish(profiling.describe_numeric(star(spark, sf_dir).select(*_DESCRIBED)))
+    # the summary scans its input several times: join once, then scan the result
+    lines = materialize(star(spark, sf_dir).select(*_DESCRIBED), "described")
+    return finish(profiling.describe_numeric(lines))
 
 
 # -- integrity ----------------------------------------------------------------
@@ -469,7 +473,7 @@ def _documents(rows):
 )
 def exact_duplicates(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
-    return _documents(cleaning.exact_copies(docs, "doc_id", _DOC_BUSINESS))
+    return _documents(cleaning.exact_copies(docs, "doc_id", _DOC_BUSINESS, wide=True))
 
 
 @register(
@@ -481,7 +485,7 @@ def exact_duplicates(spark, sf_dir):
 )
 def exact_dedup(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
-    return _documents(cleaning.drop_exact_copies(docs, "doc_id", _DOC_BUSINESS))
+    return _documents(cleaning.drop_exact_copies(docs, "doc_id", _DOC_BUSINESS, wide=True))
 
 
 @register("consolidate_lines", CONSOLIDATED_SQL)

@@ -117,8 +117,8 @@ def options(spark, sf_dir):
     star=True,
 )
 def kpi_headline(spark, sf_dir):
-    lines = star(spark, sf_dir).select("sales", "order_date")
-    return finish(reports.kpi_headline(lines), total_sales=2)
+    rolled = star(spark, sf_dir).rollup(["order_date"], ["sales"])
+    return finish(reports.kpi_headline(rolled, sales_lines(spark, sf_dir)), total_sales=2)
 
 
 _KPI_SQL = """
@@ -403,8 +403,7 @@ _CORRELATED = dashboard.CORRELATED
     star=True,
 )
 def correlation_matrix(spark, sf_dir):
-    lines = star(spark, sf_dir).select(*_CORRELATED)
-    return finish(statistics.correlation_matrix(lines, _CORRELATED), r=6)
+    return finish(dashboard.correlations(star(spark, sf_dir)), r=6)
 
 
 @register(

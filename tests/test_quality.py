@@ -34,12 +34,13 @@ def test_shape_and_preview(spark, lines, rows):
     assert [r["row_id"] for r in profiling.preview(lines, ["row_id"], 2).collect()] == [1, 2]
 
 
-def test_duplicates(lines, rows):
+@pytest.mark.parametrize("wide", [False, True])
+def test_duplicates(lines, rows, wide):
     assert rows(profiling.duplicate_keys(lines, "order_id", "product_id")) == [
         ("o1", "p1", 3), (None, None, 2),
     ]
-    assert profiling.duplicate_row_count(lines.drop("row_id")).first()[0] == 2
-    assert profiling.duplicate_row_count(lines.limit(0)).first()[0] == 0
+    assert profiling.duplicate_row_count(lines.drop("row_id"), wide).first()[0] == 2
+    assert profiling.duplicate_row_count(lines.limit(0), wide).first()[0] == 0
     assert tuple(profiling.distinct_count(lines, "order_id", "product_id").first()) == (2, 3)
 
 
@@ -99,21 +100,23 @@ def test_sum_rule(spark):
     assert integrity.rule_violations(df, decimals=2).count() == 1
 
 
-def test_exact_copies(lines, rows):
-    kept = cleaning.drop_exact_copies(lines, "row_id", BUSINESS)
+@pytest.mark.parametrize("wide", [False, True])
+def test_exact_copies(lines, rows, wide):
+    kept = cleaning.drop_exact_copies(lines, "row_id", BUSINESS, wide)
     assert sorted(r["row_id"] for r in kept.collect()) == [1, 3, 4, 5, 6]
     assert kept.columns == lines.columns
-    copies = cleaning.exact_copies(lines, "row_id", BUSINESS)
+    copies = cleaning.exact_copies(lines, "row_id", BUSINESS, wide)
     assert sorted(r["row_id"] for r in copies.collect()) == [2, 7]
     again = cleaning.drop_exact_copies(kept, "row_id", BUSINESS)
     assert repr(rows(again)) == repr(rows(kept))  # a NaN differs from itself
 
 
-def test_exact_copies_carry_other_columns(spark, rows):
+@pytest.mark.parametrize("wide", [False, True])
+def test_exact_copies_carry_other_columns(spark, rows, wide):
     df = spark.createDataFrame(
         [(2, "a", "second"), (1, "a", "first"), (3, "b", "third")], "id int, k string, note string"
     )
-    assert rows(cleaning.drop_exact_copies(df, "id", ["k"])) == [
+    assert rows(cleaning.drop_exact_copies(df, "id", ["k"], wide)) == [
         (1, "a", "first"), (3, "b", "third"),
     ]
 
