@@ -81,15 +81,34 @@ class Star:
                 wanted |= set(lookup.keys) - set(self.fact.columns)
         return chosen[::-1]
 
+    def _folded(self, lookups: Sequence[Lookup]) -> list[Lookup]:
+        """Chains of lookups folded into the one the fact refers to.
+
+        Joining order -> customer -> nation among themselves first moves order
+        rows, not fact rows: the fact is shuffled once per chain, not per hop.
+        """
+        folded = list(lookups)
+        for child in lookups[::-1]:
+            if set(child.keys) <= set(self.fact.columns):
+                continue
+            at = next(i for i, x in enumerate(folded) if x.name == child.name)
+            for i, parent in enumerate(folded[:at]):
+                if set(child.keys) <= set(parent.table.columns):
+                    table = left_join(parent.table, folded[at].table, child.keys)
+                    folded[i] = Lookup(parent.name, table, parent.keys)
+                    del folded[at]
+                    break
+        return folded
+
     def merged(self, nulls_match: bool = False) -> DataFrame:
         """Every fact row with the columns of every lookup and the features."""
         return with_features(self._join(self.fact, self.lookups, nulls_match))
 
-    @staticmethod
     def _join(
-        df: DataFrame, lookups: Iterable[Lookup], nulls_match: bool = False
+        self, df: DataFrame, lookups: Sequence[Lookup], nulls_match: bool = False
     ) -> DataFrame:
-        for lookup in lookups:
+        # a null key that finds a partner must pass every hop on its own
+        for lookup in lookups if nulls_match else self._folded(lookups):
             df = left_join(df, lookup.table, lookup.keys, nulls_match)
         return df
 
@@ -114,6 +133,8 @@ class Star:
         inside the map tasks and reaches the join as one row.
         """
         lookups = self._needed(by)
+        if not nulls_match:
+            lookups = self._folded(lookups)
         fact_by = [c for c in by if c in self.fact.columns]
         roots = sorted({k for x in lookups for k in x.keys if k in self.fact.columns})
         measures = _measures(sums)

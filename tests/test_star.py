@@ -77,6 +77,30 @@ def test_select_skips_unused_lookups(star):
     assert plan.count("Join LeftOuter") == 2  # products lead to factories; no targets
 
 
+def test_chain_is_joined_among_the_lookups(spark):
+    fact = spark.createDataFrame(
+        [(1, "o1"), (2, "o2"), (3, "o9"), (4, None), (5, "o3")], "id int, o string"
+    )
+    orders = spark.createDataFrame([("o1", "c1"), ("o2", None), ("o3", "c9")], "o string, c string")
+    customers = spark.createDataFrame([("c1", "n1"), ("c2", "n2")], "c string, n string")
+    nations = spark.createDataFrame([("n1", "Narnia"), (None, "Nowhere")], "n string, name string")
+    chained = Star(
+        fact,
+        (
+            Lookup("orders", orders, ("o",)),
+            Lookup("customers", customers, ("c",)),
+            Lookup("nations", nations, ("n",)),
+        ),
+    )
+    got = {r["id"]: r["name"] for r in chained.merged().collect()}
+    assert got == {1: "Narnia", 2: None, 3: None, 4: None, 5: None}
+    got = {r["id"]: r["name"] for r in chained.merged(nulls_match=True).collect()}
+    assert got == {1: "Narnia", 2: "Nowhere", 3: "Nowhere", 4: "Nowhere", 5: "Nowhere"}
+    assert [x.name for x in chained._folded(chained.lookups)] == ["orders"]
+    rolled = {r["name"]: r["n_rows"] for r in chained.rollup(["name"], []).collect()}
+    assert rolled == {"Narnia": 1, None: 4}
+
+
 def test_repeated_lookup_key(spark, star):
     twice = star.lookups[2].table.union(star.lookups[2].table)
     bad = Star(star.fact, (*star.lookups[:2], Lookup("targets", twice, ("division",))))
