@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.ml.feature import Imputer, StringIndexer, StringIndexerModel
+from pyspark.ml.feature import Imputer, IndexToString, StringIndexer, StringIndexerModel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -94,6 +94,16 @@ def label_table(model: StringIndexerModel, df: DataFrame) -> DataFrame:
     return df.sparkSession.createDataFrame(rows, "column_name string, label string, code int")
 
 
+def decode_labels(df: DataFrame, model: StringIndexerModel) -> DataFrame:
+    """Turn code columns back into ``<column>_label``."""
+    for c, code, labels in zip(
+        model.getInputCols(), model.getOutputCols(), model.labelsArray, strict=True
+    ):
+        decoder = IndexToString(inputCol=code, outputCol=f"{c}_label", labels=list(labels))
+        df = decoder.transform(df)
+    return df
+
+
 def impute_mean(train: DataFrame, columns: Sequence[str], apply_to: DataFrame) -> DataFrame:
     """Fill null and NaN with the mean that the column has in ``train``."""
     imputer = Imputer(strategy="mean", inputCols=list(columns), outputCols=list(columns))

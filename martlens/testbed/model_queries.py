@@ -4,11 +4,19 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from martlens.functions.columns import col
 from martlens.models import features
 from martlens.models.evaluation import regression_metrics, residual_histogram, with_residual
 from martlens.models.scoring import derive_scenarios, score_scenarios
-from martlens.models.training import ModelConfig, cross_validate, train, training_frame
+from martlens.models.training import (
+    ModelConfig,
+    cross_validate,
+    load,
+    save,
+    train,
+    training_frame,
+)
+from martlens.operators.statistics import sample_rows
+from martlens.session import scratch_path
 from martlens.sources.tables import materialize
 from martlens.testbed.bindings import LINE_KEYS, sales_lines, star, table
 from martlens.testbed.registry import finish, register
@@ -16,52 +24,50 @@ from martlens.testbed.registry import finish, register
 # -- encoding and scaling -----------------------------------------------------
 
 
-@register(
-    "label_encode",
-    " UNION ALL ".join(
-        f"SELECT '{c}' AS column_name, {c} AS label, "
-        f"dense_rank() OVER (ORDER BY {c}) - 1 AS code, count(*) AS n_rows "
-        f"FROM star WHERE {c} IS NOT NULL GROUP BY {c}"
-        for c in features.CATEGORICAL
-    ),
-    star=True,
+_CODES_SQL = " UNION ALL ".join(
+    f"SELECT '{c}' AS column_name, {c} AS label, "
+    f"dense_rank() OVER (ORDER BY {c}) - 1 AS code, count(*) AS n_rows "
+    f"FROM star WHERE {c} IS NOT NULL GROUP BY {c}"
+    for c in features.CATEGORICAL
 )
-def label_encode(spark, sf_dir):
-    """Codes in sorted label order, and how many rows got each."""
-    names = features.CATEGORICAL
-    labels = materialize(star(spark, sf_dir).rollup(names, []), "labels")
-    model = features.label_indexer(names).fit(labels)
+
+
+def _encoded(spark, sf_dir):
+    """The categories' roll-up with codes, and the fitted encoder."""
+    labels = materialize(star(spark, sf_dir).rollup(features.CATEGORICAL, []), "labels")
+    model = features.label_indexer(features.CATEGORICAL).fit(labels)
+    return model.transform(labels), model
+
+
+def _per_label(df, suffix):
     entries = [
         F.struct(
             F.lit(c).alias("column_name"),
-            col(c).alias("label"),
-            col(f"{c}_code").cast("bigint").alias("code"),
+            F.col(f"{c}{suffix}").alias("label"),
+            F.col(f"{c}_code").cast("bigint").alias("code"),
             "n_rows",
         )
-        for c in names
+        for c in features.CATEGORICAL
     ]
     return (
-        model.transform(labels)
-        .select(F.inline(F.array(*entries)))
+        df.select(F.inline(F.array(*entries)))
         .groupBy("column_name", "label", "code")
         .agg(F.sum("n_rows").alias("n_rows"))
     )
 
 
-@register(
-    "label_decode",
-    " UNION ALL ".join(
-        f"SELECT '{c}' AS column_name, {c} AS label, "
-        f"dense_rank() OVER (ORDER BY {c}) - 1 AS code FROM star WHERE {c} IS NOT NULL GROUP BY {c}"
-        for c in features.CATEGORICAL
-    ),
-    star=True,
-)
+@register("label_encode", _CODES_SQL, star=True)
+def label_encode(spark, sf_dir):
+    """Codes in sorted label order, and how many rows got each."""
+    return _per_label(_encoded(spark, sf_dir)[0], "")
+
+
+@register("label_decode", _CODES_SQL, star=True)
 def label_decode(spark, sf_dir):
-    """The code book of a fitted encoder."""
-    labels = materialize(star(spark, sf_dir).rollup(features.CATEGORICAL, []), "labels")
-    model = features.label_indexer(features.CATEGORICAL).fit(labels)
-    return finish(features.label_table(model, labels))
+    """Codes turned back into labels."""
+    encoded, model = _encoded(spark, sf_dir)
+    bare = encoded.drop(*features.CATEGORICAL)
+    return _per_label(features.decode_labels(bare, model), "_label")
 
 
 def _bucket_sql(buckets: int, seed: int = 42) -> str:
@@ -217,6 +223,23 @@ def residuals_histogram(spark, sf_dir):
     return finish(residual_histogram(fitted.predict(fitted.test)))
 
 
+@register(
+    "actual_vs_predicted",
+    _SIDES
+    + """SELECT order_id, product_id, line_no, round(sales, 2) AS sales,
+           round(prediction, 4) AS prediction
+    FROM p WHERE in_test
+    ORDER BY md5('42|' || order_id || '|' || product_id || '|' || line_no),
+             order_id, product_id, line_no LIMIT 300""",
+    star=True,
+)
+def actual_vs_predicted(spark, sf_dir):
+    """The sample of test rows behind the actual-versus-predicted chart."""
+    fitted = _simple(spark, sf_dir)
+    sample = sample_rows(fitted.test, LINE_KEYS, 300)
+    return finish(fitted.predict(sample).select(*LINE_KEYS, "sales", "prediction"), sales=2)
+
+
 @register(
     "cost_as_predictor",
     """
@@ -420,9 +443,11 @@ def scenario_inputs(spark, sf_dir):
     star=True,
 )
 def scored(spark, sf_dir):
-    """The exact-fit linear model predicts units times price for any order."""
+    """The exact-fit linear model, saved and loaded, predicts units times price."""
     fitted = _train(spark, sf_dir, _lines(spark, sf_dir, _LEAKING.features), _LEAKING)
-    out = score_scenarios(fitted.model, _scenarios(spark, sf_dir), _LEAKING.features)
+    path = scratch_path(spark, "model")
+    save(fitted, path)
+    out = score_scenarios(load(path), _scenarios(spark, sf_dir), _LEAKING.features)
     return finish(
         out.drop("in_range").withColumns(
             {c: F.col(c).cast("bigint") for c in ("order_month", "quarter", "shipping_days")}
