@@ -187,43 +187,51 @@ def load(path: str) -> PipelineModel:
     return PipelineModel.load(path)
 
 
+def model_features(model: PipelineModel) -> tuple[str, ...]:
+    """The feature columns a fitted pipeline reads, in order."""
+    assembler = next(s for s in model.stages if isinstance(s, VectorAssembler))
+    codes = {f"{c}_code": c for c in CATEGORICAL}
+    return tuple(codes.get(c, c) for c in assembler.getInputCols())
+
+
 # -- cross-validation ---------------------------------------------------------
 
 
 def cross_validate(
-    data: DataFrame, config: ModelConfig, keys: Sequence[str], folds: int = 5
+    data: DataFrame,
+    config: ModelConfig,
+    keys: Sequence[str],
+    folds: int = 5,
+    partitions: int | None = None,
 ) -> DataFrame:
     """R2 of each held-out fold, as (fold, r2)."""
+    marked = with_fold(data, keys, folds, config.seed)
+    marked = materialize(marked, "folds", partitions)  # read by every fit
     if config.algorithm == "linear":
-        return _cross_validate_linear(data, config, keys, folds)
-    return _cross_validate_refit(data, config, keys, folds)
+        return _fold_products(marked, config)
+    return _fold_refits(marked, config, folds)
 
 
-def _cross_validate_refit(
-    data: DataFrame, config: ModelConfig, keys: Sequence[str], folds: int
-) -> DataFrame:
+def _fold_refits(marked: DataFrame, config: ModelConfig, folds: int) -> DataFrame:
     """Fit the whole pipeline once per fold."""
-    marked = with_fold(data, keys, folds, config.seed)
     scores = []
     for i in range(folds):
         model = build_pipeline(config).fit(marked.filter(F.col("fold") != i))
         scored = model.transform(marked.filter(F.col("fold") == i))
         scores.append((i, regression_metrics(scored, config.label).first()["r2"]))
-    return data.sparkSession.createDataFrame(scores, "fold int, r2 double")
+    return marked.sparkSession.createDataFrame(scores, "fold int, r2 double")
 
 
-def _cross_validate_linear(
-    data: DataFrame, config: ModelConfig, keys: Sequence[str], folds: int
-) -> DataFrame:
-    """All folds of a least-squares fit from one pass over the data.
+def _fold_products(marked: DataFrame, config: ModelConfig) -> DataFrame:
+    """All folds of a least-squares fit from one pass over the encoded rows.
 
     A fold's model needs only cross products of the other folds' rows, and
     those are the totals minus the fold's own.  Spark sums the products per
     fold; what reaches the driver is one small square per fold.
     """
     stages = encoding_stages(config)
-    encoded = Pipeline(stages=stages).fit(data).transform(data) if stages else data
-    marked = with_fold(encoded, keys, folds, config.seed)
+    if stages:
+        marked = Pipeline(stages=stages).fit(marked).transform(marked)
     names = [*config.inputs, config.label]
     stats = marked.agg(
         *[F.avg(col(c)) for c in names], *[F.stddev_pop(col(c)) for c in names]
@@ -252,4 +260,4 @@ def _cross_validate_linear(
         error = own[-1, -1] - 2 * beta @ own[:-1, -1] + beta @ own[:-1, :-1] @ beta
         spread = own[-1, -1] - own[0, -1] ** 2 / own[0, 0]
         scores.append((int(fold), float(1 - error / spread) if spread > 0 else None))
-    return data.sparkSession.createDataFrame(scores, "fold int, r2 double")
+    return marked.sparkSession.createDataFrame(scores, "fold int, r2 double")

@@ -156,6 +156,12 @@ def _train(spark, sf_dir, lines, config):
     return train(lines, config, LINE_KEYS, partitions=_spread(spark, sf_dir))
 
 
+def _folds(spark, sf_dir, lines, config):
+    """Five folds of the training side."""
+    fit_on, _ = features.hash_split(training_frame(lines, config, LINE_KEYS), LINE_KEYS)
+    return cross_validate(fit_on, config, LINE_KEYS, 5, _spread(spark, sf_dir))
+
+
 def _simple(spark, sf_dir):
     return _train(spark, sf_dir, sales_lines(spark, sf_dir), _SIMPLE)
 
@@ -270,9 +276,7 @@ _FOLD_SQL = f"""
 @register("kfold_r2", _FOLD_SQL, star=True)
 def kfold_r2(spark, sf_dir):
     """R2 of five held-out folds of the training side, from one pass."""
-    fit_on, _ = features.hash_split(sales_lines(spark, sf_dir), LINE_KEYS)
-    data = training_frame(fit_on, _SIMPLE, LINE_KEYS)
-    return finish(cross_validate(data, _SIMPLE, LINE_KEYS, 5), r2=6)
+    return finish(_folds(spark, sf_dir, sales_lines(spark, sf_dir), _SIMPLE), r2=6)
 
 
 # -- full feature sets --------------------------------------------------------
@@ -376,10 +380,14 @@ def ols_with_profit(spark, sf_dir):
 def kfold_r2_multi(spark, sf_dir):
     config = ModelConfig("linear")
     lines = _lines(spark, sf_dir, config.features)
-    data = training_frame(lines, config, LINE_KEYS)
-    data = materialize(data, "folds", _spread(spark, sf_dir))
-    fit_on, _ = features.hash_split(data, LINE_KEYS)
-    return finish(cross_validate(fit_on, config, LINE_KEYS, 5), r2=6)
+    return finish(_folds(spark, sf_dir, lines, config), r2=6)
+
+
+@register("kfold_r2_forest")
+def kfold_r2_forest(spark, sf_dir):
+    """The same folds for the forest, which has to be fitted anew for each."""
+    config = ModelConfig("forest")
+    return _folds(spark, sf_dir, _lines(spark, sf_dir, config.features), config)
 
 
 @register("forest_metrics")

@@ -8,7 +8,7 @@ from martlens.models.evaluation import regression_metrics, residual_histogram
 from martlens.models.scoring import derive_scenarios, score_scenarios
 from martlens.models.training import (
     ModelConfig,
-    _cross_validate_refit,
+    _fold_refits,
     cross_validate,
     load,
     save,
@@ -123,7 +123,7 @@ def test_one_pass_folds_equal_refits(noisy):
     config = ModelConfig("linear")
     data = training_frame(noisy, config, ["row_id"]).cache()
     fast = {r["fold"]: r["r2"] for r in cross_validate(data, config, ["row_id"]).collect()}
-    slow = _cross_validate_refit(data, config, ["row_id"], 5)
+    slow = _fold_refits(features.with_fold(data, ["row_id"], 5), config, 5)
     assert fast == pytest.approx({r["fold"]: r["r2"] for r in slow.collect()}, abs=1e-9)
 
 
