@@ -43,6 +43,11 @@ def numeric_columns(df: DataFrame) -> list[str]:
     return [f.name for f in df.schema.fields if isinstance(f.dataType, T.NumericType)]
 
 
+def row_count(df: DataFrame) -> Column:
+    """Rows in a group: counted, or summed from a roll-up's ``n_rows``."""
+    return F.sum("n_rows") if "n_rows" in df.columns else F.count(F.lit(1))
+
+
 # -- dates ------------------------------------------------------------------
 
 

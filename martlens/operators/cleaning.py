@@ -79,16 +79,29 @@ def consolidate_lines(
     df: DataFrame,
     keys: Sequence[str] = ("order_id", "product_id"),
     summed: Sequence[str] = ("sales", "units", "gross_profit", "cost"),
+    sparse: bool = False,
 ) -> DataFrame:
     """One row per key: measures summed, every other column its own minimum.
 
     Minima are taken column by column, so a row may mix attributes of several
-    source rows.
+    source rows.  ``sparse`` is for keys that rarely repeat: minima of text make
+    Spark sort what it groups, so rows whose key hash is unique are passed on
+    as they are and only the others are grouped.
     """
     aggregates = [
         (F.sum if c in summed else F.min)(col(c)).alias(c) for c in df.columns if c not in keys
     ]
-    return df.groupBy(*[col(k) for k in keys]).agg(*aggregates).select(*map(col, df.columns))
+
+    def grouped(rows: DataFrame) -> DataFrame:
+        return rows.groupBy(*[col(k) for k in keys]).agg(*aggregates).select(*map(col, df.columns))
+
+    if not sparse:
+        return grouped(df)
+    may, cannot = split_by_hash(df, keys)
+    merged = grouped(may)
+    # a sum has a wider type than what it adds up
+    single = cannot.select(*[col(c).cast(kind).alias(c) for c, kind in merged.dtypes])
+    return single.unionByName(merged)
 
 
 def drop_incomplete(df: DataFrame, columns: Sequence[str]) -> DataFrame:

@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from martlens.functions.columns import col, missing, numeric_columns, present
+from martlens.functions.columns import col, missing, numeric_columns, present, row_count
 from martlens.operators.cleaning import split_by_hash
 from martlens.operators.quantiles import exact_quantiles
 
@@ -95,21 +95,25 @@ def distinct_values(df: DataFrame, column: str) -> DataFrame:
 
 
 def value_frequency(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """(column, value, count) of several categorical columns in one pass."""
+    """(column, value, count) of several categorical columns in one pass.
+
+    Rows are counted per combination first; a roll-up brings its ``n_rows``.
+    """
+    combined = df.groupBy(*[col(c) for c in columns]).agg(row_count(df).alias("n_rows"))
     entries = [
-        F.struct(F.lit(c).alias("column_name"), col(c).cast("string").alias("value"))
+        F.struct(F.lit(c).alias("column_name"), col(c).cast("string").alias("value"), "n_rows")
         for c in columns
     ]
     return (
-        df.select(F.inline(F.array(*entries)))
+        combined.select(F.inline(F.array(*entries)))
         .groupBy("column_name", "value")
-        .agg(F.count(F.lit(1)).alias("n_rows"))
+        .agg(F.sum("n_rows").alias("n_rows"))
     )
 
 
 def name_variants(df: DataFrame, key: str, name: str) -> DataFrame:
     """Every (key, name) spelling with its row count."""
-    return df.groupBy(col(key), col(name)).agg(F.count(F.lit(1)).alias("n_rows"))
+    return df.groupBy(col(key), col(name)).agg(row_count(df).alias("n_rows"))
 
 
 def keys_with_several_names(df: DataFrame, key: str, name: str) -> DataFrame:

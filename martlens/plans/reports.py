@@ -23,6 +23,7 @@ from martlens.functions.columns import (
     present,
     ratio,
     round_half_even,
+    row_count,
     thousands,
 )
 from martlens.operators.quantiles import exact_quantiles
@@ -32,10 +33,6 @@ def _total(df: DataFrame, measure: str) -> Column:
     return F.coalesce(F.sum(present(df, measure)), F.lit(0))
 
 
-def _rows(df: DataFrame) -> Column:
-    return F.sum("n_rows") if "n_rows" in df.columns else F.count(F.lit(1))
-
-
 def _values(df: DataFrame, measure: str) -> Column:
     """How many rows carry the measure."""
     weight = f"n_{measure}"
@@ -72,7 +69,7 @@ def kpi_headline(
     return df.agg(
         _total(df, "sales").alias("total_sales"),
         _values(df, "sales").alias("__n"),
-        _rows(df).alias("n_transactions"),
+        row_count(df).alias("n_transactions"),
         F.to_date(F.min("order_date")).alias("first_order"),
         F.to_date(F.max("order_date")).alias("last_order"),
     ).select(
@@ -201,7 +198,7 @@ def sales_share(df: DataFrame, key: str) -> DataFrame:
 def transaction_share(df: DataFrame, key: str = "division") -> DataFrame:
     """Rows and share of all rows per key."""
     counted = (
-        df.dropna(subset=[key]).groupBy(col(key)).agg(_rows(df).alias("n_transactions"))
+        df.dropna(subset=[key]).groupBy(col(key)).agg(row_count(df).alias("n_transactions"))
     )
     return share_of_total(counted, "n_transactions")
 

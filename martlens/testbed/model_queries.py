@@ -122,16 +122,13 @@ def standardize(spark, sf_dir):
     star=True,
 )
 def hash_split(spark, sf_dir):
-    sides = zip(
-        ("train", "test"), features.hash_split(sales_lines(spark, sf_dir), LINE_KEYS), strict=True
+    side = F.when(features.test_condition(LINE_KEYS), "test").otherwise("train")
+    sized = (
+        sales_lines(spark, sf_dir)
+        .groupBy(side.alias("side"))
+        .agg(F.count(F.lit(1)).alias("n_rows"), F.sum("sales").alias("sales"))
     )
-    sized = [
-        df.agg(F.count(F.lit(1)).alias("n_rows"), F.sum("sales").alias("sales")).select(
-            F.lit(name).alias("side"), "*"
-        )
-        for name, df in sides
-    ]
-    return finish(sized[0].unionByName(sized[1]), sales=2)
+    return finish(sized, sales=2)
 
 
 # -- least squares ------------------------------------------------------------

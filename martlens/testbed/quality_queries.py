@@ -234,7 +234,7 @@ _CATEGORICAL = ("region", "division", "country", "ship_mode")
     star=True,
 )
 def value_frequency(spark, sf_dir):
-    return profiling.value_frequency(star(spark, sf_dir).select(*_CATEGORICAL), _CATEGORICAL)
+    return profiling.value_frequency(star(spark, sf_dir).rollup(_CATEGORICAL, []), _CATEGORICAL)
 
 
 @register(
@@ -246,8 +246,8 @@ def value_frequency(spark, sf_dir):
     star=True,
 )
 def name_variants(spark, sf_dir):
-    lines = star(spark, sf_dir).select("product_id", "product_name")
-    return profiling.name_variants(lines, "product_id", "product_name")
+    rolled = star(spark, sf_dir).rollup(["product_id", "product_name"], [])
+    return profiling.name_variants(rolled, "product_id", "product_name")
 
 
 @register(
@@ -273,8 +273,12 @@ def several_names(spark, sf_dir):
     star=True,
 )
 def date_range(spark, sf_dir):
-    lines = star(spark, sf_dir).select("order_date", "ship_date")
-    return finish(profiling.date_range(lines, ["order_date", "ship_date"]))
+    lines = star(spark, sf_dir)
+    ordered = profiling.date_range(lines.rollup(["order_date"], []), ["order_date"])
+    shipped = profiling.date_range(lines.fact, ["ship_date"])
+    return finish(
+        ordered.select("*", *[shipped.select(c).scalar().alias(c) for c in shipped.columns])
+    )
 
 
 _MEASURES = ("sales", "units", "gross_profit", "cost")
@@ -490,7 +494,8 @@ def exact_dedup(spark, sf_dir):
 
 @register("consolidate_lines", CONSOLIDATED_SQL)
 def consolidate_lines(spark, sf_dir):
-    return finish(cleaning.consolidate_lines(sales_lines(spark, sf_dir)), sales=2, units=2)
+    lines = cleaning.consolidate_lines(sales_lines(spark, sf_dir), sparse=True)
+    return finish(lines, sales=2, units=2)
 
 
 @register(

@@ -20,7 +20,8 @@ _TARGET_ROWS = ", ".join(f"('{d}', {t!r}::DOUBLE)" for d, t in TARGETS.items())
 
 # The merged star of ``bindings.star`` in SQL.
 STAR_SQL = f"""WITH star AS (
-  SELECT l.l_orderkey AS order_id, l.l_partkey AS product_id, l.l_linenumber AS line_no,
+  SELECT l.l_orderkey AS order_id, l.l_partkey AS product_id,
+         CAST(l.l_linenumber AS BIGINT) AS line_no,
          l.l_suppkey AS factory_id, l.l_shipdate AS ship_date,
          l.l_extendedprice AS sales, l.l_quantity AS units,
          l.l_extendedprice * l.l_discount AS gross_profit,
@@ -30,7 +31,8 @@ STAR_SQL = f"""WITH star AS (
          year(o.o_orderdate) AS order_year, month(o.o_orderdate) AS order_month,
          day(o.o_orderdate) AS order_day, strftime(o.o_orderdate, '%A') AS order_weekday,
          quarter(o.o_orderdate) AS quarter,
-         c.c_nationkey AS country_id, n.n_name AS country, n.n_regionkey AS region_id,
+         CAST(c.c_nationkey AS BIGINT) AS country_id, n.n_name AS country,
+         CAST(n.n_regionkey AS BIGINT) AS region_id,
          r.r_name AS region, p.p_type AS division, p.p_name AS product_name,
          p.p_retailprice AS unit_price, p.p_retailprice - p.p_size AS unit_cost,
          s.s_name AS factory, t.target,
@@ -54,10 +56,7 @@ def register(name: str, sql: str | None = None, star: bool = False):
     def add(query: Query) -> Query:
         QUERIES[name] = query
         if sql is not None:
-            body = sql.strip()
-            if star:
-                body = STAR_SQL + (body if body.startswith(",") else body)
-            ORACLE[name] = body
+            ORACLE[name] = STAR_SQL + sql.strip() if star else sql.strip()
         return query
 
     return add

@@ -96,10 +96,8 @@ def filter_dashboard(spark, sf_dir):
     star=True,
 )
 def options(spark, sf_dir):
-    return filter_options(
-        star(spark, sf_dir).select("order_year", "region", "division"),
-        ["order_year", "region", "division"],
-    )
+    columns = ["order_year", "region", "division"]
+    return filter_options(star(spark, sf_dir).rollup(columns, []), columns)
 
 
 # -- headline figures ---------------------------------------------------------

@@ -121,16 +121,17 @@ def test_exact_copies_carry_other_columns(spark, rows, wide):
     ]
 
 
-def test_consolidation_keeps_totals(spark):
+@pytest.mark.parametrize("sparse", [False, True])
+def test_consolidation_keeps_totals(spark, sparse):
     rng = random.Random(5)
     data = [
-        (i, rng.choice("abc"), rng.choice("xyz"), float(rng.randint(1, 99)), rng.randint(1, 5))
+        (i, rng.choice("abc"), rng.choice("xyz") + str(i % 9 or i), float(rng.randint(1, 99)), rng.randint(1, 5))
         for i in range(200)
     ]
     df = spark.createDataFrame(
         data, "row_id int, order_id string, product_id string, sales double, units int"
     )
-    out = cleaning.consolidate_lines(df, summed=("sales", "units"))
+    out = cleaning.consolidate_lines(df, summed=("sales", "units"), sparse=sparse)
     assert out.columns == df.columns
     assert out.count() == len({(d[1], d[2]) for d in data})
     want = df.groupBy().sum("sales", "units").first()
