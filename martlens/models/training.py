@@ -40,6 +40,7 @@ class ModelConfig:
     label: str = LABEL
     trees: int = 100
     depth: int = 5
+    bins: int = 128  # candidate thresholds per feature
     seed: int = 42
     missing: str = "impute"  # or "drop"
 
@@ -87,7 +88,7 @@ def build_pipeline(config: ModelConfig) -> Pipeline:
             numTrees=config.trees,
             maxDepth=config.depth,
             featureSubsetStrategy="all",
-            maxBins=128,
+            maxBins=config.bins,
             seed=config.seed,
         )
     else:

@@ -86,6 +86,8 @@ def _propose(
         b = brackets[row["bracket"]]
         ends = dict(zip(fractions, row["ends"], strict=True))
         out.setdefault(b.column, set()).update(ends[f] for f in wanted[b])
+        # its own bounds too: what is cut out of a bracket never reaches beyond it
+        out[b.column] |= {bound for bound in (b.lo, b.hi) if bound is not None}
     return {c: sorted(ends) for c, ends in out.items()}
 
 

@@ -131,3 +131,31 @@ def star(spark: SparkSession, sf_dir: str) -> Star:
             Lookup("targets", targets(spark), ("division",)),
         ),
     )
+
+
+def input_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    """The four input tables in their own shape: names on the sales lines too.
+
+    A product is made by its brand's factory; a factory's location is the mean
+    size and price of what it makes.
+    """
+    c = F.col
+    part = table(spark, sf_dir, "part")
+    products = part.select(
+        c("p_type").alias("division"),
+        c("p_name").alias("product_name"),
+        c("p_brand").alias("factory"),
+        c("p_partkey").alias("product_id"),
+        c("p_retailprice").alias("unit_price"),
+        (c("p_retailprice") - c("p_size")).alias("unit_cost"),
+    )
+    factories = part.groupBy(c("p_brand").alias("factory")).agg(
+        F.avg("p_size").alias("latitude"), F.avg("p_retailprice").alias("longitude")
+    )
+    sales = star(spark, sf_dir).select(
+        *LINE_KEYS, "order_date", "ship_date", "ship_mode", "region", "division", "product_name",
+        "sales", "units", "gross_profit", "cost",
+    )
+    return {
+        "sales": sales, "products": products, "factories": factories, "targets": targets(spark),
+    }

@@ -492,6 +492,21 @@ def exact_dedup(spark, sf_dir):
     return _documents(cleaning.drop_exact_copies(docs, "doc_id", _DOC_BUSINESS, wide=True))
 
 
+@register(
+    "delete_copies",
+    f"""
+    SELECT {_DOC_COLUMNS} FROM documents WHERE doc_id IN (
+      SELECT min(doc_id) FROM documents GROUP BY text, lang, source, n_chars)
+    """,
+)
+def delete_copies(spark, sf_dir):
+    """Copies removed from a catalog table, which is then read by its old name."""
+    name = f"documents_{uuid.uuid4().hex}"
+    live = save_table(table(spark, sf_dir, "documents"), name, scratch_path(spark, "documents"))
+    kept = cleaning.drop_exact_copies(live, "doc_id", _DOC_BUSINESS, wide=True)
+    return _documents(replace_table(kept, name, "documents-clean"))
+
+
 @register("consolidate_lines", CONSOLIDATED_SQL)
 def consolidate_lines(spark, sf_dir):
     lines = cleaning.consolidate_lines(sales_lines(spark, sf_dir), sparse=True)

@@ -11,8 +11,9 @@ from martlens.functions.columns import is_year_end, month_short_name, month_star
 from martlens.operators import statistics
 from martlens.operators.filters import dashboard_filter, filter_options
 from martlens.plans import dashboard, reports
+from martlens.plans.star import retail_star
 from martlens.sources.tables import materialize
-from martlens.testbed.bindings import LINE_KEYS, sales_lines, star, table
+from martlens.testbed.bindings import LINE_KEYS, input_tables, sales_lines, star, table
 from martlens.testbed.registry import finish, register
 
 # -- enrichment ---------------------------------------------------------------
@@ -37,6 +38,32 @@ def enrich_star(spark, sf_dir):
     return finish(star(spark, sf_dir).merged(), sales=2, units=2)
 
 
+@register(
+    "merge_tables",
+    """
+    , f AS (SELECT p_brand, avg(p_size) AS latitude, avg(p_retailprice) AS longitude
+            FROM part GROUP BY p_brand)
+    SELECT s.order_id, s.product_id, s.line_no, s.division, s.product_name, s.region,
+           round(s.sales, 2) AS sales, p.p_brand AS factory,
+           round(p.p_retailprice, 4) AS unit_price,
+           round(p.p_retailprice - p.p_size, 4) AS unit_cost, round(f.latitude, 4) AS latitude,
+           round(f.longitude, 4) AS longitude, s.target, s.order_year, s.order_month,
+           s.order_day, s.order_weekday, s.quarter, s.shipping_days
+    FROM star s
+    LEFT JOIN part p ON s.product_id = p.p_partkey AND s.product_name = p.p_name
+                    AND s.division = p.p_type
+    LEFT JOIN f ON p.p_brand = f.p_brand
+    """,
+    star=True,
+)
+def merge_tables(spark, sf_dir):
+    """The four input tables merged: products by three keys, then factory, then target."""
+    tables = input_tables(spark, sf_dir)
+    merged = retail_star(**tables).merged()
+    unused = ("order_date", "ship_date", "ship_mode", "units", "gross_profit", "cost")
+    return finish(merged.drop(*unused), sales=2)
+
+
 @register(
     "month_period",
     """

@@ -39,6 +39,18 @@ def test_equals_sorted_interpolation(spark, name, data, max_rows):
     assert got == pytest.approx(list(np.quantile(data, PROBABILITIES)), rel=1e-12)
 
 
+@pytest.mark.parametrize("max_rows", [3, 40, 300])
+def test_many_ranks_at_once(spark, max_rows):
+    rng = random.Random(max_rows)
+    data = [(rng.gauss(0, 1), round(rng.expovariate(1), 2)) for _ in range(3_000)]
+    df = spark.createDataFrame(data, "x double, y double")
+    probabilities = [i / 40 for i in range(41)] + [0.0003, 0.1234567]
+    got = exact_quantiles(df, ["x", "y"], probabilities, accuracy=20, max_rows=max_rows)
+    for i, c in enumerate("xy"):
+        want = np.quantile([row[i] for row in data], probabilities)
+        assert got[c] == pytest.approx(list(want), rel=1e-12, abs=1e-12)
+
+
 def test_columns_of_different_fill(spark):
     data = [(float(i), None if i % 2 else float(-i), None) for i in range(1_001)]
     df = spark.createDataFrame(data, "a double, b double, c double")

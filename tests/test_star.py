@@ -230,6 +230,16 @@ def test_kpis(star, frame):
     assert head["first_order"] == frame.order_date.min().date()
 
 
+def test_decimal_money_sums_exactly(spark):
+    df = spark.range(1_000).selectExpr(
+        "CAST(0.1 AS DECIMAL(18,2)) AS sales", "CAST(0.05 AS DECIMAL(18,2)) AS gross_profit",
+        "1 AS units", "IF(id % 2 = 0, 'a', 'b') AS region",
+    )
+    got = reports.kpi_dashboard(df).first()
+    assert str(got["revenue"]) == "100.00" and got["margin_pct"] == 50.0
+    assert {str(r["sales"]) for r in reports.region_sales(df).collect()} == {"50.00"}
+
+
 def test_kpis_without_sales(spark):
     df = spark.createDataFrame(
         [(0.0, 0.0, 1)], "sales double, gross_profit double, units int"
