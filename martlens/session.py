@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import lru_cache
 
 from pyspark.sql import SparkSession
 
@@ -37,6 +38,11 @@ def apply_settings(spark: SparkSession) -> SparkSession:
     return spark
 
 
+@lru_cache
+def _local_scratch(application: str) -> str:
+    return tempfile.mkdtemp(prefix=f"martlens-{application}-")
+
+
 def scratch_path(spark: SparkSession, label: str) -> str:
     """A fresh path below the cluster's shared folder.
 
@@ -48,6 +54,5 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     if not base:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-        base = tempfile.mkdtemp(prefix="martlens-")
-        spark.conf.set("spark.checkpoint.dir", base)
+        base = _local_scratch(spark.sparkContext.applicationId)
     return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"

@@ -9,19 +9,19 @@ from martlens.sources import schemas
 def inputs(spark, tmp_path_factory):
     """The four CSV files, with the headings of the input contract."""
     base = tmp_path_factory.mktemp("csv")
-    sales = make_sales(spark, 300).fillna("Atlantic", ["region"])
+    sales = make_sales(spark, 300).fillna("West", ["region"])
     headings = {name: heading for heading, (name, _) in schemas.SALES.items()}
     pdf = sales.toPandas().rename(columns=headings)
     pdf.to_csv(base / "sales.csv", index=False)
     (base / "products.csv").write_text(
         "Division,Product Name,Factory,Product ID,Unit Price,Unit Cost\n"
         + "".join(
-            f"{'Chocolate' if p < 6 else 'Sugar'},Name {p},f{p % 2},p{p},{2 + p}.5,{1 + p}\n"
+            f"{'Snacks' if p < 6 else 'Drinks'},Name {p},f{p % 2},p{p},{2 + p}.5,{1 + p}\n"
             for p in range(1, 10)
         )
     )
     (base / "factories.csv").write_text("Factory,Latitude,Longitude\nf0,1,2\nf1,3,4\n")
-    (base / "targets.csv").write_text("Division,Target\nChocolate,5000\nSugar,3000\n")
+    (base / "targets.csv").write_text("Division,Target\nSnacks,5000\nDrinks,3000\n")
     flags = [x for n in cli.INPUTS for x in (f"--{n}", str(base / f"{n}.csv"))]
     return flags, pdf
 
@@ -40,8 +40,8 @@ def test_audit(spark, inputs, tmp_path):
 
 def test_dashboard(spark, inputs, tmp_path):
     flags, pdf = inputs
-    cli.main(["dashboard", *flags, "--region", "Gulf", "--out", str(tmp_path)], spark)
-    want = pdf.loc[pdf.Region == "Gulf", "Sales"].sum()
+    cli.main(["dashboard", *flags, "--region", "North", "--out", str(tmp_path)], spark)
+    want = pdf.loc[pdf.Region == "North", "Sales"].sum()
     assert result(spark, tmp_path, "kpis").first()["revenue"] == want
     assert result(spark, tmp_path, "correlations").count() == 49
 
@@ -63,7 +63,7 @@ def test_train_and_score(spark, inputs, tmp_path):
     scenarios = tmp_path / "scenarios.csv"
     scenarios.write_text(
         "Division,Region,Ship Mode,Units,Unit Price,Unit Cost,Shipping Days,Order Month,Quarter\n"
-        "Sugar,Gulf,Sea,10,4,3,4,5,2\n"
+        "Drinks,North,Sea,10,4,3,4,5,2\n"
     )
     cli.main(
         ["score", "--model", model, "--scenarios", str(scenarios), "--out", str(tmp_path / "s")],

@@ -1,4 +1,5 @@
 import datetime as dt
+import os
 
 import pytest
 
@@ -9,7 +10,7 @@ from martlens.sources.readers import conform, read_csv, read_csv_text, read_parq
 SALES_HEAD = ",".join(schemas.SALES)
 SALES_LINE = (
     '{id},US-1,2024-01-03,2024-01-05,Standard,C-1,"United States","New ""York""",NY,00501,'
-    "Chocolate,Atlantic,P-1,\"Bar, dark\",{sales},{units},1.5,2.0"
+    "Snacks,West,P-1,\"Bar, dark\",{sales},{units},1.5,2.0"
 )
 
 
@@ -49,24 +50,24 @@ def test_csv_count_written_as_decimal(spark, tmp_path):
 
 
 def test_csv_columns_matched_by_name(spark, tmp_path):
-    path = write(tmp_path, "t.csv", "Note,Target,Division", "x,12.5,Sugar")
+    path = write(tmp_path, "t.csv", "Note,Target,Division", "x,12.5,Drinks")
     row = read_csv(spark, path, schemas.TARGETS_TABLE).first()
-    assert (row["division"], row["target"], row["Note"]) == ("Sugar", 12.5, "x")
+    assert (row["division"], row["target"], row["Note"]) == ("Drinks", 12.5, "x")
 
 
 def test_csv_line_break_in_quotes(spark, tmp_path):
-    path = write(tmp_path, "t.csv", "Division,Target", '"Su\ngar",1')
-    assert read_csv_text(spark, path, multiline=True).first()["Division"] == "Su\ngar"
+    path = write(tmp_path, "t.csv", "Division,Target", '"Sna\ncks",1')
+    assert read_csv_text(spark, path, multiline=True).first()["Division"] == "Sna\ncks"
 
 
 def test_missing_column_is_refused(spark, tmp_path):
-    path = write(tmp_path, "t.csv", "Division,Goal", "Sugar,1")
+    path = write(tmp_path, "t.csv", "Division,Goal", "Drinks,1")
     with pytest.raises(ValueError, match="Target"):
         read_csv(spark, path, schemas.TARGETS_TABLE)
 
 
 def test_parquet_and_table_with_our_names(spark, tmp_path):
-    df = spark.createDataFrame([("Sugar", 3)], "division string, target int")
+    df = spark.createDataFrame([("Drinks", 3)], "division string, target int")
     path = scratch_path(spark, "t")
     df.write.parquet(path)
     assert read_parquet(spark, path, schemas.TARGETS_TABLE).first()["target"] == 3.0
@@ -97,16 +98,27 @@ def test_materialize(spark):
     assert tables.materialize(spark.range(100), "x", 4).count() == 100
 
 
-def test_scratch_needs_a_shared_folder_on_a_cluster(spark, monkeypatch):
-    class Context:
-        master = "yarn"
+class FakeSession:
+    """A session whose cluster names no shared folder."""
 
-    class Conf:
-        def get(self, key, default=None):
+    class conf:
+        @staticmethod
+        def get(key, default=None):
             return default
 
-    class Session:
-        sparkContext, conf = Context(), Conf()
+    def __init__(self, master):
+        self.sparkContext = type("Context", (), {"master": master, "applicationId": "app-1"})
 
+
+def test_scratch_needs_a_shared_folder_on_a_cluster():
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
-        scratch_path(Session(), "x")
+        scratch_path(FakeSession("yarn"), "x")
+
+
+def test_scratch_of_a_local_master():
+    one, two = (scratch_path(FakeSession("local[2]"), "x") for _ in range(2))
+    assert one != two and os.path.dirname(one) == os.path.dirname(two)
+
+
+def test_scratch_is_below_the_named_folder(spark):
+    assert scratch_path(spark, "x").startswith(spark.conf.get("spark.checkpoint.dir"))

@@ -9,7 +9,7 @@ from martlens.plans.audit import audit, clean_sales
 from martlens.plans.dashboard import build_rollup, correlations, dashboard
 from martlens.plans.star import Lookup, Star, left_join, merge_growth, retail_star
 
-REGIONS, DIVISIONS = ["Gulf", "Pacific", None], ["Chocolate", "Sugar", "Other", None]
+REGIONS, DIVISIONS = ["North", "South", None], ["Snacks", "Drinks", "Other", None]
 
 
 def make_sales(spark, n=400, seed=4):
@@ -23,7 +23,7 @@ def make_sales(spark, n=400, seed=4):
             (
                 i, f"o{i // 3}", ordered, ordered + dt.timedelta(days=rng.randint(1, 9)),
                 rng.choice(["Air", "Sea"]), f"c{i % 5}", "US", "City", "ST", "00501",
-                "Chocolate" if p < 6 else "Sugar", rng.choice(REGIONS), f"p{p}", f"Name {p}",
+                "Snacks" if p < 6 else "Drinks", rng.choice(REGIONS), f"p{p}", f"Name {p}",
                 sales, rng.randint(1, 5), None if sales is None else sales * 0.25,
                 None if sales is None else sales * 0.75,
             )
@@ -41,14 +41,14 @@ def make_sales(spark, n=400, seed=4):
 def star(spark):
     products = spark.createDataFrame(
         [
-            (f"p{p}", f"Name {p}", "Chocolate" if p < 6 else "Sugar", f"f{p % 2}", 2.0 + p, 1.0 + p)
+            (f"p{p}", f"Name {p}", "Snacks" if p < 6 else "Drinks", f"f{p % 2}", 2.0 + p, 1.0 + p)
             for p in range(1, 9)  # p9 is missing
         ],
         "product_id string, product_name string, division string, factory string, "
         "unit_price double, unit_cost double",
     )
     factories = spark.createDataFrame([("f0", 1.0, 2.0)], "factory string, latitude double, longitude double")
-    targets = spark.createDataFrame([("Chocolate", 5_000.0)], "division string, target double")
+    targets = spark.createDataFrame([("Snacks", 5_000.0)], "division string, target double")
     return retail_star(make_sales(spark), products, factories, targets)
 
 
@@ -61,7 +61,7 @@ def test_chain_keeps_the_fact(star, frame):
     assert len(frame) == 400 == star.merged().count()
     assert [r["n_rows"] for r in merge_growth(star).orderBy("step").collect()] == [400] * 4
     assert frame.loc[frame.product_id == "p9", "unit_price"].isna().all()
-    assert frame.loc[frame.division == "Sugar", "target"].isna().all()
+    assert frame.loc[frame.division == "Drinks", "target"].isna().all()
     star.check_keys()
 
 
@@ -205,9 +205,9 @@ def test_top_products_break_ties_by_name(spark):
 
 def test_target_achievement(star, frame):
     got = {r["division"]: r for r in reports.target_achievement(star.merged()).collect()}
-    total = frame.loc[frame.division == "Chocolate", "sales"].sum()
-    assert got["Chocolate"]["achievement_pct"] == pytest.approx(round(total / 5_000 * 100, 1))
-    assert got["Sugar"]["target"] is None and got["Sugar"]["achievement_pct"] is None
+    total = frame.loc[frame.division == "Snacks", "sales"].sum()
+    assert got["Snacks"]["achievement_pct"] == pytest.approx(round(total / 5_000 * 100, 1))
+    assert got["Drinks"]["target"] is None and got["Drinks"]["achievement_pct"] is None
 
 
 def test_quarter_ranks(star):
@@ -248,9 +248,9 @@ def test_kpis_without_sales(spark):
 
 
 def test_filter(star, frame):
-    chosen = dashboard_filter(star.fact, [2022, 2023], "Gulf", "Sugar", "order_date")
+    chosen = dashboard_filter(star.fact, [2022, 2023], "North", "Drinks", "order_date")
     want = frame[
-        frame.order_year.isin([2022, 2023]) & (frame.region == "Gulf") & (frame.division == "Sugar")
+        frame.order_year.isin([2022, 2023]) & (frame.region == "North") & (frame.division == "Drinks")
     ]
     assert sorted(r["row_id"] for r in chosen.collect()) == sorted(want.row_id)
     assert dashboard_filter(star.fact).count() == 400
@@ -260,20 +260,20 @@ def test_filter(star, frame):
 def test_filter_options(star, frame):
     got = [tuple(r) for r in filter_options(star.fact, ["region", "order_year"]).collect()]
     assert got == [("order_year", str(y)) for y in (2021, 2022, 2023, 2024)] + [
-        ("region", "Gulf"), ("region", "Pacific"),
+        ("region", "North"), ("region", "South"),
     ]
 
 
 def test_dashboard_from_rollup(star, frame):
     rollup = build_rollup(star).cache()
-    page = dashboard(rollup, [2022], "Gulf")
-    want = frame[(frame.order_year == 2022) & (frame.region == "Gulf")]
+    page = dashboard(rollup, [2022], "North")
+    want = frame[(frame.order_year == 2022) & (frame.region == "North")]
     assert page["kpis"].first()["revenue"] == want.sales.sum()
     got = {r["product_name"]: r["sales"] for r in page["top_products"].collect()}
     assert got == want.groupby("product_name")["sales"].sum().to_dict()
     assert dashboard(rollup, [1900]) == {}
     assert len(page) == 12 and all(df.count() for df in page.values())
-    matrix = {(r["a"], r["b"]): r["r"] for r in correlations(star, [2022], "Gulf").collect()}
+    matrix = {(r["a"], r["b"]): r["r"] for r in correlations(star, [2022], "North").collect()}
     assert matrix["sales", "units"] == pytest.approx(want.sales.corr(want.units))
 
 
