@@ -1,4 +1,4 @@
-"""Batch jobs for spark-submit: audit, dashboard, train, score.
+"""Batch jobs for spark-submit: merge, audit, dashboard, train, score.
 
     spark-submit martlens/cli.py audit --sales s.csv --products p.csv \
         --factories f.csv --targets t.csv --out reports/
@@ -28,6 +28,7 @@ from martlens.models.training import (  # noqa: E402
     save,
     train,
 )
+from martlens.operators import profiling  # noqa: E402
 from martlens.operators.filters import ALL  # noqa: E402
 from martlens.operators.statistics import (  # noqa: E402
     box_stats,
@@ -91,6 +92,19 @@ def write(results: dict[str, DataFrame], out: str) -> None:
         df.write.mode("overwrite").parquet(f"{out.rstrip('/')}/{name}")
 
 
+def run_merge(spark: SparkSession, args: argparse.Namespace) -> None:
+    """The merged table, one folder per order year, with its preview and schema."""
+    path = f"{args.out.rstrip('/')}/merged"
+    merged = load_star(spark, args).merged()
+    merged.write.mode("overwrite").partitionBy("order_year").parquet(path)
+    saved = spark.read.parquet(path)
+    first = [c for c in ("row_id", "order_id", "product_id") if c in saved.columns]
+    write(
+        {"preview": profiling.preview(saved, first, 50), "schema": profiling.schema_profile(saved)},
+        args.out,
+    )
+
+
 def run_audit(spark: SparkSession, args: argparse.Namespace) -> None:
     star = load_star(spark, args)
     write({**audit.audit(star), "merge_growth": merge_growth(star)}, args.out)
@@ -162,6 +176,7 @@ def parser() -> argparse.ArgumentParser:
             p.add_argument("--clean", action="store_true", help="drop copies, merge lines first")
         return p
 
+    job("merge", run_merge)
     job("audit", run_audit)
     p = job("dashboard", run_dashboard)
     p.add_argument("--years", type=int, nargs="*")

@@ -54,11 +54,8 @@ def _inside(values: DataFrame, brackets: Sequence[Bracket]) -> DataFrame:
     entries: dict[str, Column] = {}
     for i, b in enumerate(brackets):
         entry = F.struct(F.lit(i).alias("bracket"), col(b.column).alias("v"))
-        so_far = entries.get(b.column)
-        entries[b.column] = (
-            so_far.when(b.condition(), entry) if so_far is not None
-            else F.when(b.condition(), entry)
-        )
+        branch = entries[b.column].when if b.column in entries else F.when
+        entries[b.column] = branch(b.condition(), entry)
     long = values.select(F.explode(F.array(*entries.values())).alias("entry"))
     return long.filter("entry IS NOT NULL").select("entry.bracket", "entry.v")
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 
 from pyspark.sql import DataFrame
@@ -12,7 +13,8 @@ from martlens.operators import statistics
 from martlens.operators.filters import dashboard_filter, filter_options
 from martlens.plans import dashboard, reports
 from martlens.plans.star import retail_star
-from martlens.sources.tables import materialize
+from martlens.session import scratch_path
+from martlens.sources.tables import materialize, save_table
 from martlens.testbed.bindings import LINE_KEYS, input_tables, sales_lines, star, table
 from martlens.testbed.registry import finish, register
 
@@ -113,6 +115,23 @@ def filter_dashboard(spark, sf_dir):
     return finish(dashboard_filter(lines, [1996, 1997], "ASIA", "PROMO", "order_date"), sales=2)
 
 
+@register(
+    "filter_saved",
+    """
+    SELECT order_id, product_id, line_no, strftime(order_date, '%Y-%m-%d') AS order_date,
+           order_year, region, division, round(sales, 2) AS sales
+    FROM star WHERE order_year IN (1996, 1997) AND region = 'ASIA'
+    """,
+    star=True,
+)
+def filter_saved(spark, sf_dir):
+    """The merged lines saved by order year: a choice of years reads their folders only."""
+    name = f"merged_{uuid.uuid4().hex}"
+    lines = star(spark, sf_dir).select(*_FILTERED)
+    saved = save_table(lines, name, scratch_path(spark, "merged"), ["order_year"])
+    return finish(dashboard_filter(saved, [1996, 1997], "ASIA"), sales=2)
+
+
 @register(
     "filter_options",
     """

@@ -30,6 +30,18 @@ def result(spark, out, name):
     return spark.read.parquet(f"{out}/{name}")
 
 
+def test_merge(spark, inputs, tmp_path):
+    flags, pdf = inputs
+    cli.main(["merge", *flags, "--out", str(tmp_path)], spark)
+    merged = result(spark, tmp_path, "merged")
+    assert merged.count() == 300 and {"target", "latitude", "quarter"} <= set(merged.columns)
+    assert result(spark, tmp_path, "preview").count() == 50
+    assert result(spark, tmp_path, "schema").count() == len(merged.columns)
+    one_year = merged.filter("order_year = 2022").select("sales")
+    plan = one_year._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(order_year" in plan
+
+
 def test_audit(spark, inputs, tmp_path):
     flags, pdf = inputs
     cli.main(["audit", *flags, "--out", str(tmp_path)], spark)

@@ -192,7 +192,10 @@ def test_scenarios(spark, lines):
         "unit_price double, unit_cost double, shipping_days int, order_month int, quarter int"
     )
     orders = spark.createDataFrame(
-        [("a", "A", "E", "air", 5, 3.5, 1.0, 3, 2, 1), ("b", "B", "W", "sea", 500, 3.0, 1.0, 3, 2, 1)],
+        [
+            ("a", "A", "E", "air", 5, 3.5, 1.0, 3, 2, 1),
+            ("b", "B", "W", "sea", 500, 3.0, 1.0, 3, 2, 1),
+        ],
         columns,
     )
     got = {r["name"]: r for r in score_scenarios(fitted.model, orders, config.features).collect()}

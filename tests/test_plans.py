@@ -87,7 +87,9 @@ def test_hot_key_is_split_in_a_shuffle_join(spark):
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
-@pytest.mark.parametrize("by", [("order_year",), ("division", "target"), ("order_year", "division")])
+@pytest.mark.parametrize(
+    "by", [("order_year",), ("division", "target"), ("order_year", "division")]
+)
 def test_rollup_holds_on_a_shuffle_join(spark, rows, by):
     small = rows(star(spark, SF).rollup(by, ["units"]))
     before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")

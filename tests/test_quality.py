@@ -125,7 +125,13 @@ def test_exact_copies_carry_other_columns(spark, rows, wide):
 def test_consolidation_keeps_totals(spark, sparse):
     rng = random.Random(5)
     data = [
-        (i, rng.choice("abc"), rng.choice("xyz") + str(i % 9 or i), float(rng.randint(1, 99)), rng.randint(1, 5))
+        (
+            i,
+            rng.choice("abc"),
+            rng.choice("xyz") + str(i % 9 or i),
+            float(rng.randint(1, 99)),
+            rng.randint(1, 5),
+        )
         for i in range(200)
     ]
     df = spark.createDataFrame(

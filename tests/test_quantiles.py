@@ -31,7 +31,9 @@ def shapes():
     yield "one row", [1.0]
 
 
-@pytest.mark.parametrize(("name", "data"), list(shapes()), ids=lambda x: x if isinstance(x, str) else "")
+@pytest.mark.parametrize(
+    ("name", "data"), list(shapes()), ids=lambda x: x if isinstance(x, str) else ""
+)
 @pytest.mark.parametrize("max_rows", [3, 100, 50_000])
 def test_equals_sorted_interpolation(spark, name, data, max_rows):
     df = spark.createDataFrame([(x,) for x in data], "x double")

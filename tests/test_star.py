@@ -47,7 +47,9 @@ def star(spark):
         "product_id string, product_name string, division string, factory string, "
         "unit_price double, unit_cost double",
     )
-    factories = spark.createDataFrame([("f0", 1.0, 2.0)], "factory string, latitude double, longitude double")
+    factories = spark.createDataFrame(
+        [("f0", 1.0, 2.0)], "factory string, latitude double, longitude double"
+    )
     targets = spark.createDataFrame([("Snacks", 5_000.0)], "division string, target double")
     return retail_star(make_sales(spark), products, factories, targets)
 
