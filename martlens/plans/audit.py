@@ -28,8 +28,12 @@ def audit(star: Star) -> dict[str, DataFrame]:
         "shapes": profiling.table_shape(tables),
         "duplicate_orders": profiling.duplicate_keys(sales, "order_id"),
         "distinct_orders": profiling.distinct_count(sales, "order_id"),
+        "copied_rows": profiling.duplicate_row_count(sales.drop("row_id")),
+        "copied_products": profiling.duplicate_row_count(lookups["products"]),
         "missing_values": profiling.null_counts(sales),
+        "missing_in_products": profiling.null_counts(lookups["products"]),
         "schema": profiling.schema_profile(sales),
+        **{f"schema_{n}": profiling.schema_profile(df) for n, df in lookups.items()},
         "orphan_products": integrity.orphan_keys(sales, lookups["products"], "product_id"),
         "orphan_factories": integrity.orphan_keys(
             lookups["products"], lookups["factories"], "factory"
@@ -41,9 +45,14 @@ def audit(star: Star) -> dict[str, DataFrame]:
         "late_shipments": integrity.late_shipments(sales).orderBy(
             F.desc("years_to_ship"), "order_id"
         ),
-        "broken_totals": integrity.rule_violations(sales),
+        "broken_totals": integrity.rule_violations(sales).orderBy(F.desc("expected")),
         "value_frequency": profiling.value_frequency(sales, categorical),
-        "name_variants": profiling.name_variants(sales, "product_id", "product_name"),
+        "name_variants": profiling.name_variants(sales, "product_id", "product_name").orderBy(
+            "product_name", "product_id"
+        ),
+        "products_with_several_names": profiling.keys_with_several_names(
+            sales, "product_id", "product_name"
+        ),
         "numeric_summary": profiling.numeric_summary(sales, SALES_MEASURES),
     }
     if "row_id" in sales.columns:
