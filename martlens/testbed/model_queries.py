@@ -90,7 +90,8 @@ _IN_TEST = f"{_bucket_sql(10_000)} < 2000"
 )
 def impute_mean(spark, sf_dir):
     """Missing targets filled with the mean of the training side."""
-    lines = star(spark, sf_dir).select(*LINE_KEYS, "target")
+    # read by the fit and by the transform: join once
+    lines = materialize(star(spark, sf_dir).select(*LINE_KEYS, "target"), "targets")
     fit_on, _ = features.hash_split(lines, LINE_KEYS)
     return finish(features.impute_mean(fit_on, ["target"], lines))
 
@@ -399,6 +400,39 @@ def forest_importance(spark, sf_dir):
     return _train(spark, sf_dir, _lines(spark, sf_dir, config.features), config).importances()
 
 
+@register(
+    "forest_bounds",
+    f"""
+    SELECT CASE WHEN {_IN_TEST} THEN 'test' ELSE 'train' END AS side, count(*) AS n,
+           count(*) AS n_inside, 'true' AS good_fit, 1.0::DOUBLE AS importance
+    FROM star GROUP BY side
+    """,
+    star=True,
+)
+def forest_bounds(spark, sf_dir):
+    """What holds for any fitted forest: a prediction is a mean of training labels.
+
+    Every row of both sides is scored, none outside the range of the labels;
+    importances sum to 1; R2 is above 0.9 on both sides.
+    """
+    config = ModelConfig("forest", trees=20)
+    fitted = _train(spark, sf_dir, _lines(spark, sf_dir, config.features), config)
+    low, high = fitted.train.agg(F.min("sales"), F.max("sales")).first()
+    total = fitted.importances().agg(F.sum("importance")).first()[0]
+    scored = fitted.predict(fitted.rows)
+    inside = scored.groupBy("side").agg(
+        F.count_if(F.col("prediction").between(low, high)).alias("n_inside")
+    )
+    return finish(
+        fitted.metrics()
+        .join(inside, "side")
+        .select(
+            "side", "n", "n_inside", (F.col("r2") > 0.9).cast("string").alias("good_fit"),
+            F.lit(total).alias("importance"),
+        )
+    )
+
+
 # -- scoring ------------------------------------------------------------------
 
 _SCENARIO_KEYS = ("division", "region", "ship_mode", "order_month", "quarter")
