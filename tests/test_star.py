@@ -101,6 +101,8 @@ def test_chain_is_joined_among_the_lookups(spark):
     assert [x.name for x in chained._folded(chained.lookups)] == ["orders"]
     rolled = {r["name"]: r["n_rows"] for r in chained.rollup(["name"], []).collect()}
     assert rolled == {"Narnia": 1, None: 4}
+    matched = chained.rollup(["name"], [], nulls_match=True).collect()
+    assert {r["name"]: r["n_rows"] for r in matched} == {"Narnia": 1, "Nowhere": 4}
 
 
 def test_repeated_lookup_key(spark, star):
