@@ -95,8 +95,8 @@ def _locate(
     names, stride = list(boundaries), 2 * max(map(len, boundaries.values())) + 1
     slots = []
     for i, (c, ends) in enumerate(boundaries.items()):
-        # slot 2k: between boundary k and k+1; 2k-1: on boundary k; one number
-        # for column and slot keeps the grouping key a plain integer
+        # slot 2k: just below boundary k; 2k+1: on it; one number for column and
+        # slot keeps the grouping key a plain integer
         slot = F.when(col(c).isNull(), F.lit(None))
         for k, end in enumerate(ends):
             slot = slot.when(col(c) < F.lit(end), i * stride + 2 * k)

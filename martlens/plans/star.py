@@ -128,9 +128,9 @@ class Star:
     ) -> DataFrame:
         """Sums, ``n_rows`` and non-null counts ``n_<measure>`` per ``by``.
 
-        When the lookups all hang off one fact key, the fact is summed per key
-        before it is joined: a key that owns a third of the fact collapses
-        inside the map tasks and reaches the join as one row.
+        When one lookup's key in the fact covers all joins, the fact is summed
+        per key before it is joined: a key that owns a third of the fact
+        collapses inside the map tasks and reaches the join as one row.
         """
         lookups = self._needed(by)
         if not nulls_match:
@@ -138,7 +138,7 @@ class Star:
         fact_by = [c for c in by if c in self.fact.columns]
         roots = sorted({k for x in lookups for k in x.keys if k in self.fact.columns})
         measures = _measures(sums)
-        if len(roots) == 1:
+        if any(set(roots) <= set(x.keys) for x in lookups):
             per_key = self.fact.groupBy(*[col(c) for c in dict.fromkeys([*roots, *fact_by])]).agg(
                 *[expr.alias(name) for name, expr in measures.items()]
             )

@@ -6,7 +6,8 @@ from conftest import SF
 from martlens.operators import integrity, statistics
 from martlens.operators.filters import dashboard_filter
 from martlens.plans import reports
-from martlens.testbed.bindings import sales_lines, star, table
+from martlens.plans.star import retail_star
+from martlens.testbed.bindings import input_tables, sales_lines, star, table
 from martlens.testbed.catalog import QUERIES
 
 
@@ -60,6 +61,12 @@ def test_rollup_sums_before_the_join(spark):
     assert plan.count("keys=[order_id") == 2
 
 
+def test_rollup_sums_before_a_join_on_several_keys(spark):
+    merged = retail_star(**input_tables(spark, SF))
+    plan = physical(merged.rollup(["unit_price", "target"], ["sales"]))
+    assert "partial_sum" in plan[plan.index("Join") :]
+
+
 def test_hot_key_is_split_in_a_shuffle_join(spark):
     """A third of the fact on one key: the join splits that partition."""
     settings = {
