@@ -309,12 +309,12 @@ _DESCRIBED = (
 @register(
     "describe_numeric",
     " UNION ALL ".join(
-        f"SELECT '{c}' AS column_name, count({c}) AS n, round(avg({c}), 4) AS mean, "
-        f"round(stddev_samp({c}), 4) AS std, round(CAST(min({c}) AS DOUBLE), 4) AS min, "
-        f"round(CAST(quantile_cont({c}, 0.25) AS DOUBLE), 4) AS p25, "
-        f"round(CAST(quantile_cont({c}, 0.5) AS DOUBLE), 4) AS p50, "
-        f"round(CAST(quantile_cont({c}, 0.75) AS DOUBLE), 4) AS p75, "
-        f"round(CAST(max({c}) AS DOUBLE), 4) AS max FROM star"
+        f"SELECT '{c}' AS column_name, count({c}) AS n, round(avg({c}), 6) AS mean, "
+        f"round(stddev_samp({c}), 6) AS std, round(CAST(min({c}) AS DOUBLE), 6) AS min, "
+        f"round(CAST(quantile_cont({c}, 0.25) AS DOUBLE), 6) AS p25, "
+        f"round(CAST(quantile_cont({c}, 0.5) AS DOUBLE), 6) AS p50, "
+        f"round(CAST(quantile_cont({c}, 0.75) AS DOUBLE), 6) AS p75, "
+        f"round(CAST(max({c}) AS DOUBLE), 6) AS max FROM star"
         for c in _DESCRIBED
     ),
     star=True,
@@ -322,7 +322,8 @@ _DESCRIBED = (
 def describe_numeric(spark, sf_dir):
     # the summary scans its input several times: join once, then scan the result
     lines = materialize(star(spark, sf_dir).select(*_DESCRIBED), "described")
-    return finish(profiling.describe_numeric(lines))
+    stats = ("mean", "std", "min", "p25", "p50", "p75", "max")
+    return finish(profiling.describe_numeric(lines), **dict.fromkeys(stats, 6))
 
 
 # -- integrity ----------------------------------------------------------------

@@ -506,18 +506,19 @@ def iqr_outliers(spark, sf_dir):
 @register(
     "box_stats",
     _EVENT_FENCES
-    + """SELECT round(q1, 4) AS q1, round(q2, 4) AS median, round(q3, 4) AS q3,
-           round(lo, 4) AS lower, round(hi, 4) AS upper,
-           (SELECT round(min(value), 4) FROM events WHERE value >= lo AND value <= hi)
+    + """SELECT round(q1, 6) AS q1, round(q2, 6) AS median, round(q3, 6) AS q3,
+           round(lo, 6) AS lower, round(hi, 6) AS upper,
+           (SELECT round(min(value), 6) FROM events WHERE value >= lo AND value <= hi)
              AS whisker_low,
-           (SELECT round(max(value), 4) FROM events WHERE value >= lo AND value <= hi)
+           (SELECT round(max(value), 6) FROM events WHERE value >= lo AND value <= hi)
              AS whisker_high,
            (SELECT count(*) FROM events WHERE value < lo OR value > hi) AS n_outliers,
            (SELECT count(value) FROM events) AS n_rows
     FROM f""",
 )
 def box_stats(spark, sf_dir):
-    return finish(statistics.box_stats(table(spark, sf_dir, "events"), "value"))
+    box = statistics.box_stats(table(spark, sf_dir, "events"), "value")
+    return finish(box, **dict.fromkeys(box.columns, 6))
 
 
 @register(
