@@ -28,6 +28,8 @@ def ready(spark: SparkSession) -> SparkSession:
                     package.write(full, os.path.join("martlens", os.path.relpath(full, root)))
         context.addPyFile(path)
         _shipped.add(context.applicationId)
+    # whole texts can be long: a thousand of them make a batch
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
     return apply_settings(spark)
 
 
@@ -47,3 +49,16 @@ def documents(docs: DataFrame) -> DataFrame:
 def parts(spark: SparkSession, rows: int, rows_each: int) -> int:
     """How many partitions hold ``rows`` at ``rows_each``; at least the session's number."""
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // rows_each), 1)
+
+
+def numbered(df: DataFrame, replaced: tuple[str, ...] = ()) -> tuple[DataFrame, list[str]]:
+    """The columns of ``df`` but ``replaced`` under the names c0, c1, ..., and their own names.
+
+    No column of the caller can then clash with a working column.
+    """
+    kept = [i for i, c in enumerate(df.columns) if c not in replaced]
+    plain = df.toDF(*[f"c{i}" for i in range(len(df.columns))])
+    names = [df.columns[i] for i in kept]
+    return plain.select(*[F.col(f"c{i}") for i in kept]).toDF(
+        *[f"c{k}" for k in range(len(kept))]
+    ), names

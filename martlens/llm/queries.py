@@ -8,7 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 from martlens.llm.bpe import encode_decode
 from martlens.llm.inputs import read, ready
+from martlens.llm.linededup import drop_common_lines
 from martlens.llm.packing import pack
+from martlens.llm.simhash import near_duplicates
+from martlens.llm.suffixdedup import remove_repeats
 from martlens.llm.tokencounts import count_tokens
 from martlens.session import scratch_path
 
@@ -53,3 +56,46 @@ def bpe_round_trip(spark, sf_dir):
     return encode_decode(
         read(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"), digests_only=True
     )
+
+
+@register("op1_suffix_array_dedup")
+def suffix_array_dedup(spark, sf_dir):
+    return remove_repeats(read(spark, sf_dir, "documents"), 100, texts=False)
+
+
+@register("op3_simhash_near_dedup")
+def simhash_near_dedup(spark, sf_dir):
+    return near_duplicates(read(spark, sf_dir, "documents"), shingle=3, distance=2)
+
+
+LINES_SQL = """
+WITH lines AS (
+  SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
+         generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS pos
+  FROM documents
+), keyed AS (
+  SELECT doc_id, pos, line,
+         translate(trim(line, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
+                   'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS line_key
+  FROM lines
+), common AS (
+  SELECT line_key FROM keyed WHERE length(line_key) >= 1
+  GROUP BY line_key HAVING count(DISTINCT doc_id) >= 10
+), marked AS (
+  SELECT k.*, c.line_key IS NOT NULL AS gone
+  FROM keyed k LEFT JOIN common c ON k.line_key = c.line_key
+)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), ''))
+         AS kept_sha256
+FROM marked GROUP BY doc_id
+"""
+
+
+@register("op7_line_dedup", LINES_SQL)
+def line_dedup(spark, sf_dir):
+    """Lines that ten documents share go; documents are known by ``doc_id``."""
+    cleaned = drop_common_lines(
+        read(spark, sf_dir, "documents").select("doc_id", "text"), least_docs=10, least_chars=1
+    )
+    return cleaned.select("doc_id", "n_lines", "n_dropped", "kept_sha256")
