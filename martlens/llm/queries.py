@@ -5,14 +5,19 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from martlens.llm.bpe import encode_decode
+from martlens.llm.htmltext import extract
 from martlens.llm.inputs import read, ready
 from martlens.llm.linededup import drop_common_lines
+from martlens.llm.neighbours import nearest
 from martlens.llm.packing import pack
 from martlens.llm.simhash import near_duplicates
 from martlens.llm.suffixdedup import remove_repeats
 from martlens.llm.tokencounts import count_tokens
+from martlens.llm.topk import top_k, whole_steps
+from martlens.llm.vectors import named_vectors
 from martlens.session import scratch_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -99,3 +104,41 @@ def line_dedup(spark, sf_dir):
         read(spark, sf_dir, "documents").select("doc_id", "text"), least_docs=10, least_chars=1
     )
     return cleaned.select("doc_id", "n_lines", "n_dropped", "kept_sha256")
+
+
+TOP_SQL = """
+WITH flat AS (
+  SELECT vec_id, generate_subscripts(embedding, 1) AS pos, unnest(embedding) AS x
+  FROM embeddings WHERE vec_id IS NOT NULL
+), good AS (
+  SELECT vec_id FROM flat GROUP BY vec_id HAVING bool_and(coalesce(isfinite(x), false))
+), vectors AS (
+  SELECT vec_id, [floor(64 * x::DOUBLE) FOR x IN embedding] AS v
+  FROM embeddings WHERE vec_id IN (SELECT vec_id FROM good)
+), scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id,
+         CAST(list_inner_product(q.v, c.v) AS BIGINT) AS score
+  FROM vectors q JOIN vectors c ON q.vec_id % 20 = 0 AND q.vec_id <> c.vec_id
+)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank
+  FROM scored
+) WHERE rank <= 20
+"""
+
+
+@register("op4_exact_top_k", TOP_SQL)
+def exact_top_k(spark, sf_dir):
+    rows = whole_steps(read(spark, sf_dir, "embeddings"))
+    return top_k(rows, rows.filter(F.col("vec_id") % 20 == 0), k=20)
+
+
+@register("op5_nearest_neighbours")
+def nearest_neighbours(spark, sf_dir):
+    rows = named_vectors(read(spark, sf_dir, "embeddings"))
+    return nearest(rows, rows.filter(F.col("vec_id") % 20 == 0), k=20)
+
+
+@register("op6_html_main_text")
+def html_main_text(spark, sf_dir):
+    return extract(read(spark, sf_dir, "pages"))
