@@ -1,21 +1,78 @@
-"""Documents to packed training sequences: filter, clean, deduplicate, pack."""
+"""Documents to packed training sequences: filter, clean, deduplicate, pack.
+
+Each stage takes what its predecessor kept, works on all of it, and keeps the columns of
+documents; the last returns pieces.  A text that loses everything stays as an empty row.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from martlens.llm.inputs import read, ready
+from pyspark.sql import functions as F
+
+from martlens.llm.inputs import numbered, read, ready, whole_text
+from martlens.llm.linededup import drop_common_lines
 from martlens.llm.packing import pack
+from martlens.llm.quality import score_quality
 from martlens.llm.queries import tokenizer_file
+from martlens.llm.simhash import near_duplicates
+from martlens.llm.suffixdedup import NO_ID, remove_repeats
 from martlens.sources.tables import materialize
 
 
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier accepts."""
+    ready(spark)
+    scored = score_quality(docs, read(spark, sf_dir, "labels"))
+    return scored.filter(F.col("predicted") == 1).select(*docs.columns)
+
+
+def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the lines that ten of them share; none is dropped as a whole."""
+    ready(spark)
+    return drop_common_lines(docs, least_docs=10, least_chars=1).select(*docs.columns)
+
+
+def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates, the one of the smallest id.
+
+    Rows without an id come after all others; of rows of one id the smallest hash of the
+    text decides, and of rows equal in both one stays.
+    """
+    ready(spark)
+    plain, names = numbered(docs)
+    own = F.coalesce(F.col(f"c{names.index('doc_id')}").cast("bigint"), F.lit(NO_ID))
+    rows = plain.withColumns(
+        {"key": own, "text_hash": F.xxhash64(whole_text(f"c{names.index('text')}"))}
+    )
+    key = F.coalesce(F.col("doc_id"), F.lit(NO_ID)).alias("key")
+    found = near_duplicates(docs, shingle=3, distance=2).select("component", key, "text_hash")
+    kept = found.groupBy("component").agg(F.min(F.struct("key", "text_hash")).alias("kept"))
+    kept = kept.select("kept.key", "kept.text_hash").distinct()
+    same = ["key", "text_hash"]
+    left = rows.join(kept, same, "left_semi").dropDuplicates(same)
+    return left.drop(*same).toDF(*names)
+
+
+def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the passages of 100 bytes that an earlier place has."""
+    ready(spark)
+    return remove_repeats(docs, 100).select(*docs.columns)
+
+
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pack what is left into training sequences; a row per piece."""
+    """What is left as training sequences; a row per piece."""
+    ready(spark)
     return pack(docs, tokenizer_file("word_bpe_49k.json"))
 
 
-STAGES = [("packing", packing)]
+STAGES = [
+    ("quality classifier", quality),
+    ("line dedup", lines),
+    ("SimHash near-dedup", near),
+    ("suffix-array dedup", repeats),
+    ("best-fit packing", packing),
+]
 
 # Encoding, vectors and packing are beyond SQL; tests compare with brute force.
 ORACLE_SQL = None

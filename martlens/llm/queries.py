@@ -13,6 +13,7 @@ from martlens.llm.inputs import read, ready
 from martlens.llm.linededup import drop_common_lines
 from martlens.llm.neighbours import nearest
 from martlens.llm.packing import pack
+from martlens.llm.quality import score_quality
 from martlens.llm.simhash import near_duplicates
 from martlens.llm.suffixdedup import remove_repeats
 from martlens.llm.tokencounts import count_tokens
@@ -70,7 +71,8 @@ def suffix_array_dedup(spark, sf_dir):
 
 @register("op3_simhash_near_dedup")
 def simhash_near_dedup(spark, sf_dir):
-    return near_duplicates(read(spark, sf_dir, "documents"), shingle=3, distance=2)
+    found = near_duplicates(read(spark, sf_dir, "documents"), shingle=3, distance=2)
+    return found.select("doc_id", "fingerprint", "component_id")
 
 
 LINES_SQL = """
@@ -142,3 +144,11 @@ def nearest_neighbours(spark, sf_dir):
 @register("op6_html_main_text")
 def html_main_text(spark, sf_dir):
     return extract(read(spark, sf_dir, "pages"))
+
+
+@register("op8_quality_classifier")
+def quality_classifier(spark, sf_dir):
+    scored = score_quality(
+        read(spark, sf_dir, "documents").select("doc_id", "text"), read(spark, sf_dir, "labels")
+    )
+    return scored.select("doc_id", "held_out", "score", "predicted")

@@ -64,7 +64,7 @@ def majority(hashes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
 
 
 def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
-    """``doc_id`` and ``fp``, the 64-bit fingerprint as a signed long, of every row."""
+    """``doc_id``, ``fp`` (the 64-bit fingerprint, signed) and ``text_hash`` of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -73,11 +73,13 @@ def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
                 sizes = np.fromiter(map(len, hashes), np.int64, len(hashes))
                 flat = np.fromiter(itertools.chain.from_iterable(hashes), np.uint64, sizes.sum())
                 yield pa.RecordBatch.from_arrays(
-                    [small.column("doc_id"), pa.array(majority(flat, sizes).view(np.int64))],
-                    names=["doc_id", "fp"],
-                )
+                    [small.column("doc_id"), pa.array(majority(flat, sizes).view(np.int64)),
+                     small.column("text_hash")],
+                    names=["doc_id", "fp", "text_hash"],
+                )
 
-    return documents(docs).mapInArrow(run, "doc_id bigint, fp bigint")
+    rows = documents(docs).withColumn("text_hash", F.xxhash64("text"))
+    return rows.mapInArrow(run, "doc_id bigint, fp bigint, text_hash bigint")
 
 
 def segment_masks(distance: int) -> list[int]:
@@ -266,7 +268,8 @@ def _keyed_exact(prints: DataFrame, masks: list[int]) -> DataFrame:
 def near_duplicates(
     docs: DataFrame, shingle: int = 3, distance: int = 2, hot_rows: int = 100_000
 ) -> DataFrame:
-    """Fingerprint and component of every row: ``doc_id``, ``fingerprint``, ``component_id``.
+    """Fingerprint and component of every row: ``doc_id``, ``fingerprint``, ``component_id``,
+    ``component`` (its smallest fingerprint, signed) and ``text_hash``.
 
     Words are runs without blanks, A-Z lower-cased; a shingle is ``shingle`` words joined
     by spaces (all words if there are fewer).  A fingerprint bit is 1 if it is set in over
@@ -283,7 +286,8 @@ def near_duplicates(
     placed = prints.join(roots.withColumnRenamed("node", "fp"), "fp", "left")
     placed = placed.select("fp", F.coalesce("root", "fp").alias("root"), "first")
     named = placed.groupBy("root").agg(F.min("first").alias("component_id"))
-    classes = placed.join(named, "root").select("fp", "component_id")
+    classes = placed.join(named, "root").select("fp", "component_id", "root")
     return rows.join(classes, "fp").select(
-        "doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id"
-    )
+        "doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id",
+        F.col("root").alias("component"), "text_hash",
+    )
