@@ -14,20 +14,26 @@ from martlens.operators.quantiles import exact_quantiles
 FENCE_FACTOR = 1.5  # fixed value: fences lie this many quartile ranges out
 
 
+MOST_COLUMNS = 62  # one bit each in a long, which marks the columns that a row carries
+
+
 def correlation_matrix(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Pairwise-complete Pearson correlations as (a, b, r); null for a constant.
 
     Rows are grouped by which columns they carry.  Within such a group every
     pair sees the same rows, so one set of sums serves all pairs, and a pair
-    adds up the groups that carry both its columns.  Columns are centred by a
-    first pass, which keeps the sums of products accurate.  Only those sums,
-    one row per pattern of missing columns, reach the driver.
+    adds up the groups that carry both its columns; Spark does so too.  Columns are
+    centred by a first pass, which keeps the sums of products accurate.  What reaches
+    the driver is one row per pair of columns.  At most ``MOST_COLUMNS`` columns.
     """
+    size = len(columns)
+    if size > MOST_COLUMNS:
+        raise ValueError(f"{size} columns; at most {MOST_COLUMNS} can be correlated at once")
     values = df.select(*[present(df, c).cast("double").alias(c) for c in columns])
     means = [m or 0.0 for m in values.agg(*[F.avg(col(c)) for c in columns]).first()]
-    size = len(columns)
-    carried = [F.shiftleft(col(c).isNotNull().cast("int"), i) for i, c in enumerate(columns)]
-    sums = (
+    carried = [F.shiftleft(col(c).isNotNull().cast("bigint"), i) for i, c in enumerate(columns)]
+    pairs = [(i, j) for i in range(size) for j in range(i, size)]
+    patterns = (
         values.select(
             sum(carried[1:], carried[0]).alias("carried"),
             *[(col(c) - F.lit(means[i])).alias(f"x{i}") for i, c in enumerate(columns)],
@@ -36,41 +42,43 @@ def correlation_matrix(df: DataFrame, columns: Sequence[str]) -> DataFrame:
         .agg(
             F.count(F.lit(1)).alias("n"),
             *[F.sum(f"x{i}").alias(f"s{i}") for i in range(size)],
-            *[
-                F.sum(F.col(f"x{i}") * F.col(f"x{j}")).alias(f"p{i}_{j}")
-                for i in range(size)
-                for j in range(i, size)
-            ],
+            *[F.sum(F.col(f"x{i}") * F.col(f"x{j}")).alias(f"p{i}_{j}") for i, j in pairs],
+        )
+    )
+    entries = [
+        F.struct(
+            F.lit(i).alias("i"), F.lit(j).alias("j"),
+            F.lit((1 << i) | (1 << j)).cast("bigint").alias("need"), F.col("n"),
+            F.col(f"s{i}").alias("si"), F.col(f"s{j}").alias("sj"), F.col(f"p{i}_{i}").alias("pi"),
+            F.col(f"p{j}_{j}").alias("pj"), F.col(f"p{i}_{j}").alias("pij"),
         )
-        .collect()
+        for i, j in pairs
+    ]
+    sums = (
+        patterns.select("carried", F.inline(F.array(*entries)))
+        .filter(F.col("carried").bitwiseAND(F.col("need")) == F.col("need"))
+        .groupBy("i", "j")
+        .agg(*[F.sum(c).alias(c) for c in ("n", "si", "sj", "pi", "pj", "pij")])
     )
+    found = {(g["i"], g["j"]): _pearson(g, means) for g in sums.collect()}
     rows = []
-    for i in range(size):
-        for j in range(i, size):
-            need = (1 << i) | (1 << j)
-            groups = [g for g in sums if g["carried"] & need == need]
-            r = _pearson(groups, i, j, means)
-            rows += [(columns[x], columns[y], r) for x, y in {(i, j), (j, i)}]
+    for i, j in pairs:
+        r = found.get((i, j))
+        rows += [(columns[x], columns[y], r) for x, y in {(i, j), (j, i)}]
     return df.sparkSession.createDataFrame(rows, "a string, b string, r double")
 
 
-def _pearson(groups: Sequence[Row], i: int, j: int, means: Sequence[float]) -> float | None:
-    def total(name: str) -> float:
-        return math.fsum(g[name] for g in groups)
-
-    n = sum(g["n"] for g in groups)
+def _pearson(g: Row, means: Sequence[float]) -> float | None:
+    n = g["n"]
     if n < 2:
         return None
-
-    def deviation(x: int, y: int) -> float:
-        return total(f"p{x}_{y}") - total(f"s{x}") * total(f"s{y}") / n
-
+    spread = [g["pi"] - g["si"] ** 2 / n, g["pj"] - g["sj"] ** 2 / n]
     # below this a column only varies by the rounding of its mean
-    noise = [n * (1e-13 * abs(means[x])) ** 2 for x in (i, j)]
-    spread = [deviation(i, i), deviation(j, j)]
+    noise = [n * (1e-13 * abs(means[g[x]])) ** 2 for x in ("i", "j")]
     if any(v <= limit for v, limit in zip(spread, noise, strict=True)):
         return None
-    return deviation(i, j) / math.sqrt(spread[0]) / math.sqrt(spread[1])
+    together = g["pij"] - g["si"] * g["sj"] / n
+    return together / math.sqrt(spread[0]) / math.sqrt(spread[1])
 
 
 def quartiles(df: DataFrame, column: str, approximate: bool = False) -> tuple:
@@ -85,21 +93,25 @@ def _outside(column: str, lo: float, hi: float) -> Column:
     return (col(column) < F.lit(lo)) | (col(column) > F.lit(hi))
 
 
-def iqr_outliers(df: DataFrame, column: str, approximate: bool = False) -> DataFrame:
-    """Rows outside the quartile fences.
+def iqr_outliers(
+    df: DataFrame, column: str, approximate: bool = False, known: tuple | None = None
+) -> DataFrame:
+    """Rows outside the quartile fences; ``known`` quartiles are not searched again.
 
     The fences are literals by the time the filter is built, so it is pushed
     into the file scan.
     """
-    q1, _, q3 = quartiles(df, column, approximate)
+    q1, _, q3 = known or quartiles(df, column, approximate)
     if q1 is None:
         return df.filter(F.lit(False))
     return df.filter(_outside(column, *fences(q1, q3)))
 
 
-def box_stats(df: DataFrame, column: str, approximate: bool = False) -> DataFrame:
+def box_stats(
+    df: DataFrame, column: str, approximate: bool = False, known: tuple | None = None
+) -> DataFrame:
     """Quartiles, fences, whisker ends and the number of outliers."""
-    q1, q2, q3 = quartiles(df, column, approximate)
+    q1, q2, q3 = known or quartiles(df, column, approximate)
     lo, hi = fences(q1, q3) if q1 is not None else (None, None)
     v = present(df, column).cast("double")
     kept = F.when((v >= F.lit(lo)) & (v <= F.lit(hi)), v)

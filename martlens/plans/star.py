@@ -16,7 +16,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from martlens.functions.columns import col, date_parts, elapsed_days
+from martlens.functions.columns import col, date_parts, elapsed_days, present
+from martlens.sources.tables import materialize
 
 
 @dataclass(frozen=True)
@@ -32,11 +33,11 @@ class Lookup:
         return set(self.table.columns) - set(self.keys)
 
 
-def duplicate_lookup_keys(lookup: Lookup) -> DataFrame:
-    """Keys that would multiply fact rows."""
+def duplicate_lookup_keys(lookup: Lookup, nulls_match: bool = False) -> DataFrame:
+    """Keys that would multiply fact rows; a null key does so only where nulls match."""
+    table = lookup.table if nulls_match else lookup.table.dropna(subset=list(lookup.keys))
     return (
-        lookup.table.dropna(subset=list(lookup.keys))
-        .groupBy(*[col(k) for k in lookup.keys])
+        table.groupBy(*[col(k) for k in lookup.keys])
         .agg(F.count(F.lit(1)).alias("n_rows"))
         .filter("n_rows > 1")
     )
@@ -64,10 +65,10 @@ class Star:
     fact: DataFrame
     lookups: tuple[Lookup, ...]
 
-    def check_keys(self) -> None:
+    def check_keys(self, nulls_match: bool = False) -> None:
         """Raise when a lookup key repeats: the joins would multiply fact rows."""
         for lookup in self.lookups:
-            example = duplicate_lookup_keys(lookup).first()
+            example = duplicate_lookup_keys(lookup, nulls_match).first()
             if example is not None:
                 raise ValueError(f"lookup {lookup.name}: key occurs more than once: {example}")
 
@@ -137,26 +138,26 @@ class Star:
             lookups = self._folded(lookups)
         fact_by = [c for c in by if c in self.fact.columns]
         roots = sorted({k for x in lookups for k in x.keys if k in self.fact.columns})
-        measures = _measures(sums)
         if any(set(roots) <= set(x.keys) for x in lookups):
             per_key = self.fact.groupBy(*[col(c) for c in dict.fromkeys([*roots, *fact_by])]).agg(
-                *[expr.alias(name) for name, expr in measures.items()]
+                *[expr.alias(name) for name, expr in _measures(self.fact, sums).items()]
             )
             joined = self._join(per_key, lookups, nulls_match)
-            totals = {name: F.sum(col(name)) for name in measures}
+            totals = {name: F.sum(col(name)) for name in _measures(self.fact, sums)}
         else:
             joined = self._join(self.fact, lookups, nulls_match)
-            totals = measures
+            totals = _measures(joined, sums)
         return joined.groupBy(*[col(c) for c in by]).agg(
             *[expr.alias(name) for name, expr in totals.items()]
         )
 
 
-def _measures(sums: Sequence[str]) -> dict[str, Column]:
+def _measures(df: DataFrame, sums: Sequence[str]) -> dict[str, Column]:
+    """Sums and counts of values; NaN counts as missing, as in the reports."""
     out = {"n_rows": F.count(F.lit(1))}
     for m in sums:
-        out[m] = F.sum(col(m))
-        out[f"n_{m}"] = F.count(col(m))
+        out[m] = F.sum(present(df, m))
+        out[f"n_{m}"] = F.count(present(df, m))
     return out
 
 
@@ -194,22 +195,67 @@ def retail_star(
     )
 
 
+def _multiplied(star: Star, chain: Sequence[tuple[int, Lookup]]) -> DataFrame:
+    """Per key of the chain's first lookup, the rows it becomes after each step: ``m<step>``.
+
+    Only keys that become more than one row are listed.
+    """
+    (first, root), *rest = chain
+    keys, at = list(root.keys), [first]
+    grown = root.table.dropna(subset=keys)
+    counts = grown.groupBy(*[col(k) for k in keys]).agg(F.count(F.lit(1)).alias(f"m{first}"))
+    for step, lookup in rest:
+        grown = left_join(grown, lookup.table, lookup.keys)
+        more = grown.groupBy(*[col(k) for k in keys]).agg(F.count(F.lit(1)).alias(f"m{step}"))
+        counts = counts.join(more, keys)
+        at.append(step)
+    return counts.filter(F.greatest(*[col(f"m{i}") for i in (*at, at[0])]) > 1)
+
+
 def merge_growth(star: Star) -> DataFrame:
-    """Row and column count after each join of the chain.
+    """Row and column count after each join of the chain, from counts of keys.
 
-    The counts equal the fact's as long as every lookup key is unique.
+    Every lookup is first asked for a repeated key (a small job each).  Without one a
+    join adds no rows and the fact is only counted.  A chain of lookups with repeated
+    keys gives a written list of the keys that multiply; the fact's root keys meet that
+    list once, whatever the number of steps.
     """
-    steps, df = [("fact", star.fact)], star.fact
+    chains: dict[str, list[tuple[int, Lookup]]] = {}
+    provided: dict[str, set[str]] = {}
+    for step, lookup in enumerate(star.lookups, start=1):
+        root = lookup.name
+        if not set(lookup.keys) <= set(star.fact.columns):
+            root = next(n for n, have in provided.items() if set(lookup.keys) <= have)
+        chains.setdefault(root, []).append((step, lookup))
+        provided.setdefault(root, set()).update(lookup.table.columns)
+    repeated = {
+        x.name for x in star.lookups if not duplicate_lookup_keys(x).isEmpty()
+    }
+    counted = star.fact
+    grows: dict[int, str] = {}
+    roots = [c for c in chains.values() if any(x.name in repeated for _, x in c)]
+    if roots:
+        keys = list(dict.fromkeys(k for c in roots for k in c[0][1].keys))
+        counted = counted.select(*[col(k) for k in keys])
+    for chain in roots:
+        listed = materialize(_multiplied(star, chain), "repeated-keys")
+        counted = counted.join(listed, list(chain[0][1].keys), "left")
+        grows |= {step: chain[0][1].name for step, _ in chain}
+    # after a step, every chain contributes its factor of the last of its steps so far
+    totals, now = [F.count(F.lit(1)).alias("rows0")], {}
+    for step in range(1, len(star.lookups) + 1):
+        if step in grows:
+            now[grows[step]] = F.coalesce(col(f"m{step}"), F.lit(1))
+        factor = reduce(lambda a, b: a * b, now.values(), F.lit(1).cast("bigint"))
+        totals.append(F.coalesce(F.sum(factor), F.lit(0)).alias(f"rows{step}"))
+    widths = [len(star.fact.columns)]
     for lookup in star.lookups:
-        df = left_join(df, lookup.table, lookup.keys)
-        steps.append((lookup.name, df))
-    parts = [
-        step.agg(F.count(F.lit(1)).alias("n_rows")).select(
-            F.lit(i).cast("bigint").alias("step"),
-            F.lit(name).alias("joined"),
-            "n_rows",
-            F.lit(len(step.columns)).cast("bigint").alias("n_columns"),
+        widths.append(widths[-1] + len(lookup.provides))
+    steps = [
+        F.struct(
+            F.lit(i).cast("bigint").alias("step"), F.lit(name).alias("joined"),
+            F.col(f"rows{i}").alias("n_rows"), F.lit(widths[i]).cast("bigint").alias("n_columns"),
         )
-        for i, (name, step) in enumerate(steps)
-    ]
-    return reduce(DataFrame.unionByName, parts)
+        for i, name in enumerate(["fact", *[x.name for x in star.lookups]])
+    ]
+    return counted.agg(*totals).select(F.inline(F.array(*steps)))

@@ -23,11 +23,13 @@ def read_csv_text(
 
     No type inference, hence no extra pass over the data.  Files stay
     splittable unless ``multiline`` asks for line breaks inside quotes.  A row
-    with too many or too few fields stops the job.
+    with too many or too few fields stops the job, and so does a file whose header
+    differs from the first one's: its columns would land under wrong names.
     """
     raw = spark.read.csv(
         path,
         header=True,
+        enforceSchema=False,
         quote='"',
         escape='"',
         multiLine=multiline,
@@ -41,9 +43,13 @@ def _typed(c: Column, source_type: str, wanted: str, formats: Sequence[str]) ->
         return parse_timestamp(c, formats)
     if wanted == "timestamp" and source_type == "timestamp_ntz":
         return c
-    if wanted == "bigint" and source_type == "string":
-        # a count written as 3.0 is still the count 3
-        return c.cast("decimal(38,6)").cast("bigint")
+    if wanted == "bigint" and source_type.startswith(("string", "double", "float", "decimal")):
+        # a count written as 3.0 is still the count 3; 2.9 is none
+        number = c.cast("decimal(38,18)") if source_type == "string" else c
+        complaint = F.raise_error(F.concat(F.lit("not a whole number: "), c.cast("string")))
+        return F.when(number != F.floor(number), complaint.cast("bigint")).otherwise(
+            number.cast("bigint")
+        )
     return c.cast(wanted)
 
 

@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
 
 from martlens.operators.quantiles import exact_quantiles
@@ -143,3 +144,19 @@ def test_sample_is_repeatable(spark, rows):
 
 def test_identity_line(spark):
     assert tuple(identity_line(spark.range(3, 9), "id").first()) == (3, 8)
+
+
+def test_correlations_of_many_columns(spark):
+    rng = random.Random(2)
+    names = [f"v{i}" for i in range(34)]
+    data = [
+        [None if rng.random() < 0.02 else rng.gauss(0, 1) + r / 20 for _ in names]
+        for r in range(60)
+    ]
+    df = spark.createDataFrame(data, ", ".join(f"{n} double" for n in names))
+    want = pd.DataFrame(data, columns=names).corr()
+    got = {(r["a"], r["b"]): r["r"] for r in correlation_matrix(df, names).collect()}
+    assert len(got) == 34 * 34
+    assert all(r == pytest.approx(want.loc[a, b]) for (a, b), r in got.items())
+    with pytest.raises(ValueError, match="63 columns"):
+        correlation_matrix(df, ["v0"] * 63)

@@ -276,7 +276,7 @@ def test_dashboard_from_rollup(star, frame):
     got = {r["product_name"]: r["sales"] for r in page["top_products"].collect()}
     assert got == want.groupby("product_name")["sales"].sum().to_dict()
     assert dashboard(rollup, [1900]) == {}
-    assert len(page) == 12 and all(df.count() for df in page.values())
+    assert len(page) == 14 and all(df.count() for df in page.values())
     matrix = {(r["a"], r["b"]): r["r"] for r in correlations(star, [2022], "North").collect()}
     assert matrix["sales", "units"] == pytest.approx(want.sales.corr(want.units))
 
@@ -296,3 +296,44 @@ def test_clean_sales(spark):
     assert clean.groupBy().sum("sales").first()[0] == sales.groupBy().sum("sales").first()[0]
     assert clean.groupBy("order_id", "product_id").count().filter("count > 1").count() == 0
     assert clean.groupBy().max("row_id").first()[0] < 1_000
+
+
+def test_a_rollup_skips_nan_like_the_fact(spark):
+    fact = spark.createDataFrame(
+        [("a", 10.0), ("a", float("nan")), ("b", 5.0)], "product_id string, sales double"
+    )
+    names = spark.createDataFrame([("a", "x"), ("b", "y")], "product_id string, kind string")
+    star = Star(fact, (Lookup("names", names, ("product_id",)),))
+    for by in (["product_id"], ["kind"]):
+        rows = star.rollup(by, ["sales"]).orderBy(by).collect()
+        assert [(r["sales"], r["n_sales"], r["n_rows"]) for r in rows] == [(10, 1, 2), (5, 1, 1)]
+
+
+def test_merge_growth_counts_repeated_keys(spark):
+    fact = spark.createDataFrame([(i, i % 4) for i in range(40)], "a int, b int")
+    first = spark.createDataFrame(
+        [(0, 7), (0, 8), (1, 7), (2, None), (None, 9)], "b int, c int"
+    )
+    second = spark.createDataFrame([(7, "x"), (7, "y"), (9, "z")], "c int, d string")
+    third = spark.createDataFrame([(i, i) for i in range(5)] + [(3, 9)], "a int, e int")
+    lookups = (
+        Lookup("first", first, ("b",)), Lookup("second", second, ("c",)),
+        Lookup("third", third, ("a",)),
+    )
+    star, df, want = Star(fact, lookups), fact, [40]
+    for lookup in lookups:
+        df = left_join(df, lookup.table, lookup.keys)
+        want.append(df.count())
+    got = merge_growth(star).orderBy("step").collect()
+    assert [r["n_rows"] for r in got] == want
+    assert [r["n_columns"] for r in got] == [2, 3, 4, 5] and want[-1] > want[0]
+    plan = merge_growth(Star(fact, ()))._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan
+
+
+def test_null_keys_are_checked_where_they_match(spark):
+    table = spark.createDataFrame([(None, 1), (None, 2), (3, 3)], "k int, v int")
+    star = Star(spark.createDataFrame([(3,)], "k int"), (Lookup("t", table, ("k",)),))
+    star.check_keys()
+    with pytest.raises(ValueError, match="more than once"):
+        star.check_keys(nulls_match=True)
