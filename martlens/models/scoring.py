@@ -49,7 +49,7 @@ def score_scenarios(
     derived = derive_scenarios(scenarios)
     keep = [c for c in derived.columns if c not in features]
     return (
-        model.transform(prepare(derived, features, None, [*keep, "gross_profit"]))
+        model.transform(prepare(derived, features, None, keep))
         .withColumnRenamed("prediction", "predicted_sales")
         .drop("features", "scaled", *[f"{c}_code" for c in features])
     )

@@ -58,12 +58,33 @@ class ModelConfig:
         return [f"{c}_code" if c in CATEGORICAL else c for c in self.features]
 
 
-def encoding_stages(config: ModelConfig) -> list:
+ROWS_PER_PARTITION = 100_000
+
+
+def placed(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Rows in partitions and an order that follow from their keys alone.
+
+    A forest draws its samples partition by partition, row by row.  How many
+    partitions there are depends on the number of rows, not on files or cores, so a fit
+    gives the same trees on any machine.
+    """
+    n = min(10_000, max(8, -(-rows.count() // ROWS_PER_PARTITION)))
+    own = [k for k in keys if k in rows.columns] or rows.columns
+    rest = [c for c in rows.columns if c not in own]
+    return rows.repartition(n, *[col(k) for k in own]).sortWithinPartitions(
+        *[col(c) for c in (*own, *rest)]
+    )
+
+
+def encoding_stages(config: ModelConfig, rows: DataFrame) -> list:
+    """Category codes from all ``rows``, so that every side knows every category; labels
+    of a category say nothing about the target.  Means are left to the fit."""
     stages = []
     if config.categories:
-        stages.append(
-            label_indexer(config.categories, "keep" if config.missing == "impute" else "error")
+        indexer = label_indexer(
+            config.categories, "keep" if config.missing == "impute" else "error"
         )
+        stages.append(indexer.fit(rows))
     if config.numbers:
         stages.append(
             Imputer(strategy="mean", inputCols=config.numbers, outputCols=config.numbers)
@@ -71,8 +92,8 @@ def encoding_stages(config: ModelConfig) -> list:
     return stages
 
 
-def build_pipeline(config: ModelConfig) -> Pipeline:
-    """Encode, impute, scale, regress.
+def fitting_stages(config: ModelConfig) -> list:
+    """Scale and regress.
 
     The scaler drops the category marks of the codes, so a tree treats a code
     as a number.
@@ -93,16 +114,11 @@ def build_pipeline(config: ModelConfig) -> Pipeline:
         )
     else:
         raise ValueError(f"unknown algorithm {config.algorithm!r}")
-    return Pipeline(
-        stages=[
-            *encoding_stages(config),
-            VectorAssembler(inputCols=config.inputs, outputCol="features"),
-            StandardScaler(
-                inputCol="features", outputCol="scaled", withMean=True, withStd=True
-            ),
-            regressor,
-        ]
-    )
+    return [
+        VectorAssembler(inputCols=config.inputs, outputCol="features"),
+        StandardScaler(inputCol="features", outputCol="scaled", withMean=True, withStd=True),
+        regressor,
+    ]
 
 
 @dataclass(frozen=True)
@@ -164,7 +180,6 @@ def train(
     config: ModelConfig,
     keys: Sequence[str],
     test_share: float = 0.2,
-    partitions: int | None = None,
 ) -> Trained:
     """Split, fit on the train side, keep both sides for scoring.
 
@@ -176,8 +191,12 @@ def train(
     marked = training_frame(df, config, keys).withColumn(
         "side", F.when(in_test, "test").otherwise("train")
     )
-    rows = materialize(marked, "training", partitions)
-    return Trained(config, build_pipeline(config).fit(rows.filter("side = 'train'")), rows)
+    rows = materialize(marked, "training")
+    pipeline = Pipeline(stages=[*encoding_stages(config, rows), *fitting_stages(config)])
+    fit_on = rows.filter("side = 'train'")
+    if config.algorithm == "forest":
+        fit_on = placed(fit_on, keys)
+    return Trained(config, pipeline.fit(fit_on), rows)
 
 
 def save(trained: Trained, path: str) -> None:
@@ -203,21 +222,29 @@ def cross_validate(
     config: ModelConfig,
     keys: Sequence[str],
     folds: int = 5,
-    partitions: int | None = None,
 ) -> DataFrame:
-    """R2 of each held-out fold, as (fold, r2)."""
-    marked = with_fold(data, keys, folds, config.seed)
-    marked = materialize(marked, "folds", partitions)  # read by every fit
+    """R2 of each held-out fold, as (fold, r2).
+
+    Categories are coded and gaps filled once, over all rows given, before the folds;
+    only the regressor is fitted per fold.  Both algorithms follow this rule.
+    """
+    marked = materialize(with_fold(data, keys, folds, config.seed), "folds")
+    stages = encoding_stages(config, marked)
+    if stages:
+        marked = Pipeline(stages=stages).fit(marked).transform(marked)
     if config.algorithm == "linear":
         return _fold_products(marked, config)
-    return _fold_refits(marked, config, folds)
+    return _fold_refits(materialize(marked, "folds-encoded"), config, keys, folds)
 
 
-def _fold_refits(marked: DataFrame, config: ModelConfig, folds: int) -> DataFrame:
-    """Fit the whole pipeline once per fold."""
+def _fold_refits(
+    marked: DataFrame, config: ModelConfig, keys: Sequence[str], folds: int
+) -> DataFrame:
+    """Fit the regressor once per fold."""
     scores = []
     for i in range(folds):
-        model = build_pipeline(config).fit(marked.filter(F.col("fold") != i))
+        fit_on = placed(marked.filter(F.col("fold") != i), keys)
+        model = Pipeline(stages=fitting_stages(config)).fit(fit_on)
         scored = model.transform(marked.filter(F.col("fold") == i))
         scores.append((i, regression_metrics(scored, config.label).first()["r2"]))
     return marked.sparkSession.createDataFrame(scores, "fold int, r2 double")
@@ -230,9 +257,6 @@ def _fold_products(marked: DataFrame, config: ModelConfig) -> DataFrame:
     those are the totals minus the fold's own.  Spark sums the products per
     fold; what reaches the driver is one small square per fold.
     """
-    stages = encoding_stages(config)
-    if stages:
-        marked = Pipeline(stages=stages).fit(marked).transform(marked)
     names = [*config.inputs, config.label]
     stats = marked.agg(
         *[F.avg(col(c)) for c in names], *[F.stddev_pop(col(c)) for c in names]

@@ -143,21 +143,14 @@ _SIDES = f""", d AS (
 """
 
 
-def _spread(spark, sf_dir) -> int | None:
-    """One partition per core when the fact has fewer files than cores."""
-    cores = spark.sparkContext.defaultParallelism
-    files = len(table(spark, sf_dir, "lineitem").inputFiles())
-    return cores if files < cores else None
-
-
 def _train(spark, sf_dir, lines, config):
-    return train(lines, config, LINE_KEYS, partitions=_spread(spark, sf_dir))
+    return train(lines, config, LINE_KEYS)
 
 
 def _folds(spark, sf_dir, lines, config):
     """Five folds of the training side."""
     fit_on, _ = features.hash_split(training_frame(lines, config, LINE_KEYS), LINE_KEYS)
-    return cross_validate(fit_on, config, LINE_KEYS, 5, _spread(spark, sf_dir))
+    return cross_validate(fit_on, config, LINE_KEYS, 5)
 
 
 def _simple(spark, sf_dir):
@@ -415,7 +408,7 @@ def forest_bounds(spark, sf_dir):
     Every row of both sides is scored, none outside the range of the labels;
     importances sum to 1; R2 is above 0.9 on both sides.
     """
-    config = ModelConfig("forest", trees=20)
+    config = ModelConfig("forest")
     fitted = _train(spark, sf_dir, _lines(spark, sf_dir, config.features), config)
     low, high = fitted.train.agg(F.min("sales"), F.max("sales")).first()
     total = fitted.importances().agg(F.sum("importance")).first()[0]
@@ -433,6 +426,40 @@ def forest_bounds(spark, sf_dir):
     )
 
 
+_STUMP = ModelConfig("forest", ("units",), trees=1, depth=1)
+
+
+@register(
+    "forest_stump",
+    f""", d AS (SELECT *, {_IN_TEST} AS in_test FROM star),
+    v AS (SELECT units, count(*) AS n, sum(sales) AS s FROM d WHERE NOT in_test GROUP BY units),
+    c AS (SELECT units, sum(n) OVER w AS nl, sum(s) OVER w AS sl,
+                 sum(n) OVER () AS n, sum(s) OVER () AS s
+          FROM v WINDOW w AS (ORDER BY units)),
+    best AS (SELECT units AS cut, sl / nl AS low, (s - sl) / (n - nl) AS high FROM c WHERE nl < n
+             ORDER BY sl * sl / nl + (s - sl) * (s - sl) / (n - nl) DESC LIMIT 1),
+    p AS (SELECT d.*, CASE WHEN units <= cut THEN low ELSE high END AS prediction FROM d, best)
+    SELECT CASE WHEN in_test THEN 'test' ELSE 'train' END AS side, count(*) AS n,
+           round(1 - avg((sales - prediction) ** 2) / var_pop(sales), 6) AS r2,
+           round(min(prediction), 4) AS low, round(max(prediction), 4) AS high,
+           1.0::DOUBLE AS importance
+    FROM p GROUP BY in_test
+    """,
+    star=True,
+)
+def forest_stump(spark, sf_dir):
+    """One tree of one split is not bagged: SQL finds the same split, means and fit."""
+    fitted = _train(spark, sf_dir, _lines(spark, sf_dir, _STUMP.features), _STUMP)
+    weight = fitted.importances().first()["importance"]
+    ends = fitted.predict(fitted.rows).groupBy("side").agg(
+        F.min("prediction").alias("low"), F.max("prediction").alias("high")
+    )
+    return finish(
+        fitted.metrics().select("side", "n", "r2").join(ends, "side")
+        .withColumn("importance", F.lit(weight)), r2=6,
+    )
+
+
 # -- scoring ------------------------------------------------------------------
 
 _SCENARIO_KEYS = ("division", "region", "ship_mode", "order_month", "quarter")

@@ -2,6 +2,8 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.ml import Pipeline
+from pyspark.sql import functions as F
 
 from martlens.models import features
 from martlens.models.evaluation import regression_metrics, residual_histogram
@@ -10,6 +12,7 @@ from martlens.models.training import (
     ModelConfig,
     _fold_refits,
     cross_validate,
+    encoding_stages,
     load,
     save,
     train,
@@ -123,7 +126,10 @@ def test_one_pass_folds_equal_refits(noisy):
     config = ModelConfig("linear")
     data = training_frame(noisy, config, ["row_id"]).cache()
     fast = {r["fold"]: r["r2"] for r in cross_validate(data, config, ["row_id"]).collect()}
-    slow = _fold_refits(features.with_fold(data, ["row_id"], 5), config, 5)
+    marked = features.with_fold(data, ["row_id"], 5)
+    stages = encoding_stages(config, marked)
+    encoded = Pipeline(stages=stages).fit(marked).transform(marked)
+    slow = _fold_refits(encoded, config, ["row_id"], 5)
     assert fast == pytest.approx({r["fold"]: r["r2"] for r in slow.collect()}, abs=1e-9)
 
 
@@ -206,3 +212,60 @@ def test_scenarios(spark, lines):
     unseen = spark.createDataFrame([("c", "Z", "E", "air", 5, 3.5, 1.0, 3, 2, 1)], columns)
     with pytest.raises(Exception, match="[Uu]nseen"):
         score_scenarios(fitted.model, unseen, config.features).collect()
+
+
+def with_gaps(spark):
+    rows = [
+        tuple(None if (j in (1, 4) and r[0] % 7 == 0) else v for j, v in enumerate(r))
+        for r in make_rows()
+    ]
+    return spark.createDataFrame(rows, SCHEMA)
+
+
+def test_folds_follow_one_rule_on_rows_with_gaps(spark):
+    config = ModelConfig("linear")
+    data = training_frame(with_gaps(spark), config, ["row_id"]).cache()
+    fast = {r["fold"]: r["r2"] for r in cross_validate(data, config, ["row_id"]).collect()}
+    marked = features.with_fold(data, ["row_id"], 5, config.seed)
+    encoded = Pipeline(stages=encoding_stages(config, marked)).fit(marked).transform(marked)
+    slow = _fold_refits(encoded, config, ["row_id"], 5)
+    assert fast == pytest.approx({r["fold"]: r["r2"] for r in slow.collect()}, abs=1e-9)
+
+
+def test_a_category_of_one_side_stops_nothing(spark, lines):
+    keys, config = ["row_id"], ModelConfig("linear", missing="drop")
+    in_test = lines.filter(features.test_condition(keys)).first()["row_id"]
+    odd = lines.withColumn(
+        "division", F.when(F.col("row_id") == in_test, "Only here").otherwise(F.col("division"))
+    )
+    assert train(odd, config, keys).metrics().count() == 2
+    data = training_frame(odd, config, keys)
+    for algorithm in ("linear", "forest"):
+        one = ModelConfig(algorithm, missing="drop", trees=2)
+        assert cross_validate(data, one, keys, 3).count() == 3
+
+
+def test_a_forest_does_not_depend_on_partitions(spark, noisy):
+    config = ModelConfig("forest", trees=5, depth=4)
+    scores = [
+        [tuple(r) for r in train(noisy.repartition(n), config, ["row_id"]).metrics()
+         .orderBy("side").collect()]
+        for n in (2, 8)
+    ]
+    assert [r[2] for r in scores[0]] == pytest.approx([r[2] for r in scores[1]], abs=1e-12)
+
+
+@pytest.mark.parametrize("algorithm", ["linear", "forest"])
+def test_scoring_with_the_default_features_can_be_written(spark, lines, algorithm):
+    config = ModelConfig(algorithm, trees=2)
+    fitted = train(lines, config, ["row_id"])
+    order = spark.createDataFrame(
+        [("A", "E", "air", 5, 3.5, 1.0, 3, 2, 1)],
+        "division string, region string, ship_mode string, units int, unit_price double, "
+        "unit_cost double, shipping_days int, order_month int, quarter int",
+    )
+    out = score_scenarios(fitted.model, order, config.features)
+    path = scratch_path(spark, "scored")
+    out.write.parquet(path)
+    assert len(set(out.columns)) == len(out.columns)
+    assert spark.read.parquet(path).first()["gross_profit"] == pytest.approx(12.5)
