@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 from functools import lru_cache
 
 from pyspark.sql import SparkSession
@@ -38,6 +40,30 @@ def apply_settings(spark: SparkSession) -> SparkSession:
     return spark
 
 
+_scopes: list[list[str]] = []
+
+
+def delete_path(spark: SparkSession, path: str) -> None:
+    """Remove a folder from whatever file system holds it."""
+    jvm = spark._jvm
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
+@contextmanager
+def scratch_scope(spark: SparkSession) -> Iterator[None]:
+    """Intermediate copies made inside are removed at the end.
+
+    Frames that read them must have been written or collected by then.
+    """
+    _scopes.append([])
+    try:
+        yield
+    finally:
+        for path in _scopes.pop():
+            delete_path(spark, path)
+
+
 @lru_cache
 def _local_scratch(application: str) -> str:
     return tempfile.mkdtemp(prefix=f"martlens-{application}-")
@@ -55,4 +81,7 @@ def scratch_path(spark: SparkSession, label: str) -> str:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder all executors share")
         base = _local_scratch(spark.sparkContext.applicationId)
-    return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    path = f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    if _scopes:
+        _scopes[-1].append(path)
+    return path

@@ -12,7 +12,7 @@ from martlens.session import scratch_path
 from martlens.sources.readers import read_csv
 from martlens.sources.schemas import TableSpec
 from martlens.sources.tables import materialize, replace_table, save_table
-from martlens.testbed.bindings import TABLES, sales_lines, star, table
+from martlens.testbed.bindings import TABLES, TARGETS, sales_lines, star, table
 from martlens.testbed.registry import finish, register
 
 # -- sources ------------------------------------------------------------------
@@ -68,7 +68,7 @@ def table_swap(spark, sf_dir):
     """Live table consolidated, written anew and swapped in by renaming."""
     name = f"sales_{uuid.uuid4().hex}"
     live = save_table(sales_lines(spark, sf_dir), name, scratch_path(spark, "sales"))
-    swapped = replace_table(cleaning.consolidate_lines(live), name, "sales-clean")
+    swapped = replace_table(cleaning.consolidate_lines(live), name)
     return finish(swapped, sales=2, units=2)
 
 
@@ -89,13 +89,22 @@ def table_shape(spark, sf_dir):
 _MERGE_STEPS = ("fact", "orders", "customers", "countries", "regions", "products", "factories",
                 "targets")
 _MERGE_WIDTHS = (9, 17, 18, 20, 21, 25, 26, 27)
+_MERGE_JOINS = (
+    "LEFT JOIN orders o ON l.l_orderkey = o.o_orderkey",
+    "LEFT JOIN customer c ON o.o_custkey = c.c_custkey",
+    "LEFT JOIN nation n ON c.c_nationkey = n.n_nationkey",
+    "LEFT JOIN region r ON n.n_regionkey = r.r_regionkey",
+    "LEFT JOIN part p ON l.l_partkey = p.p_partkey",
+    "LEFT JOIN supplier s ON l.l_suppkey = s.s_suppkey",
+    "LEFT JOIN (VALUES " + ", ".join(f"('{d}')" for d in TARGETS) + ") t(d) ON p.p_type = t.d",
+)
 
 
 @register(
     "merge_growth",
     " UNION ALL ".join(
         f"SELECT {i}::BIGINT AS step, '{name}' AS joined, count(*) AS n_rows, "
-        f"{width}::BIGINT AS n_columns FROM lineitem"
+        f"{width}::BIGINT AS n_columns FROM lineitem l {' '.join(_MERGE_JOINS[:i])}"
         for i, (name, width) in enumerate(zip(_MERGE_STEPS, _MERGE_WIDTHS, strict=True))
     ),
 )
@@ -505,7 +514,7 @@ def delete_copies(spark, sf_dir):
     name = f"documents_{uuid.uuid4().hex}"
     live = save_table(table(spark, sf_dir, "documents"), name, scratch_path(spark, "documents"))
     kept = cleaning.drop_exact_copies(live, "doc_id", _DOC_BUSINESS, wide=True)
-    return _documents(replace_table(kept, name, "documents-clean"))
+    return _documents(replace_table(kept, name))
 
 
 @register("consolidate_lines", CONSOLIDATED_SQL)

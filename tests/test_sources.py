@@ -3,7 +3,7 @@ import os
 
 import pytest
 
-from martlens.session import scratch_path
+from martlens.session import scratch_path, scratch_scope
 from martlens.sources import schemas, tables
 from martlens.sources.readers import conform, read_csv, read_csv_text, read_parquet, read_table
 
@@ -94,6 +94,53 @@ def test_replace_table_reading_itself(spark):
     assert again.count() == 1 and spark.table("swap_me_backup").count() == 3
 
 
+def test_the_live_table_is_not_in_scratch(spark, tmp_path):
+    spark.sql("DROP TABLE IF EXISTS keep_me")
+    spark.sql("DROP TABLE IF EXISTS keep_me_backup")
+    home = f"file://{tmp_path}/home/first"
+    tables.save_table(spark.range(10), "keep_me", home)
+    with scratch_scope(spark):
+        few = tables.materialize(spark.table("keep_me").filter("id < 3"))
+        tables.replace_table(few, "keep_me")
+        copies = few.inputFiles()
+    assert not any(os.path.exists(f.removeprefix("file://")) for f in copies)
+    assert spark.table("keep_me").count() == 3
+    assert all("/home/" in f for f in spark.table("keep_me").inputFiles())
+    tables.replace_table(spark.table("keep_me").filter("id < 1"), "keep_me")
+    assert sorted(os.listdir(tmp_path / "home")) != [] and not (tmp_path / "home/first").exists()
+
+
+def test_a_swap_that_broke_off_is_put_right(spark):
+    for name in ("broken", "broken_backup", "broken_fresh"):
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
+    tables.replace_table(spark.range(10), "broken")
+    spark.sql("ALTER TABLE broken RENAME TO broken_backup")  # between the two renames
+    tables.recover_table(spark, "broken")
+    assert spark.table("broken").count() == 10
+    spark.sql("ALTER TABLE broken RENAME TO broken_backup")
+    assert tables.replace_table(spark.range(4), "broken").count() == 4
+    assert spark.table("broken_backup").count() == 10
+    with pytest.raises(Exception, match="no_such_table"):
+        tables.swap_tables(spark, "broken", "no_such_table", "broken_backup2")
+    assert spark.table("broken").count() == 4
+
+
+def test_files_of_another_column_order_are_refused(spark, tmp_path):
+    write(tmp_path, "a.csv", "Division,Target", "Drinks,1")
+    write(tmp_path, "b.csv", "Target,Division", "2,Snacks")
+    with pytest.raises(Exception, match="header"):
+        read_csv(spark, str(tmp_path), schemas.TARGETS_TABLE).collect()
+
+
+def test_a_count_with_a_fraction_stops_the_job(spark):
+    spec = schemas.TableSpec("t", {"Units": ("units", "bigint")}, ("units",))
+    for whole in ("'3.0'", "3D", "CAST(3 AS DECIMAL(9,2))"):
+        assert conform(spark.sql(f"SELECT {whole} AS Units"), spec).first()["units"] == 3
+    for cut in ("'2.9'", "2.9D", "CAST(2.9 AS DECIMAL(9,2))"):
+        with pytest.raises(Exception, match="not a whole number"):
+            conform(spark.sql(f"SELECT {cut} AS Units"), spec).collect()
+
+
 def test_materialize(spark):
     assert tables.materialize(spark.range(100), "x", 4).count() == 100
 
