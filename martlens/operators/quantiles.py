@@ -8,8 +8,10 @@ only once those are few are they sorted.  Each pass is one distributed
 aggregate with a small result, and each shrinks the candidates by a factor of
 several hundred: a hot value becomes a boundary and drops out.
 
-All columns share the passes: a row becomes one entry per column, so the aggregates stay
-narrow however many columns there are.
+All columns share the passes.  The first one counts and sketches whole columns in a
+single aggregate, and boundaries are counted by one aggregate each, so rows are not
+multiplied; only where brackets are searched on, or boundaries are many, does a row become
+one entry per column.
 """
 
 from __future__ import annotations
@@ -60,6 +62,56 @@ def _inside(values: DataFrame, brackets: Sequence[Bracket]) -> DataFrame:
     return long.filter("entry IS NOT NULL").select("entry.bracket", "entry.v")
 
 
+MOST_COUNTS = 96  # boundaries counted by an aggregate each; more go by slot numbers
+
+
+def _survey(
+    values: DataFrame, columns: Sequence[str], probabilities: Sequence[float], accuracy: int
+) -> tuple[dict[str, int], dict[str, list[float]]]:
+    """Count of each column and sketched boundary values around each probability."""
+    margin = 2.0 / accuracy
+    points = {round(p / margin) for p in probabilities}
+    fractions = sorted({min(max((x + d) * margin, 0.0), 1.0) for x in points for d in (-1, 1)})
+    row = values.agg(
+        *[F.count(col(c)) for c in columns],
+        *[F.percentile_approx(col(c), fractions, accuracy) for c in columns],
+    ).first()
+    size = len(columns)
+    return (
+        {c: row[i] for i, c in enumerate(columns)},
+        {c: sorted(set(row[size + i])) for i, c in enumerate(columns) if row[i]},
+    )
+
+
+def _slot_sizes(
+    values: DataFrame, boundaries: dict[str, list[float]]
+) -> dict[str, dict[int, int]]:
+    """Per column the rows in slot 2k, just below boundary k, and in slot 2k + 1, on it."""
+    if sum(map(len, boundaries.values())) > MOST_COUNTS:
+        return _slots_by_number(values, boundaries)
+    row = values.agg(
+        *[
+            count
+            for c, ends in boundaries.items()
+            for count in (
+                F.count(col(c)),
+                *[F.count_if(x) for e in ends for x in (col(c) < F.lit(e), col(c) == F.lit(e))],
+            )
+        ]
+    ).first()
+    sizes, at = {}, 0
+    for c, ends in boundaries.items():
+        own, total, before = {}, row[at], 0
+        for k in range(len(ends)):
+            below, equal = row[at + 1 + 2 * k], row[at + 2 + 2 * k]
+            own |= {2 * k: below - before, 2 * k + 1: equal}
+            before = below + equal
+        own[2 * len(ends)] = total - before
+        sizes[c] = {slot: n for slot, n in own.items() if n}
+        at += 1 + 2 * len(ends)
+    return sizes
+
+
 def _propose(
     values: DataFrame, search: dict[Rank, Bracket], accuracy: int
 ) -> dict[str, list[float]]:
@@ -88,15 +140,13 @@ def _propose(
     return {c: sorted(ends) for c, ends in out.items()}
 
 
-def _locate(
-    values: DataFrame, boundaries: dict[str, list[float]], search: dict[Rank, Bracket]
-) -> dict[Rank, float | Bracket]:
-    """For each rank the boundary it falls on, or the bracket it falls into."""
+def _slots_by_number(
+    values: DataFrame, boundaries: dict[str, list[float]]
+) -> dict[str, dict[int, int]]:
     names, stride = list(boundaries), 2 * max(map(len, boundaries.values())) + 1
     slots = []
     for i, (c, ends) in enumerate(boundaries.items()):
-        # slot 2k: just below boundary k; 2k+1: on it; one number for column and
-        # slot keeps the grouping key a plain integer
+        # one number for column and slot keeps the grouping key a plain integer
         slot = F.when(col(c).isNull(), F.lit(None))
         for k, end in enumerate(ends):
             slot = slot.when(col(c) < F.lit(end), i * stride + 2 * k)
@@ -113,6 +163,14 @@ def _locate(
     for row in rows:
         i, slot = divmod(row["slot"], stride)
         sizes.setdefault(names[i], {})[slot] = row["count"]
+    return sizes
+
+
+def _locate(
+    values: DataFrame, boundaries: dict[str, list[float]], search: dict[Rank, Bracket]
+) -> dict[Rank, float | Bracket]:
+    """For each rank the boundary it falls on, or the bracket it falls into."""
+    sizes = _slot_sizes(values, boundaries)
     found: dict[Rank, float | Bracket] = {}
     for c, rank in search:
         below, ends = 0, boundaries[c]
@@ -173,7 +231,8 @@ def exact_quantiles(
 ) -> dict[str, list[float | None]]:
     """Quantiles with linear interpolation; null and NaN are skipped.
 
-    ``max_rows`` bounds the rows that are sorted in one task for one rank.
+    ``max_rows`` bounds the rows that are sorted in one task for one rank: a wider bracket
+    is searched on, a narrower one sorted; both give the exact value.
     ``approximate`` returns the answer of a single sketch pass instead.
     """
     values = df.select(*[present(df, c).cast("double").alias(c) for c in columns])
@@ -183,8 +242,7 @@ def exact_quantiles(
         ).first()
         return {c: row[i] or [None] * len(probabilities) for i, c in enumerate(columns)}
 
-    counts = values.agg(*[F.count(col(c)) for c in columns]).first()
-    total = {c: counts[i] for i, c in enumerate(columns)}
+    total, proposed = _survey(values, columns, probabilities, accuracy)
     search: dict[Rank, Bracket] = {
         (c, rank): Bracket(c, None, None, 0, total[c])
         for c in columns
@@ -193,7 +251,9 @@ def exact_quantiles(
     }
     answers: dict[Rank, float] = {}
     while wide := {k: b for k, b in search.items() if b.inside > max_rows}:
-        for key, place in _locate(values, _propose(values, wide, accuracy), wide).items():
+        ends = proposed or _propose(values, wide, accuracy)
+        ends, proposed = {c: ends[c] for c in dict.fromkeys(c for c, _ in wide)}, None
+        for key, place in _locate(values, ends, wide).items():
             if isinstance(place, Bracket):
                 search[key] = place
             else:
