@@ -1,10 +1,12 @@
-"""Batch jobs for spark-submit: merge, audit, dashboard, train, score.
+"""Batch jobs for spark-submit: clean, merge, audit, dashboard, train, score.
 
     spark-submit martlens/cli.py audit --sales s.csv --products p.csv \
         --factories f.csv --targets t.csv --out reports/
 
 Inputs are CSV files with the usual headings, parquet folders or catalog
 tables (``--format``).  Every result is written below ``--out`` as parquet.
+``dashboard`` and ``train`` can read the table that ``merge`` wrote instead
+(``--merged``).  Intermediate copies are removed when a job ends.
 """
 
 from __future__ import annotations
@@ -23,25 +25,27 @@ from martlens.models.evaluation import residual_histogram  # noqa: E402
 from martlens.models.scoring import score_scenarios  # noqa: E402
 from martlens.models.training import (  # noqa: E402
     ModelConfig,
+    cross_validate,
     load,
     model_features,
     save,
     train,
 )
 from martlens.operators import profiling  # noqa: E402
-from martlens.operators.filters import ALL  # noqa: E402
+from martlens.operators.filters import ALL, filter_options  # noqa: E402
 from martlens.operators.statistics import (  # noqa: E402
     box_stats,
     histogram,
     iqr_outliers,
+    quartiles,
     sample_rows,
     scatter_bins,
 )
 from martlens.plans import audit, dashboard, reports  # noqa: E402
 from martlens.plans.star import Star, merge_growth, retail_star  # noqa: E402
-from martlens.session import build_session  # noqa: E402
+from martlens.session import build_session, scratch_scope  # noqa: E402
 from martlens.sources import readers, schemas  # noqa: E402
-from martlens.sources.tables import materialize  # noqa: E402
+from martlens.sources.tables import materialize, replace_table  # noqa: E402
 
 INPUTS = {
     "sales": schemas.SALES_TABLE,
@@ -79,6 +83,11 @@ def read(spark: SparkSession, source: str, spec: schemas.TableSpec, kind: str) -
 
 
 def load_star(spark: SparkSession, args: argparse.Namespace) -> Star:
+    if getattr(args, "merged", None):
+        return Star(spark.read.parquet(args.merged), ())  # every column is on the fact
+    lacking = [f"--{n}" for n in INPUTS if not getattr(args, n)]
+    if lacking:
+        raise SystemExit(f"missing: {' '.join(lacking)}")
     tables = {n: read(spark, getattr(args, n), spec, args.format) for n, spec in INPUTS.items()}
     if args.clean:
         tables["sales"] = audit.clean_sales(tables["sales"])
@@ -95,6 +104,20 @@ def write(results: dict[str, DataFrame], out: str) -> None:
         df.write.mode("overwrite").parquet(f"{out.rstrip('/')}/{name}")
 
 
+def run_clean(spark: SparkSession, args: argparse.Namespace) -> None:
+    """The sales table without copies and split lines.
+
+    A catalog table is replaced, its old contents stay as ``<name>_backup``; files are
+    left alone and the result is written out.
+    """
+    cleaned = audit.clean_sales(read(spark, args.sales, INPUTS["sales"], args.format))
+    if args.format == "table":
+        cleaned = replace_table(cleaned, args.sales)
+        write({"schema": profiling.schema_profile(cleaned)}, args.out)
+    else:
+        write({"sales": cleaned}, args.out)
+
+
 def run_merge(spark: SparkSession, args: argparse.Namespace) -> None:
     """The merged table, one folder per order year, with its preview and schema."""
     path = f"{args.out.rstrip('/')}/merged"
@@ -122,9 +145,14 @@ def run_dashboard(spark: SparkSession, args: argparse.Namespace) -> None:
         print("no data matches the filter")
         return
     results["correlations"] = dashboard.correlations(star, *choice)
-    results["headline"] = reports.kpi_headline(star.fact)
-    results["sales_box"] = box_stats(star.fact, "sales")
-    results["sales_outliers"] = iqr_outliers(star.fact, "sales")
+    results["top5_products"] = reports.top_products(
+        star.rollup(("product_id", "product_name"), ("sales",)), 5, ("product_id", "product_name")
+    )
+    results["options"] = filter_options(rollup, ("order_year", "region", "division"))
+    known = quartiles(star.fact, "sales")  # searched once for three results
+    results["headline"] = reports.kpi_headline(star.fact, median=known[1])
+    results["sales_box"] = box_stats(star.fact, "sales", known=known)
+    results["sales_outliers"] = iqr_outliers(star.fact, "sales", known=known)
     results["sales_histogram"] = histogram(star.fact, "sales")
     results["units_sales_scatter"] = scatter_bins(star.fact, "units", "sales")
     write(results, args.out)
@@ -151,6 +179,8 @@ def run_train(spark: SparkSession, args: argparse.Namespace) -> None:
             *[col(k) for k in args.keys], config.label, "prediction"
         ),
     }
+    if args.folds:
+        results["folds"] = cross_validate(fitted.train, config, args.keys, args.folds)
     forest = args.algorithm == "forest"
     results["importances" if forest else "coefficients"] = (
         fitted.importances() if forest else fitted.coefficients()
@@ -175,17 +205,22 @@ def parser() -> argparse.ArgumentParser:
         p.add_argument("--out", required=True)
         if star:
             for source in INPUTS:
-                p.add_argument(f"--{source}", required=True)
+                p.add_argument(f"--{source}")
             p.add_argument("--clean", action="store_true", help="drop copies, merge lines first")
         return p
 
+    p = job("clean", run_clean, star=False)
+    p.add_argument("--sales", required=True)
     job("merge", run_merge)
     job("audit", run_audit)
     p = job("dashboard", run_dashboard)
+    p.add_argument("--merged", help="a table written by merge, instead of the four inputs")
     p.add_argument("--years", type=int, nargs="*")
     p.add_argument("--region", default=ALL)
     p.add_argument("--division", default=ALL)
     p = job("train", run_train)
+    p.add_argument("--merged", help="a table written by merge, instead of the four inputs")
+    p.add_argument("--folds", type=int, default=5, help="folds of the training side, 0 for none")
     p.add_argument("--model", required=True)
     p.add_argument("--algorithm", choices=["forest", "linear"], default="forest")
     p.add_argument("--with-profit", action="store_true", help="add the leaking gross profit")
@@ -202,7 +237,9 @@ def parser() -> argparse.ArgumentParser:
 
 def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> None:
     args = parser().parse_args(argv)
-    args.run(spark or build_session(f"martlens-{args.job}"), args)
+    session = spark or build_session(f"martlens-{args.job}")
+    with scratch_scope(session):
+        args.run(session, args)
 
 
 if __name__ == "__main__":

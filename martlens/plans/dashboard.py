@@ -30,6 +30,8 @@ CORRELATED = (
 REPORTS: dict[str, Callable[[DataFrame], DataFrame]] = {
     "kpis": reports.kpi_dashboard,
     "monthly_trend": reports.monthly_trend,
+    "month_year_pivot": reports.month_year_pivot,
+    "annual_sales": reports.annual_sales,
     "region_sales": reports.region_sales,
     "division_share": lambda df: reports.sales_share(df, "division"),
     "top_products": lambda df: reports.top_products(df, 10),
@@ -70,6 +72,9 @@ def correlations(
     """
     filters = {"order_year": years is not None, "region": region != ALL,
                "division": division != ALL}
-    df = star.select(*CORRELATED, *[c for c, used in filters.items() if used])
-    chosen = dashboard_filter(df, years, region, division).select(*CORRELATED)
+    # the order date prunes the scan where a year taken from it cannot
+    dated = "order_date" if years is not None and "order_date" in star.fact.columns else None
+    extra = [c for c, used in filters.items() if used] + ([dated] if dated else [])
+    df = star.select(*CORRELATED, *extra)
+    chosen = dashboard_filter(df, years, region, division, dated).select(*CORRELATED)
     return correlation_matrix(materialize(chosen, "correlated"), CORRELATED)

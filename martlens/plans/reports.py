@@ -58,14 +58,19 @@ def share_of_total(totals: DataFrame, measure: str, name: str = "share") -> Data
 
 
 def kpi_headline(
-    df: DataFrame, sales: DataFrame | None = None, approximate: bool = False
+    df: DataFrame,
+    sales: DataFrame | None = None,
+    approximate: bool = False,
+    median: float | None = None,
 ) -> DataFrame:
     """Total, mean and median sale, transactions and the order date range.
 
-    A median cannot be taken from a roll-up: ``sales`` are then the fact rows.
+    A median cannot be taken from a roll-up: ``sales`` are then the fact rows.  A
+    ``median`` that is known already is not searched again.
     """
-    values = (df if sales is None else sales).select("sales")
-    median = exact_quantiles(values, ["sales"], [0.5], approximate)["sales"][0]
+    if median is None:
+        values = (df if sales is None else sales).select("sales")
+        median = exact_quantiles(values, ["sales"], [0.5], approximate)["sales"][0]
     return df.agg(
         _total(df, "sales").alias("total_sales"),
         _values(df, "sales").alias("__n"),

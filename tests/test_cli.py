@@ -48,6 +48,7 @@ def test_audit(spark, inputs, tmp_path):
     assert result(spark, tmp_path, "missing_values").first()["null_sales"] == pdf.Sales.isna().sum()
     assert result(spark, tmp_path, "orphan_products").count() == 0
     assert [r["n_rows"] for r in result(spark, tmp_path, "merge_growth").collect()] == [300] * 4
+    assert result(spark, tmp_path, "describe").count() == 4
 
 
 def test_dashboard(spark, inputs, tmp_path):
@@ -56,6 +57,11 @@ def test_dashboard(spark, inputs, tmp_path):
     want = pdf.loc[pdf.Region == "North", "Sales"].sum()
     assert result(spark, tmp_path, "kpis").first()["revenue"] == want
     assert result(spark, tmp_path, "correlations").count() == 49
+    assert result(spark, tmp_path, "top5_products").columns[:2] == ["product_id", "product_name"]
+    assert result(spark, tmp_path, "annual_sales").agg({"sales": "sum"}).first()[0] == want
+    assert result(spark, tmp_path, "month_year_pivot").count() <= 12
+    options = result(spark, tmp_path, "options")
+    assert options.filter("column_name = 'region'").count() == pdf.Region.nunique()
 
 
 def test_dashboard_without_match(spark, inputs, tmp_path, capsys):
@@ -83,3 +89,49 @@ def test_train_and_score(spark, inputs, tmp_path):
     )
     row = result(spark, tmp_path / "s", "predictions").first()
     assert row["predicted_sales"] == pytest.approx(40) and row["gross_profit"] == 10
+
+
+def test_train_with_the_defaults_and_score(spark, inputs, tmp_path):
+    flags, _ = inputs
+    model = str(tmp_path / "model")
+    cli.main(["train", *flags, "--trees", "3", "--model", model, "--out", str(tmp_path)], spark)
+    assert result(spark, tmp_path, "folds").count() == 5
+    scenarios = tmp_path / "scenarios.csv"
+    scenarios.write_text(
+        "Division,Region,Ship Mode,Units,Unit Price,Unit Cost,Shipping Days,Order Month,Quarter\n"
+        "Drinks,North,Sea,10,4,3,4,5,2\n"
+    )
+    out = tmp_path / "s"
+    cli.main(["score", "--model", model, "--scenarios", str(scenarios), "--out", str(out)], spark)
+    assert result(spark, out, "predictions").first()["gross_profit"] == 10
+
+
+def test_merged_table_is_used_again(spark, inputs, tmp_path):
+    flags, pdf = inputs
+    cli.main(["merge", *flags, "--out", str(tmp_path)], spark)
+    merged = ["--merged", str(tmp_path / "merged")]
+    cli.main(["dashboard", *merged, "--years", "2022", "--out", str(tmp_path / "d")], spark)
+    want = pdf.loc[pdf["Order Date"].astype(str).str.contains("2022"), "Sales"].sum()
+    assert result(spark, tmp_path / "d", "kpis").first()["revenue"] == pytest.approx(want)
+    more = ["--algorithm", "linear", "--model", str(tmp_path / "m"), "--out", str(tmp_path / "t")]
+    cli.main(["train", *merged, *more], spark)
+    assert result(spark, tmp_path / "t", "folds").count() == 5
+
+
+def test_inputs_are_asked_for(spark, tmp_path):
+    with pytest.raises(SystemExit, match="--sales"):
+        cli.main(["audit", "--out", str(tmp_path)], spark)
+
+
+def test_clean_replaces_a_table(spark, inputs, tmp_path):
+    _, pdf = inputs
+    for name in ("raw_sales", "raw_sales_backup"):
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
+    sales = make_sales(spark, 300)
+    copied = sales.unionByName(sales.withColumn("row_id", sales.row_id + 1000))
+    copied.write.saveAsTable("raw_sales")
+    job = ["clean", "--format", "table", "--sales", "raw_sales", "--out", str(tmp_path)]
+    cli.main(job, spark)
+    cleaned = spark.table("raw_sales")
+    assert cleaned.groupBy("order_id", "product_id").count().filter("count > 1").isEmpty()
+    assert 0 < cleaned.count() <= 300 and spark.table("raw_sales_backup").count() == 600
