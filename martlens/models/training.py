@@ -107,6 +107,7 @@ def fitting_stages(config: ModelConfig) -> list:
             featuresCol="scaled",
             labelCol=config.label,
             numTrees=config.trees,
+            bootstrap=config.trees > 1,  # a single tree sees every row
             maxDepth=config.depth,
             featureSubsetStrategy="all",
             maxBins=config.bins,
