@@ -30,6 +30,8 @@ def rows_of(columns, rows):
 def compare(spark, sf_dir, name, con):
     start = time.time()
     df = QUERIES[name](spark, sf_dir)
+    if len(set(df.columns)) < len(df.columns):
+        return 0.0, f"REPEATED COLUMN NAMES {df.columns}"
     mine = rows_of(df.columns, df.collect())
     took = time.time() - start
     if name not in ORACLE:

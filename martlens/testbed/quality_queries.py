@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from martlens.operators import cleaning, integrity, profiling
 from martlens.plans.star import merge_growth
 from martlens.session import scratch_path
-from martlens.sources.readers import read_csv
+from martlens.sources.readers import read_csv, read_table
 from martlens.sources.schemas import TableSpec
 from martlens.sources.tables import materialize, replace_table, save_table
 from martlens.testbed.bindings import TABLES, TARGETS, sales_lines, star, table
@@ -30,15 +30,30 @@ ORDERS_CSV = TableSpec(
 )
 
 
-@register(
-    "csv_roundtrip",
-    """
+_ORDERS_SQL = """
     SELECT o_orderkey AS order_id, CAST(o_custkey AS VARCHAR) AS customer_id,
            strftime(o_orderdate, '%Y-%m-%d') AS order_date, o_orderpriority AS ship_mode,
            round(o_totalprice, 2) AS order_total
     FROM orders
-    """,
-)
+    """
+
+
+@register("table_scan", _ORDERS_SQL)
+def table_scan(spark, sf_dir):
+    """Orders as a catalog table with columns of other types, read back typed."""
+    raw = table(spark, sf_dir, "orders").select(
+        F.col("o_orderkey").cast("double").alias("order_id"),
+        F.col("o_custkey").alias("customer_id"),
+        F.date_format("o_orderdate", "yyyy-MM-dd").alias("order_date"),
+        F.col("o_orderpriority").alias("ship_mode"),
+        F.col("o_totalprice").cast("string").alias("order_total"),
+    )
+    name = f"orders_{uuid.uuid4().hex}"
+    save_table(raw, name, scratch_path(spark, "orders-table"))
+    return finish(read_table(spark, name, ORDERS_CSV), order_total=2)
+
+
+@register("csv_roundtrip", _ORDERS_SQL)
 def csv_roundtrip(spark, sf_dir):
     """Orders written as CSV under their headings and read back typed."""
     path = scratch_path(spark, "orders-csv")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from martlens.functions.columns import is_year_end, month_short_name, month_start
 from martlens.operators import statistics
-from martlens.operators.filters import dashboard_filter, filter_options
+from martlens.operators.filters import dashboard_filter, filter_options, has_rows
 from martlens.plans import dashboard, reports
 from martlens.plans.star import retail_star
 from martlens.session import scratch_path
@@ -115,6 +115,22 @@ def filter_dashboard(spark, sf_dir):
     return finish(dashboard_filter(lines, [1996, 1997], "ASIA", "PROMO", "order_date"), sales=2)
 
 
+@register(
+    "filter_empty",
+    """
+    SELECT count(*) AS n_rows, CAST(count(*) > 0 AS VARCHAR) AS has_rows
+    FROM star WHERE order_year = 1900 AND region = 'ASIA'
+    """,
+    star=True,
+)
+def filter_empty(spark, sf_dir):
+    """A choice that nothing matches, and the guard that says so."""
+    chosen = dashboard_filter(star(spark, sf_dir).select(*_FILTERED), [1900], "ASIA")
+    return chosen.agg(
+        F.count("*").alias("n_rows"), F.lit(str(has_rows(chosen)).lower()).alias("has_rows")
+    )
+
+
 @register(
     "filter_saved",
     """
