@@ -4,10 +4,10 @@ Markup is stripped to lines, one per block element.  Lines of parts that are nev
 main text (menus, site headers, footers, sidebars, notices, adverts, forms, reader
 comments, hidden parts) and lines that are mostly links weigh nothing; other lines weigh
 their length.  Sums over sliding windows of ``WINDOW`` lines rise at the surge and fall
-at the dive of the main text, and what lies between is kept.  Where the page marks an
-article, the sums of lines inside articles decide, and surge and dive move to the
-edges of the article that holds the heaviest window: a short first or last paragraph
-then stays.
+at the dive of the main text, and what lies between is kept.  Surge and dive then move to
+the edges of the element that holds the text: the article with the heaviest window where
+the page marks articles, else the innermost element around the heavy lines.  A short
+first or last paragraph then stays.
 """
 
 from __future__ import annotations
@@ -70,20 +70,23 @@ _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
 
 class _Element:
-    __slots__ = ("name", "drop", "hinted", "article", "link")
+    __slots__ = ("name", "drop", "head", "hinted", "article", "link")
 
     def __init__(self, name: str, attributes: str, inside_article: bool):
         self.name, self.article, self.link = name, name in ("article", "main"), name == "a"
-        self.drop = name in _NEVER or name == "header" and not inside_article
-        self.hinted = False
+        self.drop, self.head, self.hinted = name in _NEVER, name == "header", False
         if attributes and attributes != "/":
             self._read(attributes)
+        if self.head and not inside_article:
+            self.drop = True
 
     def _read(self, attributes: str) -> None:
         for key, a, b, c in _ATTRIBUTE.findall(attributes):
             key, value = key.lower(), (a or b or c).lower()
             if key in ("class", "id"):
-                self.hinted |= not _HINTS.isdisjoint(_WORD.findall(value))
+                found = _HINTS.intersection(_WORD.findall(value))
+                self.head |= "header" in found
+                self.hinted |= bool(found - {"header"})
             elif key == "role":
                 self.hinted |= not _ROLES.isdisjoint(value.split())
             elif key == "hidden" or key == "aria-hidden" and value == "true":
@@ -91,7 +94,7 @@ class _Element:
             elif key == "style":
                 self.hinted |= _HIDDEN.search(value) is not None
         if self.name in ("html", "body", "main"):
-            self.hinted = False
+            self.hinted = self.head = False
 
 
 class _Line:
@@ -149,18 +152,18 @@ def lines_of(page: str) -> list[_Line]:
         element = _Element(name, token["attributes"], any(e.article for e in stack))
         if element.article and not element.hinted:
             for outer in stack:  # what holds an article is no margin, whatever it is called
-                outer.hinted = False
+                outer.hinted = outer.head = False
+                outer.drop &= outer.name != "header" and outer.name not in ("div", "section")
         stack.append(element)
         if name in _BLOCK:
             line = None
     return lines
 
 
-def _dropped(line: _Line) -> bool:
+def _dropped(line: _Line, hints: bool) -> bool:
+    """Whether a part that is no main text holds the line; headings of an article stay."""
     for element in line.path:
-        if element.drop or element.hinted:
-            return True
-        if element.name == "header" and not line.heading:
+        if element.drop or hints and (element.hinted or element.head and not line.heading):
             return True
     return False
 
@@ -173,16 +176,21 @@ def window_sums(weights: np.ndarray, window: int) -> np.ndarray:
 
 def main_text(page: str | None) -> str:
     """The kept blocks of a page, joined by empty lines; empty if there are none."""
-    lines, texts, weights = [], [], []
-    for line in lines_of(page or ""):
-        text = " ".join(html.unescape("".join(line.parts)).split())
-        if text and not _dropped(line):
-            lines.append(line)
-            texts.append(text)
-            weights.append(0 if 2 * line.linked > line.size else len(text))
-    if not lines:
+    whole = [
+        (line, text) for line in lines_of(page or "")
+        if (text := " ".join(html.unescape("".join(line.parts)).split()))
+    ]
+    # names that would drop every line of an article mean something else here
+    kept = [x for x in whole if not _dropped(x[0], True)]
+    if not any(e.article for line, _ in kept for e in line.path):
+        inside = [x for x in whole if any(e.article for e in x[0].path)]
+        kept = [x for x in inside if not _dropped(x[0], False)] or kept
+    if not kept:
         return ""
-    weight = np.array(weights, np.int64)
+    lines, texts = [x[0] for x in kept], [x[1] for x in kept]
+    weight = np.array(
+        [0 if 2 * line.linked > line.size else len(text) for line, text in kept], np.int64
+    )
     marked = np.array([any(e.article for e in line.path) for line in lines])
     if marked.any():
         sums = window_sums(np.where(marked, weight, 0), WINDOW)
@@ -192,7 +200,19 @@ def main_text(page: str | None) -> str:
             t for t, line in zip(texts, lines, strict=True) if holder in line.path
         )
     surge, dive = _between(weight, [line.heading for line in lines])
-    return "\n\n".join(texts[surge:dive])
+    holder = _holder([lines[i].path for i in range(surge, dive) if weight[i] >= LEAST])
+    if holder is None:
+        return "\n\n".join(texts[surge:dive])
+    return "\n\n".join(t for t, line in zip(texts, lines, strict=True) if holder in line.path)
+
+
+def _holder(paths: list[tuple[_Element, ...]]) -> _Element | None:
+    """The innermost element around all of the lines, if it is less than the page."""
+    if len(paths) < 2:
+        return None
+    shared = [a for a, *rest in zip(*paths, strict=False) if all(a is b for b in rest)]
+    inner = shared[-1] if shared else None
+    return None if inner is None or inner.name in ("html", "body") else inner
 
 
 def _between(weight: np.ndarray, heading: list[bool]) -> tuple[int, int]:

@@ -72,3 +72,19 @@ def test_nulls_and_clashing_names(spark):
     assert got.columns == ["page_id", "url", "text", "n_chars"]
     assert sorted((r.text, r.n_chars) for r in got.collect()) == [("", 0), ("", 0), ("é x", 3)]
     assert extract(df.limit(0)).count() == 0
+
+
+def test_names_that_only_look_like_margins():
+    body = "<p>" + "text of the article. " * 20 + "</p><p>end.</p>"
+    page = f'<article><div class="entry-header"><h1>T</h1><p>by x</p></div><div>{body}</div></article>'
+    assert main_text(page).split("\n\n")[0] == "T" and "by x" not in main_text(page)
+    assert main_text(page).endswith("end.")
+    assert main_text(f'<article><div class="ad-free">{body}</div></article>').endswith("end.")
+    assert main_text(f'<div class="page header"><article>{body}</article></div>').endswith("end.")
+
+
+def test_the_element_around_the_heavy_lines_sets_the_edges():
+    long = "<p>" + "words of a paragraph here. " * 8 + "</p>"
+    page = f"<p>stray</p><div><p>first</p>{long}<p>mid</p>{long}<p>last</p></div><p>stray</p>"
+    got = main_text(page).split("\n\n")
+    assert got[0] == "first" and got[-1] == "last" and "stray" not in got
