@@ -2,24 +2,28 @@
 
 The forest is fitted on a bounded sample and sent to all tasks: its size depends on the
 sample and the number of trees alone.  Every distinct vector is placed in one leaf per
-tree.  A query opens leaves of all trees from one priority queue; the members of its
-leaves are scored exactly.  Equal vectors are one member with its k + 1 smallest ids,
-which is all that a result can hold of them.
+tree.  A query opens leaves of all trees from one priority queue, once, and goes to the
+shards that hold them; a shard is a run of leaves of one tree, so no member is twice in
+it.  There the members of the opened leaves are scored, the best stay, and those are scored
+again in double precision.  Equal vectors are one member with its k + 1 smallest ids, which
+is all that a result can hold of them.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from martlens.llm.forest import Forest
 from martlens.llm.vectors import copied, dealt, matrix
 from martlens.sources.tables import materialize
 
-MEMBERS = "tree int, leaf bigint, member bigint, vector array<double>, ids array<bigint>"
-FOUND = "query_id bigint, score double, ids array<bigint>"
+MEMBERS = "shard bigint, leaf bigint, member bigint, vector array<double>, ids array<bigint>"
+VISITS = "shard bigint, query_id bigint, vector array<double>, leaves array<bigint>"
+FOUND = "query_id bigint, score double, member bigint, ids array<bigint>"
+SPARE = 11  # members kept beyond k + 1, against rounding in single precision
 
 
 def _lifted(vectors: np.ndarray, top: float) -> np.ndarray:
@@ -36,7 +40,7 @@ def _lists(rows: list[np.ndarray] | np.ndarray, kind: pa.DataType) -> pa.Array:
 def nearest(
     candidates: DataFrame, queries: DataFrame, k: int = 20, trees: int = 6,
     leaf_rows: int = 64, sample_rows: int = 16_384, opened: float = 0.25,
-    shard_rows: int = 32_768, block_queries: int = 512,
+    shard_rows: int = 32_768, block_queries: int = 2_048,
 ) -> DataFrame:
     """The ``k`` nearest found candidates of each query by inner product.
 
@@ -77,9 +81,14 @@ def nearest(
     forest = Forest.fit(_lifted(sample, top), trees, leaf_rows)
     sent = spark.sparkContext.broadcast((forest.directions, forest.cuts))
     budget = max(trees, int(np.ceil(opened * trees * forest.leaves)), -(-2 * k * trees // leaf_rows))
-    shards = max(1, -(-trees * facts["n"] // shard_rows))
+    forest_leaves = forest.leaves
+    runs = min(forest.leaves, -(-facts["n"] // shard_rows))  # of leaves per tree
+    splits = -(-facts["n"] // (runs * shard_rows))  # of members, where leaves are large
     blocks = max(1, -(-own["n"] // block_queries))
 
+    def shard_of(tree, leaf):
+        return tree * runs + leaf * runs // forest_leaves
+
     def place(batches):
         model = Forest(*sent.value)
         for batch in batches:
@@ -89,75 +98,85 @@ def nearest(
             leaves = model.place(_lifted(matrix(vectors, dim), top))
             for t in range(model.trees):
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(batch), t, np.int32)), pa.array(leaves[t]),
+                    [pa.array(shard_of(t, leaves[t])), pa.array(leaves[t]),
                      batch.column("member"), vectors, batch.column("ids")],
-                    names=["tree", "leaf", "member", "vector", "ids"],
+                    names=["shard", "leaf", "member", "vector", "ids"],
                 )
 
+    def visit(batches):
+        model = Forest(*sent.value)
+        for batch in batches:
+            at, shards, opened_leaves = [], [], []
+            for k, vector in enumerate(matrix(batch.column("vector"), dim)):
+                by_shard: dict[int, list[int]] = {}
+                for t, leaf in model.search(np.append(vector, 0.0), budget):
+                    by_shard.setdefault(shard_of(t, leaf), []).append(leaf)
+                at += [k] * len(by_shard)
+                shards += by_shard.keys()
+                opened_leaves += by_shard.values()
+            at = pa.array(at, pa.int64())
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(shards, pa.int64()), batch.column("query_id").take(at),
+                 batch.column("vector").take(at),
+                 pa.array(opened_leaves, pa.list_(pa.int64()))],
+                names=["shard", "query_id", "vector", "leaves"],
+            )
+
     def score(table: pa.Table, visitors: pa.Table) -> pa.Table:
         schema = pa.schema([("query_id", pa.int64()), ("score", pa.float64()),
-                            ("ids", pa.list_(pa.int64()))])
+                            ("member", pa.int64()), ("ids", pa.list_(pa.int64()))])
         if not len(table) or not len(visitors):
             return schema.empty_table()
-        model = Forest(*sent.value)
         left, right = matrix(table.column("vector"), dim), matrix(visitors.column("vector"), dim)
-        member = table.column("member").to_numpy()
-        home = table.column("tree").to_numpy() * model.leaves + table.column("leaf").to_numpy()
-        order = np.argsort(home, kind="stable")
-        starts = np.flatnonzero(np.append(True, np.diff(home[order]) != 0))
-        ends = np.append(starts[1:], len(order))
-        rows_of = {int(home[order[a]]): order[a:b] for a, b in zip(starts, ends, strict=True)}
+        member, leaf = table.column("member").to_numpy(), table.column("leaf").to_numpy()
+        order = np.lexsort((member, leaf))
+        left, member, leaf = left[order], member[order], leaf[order]
+        small, asked_small = left.astype(np.float32), right.astype(np.float32)
         by_leaf: dict[int, list[int]] = {}
-        for q, vector in enumerate(right):
-            for t, leaf in model.search(np.append(vector, 0.0), budget):
-                if t * model.leaves + leaf in rows_of:
-                    by_leaf.setdefault(t * model.leaves + leaf, []).append(q)
-        most = k + 1  # the query itself may be among them
-        kept_q, kept_m = [], []
-        for leaf, asking in by_leaf.items():
-            rows, asking = rows_of[leaf], np.array(asking)
-            scores = right[asking] @ left[rows].T
-            if len(rows) > most:
-                # equal scores differ by rounding here: keep a whisker more than the k-th
-                limit = -np.partition(-scores, most - 1, axis=1)[:, most - 1]
-                q, m = np.nonzero(scores >= (limit - 1e-9 * (1 + np.abs(limit)))[:, None])
-            else:
-                q, m = np.nonzero(np.ones(scores.shape, bool))
-            kept_q.append(asking[q])
-            kept_m.append(rows[m])
-        if not kept_q:
-            return schema.empty_table()
-        q, m = np.concatenate(kept_q), np.concatenate(kept_m)
-        pair = np.unique(q * len(member) + np.searchsorted(np.unique(member), member)[m],
-                         return_index=True)[1]  # a member is in a leaf of every tree
-        q, m = q[pair], m[pair]
+        for q, leaves in enumerate(visitors.column("leaves").to_pylist()):
+            for x in leaves:
+                by_leaf.setdefault(x, []).append(q)
+        most = k + 1 + SPARE  # the query itself may be among them
+        best = np.full((len(right), most), -np.inf, np.float32)
+        who = np.full((len(right), most), -1, np.int64)
+        starts = np.flatnonzero(np.append(True, leaf[1:] != leaf[:-1]))
+        for a, b in zip(starts.tolist(), [*starts[1:].tolist(), len(leaf)], strict=True):
+            asking = np.array(by_leaf.get(int(leaf[a]), ()), np.int64)
+            if not len(asking):
+                continue
+            scores = np.concatenate([best[asking], asked_small[asking] @ small[a:b].T], axis=1)
+            rows = np.broadcast_to(np.arange(a, b), (len(asking), b - a))
+            rows = np.concatenate([who[asking], rows], axis=1)
+            top_places = np.argpartition(-scores, most - 1, axis=1)[:, :most]
+            best[asking] = np.take_along_axis(scores, top_places, axis=1)
+            who[asking] = np.take_along_axis(rows, top_places, axis=1)
+        q, place_of = np.nonzero(who >= 0)
+        m = who[q, place_of]
         exact = np.empty(len(q))
         for a in range(0, len(q), 1 << 16):
-            s = slice(a, a + (1 << 16))
-            exact[s] = (right[q[s]] * left[m[s]]).sum(axis=1)
-        order = np.lexsort((member[m], -exact, q))
-        q, m, exact = q[order], m[order], exact[order]
-        first = np.flatnonzero(np.append(True, q[1:] != q[:-1]))
-        rank = np.arange(len(q)) - np.repeat(first, np.diff(np.append(first, len(q))))
-        # equal scores of different vectors at the end: their ids decide later
-        edge = np.full(len(right), -np.inf)
-        edge[q[rank == most - 1]] = exact[rank == most - 1]
-        pick = exact >= edge[q]
+            run = slice(a, a + (1 << 16))
+            exact[run] = (right[q[run]] * left[m[run]]).sum(axis=1)
         query_ids = visitors.column("query_id").to_numpy()
-        ids = table.column("ids").combine_chunks()
+        ids = table.column("ids").combine_chunks().take(pa.array(order[m]))
         return pa.Table.from_arrays(
-            [pa.array(query_ids[q[pick]]), pa.array(exact[pick]), ids.take(pa.array(m[pick]))],
-            schema=schema,
+            [pa.array(query_ids[q]), pa.array(exact), pa.array(member[m]), ids], schema=schema
         )
 
+    def split(rows: DataFrame, by: Column) -> DataFrame:
+        return rows.withColumn("shard", F.col("shard") * splits + by)
+
     placed = members.select("member", "vector", "ids").mapInArrow(place, MEMBERS)
-    placed = placed.withColumn("shard", dealt(F.col("member"), shards))
+    placed = split(placed, dealt(F.col("member"), splits))
     index = copied(placed, "block", blocks).groupBy("shard", "block")
-    visitors = asked.withColumn("block", dealt(F.col("query_id"), blocks, 1).cast("int"))
-    shard = F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(shards - 1).cast("bigint")))
-    visitors = visitors.withColumn("shard", shard).groupBy("shard", "block")
-    found = index.cogroup(visitors).applyInArrow(score, FOUND)
-    flat = found.select("query_id", "score", F.explode("ids").alias("vec_id"))
+    visits = asked.select("query_id", "vector").mapInArrow(visit, VISITS)
+    visits = split(copied(visits, "part", splits), F.col("part")).drop("part")
+    visits = visits.withColumn("block", dealt(F.col("query_id"), blocks, 1).cast("int"))
+    found = index.cogroup(visits.groupBy("shard", "block")).applyInArrow(score, FOUND)
+    # a member is in a leaf of every tree
+    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "member")
+    once = found.dropDuplicates(["query_id", "member"])
+    flat = once.withColumn("at", F.row_number().over(best)).filter(F.col("at") <= k + 1)
+    flat = flat.select("query_id", "score", F.explode("ids").alias("vec_id"))
     flat = flat.filter(F.col("query_id") != F.col("vec_id"))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return flat.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select(
