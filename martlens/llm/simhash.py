@@ -116,14 +116,17 @@ def _near(a: np.ndarray, b: np.ndarray, distance: int) -> np.ndarray:
 
 def _group_links(own: np.ndarray, distance: int, dense: int = 3000) -> tuple:
     """Each member of a group with the smallest member that it reaches."""
-    label = np.arange(len(own))
+    label = np.arange(len(own), dtype=np.int32)
     if len(own) <= dense:
         near = np.concatenate([
             _near(own[a : a + 256, None], own[None, :], distance)
             for a in range(0, len(own), 256)
         ])
         while True:
-            low = np.where(near, label[None, :], len(own)).min(axis=1)
+            low = np.concatenate([
+                np.where(near[a : a + 256], label[None, :], np.int32(len(own))).min(axis=1)
+                for a in range(0, len(own), 256)
+            ])
             low = low[low]
             if (low == label).all():
                 break
