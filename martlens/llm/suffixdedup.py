@@ -252,7 +252,7 @@ def _fetch(rows: DataFrame, needs: DataFrame, length: int, hot_segments: int) ->
     single = rows.select("id", "tag", "whole")
     found = single.join(cuts, ["id", "tag"]).mapInArrow(run, TEXTS)
     total = needs.agg(F.sum("length")).head()[0] or 0
-    return found.repartition(parts(spark, total, 1_500_000), "route")
+    return found.repartition(parts(spark, total, 1_000_000), "route")
 
 
 def _factors(length: int):

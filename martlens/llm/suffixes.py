@@ -10,7 +10,7 @@ import numpy as np
 
 
 def _dense(key: np.ndarray) -> np.ndarray:
-    return np.unique(key, return_inverse=True)[1].astype(np.int64)
+    return np.unique(key, return_inverse=True)[1].astype(np.int32)
 
 
 class SuffixRanks:
@@ -34,8 +34,9 @@ class SuffixRanks:
 
     @staticmethod
     def _pair(left: np.ndarray, right: np.ndarray, shift: int) -> np.ndarray:
-        moved = np.concatenate([right[shift:], np.zeros(min(shift, len(right)), np.int64)])
-        return _dense(left * (int(right.max(initial=0)) + 1) + moved)
+        key = left.astype(np.int64) * (int(right.max(initial=0)) + 1)
+        key[: max(0, len(key) - shift)] += right[shift:]
+        return _dense(key)
 
     def common(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Bytes that the texts from places ``a`` and ``b`` share at their start, to depth."""
