@@ -122,7 +122,10 @@ class Merges:
             keep[at + 1] = False
             fresh = at - np.arange(len(at))  # places after the removal
             symbol, word, place = symbol[keep], word[keep], place[keep]
-            again = np.union1d(fresh, fresh[fresh > 0] - 1)
+            changed = np.zeros(len(symbol), bool)
+            changed[fresh] = True
+            changed[fresh[fresh > 0] - 1] = True
+            again = np.flatnonzero(changed)
             here = again[again + 1 < len(symbol)]
             same = word[here] == word[here + 1]
             place[again] = -1
@@ -149,7 +152,7 @@ class Store:
         fresh = set().union(*chunk_lists).difference(self.kept)
         if not fresh:
             return self.kept
-        fresh = sorted(fresh)
+        fresh = list(fresh)
         made = dict(zip(fresh, self.make(fresh), strict=True))
         if len(self.kept) + len(made) <= self.bound:
             self.kept.update(made)
@@ -182,8 +185,12 @@ class ByteCodec:
 
     def _make(self, chunks: Sequence[str]) -> list[tuple[bytes, bytes]]:
         """Of each chunk: its ids as decimals, each after a comma, and the decoded bytes."""
-        lists = [self.words.findall(c) for c in chunks]
-        distinct = sorted(set().union(*lists))
+        # letters after a space, if any, are one word
+        lists = [
+            [c] if c.isalpha() or c[1:].isalpha() and c[0] == " " else self.words.findall(c)
+            for c in chunks
+        ]
+        distinct = list(set().union(*lists))
         ids, ends = self.merges.encode([w.encode("utf-8", "surrogatepass") for w in distinct])
         text = [b",%d" % i for i in ids.tolist()]
         raw = list(map(self.bytes_of.__getitem__, ids.tolist()))

@@ -62,15 +62,17 @@ class WordIds:
         """Little-endian unsigned 32-bit ids of each chunk."""
         out: list[bytes] = [b""] * len(chunks)
         plain, lists, other = [], [], []
+        together = "\n".join(chunks)
+        special = [t for t in self.special if t in together]
         for i, chunk in enumerate(chunks):
-            if self.whole and _PLAIN.fullmatch(chunk) and not any(
-                t in chunk for t in self.special
-            ):
+            known = chunk.isprintable() if chunk.isascii() else _PLAIN.fullmatch(chunk)
+            if known and self.whole and not (special and any(t in chunk for t in special)):
                 plain.append(i)
-                lists.append(_WORDS.findall(chunk.lower()))
+                low = chunk.lower()
+                lists.append([low] if low.isalpha() else _WORDS.findall(low))
             else:
                 other.append(i)
-        distinct = sorted(set().union(*lists))
+        distinct = list(set().union(*lists))
         ids, ends = self.merges.encode([w.encode() for w in distinct])
         flat, begin, known = ids.astype("<u4").tobytes(), 0, {}
         for word, end in zip(distinct, (ends * 4).tolist(), strict=True):
