@@ -84,7 +84,7 @@ class LatentSpace:
         seen = (rows > 0).sum(axis=0)
         weights = (np.log((1 + len(rows)) / (1 + seen)) + 0.3).astype(np.float32)
         scaled = rows * weights
-        values, vectors = np.linalg.eigh((scaled.T @ scaled).astype(np.float64))
+        values, vectors = np.linalg.eigh(scaled.T @ scaled)
         top = np.argsort(-values, kind="stable")[:size]
         return cls(weights, vectors[:, top].astype(np.float32))
 
@@ -175,13 +175,27 @@ def score_quality(
     plain, names = numbered(docs, added)
     text, one = f"c{names.index('text')}", f"c{names.index('doc_id')}"
     known = _labelled(docs, labels, voters)
-    order = known.orderBy(F.xxhash64("doc_id"), "doc_id")
-    first = order.select("terms").limit(fit_rows).toArrow().column("terms")
+    learning = not known.isEmpty()
     rows = plain.withColumn("whole", whole_text(text))
     schema = T.StructType([*plain.schema.fields, T.StructField("score", T.DoubleType())])
-    if len(first):
-        flat = first.combine_chunks().flatten().to_numpy()
-        space = LatentSpace.fit(flat.reshape(-1, WIDTH), size)
+    if learning:
+
+        def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            found = np.concatenate([b.column(0).flatten().to_numpy() for b in batches])
+            space = LatentSpace.fit(found.reshape(-1, WIDTH), size)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([x.ravel()], pa.list_(pa.float32()))
+                 for x in (space.weights, space.directions)],
+                names=["weights", "directions"],
+            )
+
+        # fitted in one task, over at most fit_rows rows; the driver gets the directions
+        order = known.orderBy(F.xxhash64("doc_id"), "doc_id").select("terms").limit(fit_rows)
+        model = order.coalesce(1).mapInArrow(
+            fit, "weights array<float>, directions array<float>"
+        ).toArrow()
+        weights, directions = (c.combine_chunks().flatten().to_numpy() for c in model.columns)
+        space = LatentSpace(weights, directions.reshape(WIDTH, -1))
 
         def project(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -209,7 +223,7 @@ def score_quality(
                     [*small.columns[:-1], pa.array(scores)], names=schema.names
                 )
 
-    scored = rows.mapInArrow(score, schema) if len(first) else plain.withColumn(
+    scored = rows.mapInArrow(score, schema) if learning else plain.withColumn(
         "score", F.lit(0.5))
     return scored.select(
         *plain.columns, (~learned_from(F.col(one))).alias("held_out"), "score",
