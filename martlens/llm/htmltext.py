@@ -39,6 +39,8 @@ _NEVER = frozenset(
     "nav footer aside form button select menu dialog object audio video canvas head".split()
 )
 _HEADING = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
+_IN_HEAD = frozenset(f"html head base basefont bgsound link meta {_RAW}".replace("|", " ").split())
+_HOLDERS = frozenset(("header", "div", "section", "form"))
 _CLOSED_BY = {
     "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"},
     "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"},
@@ -113,6 +115,9 @@ def lines_of(page: str) -> list[_Line]:
     for token in _TOKEN.finditer(page):
         text = token["text"]
         if text is not None:
+            if stack and stack[-1].name == "head" and not text.isspace():
+                del stack[-1]
+                line = None
             if line is None:
                 line = _Line(tuple(stack))
                 lines.append(line)
@@ -127,6 +132,13 @@ def lines_of(page: str) -> list[_Line]:
         if name is None:
             continue
         name = name.lower()
+        if not token["end"] and name not in _IN_HEAD:
+            # the end tag of a head may be left out: what cannot be in a head ends it
+            for k, outer in enumerate(stack):
+                if outer.name == "head":
+                    del stack[k:]
+                    line = None
+                    break
         if name in _BLOCK:
             line = None
         elif name in _SPACED and line is not None:
@@ -153,13 +165,30 @@ def lines_of(page: str) -> list[_Line]:
         if element.article and not element.hinted:
             for outer in stack:  # what holds an article is no margin, whatever it is called
                 outer.hinted = outer.head = False
-                outer.drop &= outer.name != "header" and outer.name not in ("div", "section")
+                outer.drop &= outer.name not in _HOLDERS
         stack.append(element)
         if name in _BLOCK:
             line = None
     return lines
 
 
+def _free_forms(lines: list[_Line]) -> None:
+    """A form around most of the page's text is the page itself: it drops nothing.
+
+    Lines that something else drops do not count, nor does the text of links.
+    """
+    inside: dict[_Element, int] = {}
+    total = 0
+    for line in lines:
+        forms = [e for e in line.path if e.name == "form" and e.drop]
+        if not any(e.drop and e.name != "form" or e.hinted for e in line.path):
+            total += line.size - line.linked
+            for form in forms:
+                inside[form] = inside.get(form, 0) + line.size - line.linked
+    for form, size in inside.items():
+        form.drop = 2 * size <= total
+
+
 def _dropped(line: _Line, hints: bool) -> bool:
     """Whether a part that is no main text holds the line; headings of an article stay."""
     for element in line.path:
@@ -176,8 +205,10 @@ def window_sums(weights: np.ndarray, window: int) -> np.ndarray:
 
 def main_text(page: str | None) -> str:
     """The kept blocks of a page, joined by empty lines; empty if there are none."""
+    lines = lines_of(page or "")
+    _free_forms(lines)
     whole = [
-        (line, text) for line in lines_of(page or "")
+        (line, text) for line in lines
         if (text := " ".join(html.unescape("".join(line.parts)).split()))
     ]
     # names that would drop every line of an article mean something else here

@@ -88,3 +88,24 @@ def test_the_element_around_the_heavy_lines_sets_the_edges():
     page = f"<p>stray</p><div><p>first</p>{long}<p>mid</p>{long}<p>last</p></div><p>stray</p>"
     got = main_text(page).split("\n\n")
     assert got[0] == "first" and got[-1] == "last" and "stray" not in got
+
+
+LONG = "words of some length that make up a paragraph of the text. " * 5
+
+
+def test_a_head_without_its_end_tag():
+    for body in (f"<body><p>{LONG}", f"<body><article><p>{LONG}</article>", f"<div><p>{LONG}</div>"):
+        got = main_text(f"<html><head><meta charset=utf-8><title>T</title><link href=x>{body}")
+        assert got == LONG.strip()
+    assert main_text(f"<head><title>T</title>{LONG}") == LONG.strip()
+    assert main_text(f"<head><title>T</title></head><body><p>{LONG}") == LONG.strip()
+
+
+def test_a_form_around_the_page():
+    form = "<form id=aspnetForm action=/><input type=hidden><nav>menu</nav>"
+    assert main_text(f"<body>{form}<article><p>in</article></form>") == "in"
+    assert main_text(f"<body>{form}<main><p>in</main></form>") == "in"
+    assert main_text(f"<body>{form}<div><p>{LONG}<p>{LONG}</div></form>") == "\n\n".join([LONG.strip()] * 2)
+    page = f"<body><p>{LONG}<p>{LONG}<form><p>{LONG}</form>"
+    assert main_text(page) == "\n\n".join([LONG.strip()] * 2)
+    assert main_text("<article><p>in<form><p>x</form></article>") == "in"
