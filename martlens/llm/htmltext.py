@@ -41,6 +41,7 @@ _NEVER = frozenset(
 _HEADING = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
 _IN_HEAD = frozenset(f"html head base basefont bgsound link meta {_RAW}".replace("|", " ").split())
 _HOLDERS = frozenset(("header", "div", "section", "form"))
+_SCOPES = frozenset("ul ol dl table article div section button select object".split())
 _CLOSED_BY = {
     "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"},
     "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"},
@@ -55,6 +56,7 @@ _HINTS = frozenset(
     "sharing social related recommended newsletter subscribe subscription signup login popup modal "
     "overlay search widget widgets pagination pager toolbar copyright disclaimer".split()
 )
+_READERS = frozenset("comment comments disqus respond thread list area section".split())
 
 _TOKEN = re.compile(
     rf"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?"
@@ -72,24 +74,36 @@ _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
 
 class _Element:
-    __slots__ = ("name", "drop", "head", "hinted", "article", "link")
-
-    def __init__(self, name: str, attributes: str, inside_article: bool):
-        self.name, self.article, self.link = name, name in ("article", "main"), name == "a"
-        self.drop, self.head, self.hinted = name in _NEVER, name == "header", False
+    """A tag's element; ``link``, ``titled`` and ``holder`` hold for all inside it as well."""
+
+    __slots__ = ("name", "outer", "drop", "head", "hinted", "article", "link", "titled", "holder",
+                 "never", "margin", "top", "size")
+
+    def __init__(self, name: str, attributes: str, outer: _Element | None):
+        self.name, self.outer, self.article = name, outer, name in ("article", "main")
+        self.drop, self.head, self.hinted, self.size = name in _NEVER, name == "header", False, 0
+        self.link = name == "a" or outer is not None and outer.link
+        self.titled = name in _HEADING or outer is not None and outer.titled
+        inside = None if outer is None else outer.holder  # the outermost article or main
+        self.holder = inside or (self if self.article else None)
         if attributes and attributes != "/":
-            self._read(attributes)
-        if self.head and not inside_article:
+            self._read(attributes, inside is not None)
+        if self.head and inside is None:
             self.drop = True
 
-    def _read(self, attributes: str) -> None:
+    def _read(self, attributes: str, inside: bool) -> None:
+        # in an article words may be its subject: only classes and roles of blocks count
+        named = not inside or self.name in _BLOCK and self.name not in _HEADING
         for key, a, b, c in _ATTRIBUTE.findall(attributes):
             key, value = key.lower(), (a or b or c).lower()
-            if key in ("class", "id"):
+            if key == "class" and named or key == "id" and not inside and self.name not in _HEADING:
                 found = _HINTS.intersection(_WORD.findall(value))
                 self.head |= "header" in found
                 self.hinted |= bool(found - {"header"})
-            elif key == "role":
+            elif key == "id" and named and inside:
+                found = set(_WORD.findall(value))
+                self.hinted |= found <= _READERS and not found.isdisjoint(_HINTS)
+            elif key == "role" and named:
                 self.hinted |= not _ROLES.isdisjoint(value.split())
             elif key == "hidden" or key == "aria-hidden" and value == "true":
                 self.hinted = True
@@ -100,33 +114,31 @@ class _Element:
 
 
 class _Line:
-    __slots__ = ("parts", "linked", "size", "path", "heading")
+    """Texts of one block, each with its innermost element; spaces have none."""
+
+    __slots__ = ("parts", "block")
 
-    def __init__(self, path: tuple[_Element, ...]):
-        self.parts, self.linked, self.size, self.path = [], 0, 0, path
-        self.heading = any(e.name in _HEADING for e in path)
+    def __init__(self, block: _Element):
+        self.parts: list[tuple[str, _Element | None]] = []
+        self.block = block
 
 
-def lines_of(page: str) -> list[_Line]:
-    """The page's lines of text, each with the elements that hold it."""
-    stack: list[_Element] = []
-    lines: list[_Line] = []
+def lines_of(page: str) -> tuple[list[_Element], list[_Line]]:
+    """The page's elements, outer before inner ones, and its lines of text."""
+    stack = [_Element("", "", None)]
+    elements, lines = stack[:], []
     line: _Line | None = None
     for token in _TOKEN.finditer(page):
         text = token["text"]
         if text is not None:
-            if stack and stack[-1].name == "head" and not text.isspace():
+            if stack[-1].name == "head" and not text.isspace():
                 del stack[-1]
                 line = None
             if line is None:
-                line = _Line(tuple(stack))
+                block = next((e for e in reversed(stack) if e.name in _BLOCK), stack[0])
+                line = _Line(block)
                 lines.append(line)
-            # text that ends in a bare "&" or "<" is joined before references are read
-            line.parts.append(text)
-            size = len(text.strip())
-            line.size += size
-            if any(e.link for e in stack):
-                line.linked += size
+            line.parts.append((text, stack[-1]))
             continue
         name = token["name"]
         if name is None:
@@ -141,11 +153,13 @@ def lines_of(page: str) -> list[_Line]:
                     break
         if name in _BLOCK:
             line = None
-        elif name in _SPACED and line is not None:
-            line.parts.append(" ")
+        elif (name in _SPACED or name in _NEVER) and line is not None:
+            line.parts.append((" ", None))
         if token["end"]:
-            for k in range(len(stack) - 1, -1, -1):
+            for k in range(len(stack) - 1, 0, -1):
                 if stack[k].name == name:
+                    if any(e.name in _BLOCK for e in stack[k:]):
+                        line = None
                     del stack[k:]
                     break
             continue
@@ -155,13 +169,14 @@ def lines_of(page: str) -> list[_Line]:
         if name in _BLOCK and name not in ("html", "body"):
             closing = (closing or set()) | {"p"}
         if closing:
-            for k in range(len(stack) - 1, -1, -1):
+            for k in range(len(stack) - 1, 0, -1):
                 if stack[k].name in closing:
                     del stack[k:]
                     break
-                if stack[k].name in ("ul", "ol", "dl", "table", "article", "div", "section"):
+                if stack[k].name in _SCOPES:
                     break
-        element = _Element(name, token["attributes"], any(e.article for e in stack))
+        element = _Element(name, token["attributes"], stack[-1])
+        elements.append(element)
         if element.article and not element.hinted:
             for outer in stack:  # what holds an article is no margin, whatever it is called
                 outer.hinted = outer.head = False
@@ -169,32 +184,58 @@ def lines_of(page: str) -> list[_Line]:
         stack.append(element)
         if name in _BLOCK:
             line = None
-    return lines
+    return elements, lines
+
 
+def _judge(elements: list[_Element], forms: bool = True) -> None:
+    """Carries what drops text from outer to inner elements; ``forms`` tells if forms do."""
+    for e in elements:
+        e.never = e.drop and (forms or e.name != "form")
+        e.margin, e.top = e.hinted, e.head
+        if e.outer is not None:
+            e.never |= e.outer.never
+            e.margin |= e.outer.margin
+            e.top |= e.outer.top
 
-def _free_forms(lines: list[_Line]) -> None:
+
+def _free_forms(elements: list[_Element], lines: list[_Line]) -> None:
     """A form around most of the page's text is the page itself: it drops nothing.
 
-    Lines that something else drops do not count, nor does the text of links.
+    Texts that something else drops do not count, nor do those of links.
     """
-    inside: dict[_Element, int] = {}
-    total = 0
+    forms = [e for e in elements if e.drop and e.name == "form"]
+    if not forms:
+        return
+    _judge(elements, forms=False)
     for line in lines:
-        forms = [e for e in line.path if e.name == "form" and e.drop]
-        if not any(e.drop and e.name != "form" or e.hinted for e in line.path):
-            total += line.size - line.linked
-            for form in forms:
-                inside[form] = inside.get(form, 0) + line.size - line.linked
-    for form, size in inside.items():
-        form.drop = 2 * size <= total
+        for text, e in line.parts:
+            if e is not None and not (e.link or _dropped(e, True)):
+                e.size += len(text.strip())
+    for e in reversed(elements):
+        if e.outer is not None:
+            e.outer.size += e.size
+    for form in forms:
+        form.drop = 2 * form.size <= elements[0].size
 
 
-def _dropped(line: _Line, hints: bool) -> bool:
-    """Whether a part that is no main text holds the line; headings of an article stay."""
-    for element in line.path:
-        if element.drop or hints and (element.hinted or element.head and not line.heading):
-            return True
-    return False
+def _dropped(e: _Element, hints: bool) -> bool:
+    """Whether a part that is no main text holds the element; headings of an article stay."""
+    return e.never or hints and (e.margin or e.top and not e.titled)
+
+
+def _left(lines: list[_Line], hints: bool) -> list[tuple[_Line, str, int]]:
+    """Lines with text left, that text, and its weight: its length, or 0 if mostly links."""
+    out = []
+    for line in lines:
+        parts = [(t, e) for t, e in line.parts if e is None or not _dropped(e, hints)]
+        # text that ends in a bare "&" or "<" is joined before references are read
+        text = " ".join(html.unescape("".join(t for t, _ in parts)).split())
+        if text:
+            sizes = [(len(t.strip()), e.link) for t, e in parts if e is not None]
+            linked = sum(n for n, link in sizes if link)
+            heavy = 2 * linked <= sum(n for n, _ in sizes)
+            out.append((line, text, len(text) if heavy else 0))
+    return out
 
 
 def window_sums(weights: np.ndarray, window: int) -> np.ndarray:
@@ -205,45 +246,51 @@ def window_sums(weights: np.ndarray, window: int) -> np.ndarray:
 
 def main_text(page: str | None) -> str:
     """The kept blocks of a page, joined by empty lines; empty if there are none."""
-    lines = lines_of(page or "")
-    _free_forms(lines)
-    whole = [
-        (line, text) for line in lines
-        if (text := " ".join(html.unescape("".join(line.parts)).split()))
-    ]
-    # names that would drop every line of an article mean something else here
-    kept = [x for x in whole if not _dropped(x[0], True)]
-    if not any(e.article for line, _ in kept for e in line.path):
-        inside = [x for x in whole if any(e.article for e in x[0].path)]
-        kept = [x for x in inside if not _dropped(x[0], False)] or kept
+    elements, lines = lines_of(page or "")
+    _free_forms(elements, lines)
+    _judge(elements)
+    kept = _left(lines, True)
+    if not any(line.block.holder for line, *_ in kept):
+        # names that would drop every line of an article mean something else here
+        kept = _left([x for x in lines if x.block.holder], False) or kept
     if not kept:
         return ""
-    lines, texts = [x[0] for x in kept], [x[1] for x in kept]
-    weight = np.array(
-        [0 if 2 * line.linked > line.size else len(text) for line, text in kept], np.int64
-    )
-    marked = np.array([any(e.article for e in line.path) for line in lines])
+    blocks = [line.block for line, *_ in kept]
+    texts = [text for _, text, _ in kept]
+    weight = np.array([w for *_, w in kept], np.int64)
+    marked = np.array([b.holder is not None for b in blocks])
     if marked.any():
         sums = window_sums(np.where(marked, weight, 0), WINDOW)
         top = int(np.where(marked, sums, -1).argmax())
-        holder = [e for e in lines[top].path if e.article][-1]
+        holder = next(e for e in _path(blocks[top])[::-1] if e.article)
         return "\n\n".join(
-            t for t, line in zip(texts, lines, strict=True) if holder in line.path
+            t for t, b in zip(texts, blocks, strict=True) if holder in _path(b)
         )
-    surge, dive = _between(weight, [line.heading for line in lines])
-    holder = _holder([lines[i].path for i in range(surge, dive) if weight[i] >= LEAST])
+    surge, dive = _between(weight, [b.titled for b in blocks])
+    holder = _holder([blocks[i] for i in range(surge, dive) if weight[i] >= LEAST])
     if holder is None:
         return "\n\n".join(texts[surge:dive])
-    return "\n\n".join(t for t, line in zip(texts, lines, strict=True) if holder in line.path)
+    return "\n\n".join(t for t, b in zip(texts, blocks, strict=True) if holder in _path(b))
+
+
+def _path(element: _Element) -> list[_Element]:
+    """The element and all around it, the outermost first."""
+    out = []
+    while element is not None:
+        out.append(element)
+        element = element.outer
+    return out[::-1]
 
 
-def _holder(paths: list[tuple[_Element, ...]]) -> _Element | None:
-    """The innermost element around all of the lines, if it is less than the page."""
-    if len(paths) < 2:
+def _holder(blocks: list[_Element]) -> _Element | None:
+    """The innermost element around all of the blocks, if it is less than the page."""
+    if len(blocks) < 2:
         return None
-    shared = [a for a, *rest in zip(*paths, strict=False) if all(a is b for b in rest)]
-    inner = shared[-1] if shared else None
-    return None if inner is None or inner.name in ("html", "body") else inner
+    shared = _path(blocks[0])
+    for block in blocks[1:]:
+        pairs = zip(shared, _path(block), strict=False)
+        shared = [a for a, b in pairs if a is b]
+    return None if shared[-1].name in ("", "html", "body") else shared[-1]
 
 
 def _between(weight: np.ndarray, heading: list[bool]) -> tuple[int, int]:

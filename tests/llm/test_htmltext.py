@@ -109,3 +109,23 @@ def test_a_form_around_the_page():
     page = f"<body><p>{LONG}<p>{LONG}<form><p>{LONG}</form>"
     assert main_text(page) == "\n\n".join([LONG.strip()] * 2)
     assert main_text("<article><p>in<form><p>x</form></article>") == "in"
+
+
+def test_words_that_are_the_subject_of_an_article():
+    page = (
+        '<article><h2 id="search">Search</h2><p>a<section id="related-work"><h3 class="share">R</h3>'
+        '<p>b</section><div class="related">gone</div><div role="navigation">gone</div>'
+        '<div id="comments">gone</div><p hidden>gone</p><p id="notice">c</p></article>'
+    )
+    assert main_text(page).split("\n\n") == ["Search", "a", "R", "b", "c"]
+    long = LONG.strip()
+    assert main_text(f'<h2 id="search">Search</h2><p>{LONG}').split("\n\n") == ["Search", long]
+
+
+def test_inline_text_is_judged_by_itself():
+    for inline in ("<button>gone</button>", "<select><option>gone</select>", "<i hidden>gone</i>"):
+        assert main_text(f"<article><p>{inline} one <b>two</b></p></article>") == "one two"
+        assert main_text(f"<article><p>one {inline} two</p></article>").split() == ["one", "two"]
+    page = '<article><p><span class="social">one</span> two<p><a class="reply">x</a> is it</article>'
+    assert main_text(page) == "one two\n\nx is it"
+    assert main_text(f'<p><span class="social">gone</span> {LONG}') == LONG.strip()
