@@ -266,11 +266,8 @@ def main_text(page: str | None) -> str:
         return "\n\n".join(
             t for t, b in zip(texts, blocks, strict=True) if holder in _path(b)
         )
-    surge, dive = _between(weight, [b.titled for b in blocks])
-    holder = _holder([blocks[i] for i in range(surge, dive) if weight[i] >= LEAST])
-    if holder is None:
-        return "\n\n".join(texts[surge:dive])
-    return "\n\n".join(t for t, b in zip(texts, blocks, strict=True) if holder in _path(b))
+    chosen = _between(weight, blocks, elements)
+    return "\n\n".join(t for t, c in zip(texts, chosen, strict=True) if c)
 
 
 def _path(element: _Element) -> list[_Element]:
@@ -293,25 +290,92 @@ def _holder(blocks: list[_Element]) -> _Element | None:
     return None if shared[-1].name in ("", "html", "body") else shared[-1]
 
 
-def _between(weight: np.ndarray, heading: list[bool]) -> tuple[int, int]:
-    """Surge and dive of the heaviest stretch of lines whose windows are heavy."""
+def _stretches(weight: np.ndarray) -> list[tuple[int, int]]:
+    """Every surge and its dive: runs of heavy windows, without weightless lines at the ends.
+
+    On a page of short lines no window is heavy; there a run of lines counts that has no
+    weightless window and ``LEAST`` characters as a whole.
+    """
     sums = window_sums(weight, WINDOW)
-    heavy = np.append(False, sums >= LEAST).astype(np.int8)
-    edges = np.diff(np.append(heavy, 0))
-    best = (0, 0, 0)
-    for a, b in zip(np.flatnonzero(edges == 1), np.flatnonzero(edges == -1), strict=True):
-        end = min(len(weight), b + WINDOW - 1)
-        best = max(best, (int(weight[a:end].sum()), -int(a), int(end)))
-    total, surge, dive = best[0], -best[1], best[2]
-    if not total:
-        return 0, 0
-    while dive > surge and not weight[dive - 1]:
-        dive -= 1
-    while surge < dive and not weight[surge]:
-        surge += 1
-    while surge and heading[surge - 1]:
-        surge -= 1
-    return surge, dive
+    out = []
+    for least in (LEAST, 1):
+        edges = np.diff(np.concatenate([[0], (sums >= least).astype(np.int8), [0]]))
+        for a, b in zip(np.flatnonzero(edges == 1), np.flatnonzero(edges == -1), strict=True):
+            some = a + np.flatnonzero(weight[a : b + WINDOW - 1])
+            if weight[some].sum() >= LEAST:
+                out.append((int(some[0]), int(some[-1]) + 1))
+        if out:
+            break
+    return out
+
+
+def _within(blocks: list[_Element], elements: list[_Element], holders: set) -> np.ndarray:
+    """Whether each block is one of the holders or inside one."""
+    inside = set()
+    for e in elements:  # outer before inner ones
+        if e in holders or e.outer in inside:
+            inside.add(e)
+    return np.array([b in inside for b in blocks], bool)
+
+
+def _whole(e: _Element) -> bool:
+    return e.name in ("", "html", "body")
+
+
+def _between(
+    weight: np.ndarray, blocks: list[_Element], elements: list[_Element]
+) -> np.ndarray:
+    """The lines between surge and dive of all stretches in the block they share.
+
+    What lies between two stretches stays, but for windows of links alone where the heavy
+    lines before and after are not in the same element.  The first surge and the last dive
+    move on to a weightless window or the edge of the block.  An element that directly
+    holds several heavy lines is kept as a whole.
+    """
+    n = len(weight)
+    chosen, found = np.zeros(n, bool), _stretches(weight)
+    if not found:
+        return chosen
+    for a, b in found:
+        chosen[a:b] = True
+    heavy = np.flatnonzero(chosen & (weight >= LEAST))
+    if not len(heavy):
+        heavy = np.flatnonzero(chosen & (weight > 0))
+    parents: dict[_Element, int] = {}
+    for i in heavy.tolist():
+        for e in (blocks[i], blocks[i].outer):
+            if e is not None and not _whole(e):
+                parents[e] = parents.get(e, 0) + 1
+    around = _holder([blocks[i] for i in heavy.tolist()])
+    inside = np.ones(n, bool) if around is None else _within(blocks, elements, {around})
+
+    empty = np.zeros(n, bool)  # lines of a window without weight
+    for i in range(n - WINDOW + 1):
+        if not weight[i : i + WINDOW].any():
+            empty[i : i + WINDOW] = True
+    first, last = found[0][0], max(b for _, b in found)
+    for a, b in zip(heavy[:-1].tolist(), heavy[1:].tolist(), strict=True):
+        chosen[a:b] |= ~empty[a:b] | (blocks[a].outer is blocks[b].outer)
+    chosen[first:last] |= ~empty[first:last]
+
+    siblings = {blocks[i].outer for i in heavy.tolist()}
+    for outward in (range(first - 1, -1, -1), range(last, n)):
+        light = []
+        for i in outward:
+            if empty[i] or not inside[i]:
+                break
+            if weight[i] and (around is not None or blocks[i].outer in siblings):
+                light.append(i)
+        if light and (around is not None or weight[light].sum() >= LEAST):
+            chosen[min(first, light[-1]) : max(last, light[-1] + 1)] |= ~empty[
+                min(first, light[-1]) : max(last, light[-1] + 1)]
+    chosen |= _within(blocks, elements, {e for e, count in parents.items() if count > 1})
+    chosen &= inside
+    start = int(chosen.argmax())
+    while start and blocks[start - 1].titled and inside[start - 1]:
+        start -= 1
+        chosen[start] = True
+    return chosen
 
 
 def extract(pages: DataFrame) -> DataFrame:

@@ -129,3 +129,27 @@ def test_inline_text_is_judged_by_itself():
     page = '<article><p><span class="social">one</span> two<p><a class="reply">x</a> is it</article>'
     assert main_text(page) == "one two\n\nx is it"
     assert main_text(f'<p><span class="social">gone</span> {LONG}') == LONG.strip()
+
+
+def test_every_stretch_stays():
+    long = LONG.strip()
+    items = "<ul>" + "".join(f"<li>{w}</li>" for w in "abcd") + "</ul>"
+    got = main_text(f"<body><p>{LONG}<p>{LONG}{items}<p>{LONG}</body>")
+    assert got.split("\n\n") == [long, long, *"abcd", long]
+    chapters = "".join(
+        f"<section><h2>{k}</h2><p>{LONG}<p>x<p>y<p>z<p>v<p>{LONG}</section>" for k in "123"
+    )
+    links = "<ul>" + "<li><a href=/>menu</a>" * 5 + "</ul>"
+    for page in (f"<body>{links}{chapters}{links}", f"<body><div>{links}{chapters}{links}</div>"):
+        want = [x for k in "123" for x in (k, long, *"xyzv", long)]
+        assert main_text(page).split("\n\n") == want
+    assert "menu" not in main_text(f"<div>{LONG}</div>{links}<div><p>{LONG}<p>{LONG}</div>")
+
+
+def test_short_lines_only():
+    verse = [f"a line of verse {k}" for k in "abcdefgh"]
+    assert main_text("<p>" + "<p>".join(verse)).split("\n\n") == verse
+    got = main_text(f"<p>{LONG}<p>" + "<p>".join(verse) + f"<p>{LONG}").split("\n\n")
+    assert got == [LONG.strip(), *verse, LONG.strip()]
+    assert main_text(f"<p>{LONG}<p>" + "<p>".join(verse)).split("\n\n") == [LONG.strip(), *verse]
+    assert main_text("<ul>" + "<li><a>some link of a menu</a>" * 9 + "</ul>") == ""
