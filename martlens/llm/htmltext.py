@@ -2,12 +2,12 @@
 
 Markup is stripped to lines, one per block element.  Lines of parts that are never
 main text (menus, site headers, footers, sidebars, notices, adverts, forms, reader
-comments, hidden parts) and lines that are mostly links weigh nothing; other lines weigh
-their length.  Sums over sliding windows of ``WINDOW`` lines rise at the surge and fall
-at the dive of the main text, and what lies between is kept.  Surge and dive then move to
-the edges of the element that holds the text: the article with the heaviest window where
-the page marks articles, else the innermost element around the heavy lines.  A short
-first or last paragraph then stays.
+comments, hidden parts) are left out, and lines that are mostly links weigh nothing; other
+lines weigh their length.  Sums over sliding windows of ``WINDOW`` lines rise at the surge
+and fall at the dive of the main text, and all such stretches are kept with the light lines
+between them.  Surge and dive then move to the edges of the element that holds the text: the
+outermost article or main around a stretch where the page marks them, else the innermost
+element around the heavy lines.  A short first or last paragraph then stays.
 """
 
 from __future__ import annotations
@@ -258,18 +258,40 @@ def main_text(page: str | None) -> str:
     blocks = [line.block for line, *_ in kept]
     texts = [text for _, text, _ in kept]
     weight = np.array([w for *_, w in kept], np.int64)
-    marked = np.array([b.holder is not None for b in blocks])
-    if marked.any():
-        sums = window_sums(np.where(marked, weight, 0), WINDOW)
-        top = int(np.where(marked, sums, -1).argmax())
-        holder = next(e for e in _path(blocks[top])[::-1] if e.article)
-        return "\n\n".join(
-            t for t, b in zip(texts, blocks, strict=True) if holder in _path(b)
-        )
-    chosen = _between(weight, blocks, elements)
+    chosen = _chosen(weight, blocks, elements)
     return "\n\n".join(t for t, c in zip(texts, chosen, strict=True) if c)
 
 
+def _chosen(weight: np.ndarray, blocks: list[_Element], elements: list[_Element]) -> np.ndarray:
+    """The lines of the main text: surge and dive, widened by the page's marks.
+
+    Stretches of heavy windows are located on the whole page.  Where those in articles (or
+    main) weigh as much as the heaviest outside, they are the main text, and each widens to
+    the outermost article around it; an article beside it in the same element belongs to it.
+    Else the page marks something else as well: all stretches stay, and the articles too.
+    """
+    marked = np.array([b.holder is not None for b in blocks])
+    if not marked.any():
+        return _between(weight, blocks, elements)
+    solid, outside = np.zeros(len(weight), bool), 0
+    for a, b in _stretches(weight):
+        solid[a:b] = True
+        outside = max(outside, int(np.where(marked, 0, weight)[a:b].sum()))
+    located = marked & solid & (weight > 0)
+    decided = weight[located].sum() >= outside
+    if not located.any():  # short articles have no heavy window
+        located = marked & (weight > 0)
+    if not located.any() and not outside:
+        located = marked  # articles of links alone
+    holders = {blocks[i].holder for i in np.flatnonzero(located).tolist()}
+    beside = {e.outer for e in holders}
+    for i in np.flatnonzero(marked & (weight > 0)).tolist():
+        if blocks[i].holder.outer in beside:
+            holders.add(blocks[i].holder)
+    chosen = _within(blocks, elements, holders)
+    return chosen if decided else chosen | _between(weight, blocks, elements)
+
+
 def _path(element: _Element) -> list[_Element]:
     """The element and all around it, the outermost first."""
     out = []

@@ -153,3 +153,16 @@ def test_short_lines_only():
     assert got == [LONG.strip(), *verse, LONG.strip()]
     assert main_text(f"<p>{LONG}<p>" + "<p>".join(verse)).split("\n\n") == [LONG.strip(), *verse]
     assert main_text("<ul>" + "<li><a>some link of a menu</a>" * 9 + "</ul>") == ""
+
+
+def test_marks_widen_surge_and_dive():
+    long = LONG.strip()
+    page = f"<main><h1>Title</h1><p>lead</p><article><p>{LONG}</article></main>"
+    assert main_text(page).split("\n\n") == ["Title", "lead", long]
+    page = f"<p>stray<article><p>{LONG}</article><article><p>short</article><article><p>{LONG}</article>"
+    assert main_text(page).split("\n\n") == [long, "short", long]
+    page = f"<article><p>outer<article><p>{LONG}<p>{LONG}</article><p>{LONG}</article>"
+    assert main_text(page).split("\n\n") == ["outer", long, long, long]
+    # the windows decide where the marked part is not the heavy one
+    page = f"<article><p>teaser</article><div><p>{LONG}<p>{LONG}<p>end</div>"
+    assert main_text(page).split("\n\n") == ["teaser", long, long, "end"]
