@@ -12,7 +12,8 @@ windows together.  In a group
 
 Large groups are no burden: equal segments fall to one row per slice of the input
 before they are shuffled, and where more than ``hot_segments`` different segments share
-an anchor each of their windows goes its own way by its own hash.
+an anchor each of their windows goes its own way by its 128-bit digest: as a row without its
+text, of equal windows one per slice, settled in sorted order like equal segments.
 """
 
 from __future__ import annotations
@@ -211,18 +212,16 @@ def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         waiting = [c[heads[-1] : heads[-1] + 1] for c in columns]
 
 
-def _fetch(rows: DataFrame, needs: DataFrame, length: int, hot_segments: int) -> DataFrame:
-    """The texts of undecided segments; windows of a hot anchor come one by one."""
-    spark = rows.sparkSession
-    hot = needs.groupBy("anchor").count().filter(F.col("count") > hot_segments)
-    hot = materialize(hot.select("anchor", F.lit(True).alias("hot")), "hot-anchors")
-    if not hot.isEmpty():
-        needs = needs.join(hot, "anchor", "left")
-    else:
-        needs = needs.withColumn("hot", F.lit(False))
+def _cuts(rows: DataFrame, needs: DataFrame) -> DataFrame:
+    """The documents of undecided segments, each with its segments."""
     cuts = needs.groupBy("id", "tag").agg(
-        F.collect_list(F.struct("anchor", "start", "length", "hot")).alias("cuts")
+        F.collect_list(F.struct("anchor", "start", "length")).alias("cuts")
     )
+    return rows.select("id", "tag", "whole").join(cuts, ["id", "tag"])
+
+
+def _fetch(rows: DataFrame, needs: DataFrame) -> DataFrame:
+    """The texts of undecided segments."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -235,13 +234,7 @@ def _fetch(rows: DataFrame, needs: DataFrame, length: int, hot_segments: int) ->
                     data = text.encode()
                     for cut in own:
                         a, n = cut["start"], cut["length"]
-                        if not cut["hot"]:
-                            out.append((cut["anchor"], one, tag, a, data[a : a + n]))
-                            continue
-                        for b in range(a, a + n - length + 1):
-                            part = data[b : b + length]
-                            route = xxhash.xxh3_64_intdigest(part) - 2**63
-                            out.append((route, one, tag, b, part))
+                        out.append((cut["anchor"], one, tag, a, data[a : a + n]))
                 if out:
                     kinds = [pa.int64()] * 4 + [pa.binary()]
                     yield pa.RecordBatch.from_arrays(
@@ -249,10 +242,79 @@ def _fetch(rows: DataFrame, needs: DataFrame, length: int, hot_segments: int) ->
                         names=["route", "id", "tag", "start", "part"],
                     )
 
-    single = rows.select("id", "tag", "whole")
-    found = single.join(cuts, ["id", "tag"]).mapInArrow(run, TEXTS)
+    found = _cuts(rows, needs).mapInArrow(run, TEXTS)
     total = needs.agg(F.sum("length")).head()[0] or 0
-    return found.repartition(parts(spark, total, 1_000_000), "route")
+    return found.repartition(parts(rows.sparkSession, total, 1_000_000), "route")
+
+
+def _window_rows(rows: DataFrame, needs: DataFrame, length: int) -> DataFrame:
+    """The windows of undecided segments by their digest; all but the first of a slice settled.
+
+    Neighbouring settled windows make one row.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for small in slices(batch, "whole"):
+                order = sorted(zip(
+                    *(small.column(c).to_pylist() for c in ("id", "tag", "whole")),
+                    [sorted({(c["start"], c["length"]) for c in own})
+                     for own in small.column("cuts").to_pylist()], strict=True))
+                digests, ids, tags, starts, counts, last = [], [], [], [], [], None
+                for one, tag, text, own in order:
+                    if (one, tag) == last:  # a document that is there twice is one document
+                        continue
+                    last, data = (one, tag), text.encode()
+                    for a, n in own:
+                        ids.append(one)
+                        tags.append(tag)
+                        starts.append(a)
+                        counts.append(n - length + 1)
+                        digests.append(b"".join(
+                            xxhash.xxh3_128_digest(data[b : b + length])
+                            for b in range(a, a + n - length + 1)))
+                if not ids:
+                    continue
+                keys = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
+                owner = np.repeat(np.arange(len(ids)), counts)
+                begins = np.cumsum(counts) - counts
+                place = np.array(starts, np.int64)[owner] + np.arange(len(owner)) - begins[owner]
+                sort = np.lexsort((keys[:, 1], keys[:, 0]))  # stable: equal windows by place
+                ordered = keys[sort]
+                settled = np.zeros(len(owner), bool)
+                settled[sort[1:]] = (ordered[1:] == ordered[:-1]).all(axis=1)
+                follows = np.append(False, settled[1:] & settled[:-1] & (owner[1:] == owner[:-1]))
+                head = np.flatnonzero(~follows)
+                runs = np.diff(np.append(head, len(owner)))
+                id_of, tag_of = np.array(ids, np.int64)[owner], np.array(tags, np.int64)[owner]
+                spread = _mixed((id_of * 31 + place).view(np.uint64)).view(np.int64)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(settled[head]),
+                     pa.array(np.where(settled, spread, keys[:, 0])[head]),
+                     pa.array(keys[head, 1]), pa.array(id_of[head]), pa.array(tag_of[head]),
+                     pa.array(place[head]), pa.array((runs + length - 1).astype(np.int32))],
+                    names=["settled", "anchor", "digest", "id", "tag", "start", "length"],
+                )
+
+    return _cuts(rows, needs).mapInArrow(run, ROWS)
+
+
+def _matched(rows: DataFrame, needs: DataFrame, length: int, hot_segments: int) -> DataFrame:
+    """The stretches of undecided segments that an earlier place has."""
+    hot = needs.groupBy("anchor").count().filter(F.col("count") > hot_segments).select("anchor")
+    hot = materialize(hot, "hot-anchors")
+    if hot.isEmpty():
+        return _fetch(rows, needs).mapInArrow(_factors(length), REMOVED)
+    cold = _fetch(rows, needs.join(hot, "anchor", "left_anti"))
+    needs = needs.join(hot, "anchor", "left_semi")
+    windows = needs.agg(F.sum(F.col("length") - (length - 1))).head()[0]
+    each = _window_rows(rows, needs, length)
+    each = each.repartition(parts(rows.sparkSession, windows, 1_000_000), "anchor")
+    each = each.sortWithinPartitions("anchor", "digest", "id", "tag", "start")
+    each = each.mapInArrow(_settle, ROWS).filter("settled")
+    return cold.mapInArrow(_factors(length), REMOVED).unionByName(
+        each.select("id", "tag", "start", "length")
+    )
 
 
 def _factors(length: int):
@@ -345,7 +407,7 @@ def remove_repeats(
     decided = materialize(found.mapInArrow(_settle, ROWS), "segments")
     removed = ["id", "tag", "start", "length"]
     needs = decided.filter(~F.col("settled")).drop("settled", "digest")
-    matched = _fetch(rows, needs, length, hot_segments).mapInArrow(_factors(length), REMOVED)
+    matched = _matched(rows, needs, length, hot_segments)
     cuts = (
         decided.filter("settled").select(*removed).unionByName(matched)
         .groupBy("id", "tag").agg(F.collect_list(F.struct("start", "length")).alias("cuts"))

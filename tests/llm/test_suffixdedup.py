@@ -4,6 +4,7 @@ import random
 import numpy as np
 import pytest
 
+from martlens.llm import suffixdedup
 from martlens.llm.inputs import read, ready
 from martlens.llm.queries import QUERIES
 from martlens.llm.suffixdedup import NO_ID, remove_repeats, segments
@@ -118,3 +119,45 @@ def test_equal_windows_have_equal_anchors():
     by_window = {}
     for p, a in zip(covered.tolist(), np.repeat(anchors, counts).tolist(), strict=True):
         assert by_window.setdefault(data[p : p + 100].tobytes(), a) == a
+
+
+def test_a_passage_in_many_different_documents_is_not_gathered(spark, monkeypatch):
+    rng = random.Random(3)
+    passage = "".join(rng.choice("abcdefgh ") for _ in range(120))
+
+    def around():
+        return "".join(rng.choice("ijklmnop") for _ in range(150))
+
+    rows = [(i, around() + passage + around()) for i in range(80)]
+    rows += [rows[7], (None, passage), (500, passage * 3)]
+    factors, hot = suffixdedup._factors, 10
+
+    def guarded(length):
+        inner = factors(length)
+
+        def run(batches):
+            batches = list(batches)
+            routes = [r for b in batches for r in b.column("route").to_pylist()]
+            assert max(map(routes.count, routes), default=0) <= hot
+            yield from inner(iter(batches))
+
+        return run
+
+    monkeypatch.setattr(suffixdedup, "_factors", guarded)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = result(remove_repeats(df, 100, texts=False, hot_segments=hot))
+    assert sorted(set(got)) == brute(rows, 100) and len(got) == len(rows)
+    assert sum(r[2] for r in got) > 80 * 120
+
+
+def test_equal_windows_fall_to_one_row_before_the_shuffle(spark):
+    text = "0123456789 of a passage " * 6
+    rows = [(i, 0, text[:120]) for i in range(50)]
+    docs = spark.createDataFrame(rows, "id long, tag long, whole string").coalesce(1)
+    needs = [(1, i, 0, 0, 120) for i in range(50)]
+    needs = spark.createDataFrame(
+        needs, "anchor long, id long, tag long, start long, length int").coalesce(1)
+    out = suffixdedup._window_rows(docs, needs, 100).collect()
+    single = [r for r in out if not r.settled]
+    batches = -(-len(single) // 21)
+    assert len(out) - len(single) == 50 - batches and batches < 25
