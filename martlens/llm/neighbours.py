@@ -4,8 +4,8 @@ The forest is fitted on a bounded sample and sent to all tasks: its size depends
 sample and the number of trees alone.  Every distinct vector is placed in one leaf per
 tree.  A query opens leaves of all trees from one priority queue, once, and goes to the
 shards that hold them; a shard is a run of leaves of one tree, so no member is twice in
-it.  There the members of the opened leaves are scored, the best stay, and those are scored
-again in double precision.  Equal vectors are one member with its k + 1 smallest ids, which
+it.  There the members of the opened leaves are scored in single precision, and all that
+rounding may have kept from the best are scored again in double precision.  Equal vectors are one member with its k + 1 smallest ids, which
 is all that a result can hold of them.
 """
 
@@ -23,7 +23,8 @@ from martlens.sources.tables import materialize
 MEMBERS = "shard bigint, leaf bigint, member bigint, vector array<double>, ids array<bigint>"
 VISITS = "shard bigint, query_id bigint, vector array<double>, leaves array<bigint>"
 FOUND = "query_id bigint, score double, member bigint, ids array<bigint>"
-SPARE = 11  # members kept beyond k + 1, against rounding in single precision
+PAIRS = 1 << 20  # pairs of a query and a member that wait for their exact score
+TILE = 1 << 22  # single-precision scores at a time
 
 
 def _lifted(vectors: np.ndarray, top: float) -> np.ndarray:
@@ -33,6 +34,14 @@ def _lifted(vectors: np.ndarray, top: float) -> np.ndarray:
     return np.column_stack([vectors, np.sqrt(rest)])
 
 
+def _small(vectors: np.ndarray, axis: int | None = None) -> np.ndarray:
+    """Single precision, brought to lengths of at most 1: all rows alike, or each row."""
+    sizes = np.abs(vectors).max(
+        axis=axis, keepdims=True, initial=0, where=np.isfinite(vectors))
+    sizes = np.where(sizes > 0, sizes, 1)
+    return (vectors / sizes / np.sqrt(vectors.shape[1])).astype(np.float32)
+
+
 def _lists(rows: list[np.ndarray] | np.ndarray, kind: pa.DataType) -> pa.Array:
     return pa.array(list(rows), pa.list_(kind))
 
@@ -131,31 +140,57 @@ def nearest(
         member, leaf = table.column("member").to_numpy(), table.column("leaf").to_numpy()
         order = np.lexsort((member, leaf))
         left, member, leaf = left[order], member[order], leaf[order]
-        small, asked_small = left.astype(np.float32), right.astype(np.float32)
+        small, asked_small = _small(left), _small(right, 1)
+        odd = not (np.isfinite(small).all() and np.isfinite(asked_small).all())
         by_leaf: dict[int, list[int]] = {}
         for q, leaves in enumerate(visitors.column("leaves").to_pylist()):
             for x in leaves:
                 by_leaf.setdefault(x, []).append(q)
-        most = k + 1 + SPARE  # the query itself may be among them
+        most = k + 1  # the query itself may be among them
+        # rows of length 1 at most: a product is off by less than half of this
+        slack = np.float32((dim + 8) * 2.0**-22)
         best = np.full((len(right), most), -np.inf, np.float32)
-        who = np.full((len(right), most), -1, np.int64)
+        q, m, exact = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
+        waiting: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        count = 0
+
+        def settle():
+            """The ``most`` best by exact score, ties to the smaller member, of those so far."""
+            least = best.min(axis=1) - slack
+            new_q, new_m, single = (np.concatenate(x) for x in zip(*waiting, strict=True))
+            stay = single >= least[new_q]
+            new_q, new_m = new_q[stay], new_m[stay]
+            new = np.empty(len(new_q))
+            for a in range(0, len(new_q), 1 << 16):
+                run = slice(a, a + (1 << 16))
+                new[run] = (right[new_q[run]] * left[new_m[run]]).sum(axis=1)
+            all_q, all_m = np.append(q, new_q), np.append(m, new_m)
+            scores = np.append(exact, new)
+            by = np.lexsort((member[all_m], -scores, all_q))
+            first = np.searchsorted(all_q[by], all_q[by])
+            by = by[np.arange(len(by)) - first < most]
+            return all_q[by], all_m[by], scores[by]
+
         starts = np.flatnonzero(np.append(True, leaf[1:] != leaf[:-1]))
         for a, b in zip(starts.tolist(), [*starts[1:].tolist(), len(leaf)], strict=True):
-            asking = np.array(by_leaf.get(int(leaf[a]), ()), np.int64)
-            if not len(asking):
-                continue
-            scores = np.concatenate([best[asking], asked_small[asking] @ small[a:b].T], axis=1)
-            rows = np.broadcast_to(np.arange(a, b), (len(asking), b - a))
-            rows = np.concatenate([who[asking], rows], axis=1)
-            top_places = np.argpartition(-scores, most - 1, axis=1)[:, :most]
-            best[asking] = np.take_along_axis(scores, top_places, axis=1)
-            who[asking] = np.take_along_axis(rows, top_places, axis=1)
-        q, place_of = np.nonzero(who >= 0)
-        m = who[q, place_of]
-        exact = np.empty(len(q))
-        for a in range(0, len(q), 1 << 16):
-            run = slice(a, a + (1 << 16))
-            exact[run] = (right[q[run]] * left[m[run]]).sum(axis=1)
+            everyone = np.array(by_leaf.get(int(leaf[a]), ()), np.int64)
+            step = max(1, TILE // (b - a))
+            for at in range(0, len(everyone), step):
+                asking = everyone[at : at + step]
+                scores = asked_small[asking] @ small[a:b].T
+                if odd:
+                    scores[np.isnan(scores)] = -np.inf
+                both = np.concatenate([best[asking], scores], axis=1)
+                highest = np.partition(both, both.shape[1] - most, axis=1)[:, -most:]
+                best[asking] = highest
+                near, row = np.nonzero(scores >= highest[:, :1] - slack)
+                waiting.append((asking[near], row + a, scores[near, row]))
+                count += len(near)
+                if count > PAIRS:
+                    q, m, exact = settle()
+                    waiting, count = [], 0
+        if waiting:
+            q, m, exact = settle()
         query_ids = visitors.column("query_id").to_numpy()
         ids = table.column("ids").combine_chunks().take(pa.array(order[m]))
         return pa.Table.from_arrays(

@@ -4,7 +4,7 @@ import duckdb
 import numpy as np
 import pytest
 
-from martlens.llm import topk
+from martlens.llm import neighbours, topk
 from martlens.llm.forest import Forest
 from martlens.llm.inputs import read, ready
 from martlens.llm.neighbours import nearest
@@ -120,3 +120,25 @@ def test_every_vector_has_one_leaf_per_tree():
     opened = forest.search(rows[0], 3 * forest.leaves)
     assert len(set(opened)) == 3 * forest.leaves
     assert {(t, int(leaves[t, 0])) for t in range(3)} <= set(opened[:3])
+
+
+@pytest.mark.parametrize("pairs", [1 << 20, 100])
+def test_neighbours_closer_than_single_precision(spark, monkeypatch, pairs):
+    monkeypatch.setattr(neighbours, "PAIRS", pairs)
+    rng = np.random.default_rng(2)
+    base = rng.normal(size=16) * 1e3
+    cluster = base + rng.normal(size=(300, 16)) * 1e-9
+    tied = np.tile(base * 0.5, (200, 1))  # equal products of different vectors
+    asked = np.append(base[:15], 0.0)
+    tied[:, 15] = np.arange(200)
+    rows = [(i, v.tolist()) for i, v in enumerate(np.concatenate([cluster, tied]))]
+    queries = [(1_000, base.tolist()), (1_001, (-asked).tolist())]
+    frames = [spark.createDataFrame(x, "vec_id long, vector array<double>") for x in (rows, queries)]
+    got = {}
+    for r in neighbours.nearest(*frames, k=20, opened=1.0).collect():
+        got.setdefault(r.query_id, []).append((r.rank, r.vec_id))
+    matrix = np.array([v for _, v in rows])
+    for one, vector in queries:
+        scores = (np.array(vector) * matrix).sum(axis=1)
+        want = np.lexsort((np.arange(len(rows)), -scores))[:20]
+        assert sorted(got[one]) == list(enumerate(want.tolist(), 1))
