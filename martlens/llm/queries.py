@@ -15,6 +15,7 @@ from martlens.llm.neighbours import nearest
 from martlens.llm.packing import pack
 from martlens.llm.quality import score_quality
 from martlens.llm.simhash import near_duplicates
+from martlens.llm.spelling import spelling_variants
 from martlens.llm.suffixdedup import remove_repeats
 from martlens.llm.tokencounts import count_tokens
 from martlens.llm.topk import top_k, whole_steps
@@ -152,3 +153,8 @@ def quality_classifier(spark, sf_dir):
         read(spark, sf_dir, "documents").select("doc_id", "text"), read(spark, sf_dir, "labels")
     )
     return scored.select("doc_id", "held_out", "score", "predicted")
+
+
+@register("op12_spelling_variants")
+def spelling(spark, sf_dir):
+    return spelling_variants(read(spark, sf_dir, "documents"), drop_every=31)
