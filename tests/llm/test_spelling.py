@@ -93,7 +93,7 @@ def test_query_against_brute_force(spark):
 ROWS = [
     (1, "colour " * 200 + "color " * 20 + "colr " * 2 + "Colur COLUR coloor"),
     (2, "über Über ÜBER uber ubber ×÷× ß1ßß a-b"), (3, None), (4, ""), (None, "color colours"),
-    (5, "x" * 30_000 + " " + "x" * 30_001), (5, "x" * 30_000), (6, "123 ... "),
+    (5, "x" * 2_000 + " " + "x" * 2_001), (5, "x" * 2_000), (6, "123 ... "),
     (7, " ".join(["abcd" + a + b for a in "abcdefgh" for b in "abcdefgh"] * 2)),
     (8, " ".join([a + b + "wxyz" for a in "abcdefgh" for b in "abcdefgh"])),
     (8, " ".join([a + b + "wxyz" for a in "abcdefgh" for b in "abcdefgh"])),
