@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from martlens.llm.bpe import encode_decode
+from martlens.llm.filteraudit import filter_audit
 from martlens.llm.htmltext import extract
 from martlens.llm.inputs import read, ready
 from martlens.llm.linededup import drop_common_lines
@@ -158,3 +159,66 @@ def quality_classifier(spark, sf_dir):
 @register("op12_spelling_variants")
 def spelling(spark, sf_dir):
     return spelling_variants(read(spark, sf_dir, "documents"), drop_every=31)
+
+
+AUDIT_SQL = r"""
+WITH docs AS (
+  SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS body FROM documents
+), worded AS (
+  SELECT *, [w FOR w IN string_split_regex(body, '[\x20\x09-\x0D]+') IF w <> ''] AS words
+  FROM docs
+), masked AS (
+  SELECT doc_id, part,
+         CASE WHEN len(words) < 50 THEN 1 ELSE 0 END
+         + CASE WHEN 100 * len(list_distinct(words)) < 65 * len(words) THEN 2 ELSE 0 END
+         + CASE WHEN 100 * length(regexp_replace(body, '[^A-Z]+', '', 'g')) > 5 * length(body)
+                THEN 4 ELSE 0 END
+         + CASE WHEN regexp_matches(body, '[#$%&*|]') THEN 8 ELSE 0 END
+         + CASE WHEN doc_id > min(doc_id) OVER (PARTITION BY body) THEN 16 ELSE 0 END AS mask
+  FROM worded
+), marks AS (
+  SELECT doc_id, max((quality = 1)::INT) AS good, max((toxic = 1)::INT) AS toxic
+  FROM labels GROUP BY doc_id
+), cells AS (
+  SELECT part, mask, count(*) AS docs, sum(coalesce(good, 0)) AS good,
+         sum(coalesce(toxic, 0)) AS toxic
+  FROM masked LEFT JOIN marks USING (doc_id) GROUP BY part, mask
+), states AS (
+  SELECT part, s.chosen, coalesce(sum(docs) FILTER (mask & s.chosen = 0), 0) AS docs,
+         coalesce(sum(good) FILTER (mask & s.chosen = 0), 0) AS good,
+         coalesce(sum(toxic) FILTER (mask & s.chosen = 0), 0) AS toxic
+  FROM cells, (SELECT unnest(range(32)) AS chosen) s GROUP BY part, s.chosen
+), letters AS (
+  SELECT i, substr('ABCDE', i + 1, 1) AS letter FROM (SELECT unnest(range(5)) AS i)
+), orders AS (
+  SELECT a.letter || b.letter || c.letter || d.letter || e.letter AS filter_order
+  FROM letters a, letters b, letters c, letters d, letters e
+  WHERE a.i NOT IN (b.i, c.i, d.i, e.i) AND b.i NOT IN (c.i, d.i, e.i)
+    AND c.i NOT IN (d.i, e.i) AND d.i <> e.i
+), steps AS (
+  SELECT filter_order, step, 1 << (strpos('ABCDE', substr(filter_order, step, 1)) - 1) AS own,
+         list_sum([1 << (strpos('ABCDE', substr(filter_order, k, 1)) - 1)
+                   FOR k IN range(1, step + 1)]) AS after
+  FROM orders, (SELECT CAST(unnest(range(1, 6)) AS INTEGER) AS step)
+), counted AS (
+  SELECT x.part, filter_order, step, own, y.docs AS kept, x.docs - y.docs AS removed,
+         n.docs - o.docs - (x.docs - y.docs) AS redundant, coalesce(u.docs, 0) AS unique_fails,
+         x.good - y.good AS good_lost, x.toxic - y.toxic AS toxic_lost
+  FROM steps s
+  JOIN states x ON x.chosen = s.after - s.own
+  JOIN states y ON y.chosen = s.after AND y.part = x.part
+  JOIN states n ON n.chosen = 0 AND n.part = x.part
+  JOIN states o ON o.chosen = s.own AND o.part = x.part
+  LEFT JOIN cells u ON u.mask = s.own AND u.part = x.part
+)
+SELECT part, filter_order, step, kept::BIGINT AS kept, removed::BIGINT AS removed,
+       redundant::BIGINT AS redundant, unique_fails::BIGINT AS unique_fails,
+       good_lost::BIGINT AS good_lost, toxic_lost::BIGINT AS toxic_lost,
+       (sum(removed) OVER (PARTITION BY part, own))::BIGINT AS shapley
+FROM counted
+"""
+
+
+@register("op11_filter_audit", AUDIT_SQL)
+def audit(spark, sf_dir):
+    return filter_audit(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))

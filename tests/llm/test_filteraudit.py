@@ -1,0 +1,128 @@
+import itertools
+import re
+
+import duckdb
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from martlens.llm.filteraudit import COUNTS, audit_orders, filter_audit, survivors
+from martlens.llm.inputs import ready
+from martlens.llm.queries import ORACLE, QUERIES
+
+SF = "/root/testdata/sf0.001"
+COLUMNS = ["part", "filter_order", "step", *COUNTS]
+
+
+def failures(rows):
+    """Letters of the failed filters of each row, one document at a time."""
+    out = []
+    for doc, text, _ in rows:
+        text = text or ""
+        words = re.findall(r"[^\x20\x09-\x0D]+", text)
+        failed = set()
+        if len(words) < 50:
+            failed.add("A")
+        if 100 * len(set(words)) < 65 * len(words):
+            failed.add("B")
+        if 100 * len(re.findall("[A-Z]", text)) > 5 * len(text):
+            failed.add("C")
+        if re.search(r"[#$%&*|]", text):
+            failed.add("D")
+        own = float("inf") if doc is None else doc
+        if any((t or "") == text and d is not None and d < own for d, t, _ in rows):
+            failed.add("E")
+        out.append(failed)
+    return out
+
+
+def brute(rows, labels):
+    good = {d for d, q, _ in labels if q == 1 and d is not None}
+    toxic = {d for d, _, t in labels if t == 1 and d is not None}
+    failed, out = failures(rows), []
+    for part in {s or "" for _, _, s in rows}:
+        docs = [(d, f) for (d, _, s), f in zip(rows, failed, strict=True) if (s or "") == part]
+        steps, shapley = [], dict.fromkeys("ABCDE", 0)
+        for order in itertools.permutations("ABCDE"):
+            left = docs
+            for step, letter in enumerate(order, 1):
+                gone = [x for x in left if letter in x[1]]
+                fails = [x for x in docs if letter in x[1]]
+                left = [x for x in left if letter not in x[1]]
+                shapley[letter] += len(gone)
+                steps.append((
+                    part, "".join(order), step, len(left), len(gone), len(fails) - len(gone),
+                    sum(x[1] == {letter} for x in docs), sum(x[0] in good for x in gone),
+                    sum(x[0] in toxic for x in gone),
+                ))
+        out += [(*row, shapley[row[1][row[2] - 1]]) for row in steps]
+    return sorted(out)
+
+
+def result(df):
+    return sorted(tuple(r) for r in df.select(COLUMNS).collect())
+
+
+VARIED = " ".join(f"w{i}" for i in range(60))
+ROWS = [
+    (1, VARIED, "a"), (2, VARIED, "b"), (3, VARIED, None), (None, VARIED, "a"), (4, None, "a"),
+    (5, "", "b"), (None, "own", ""), (None, "own", ""), (6, "BIG WORDS", "a"), (7, "a " * 80, "b"),
+    (8, "x # y", "b"), (9, "wörter Ä" * 60, "a"), (9, "wörter Ä" * 60, "a"),
+    (2, VARIED, "b"), (-1, "BIG WORDS", "a"), (10, VARIED + " &", "a"), (11, "a b\x0bc" * 70, "a"),
+    (12, "word " * 100_000, "a"),
+]
+LABELS = [(1, 1, 0), (2, 1, 1), (2, 0, 0), (3, 0, 1), (5, 1, 0), (6, None, 1), (None, 1, 1),
+          (9, 1, None), (99, 1, 1)]
+
+
+def test_against_brute_force(spark):
+    ready(spark)
+    docs = spark.createDataFrame(ROWS, "doc_id long, text string, source string")
+    labels = spark.createDataFrame(LABELS, "doc_id long, quality int, toxic int")
+    named = docs.selectExpr("*", "1 AS mask", "2 AS n", "'p' AS part", "3 AS good", "4 AS digest")
+    want = brute(ROWS, LABELS)
+    assert result(filter_audit(docs, labels)) == want
+    assert result(filter_audit(named, labels.selectExpr("*", "7 AS n", "8 AS part"))) == want
+    assert result(filter_audit(docs, labels.limit(0))) == brute(ROWS, [])
+    assert filter_audit(docs.limit(0), labels).count() == 0
+
+
+def test_query_against_sql(spark):
+    con = duckdb.connect()
+    for name in ("documents", "labels"):
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{SF}/{name}.parquet'")
+    want = sorted(con.sql(ORACLE["op11_filter_audit"]).select(*COLUMNS).fetchall())
+    got = result(QUERIES["op11_filter_audit"](spark, SF))
+    assert got == want and len(got) == 600 * len({r[0] for r in got})
+
+
+def test_walk_meets_every_set():
+    rng = np.random.default_rng(5)
+    cells = rng.integers(0, 50, (4, 64, 3))
+    states = survivors(cells, 6)
+    for chosen in range(64):
+        passing = [m for m in range(64) if not m & chosen]
+        assert (states[chosen] == cells[:, passing].sum(axis=1)).all()
+
+
+def test_other_filters_and_more_parts_than_a_batch(spark):
+    ready(spark)
+    docs = spark.range(700).selectExpr(
+        "id AS doc_id", "concat('t', id % 350) AS text", "id % 130 AS shop"
+    )
+    labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    got = filter_audit(docs, labels, "shop", {"X": F.col("text") > "t2"}, "Y")
+    rows = {(r.part, r.filter_order, r.step): r for r in got.collect()}
+    assert len(rows) == 130 * 2 * 2
+    for part in range(130):
+        ids = range(part, 700, 130)
+        x, y = ({i for i in ids if f"t{i % 350}" > "t2"}, {i for i in ids if i >= 350})
+        row = rows[str(part), "YX", 2]
+        assert (row.kept, row.removed) == (len(set(ids) - x - y), len(x - y))
+        assert (row.redundant, row.unique_fails) == (len(x & y), len(x - y))
+        assert row.shapley == len(x) + len(x - y)
+
+
+def test_too_many_filters(spark):
+    with pytest.raises(ValueError, match="filters"):
+        audit_orders(None, None, list("ABCDEFGH"))
