@@ -12,6 +12,7 @@ from martlens.llm.filteraudit import filter_audit
 from martlens.llm.htmltext import extract
 from martlens.llm.inputs import read, ready
 from martlens.llm.linededup import drop_common_lines
+from martlens.llm.multisethash import compare_with_next
 from martlens.llm.neighbours import nearest
 from martlens.llm.packing import pack
 from martlens.llm.quality import score_quality
@@ -222,3 +223,8 @@ FROM counted
 @register("op11_filter_audit", AUDIT_SQL)
 def audit(spark, sf_dir):
     return filter_audit(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+@register("op13_document_fingerprints")
+def document_fingerprints(spark, sf_dir):
+    return compare_with_next(read(spark, sf_dir, "documents"), texts=False)
