@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import functools
 import hashlib
+import itertools
 import json
 from collections.abc import Iterator, Sequence
 
@@ -143,22 +144,29 @@ class Merges:
 
 
 class Store:
-    """What is known of chunks: a bounded part stays, the rest lasts for one batch."""
+    """What is known of chunks: a bounded part stays, the rest lasts for one batch.
+
+    At most ``bound`` chunks stay, none over ``LONGEST`` letters: a text without spaces is
+    one chunk, which would else be kept whole.
+    """
+
+    LONGEST = 64
 
     def __init__(self, make, bound: int):
         self.make, self.bound, self.kept = make, bound, {}
 
     def of(self, chunk_lists: Sequence[Sequence[str]]) -> dict:
-        fresh = set().union(*chunk_lists).difference(self.kept)
+        fresh = list(set().union(*chunk_lists).difference(self.kept))
         if not fresh:
             return self.kept
-        fresh = list(fresh)
         made = dict(zip(fresh, self.make(fresh), strict=True))
-        if len(self.kept) + len(made) <= self.bound:
+        room = self.bound - len(self.kept)
+        if len(made) <= room and max(map(len, fresh)) <= self.LONGEST:
             self.kept.update(made)
             return self.kept
-        for chunk in fresh[: self.bound - len(self.kept)]:
-            self.kept[chunk] = made[chunk]
+        if room > 0:
+            stay = itertools.islice((c for c in fresh if len(c) <= self.LONGEST), room)
+            self.kept.update({c: made[c] for c in stay})
         return {**self.kept, **made}
 
 
@@ -255,7 +263,8 @@ def encode_decode(
 
     ``path`` is a byte-level BPE file that every executor has; strings of its special
     tokens become their ids.  Digests are SHA-256 in lowercase hex.  ``digests_only``
-    leaves the two long columns out.  ``bound`` limits the chunks a worker remembers.
+    leaves the two long columns out.  ``bound`` limits the chunks a worker remembers, none
+    of over 64 letters.
 
     Null texts count as empty: no ids, empty decoded text.  Null and repeated ids keep
     a row each; other columns are left behind; an empty table gives an empty result.

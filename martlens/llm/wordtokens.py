@@ -2,9 +2,10 @@
 
 Both kinds of vocabulary here end a word at white space, so the ids of a text are
 those of its chunks between spaces.  Chunks are encoded once per batch and the
-frequent ones remembered.  A chunk of ASCII and Latin letters goes through the
-batched merge rounds of :mod:`martlens.llm.bpe`; any other chunk (marks that may
-compose, other scripts, special strings) goes through the library itself.
+frequent ones remembered.  A text of ASCII and Latin letters is lower-cased as a
+whole, and its chunks go through the batched merge rounds of
+:mod:`martlens.llm.bpe`.  Of any other text each chunk is looked at: one with marks
+that may compose, another script or a special string goes through the library itself.
 """
 
 from __future__ import annotations
@@ -24,6 +25,9 @@ from martlens.llm.bpe import Merges, Store, byte_letters
 # whose lower case and normal form are one character each.
 _WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
 _PLAIN = regex.compile(r"[!-~À-ÖØ-öø-ÿ]*")
+_PLAIN_BYTES = bytes(b for b in range(256) if b in b"\n " or _PLAIN.fullmatch(chr(b)))
+# A chunk of a text that is not lower-cased as a whole begins with this.
+_RAW = "\n"
 
 
 def version(path: str) -> str:
@@ -58,35 +62,65 @@ class WordIds:
         self.special = [t["content"] for t in spec["added_tokens"]]
         self.store = Store(self._make, bound)
 
+    def _plain(self, text: str) -> bool:
+        """Whether lower case and merges are all that its chunks need."""
+        if not self.whole or any(t in text for t in self.special):
+            return False
+        if text.isascii():
+            raw = text.encode()
+        else:
+            try:
+                raw = text.encode("latin-1")
+            except UnicodeEncodeError:
+                return False
+        return not raw.translate(None, _PLAIN_BYTES)
+
     def _make(self, chunks: Sequence[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each chunk."""
         out: list[bytes] = [b""] * len(chunks)
-        plain, lists, other = [], [], []
-        together = "\n".join(chunks)
-        special = [t for t in self.special if t in together]
-        for i, chunk in enumerate(chunks):
+        several: dict[int, list[str]] = {}  # chunks of other than one word of letters
+        other = []
+        for i in [i for i, letters in enumerate(map(str.isalpha, chunks)) if not letters]:
+            chunk = chunks[i]
+            if chunk[:1] != _RAW:
+                several[i] = _WORDS.findall(chunk)
+                continue
+            chunk = chunk[1:]
             known = chunk.isprintable() if chunk.isascii() else _PLAIN.fullmatch(chunk)
-            if known and self.whole and not (special and any(t in chunk for t in special)):
-                plain.append(i)
-                low = chunk.lower()
-                lists.append([low] if low.isalpha() else _WORDS.findall(low))
+            if known and self.whole and not any(t in chunk for t in self.special):
+                several[i] = _WORDS.findall(chunk.lower())
             else:
                 other.append(i)
-        distinct = list(set().union(*lists))
-        ids, ends = self.merges.encode([w.encode() for w in distinct])
-        flat, begin, known = ids.astype("<u4").tobytes(), 0, {}
-        for word, end in zip(distinct, (ends * 4).tolist(), strict=True):
+        single = [i for i, letters in enumerate(map(str.isalpha, chunks)) if letters]
+        words = [chunks[i] for i in single]
+        place = dict(zip(words, single, strict=True))  # a word's chunk, if it is one
+        more = list(set().union(*several.values()).difference(place))
+        words += more
+        ids, ends = self.merges.encode([w.encode() for w in words])
+        flat, ends = ids.astype("<u4").tobytes(), (ends * 4).tolist()
+        begin = 0
+        for i, end in zip(single, ends, strict=False):
+            out[i] = flat[begin:end]
+            begin = end
+        known = {}
+        for word, end in zip(more, ends[len(single) :], strict=True):
             known[word] = flat[begin:end]
             begin = end
-        for i, words in zip(plain, lists, strict=True):
-            out[i] = known[words[0]] if len(words) == 1 else b"".join([known[w] for w in words])
-        found = self.library.encode_batch([chunks[i] for i in other], add_special_tokens=False)
+        for i, parts in several.items():
+            out[i] = b"".join([known[w] if w in known else out[place[w]] for w in parts])
+        found = self.library.encode_batch([chunks[i][1:] for i in other], add_special_tokens=False)
         for i, one in zip(other, found, strict=True):
             out[i] = np.array(one.ids, "<u4").tobytes()
         return out
 
     def run(self, texts: Sequence[str]) -> list[bytes]:
-        plans = [t.replace("\n", " ").split(" ") for t in texts]
+        plans = []
+        for text in texts:
+            if self._plain(text):
+                plans.append(text.lower().replace("\n", " ").split(" "))
+            else:
+                chunks = text.replace("\n", " ").split(" ")
+                plans.append([_RAW + c for c in chunks])
         known = self.store.of(plans).__getitem__
         return [b"".join(map(known, plan)) for plan in plans]
 

@@ -71,3 +71,13 @@ def test_versions_differ():
 def test_other_vocabularies_are_refused():
     with pytest.raises((ValueError, KeyError, TypeError)):
         WordIds(BYTES, 10)
+
+
+def test_worker_keeps_no_long_chunks():
+    rng = random.Random(4)
+    texts = ["".join(rng.choices("ACGT漢字", k=20_000)) for _ in range(10)] + ["a word or two"]
+    codec, model = ByteCodec(BYTES, 250_000), WordIds(WORDS, 250_000)
+    list(codec.run(texts))
+    model.run(texts)
+    for store, most in ((codec.store.kept, 4), (model.store.kept, 4)):
+        assert 0 < len(store) <= most and max(map(len, store)) <= 64
