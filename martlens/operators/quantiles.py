@@ -216,7 +216,8 @@ def _pick(values: DataFrame, search: dict[Rank, Bracket]) -> dict[Rank, float]:
     return answers
 
 
-def _ranks(total: int, probabilities: Iterable[float]) -> set[int]:
+def ranks_of(total: int, probabilities: Iterable[float]) -> set[int]:
+    """The positions in the sorted values that interpolated quantiles lie between."""
     positions = [p * (total - 1) for p in probabilities]
     return {f(x) for x in positions for f in (math.floor, math.ceil)}
 
@@ -247,8 +248,51 @@ def exact_quantiles(
         (c, rank): Bracket(c, None, None, 0, total[c])
         for c in columns
         if total[c]
-        for rank in _ranks(total[c], probabilities)
+        for rank in ranks_of(total[c], probabilities)
     }
+    answers = _settle(values, search, accuracy, max_rows, proposed)
+    return {
+        c: interpolated({r: v for (own, r), v in answers.items() if own == c}, total[c], probabilities)
+        for c in columns
+    }
+
+
+def interpolated(
+    values: dict[int, float], total: int, probabilities: Sequence[float]
+) -> list[float | None]:
+    """Quantiles from the values at the ranks around them."""
+    out: list[float | None] = []
+    for p in probabilities:
+        if not total:
+            out.append(None)
+            continue
+        position = p * (total - 1)
+        lower, upper = values[math.floor(position)], values[math.ceil(position)]
+        out.append(lower + (upper - lower) * (position - math.floor(position)))
+    return out
+
+
+def order_statistics(
+    values: DataFrame, wanted: dict[str, tuple[int, set[int]]],
+    accuracy: int = 2_000, max_rows: int = 50_000,
+) -> dict[Rank, float]:
+    """The values at given ranks of columns of doubles whose numbers of values are known.
+
+    ``wanted`` maps a column to its number of values and the 0-based ranks.  Columns of up
+    to ``max_rows`` values take one pass.
+    """
+    search = {
+        (c, rank): Bracket(c, None, None, 0, total)
+        for c, (total, ranks) in wanted.items() for rank in ranks
+    }
+    return _settle(values, search, accuracy, max_rows)
+
+
+def _settle(
+    values: DataFrame, search: dict[Rank, Bracket], accuracy: int, max_rows: int,
+    proposed: dict[str, list[float]] | None = None,
+) -> dict[Rank, float]:
+    """Brackets are cut down until each holds ``max_rows`` at most, and then sorted."""
     answers: dict[Rank, float] = {}
     while wide := {k: b for k, b in search.items() if b.inside > max_rows}:
         ends = proposed or _propose(values, wide, accuracy)
@@ -261,12 +305,4 @@ def exact_quantiles(
                 del search[key]
     if search:
         answers.update(_pick(values, search))
-
-    def interpolate(c: str, p: float) -> float | None:
-        if not total[c]:
-            return None
-        position = p * (total[c] - 1)
-        lower, upper = answers[c, math.floor(position)], answers[c, math.ceil(position)]
-        return lower + (upper - lower) * (position - math.floor(position))
-
-    return {c: [interpolate(c, p) for p in probabilities] for c in columns}
+    return answers

@@ -17,40 +17,52 @@ FENCE_FACTOR = 1.5  # fixed value: fences lie this many quartile ranges out
 MOST_COLUMNS = 62  # one bit each in a long, which marks the columns that a row carries
 
 
-def correlation_matrix(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Pairwise-complete Pearson correlations as (a, b, r); null for a constant.
+def pattern_of(columns: Sequence[str]) -> Column:
+    """Which of the columns a row carries, a bit each."""
+    if len(columns) > MOST_COLUMNS:
+        raise ValueError(
+            f"{len(columns)} columns; at most {MOST_COLUMNS} can be correlated at once"
+        )
+    bits = [F.shiftleft(col(c).isNotNull().cast("bigint"), i) for i, c in enumerate(columns)]
+    return sum(bits[1:], bits[0])
 
-    Rows are grouped by which columns they carry.  Within such a group every
-    pair sees the same rows, so one set of sums serves all pairs, and a pair
-    adds up the groups that carry both its columns; Spark does so too.  Columns are
-    centred by a first pass, which keeps the sums of products accurate.  What reaches
-    the driver is one row per pair of columns.  At most ``MOST_COLUMNS`` columns.
+
+def _pairs(size: int) -> list[tuple[int, int]]:
+    return [(i, j) for i in range(size) for j in range(i, size)]
+
+
+def moment_sums(columns: Sequence[str], origins: Sequence[float]) -> list[Column]:
+    """Count ``n``, sums ``s<i>`` and sums of products ``p<i>_<j>`` around the origins.
+
+    They add up over groups and batches; origins near the data keep their accuracy.
     """
-    size = len(columns)
-    if size > MOST_COLUMNS:
-        raise ValueError(f"{size} columns; at most {MOST_COLUMNS} can be correlated at once")
-    values = df.select(*[present(df, c).cast("double").alias(c) for c in columns])
-    means = [m or 0.0 for m in values.agg(*[F.avg(col(c)) for c in columns]).first()]
-    carried = [F.shiftleft(col(c).isNotNull().cast("bigint"), i) for i, c in enumerate(columns)]
-    pairs = [(i, j) for i in range(size) for j in range(i, size)]
-    patterns = (
-        values.select(
-            sum(carried[1:], carried[0]).alias("carried"),
-            *[(col(c) - F.lit(means[i])).alias(f"x{i}") for i, c in enumerate(columns)],
-        )
-        .groupBy("carried")
-        .agg(
-            F.count(F.lit(1)).alias("n"),
-            *[F.sum(f"x{i}").alias(f"s{i}") for i in range(size)],
-            *[F.sum(F.col(f"x{i}") * F.col(f"x{j}")).alias(f"p{i}_{j}") for i, j in pairs],
-        )
-    )
+    x = [col(c) - F.lit(o) for c, o in zip(columns, origins, strict=True)]
+    return [
+        F.count(F.lit(1)).alias("n"),
+        *[F.sum(v).alias(f"s{i}") for i, v in enumerate(x)],
+        *[F.sum(x[i] * x[j]).alias(f"p{i}_{j}") for i, j in _pairs(len(x))],
+    ]
+
+
+def correlations_of(
+    patterns: DataFrame, columns: Sequence[str], origins: Sequence[float], ranged: bool = False
+) -> DataFrame:
+    """Pearson correlations as (a, b, r) from ``carried`` and the :func:`moment_sums`.
+
+    A pair adds up the groups that carry both its columns; Spark does so too, and what
+    reaches the driver is one row per pair.  With ``ranged`` the groups hold each column's
+    least and largest value as ``lo<i>`` and ``hi<i>``: a column is then constant if these
+    are equal, which origins far from a small group's values would hide.
+    """
+    pairs = _pairs(len(columns))
     entries = [
         F.struct(
             F.lit(i).alias("i"), F.lit(j).alias("j"),
             F.lit((1 << i) | (1 << j)).cast("bigint").alias("need"), F.col("n"),
             F.col(f"s{i}").alias("si"), F.col(f"s{j}").alias("sj"), F.col(f"p{i}_{i}").alias("pi"),
             F.col(f"p{j}_{j}").alias("pj"), F.col(f"p{i}_{j}").alias("pij"),
+            *[F.col(f"{end}{x}").alias(f"{end}{side}")
+              for end in ("lo", "hi") for x, side in ((i, "i"), (j, "j")) if ranged],
         )
         for i, j in pairs
     ]
@@ -58,24 +70,47 @@ def correlation_matrix(df: DataFrame, columns: Sequence[str]) -> DataFrame:
         patterns.select("carried", F.inline(F.array(*entries)))
         .filter(F.col("carried").bitwiseAND(F.col("need")) == F.col("need"))
         .groupBy("i", "j")
-        .agg(*[F.sum(c).alias(c) for c in ("n", "si", "sj", "pi", "pj", "pij")])
+        .agg(
+            *[F.sum(c).alias(c) for c in ("n", "si", "sj", "pi", "pj", "pij")],
+            *[F.min(f"lo{x}").alias(f"lo{x}") for x in ("i", "j") if ranged],
+            *[F.max(f"hi{x}").alias(f"hi{x}") for x in ("i", "j") if ranged],
+        )
     )
-    found = {(g["i"], g["j"]): _pearson(g, means) for g in sums.collect()}
+    found = {(g["i"], g["j"]): _pearson(g, origins, ranged) for g in sums.collect()}
     rows = []
     for i, j in pairs:
         r = found.get((i, j))
         rows += [(columns[x], columns[y], r) for x, y in {(i, j), (j, i)}]
-    return df.sparkSession.createDataFrame(rows, "a string, b string, r double")
+    return patterns.sparkSession.createDataFrame(rows, "a string, b string, r double")
+
+
+def correlation_matrix(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Pairwise-complete Pearson correlations as (a, b, r); null for a constant.
+
+    Rows are grouped by which columns they carry.  Within such a group every
+    pair sees the same rows, so one set of sums serves all pairs.  Columns are
+    centred by a first pass, which keeps the sums of products accurate.  At most
+    ``MOST_COLUMNS`` columns.
+    """
+    carried = pattern_of(columns).alias("carried")
+    values = df.select(*[present(df, c).cast("double").alias(c) for c in columns])
+    means = [m or 0.0 for m in values.agg(*[F.avg(col(c)) for c in columns]).first()]
+    patterns = values.groupBy(carried).agg(*moment_sums(columns, means))
+    return correlations_of(patterns, columns, means)
 
 
-def _pearson(g: Row, means: Sequence[float]) -> float | None:
+def _pearson(g: Row, means: Sequence[float], ranged: bool) -> float | None:
     n = g["n"]
     if n < 2:
         return None
     spread = [g["pi"] - g["si"] ** 2 / n, g["pj"] - g["sj"] ** 2 / n]
-    # below this a column only varies by the rounding of its mean
-    noise = [n * (1e-13 * abs(means[g[x]])) ** 2 for x in ("i", "j")]
-    if any(v <= limit for v, limit in zip(spread, noise, strict=True)):
+    if ranged:
+        constant = any(g[f"lo{x}"] == g[f"hi{x}"] for x in ("i", "j"))
+    else:
+        # below this a column only varies by the rounding of its mean
+        noise = [n * (1e-13 * abs(means[g[x]])) ** 2 for x in ("i", "j")]
+        constant = any(v <= limit for v, limit in zip(spread, noise, strict=True))
+    if constant or min(spread) <= 0:
         return None
     together = g["pij"] - g["si"] * g["sj"] / n
     return together / math.sqrt(spread[0]) / math.sqrt(spread[1])
