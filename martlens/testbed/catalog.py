@@ -1,4 +1,9 @@
 """All registered queries."""
 
-from martlens.testbed import model_queries, quality_queries, report_queries  # noqa: F401
+from martlens.testbed import (  # noqa: F401
+    model_queries,
+    quality_queries,
+    report_queries,
+    rollup_queries,
+)
 from martlens.testbed.registry import ORACLE, QUERIES  # noqa: F401
