@@ -1,4 +1,4 @@
-"""Batch jobs for spark-submit: clean, merge, audit, dashboard, train, score.
+"""Batch jobs for spark-submit: clean, merge, append, audit, dashboard, train, score.
 
     spark-submit martlens/cli.py audit --sales s.csv --products p.csv \
         --factories f.csv --targets t.csv --out reports/
@@ -6,7 +6,10 @@
 Inputs are CSV files with the usual headings, parquet folders or catalog
 tables (``--format``).  Every result is written below ``--out`` as parquet.
 ``dashboard`` and ``train`` can read the table that ``merge`` wrote instead
-(``--merged``).  Intermediate copies are removed when a job ends.
+(``--merged``).  ``append`` adds new lines to a stored roll-up (``--store``), from which
+``dashboard`` then answers a filter choice; it reads the lines only to finish the median.
+With ``--rejects`` bad CSV rows of the sales are set aside instead of stopping the job.
+Intermediate copies are removed when a job ends.
 """
 
 from __future__ import annotations
@@ -42,6 +45,7 @@ from martlens.operators.statistics import (  # noqa: E402
     scatter_bins,
 )
 from martlens.plans import audit, dashboard, reports  # noqa: E402
+from martlens.plans.rollups import RollupStore  # noqa: E402
 from martlens.plans.star import Star, merge_growth, retail_star  # noqa: E402
 from martlens.session import build_session, scratch_scope  # noqa: E402
 from martlens.sources import readers, schemas  # noqa: E402
@@ -88,7 +92,15 @@ def load_star(spark: SparkSession, args: argparse.Namespace) -> Star:
     lacking = [f"--{n}" for n in INPUTS if not getattr(args, n)]
     if lacking:
         raise SystemExit(f"missing: {' '.join(lacking)}")
-    tables = {n: read(spark, getattr(args, n), spec, args.format) for n, spec in INPUTS.items()}
+    tables = {n: read(spark, getattr(args, n), spec, args.format) for n, spec in INPUTS.items()
+              if n != "sales"}
+    if getattr(args, "rejects", None):
+        if args.format != "csv":
+            raise SystemExit("--rejects is for CSV files")
+        tables["sales"], bad = readers.read_csv_checked(spark, args.sales, INPUTS["sales"])
+        bad.write.mode("overwrite").parquet(args.rejects)
+    else:
+        tables["sales"] = read(spark, args.sales, INPUTS["sales"], args.format)
     if args.clean:
         tables["sales"] = audit.clean_sales(tables["sales"])
     if args.clean or args.format == "csv":
@@ -136,7 +148,36 @@ def run_audit(spark: SparkSession, args: argparse.Namespace) -> None:
     write({**audit.audit(star), "merge_growth": merge_growth(star)}, args.out)
 
 
+def run_append(spark: SparkSession, args: argparse.Namespace) -> None:
+    """New lines into the stored roll-up, as the batch of the given name."""
+    store = RollupStore(spark, args.store)
+    store.append(load_star(spark, args), args.batch)
+    if args.compact:
+        store.compact()
+    batches = spark.createDataFrame([(b,) for b in store.batches()], "batch string")
+    write({"batches": batches, "annual_sales": reports.annual_sales(store.sums())}, args.out)
+
+
+def stored_dashboard(spark: SparkSession, args: argparse.Namespace) -> None:
+    """The page of a choice from the stored roll-up; the headline if the lines are given."""
+    store = RollupStore(spark, args.store)
+    choice = (args.years, args.region, args.division)
+    rollup = materialize(store.sums(), "rollup")
+    results = dashboard.dashboard(rollup, *choice)
+    if not results:
+        print("no data matches the filter")
+        return
+    results["correlations"] = store.correlations(*choice)
+    results["orders"] = store.distinct_orders((), *choice)
+    results["options"] = filter_options(rollup, ("order_year", "region", "division"))
+    if args.merged or args.sales:
+        results["headline"] = store.headline(load_star(spark, args), *choice)
+    write(results, args.out)
+
+
 def run_dashboard(spark: SparkSession, args: argparse.Namespace) -> None:
+    if args.store:
+        return stored_dashboard(spark, args)
     star = load_star(spark, args)
     choice = (args.years, args.region, args.division)
     rollup = materialize(dashboard.build_rollup(star), "rollup")
@@ -207,13 +248,19 @@ def parser() -> argparse.ArgumentParser:
             for source in INPUTS:
                 p.add_argument(f"--{source}")
             p.add_argument("--clean", action="store_true", help="drop copies, merge lines first")
+            p.add_argument("--rejects", help="where bad CSV rows of the sales go")
         return p
 
     p = job("clean", run_clean, star=False)
     p.add_argument("--sales", required=True)
     job("merge", run_merge)
     job("audit", run_audit)
+    p = job("append", run_append)
+    p.add_argument("--store", required=True, help="folder of the stored roll-up")
+    p.add_argument("--batch", required=True, help="name of the new lines; a repeated one replaces")
+    p.add_argument("--compact", action="store_true", help="merge all batches afterwards")
     p = job("dashboard", run_dashboard)
+    p.add_argument("--store", help="folder of a stored roll-up that answers the choice")
     p.add_argument("--merged", help="a table written by merge, instead of the four inputs")
     p.add_argument("--years", type=int, nargs="*")
     p.add_argument("--region", default=ALL)

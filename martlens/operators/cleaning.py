@@ -61,6 +61,16 @@ def drop_exact_copies(
     return cannot.unionByName(_collapse(may, row_id, business))
 
 
+def copy_ids(
+    df: DataFrame, row_id: str, business: Sequence[str], wide: bool = False
+) -> DataFrame:
+    """The ids of the rows that ``drop_exact_copies`` removes, written out."""
+    compared = split_by_hash(df, business)[0] if wide else df
+    kept = compared.groupBy(*[col(c) for c in business]).agg(F.min(col(row_id)).alias(row_id))
+    extra = compared.select(col(row_id)).join(kept.select(row_id), row_id, "left_anti")
+    return materialize(extra, "copies")
+
+
 def exact_copies(
     df: DataFrame, row_id: str, business: Sequence[str], wide: bool = False
 ) -> DataFrame:
@@ -69,10 +79,7 @@ def exact_copies(
     Ids are compared alone first.  The ids found are written out, and whole
     rows are read again for them: by broadcast when the written list is small.
     """
-    compared = split_by_hash(df, business)[0] if wide else df
-    kept = compared.groupBy(*[col(c) for c in business]).agg(F.min(col(row_id)).alias(row_id))
-    extra = compared.select(col(row_id)).join(kept.select(row_id), row_id, "left_anti")
-    return df.join(materialize(extra, "copies"), row_id, "left_semi")
+    return df.join(copy_ids(df, row_id, business, wide), row_id, "left_semi")
 
 
 def consolidate_lines(

@@ -6,7 +6,8 @@ A batch of sales lines becomes four small tables, each of which adds up over bat
 - ``moments``: counts, sums, cross products and ranges of the correlated measures around a
   fixed origin, per key and pattern of measures that are present;
 - ``bins``: how many values lie in each logarithmic bin of a measure, per key;
-- ``orders``: the order numbers as bitmaps, per key.
+- ``orders``: the order numbers as bitmaps, per key.  Orders named by a text are numbered
+  first; their numbers are kept beside the batches and never change.
 
 Keys are what a page filters by.  Appending a day reads that day only.  Correlations come
 from the moments, distinct orders from the bitmaps; a quantile's bin is known exactly from
@@ -67,7 +68,8 @@ class RollupStore:
     # -- writing ------------------------------------------------------------
 
     def _state(self) -> dict:
-        return self.pointer.state() or {"folders": [], "batches": [], "origins": None}
+        empty = {"folders": [], "batches": [], "origins": None, "names": [], "named": None}
+        return self.pointer.state() or empty
 
     def append(self, star: Star, batch: str) -> None:
         """Add the lines of ``star`` (a star of new lines only) as the batch of this name.
@@ -80,8 +82,10 @@ class RollupStore:
         names = [b for b in state["batches"] if batch in b]
         if names and names[0] != [batch]:
             raise ValueError(f"batch {batch} is part of a compacted one")
-        if dict(star.select("order_id").dtypes)["order_id"] not in ("int", "bigint", "smallint"):
-            raise TypeError("bitmaps of orders need whole order numbers")
+        named = star.select("order_id").dtypes[0][1] == "string"
+        if state["named"] not in (None, named):
+            raise TypeError("the orders of earlier batches are of another type")
+        state["named"] = named
         columns = dict.fromkeys([*KEYS, *DIMENSIONS, *MEASURES, *CORRELATED, "order_id", "order_date"])
         lines = materialize(star.select(*columns), "rollup-lines")
         if state["origins"] is None:
@@ -89,19 +93,43 @@ class RollupStore:
             means = lines.agg(*[F.avg(present(lines, c)) for c in CORRELATED]).first()
             state["origins"] = [float(m or 0.0) for m in means]
         folder = self.pointer.fresh_folder()
+        orders = lines.select(*KEYS, col("order_id").alias("number"))
+        if named:
+            # an order has many lines and few keys: fewer rows meet the list of names
+            orders = self._numbered(orders.distinct(), state)
         made = {
             "sums": Star(lines, ()).rollup(DIMENSIONS, MEASURES),
             "moments": self._moments(lines, state["origins"]),
             "bins": _bins(lines, MEASURES),
-            "orders": _orders(lines),
+            "orders": _orders(orders),
         }
         for name, table in made.items():
             table.write.parquet(f"{folder}/{name}")
         at = [i for i, b in enumerate(state["batches"]) if b != [batch]]
         state["batches"] = [*[state["batches"][i] for i in at], [batch]]
-        state["folders"] = [*[state["folders"][i] for i in at], folder]
+        state["data"] = [*[_data(state)[i] for i in at], folder]
+        state["folders"] = [*state["data"], *state["names"]]
         self.pointer.publish(state)
 
+    def _numbered(self, orders: DataFrame, state: dict) -> DataFrame:
+        """Orders by number instead of name; new names are numbered and written.
+
+        A number is the position of the list of names in its upper bits, then the partition
+        and row that the name was written from: no pass over all names is needed.
+        """
+        given = orders.select(col("number").alias("name")).distinct().dropna()
+        if state["names"]:
+            known = self.spark.read.parquet(*state["names"])
+            given = given.join(known, "name", "left_anti")
+        first = F.lit(len(state["names"]) << 48).cast("bigint")
+        folder = self.pointer.fresh_folder()
+        fresh = given.coalesce(1 << 14).select("name", (first + F.monotonically_increasing_id()).alias("id"))
+        fresh.write.parquet(folder)
+        state["names"] = [*state["names"], folder]
+        names = self.spark.read.parquet(*state["names"])
+        found = orders.join(names, orders["number"] == names["name"])
+        return found.select(*KEYS, F.col("id").alias("number"))
+
     def _moments(self, lines: DataFrame, origins: Sequence[float]) -> DataFrame:
         values = lines.select(
             *KEYS, "order_date", *[present(lines, c).cast("double").alias(c) for c in CORRELATED]
@@ -116,13 +144,14 @@ class RollupStore:
     def compact(self) -> None:
         """Merge all batches into one: reading stays quick however many days were added."""
         state = self._state()
-        if len(state["folders"]) < 2:
+        if len(_data(state)) < 2:
             return
         folder = self.pointer.fresh_folder()
         for name in TABLES:
             _merged(name, self.read(name)).write.parquet(f"{folder}/{name}")
         state["batches"] = [sorted({b for batch in state["batches"] for b in batch})]
-        state["folders"] = [folder]
+        state["data"] = [folder]
+        state["folders"] = [folder, *state["names"]]
         self.pointer.publish(state)
 
     # -- reading ------------------------------------------------------------
@@ -132,7 +161,7 @@ class RollupStore:
 
     def read(self, name: str) -> DataFrame:
         """One of the four tables, a row per key and batch."""
-        folders = self._state()["folders"]
+        folders = _data(self._state())
         if not folders:
             raise LookupError(f"{self.pointer.path} has no batch yet")
         return self.spark.read.parquet(*[f"{f}/{name}" for f in folders])
@@ -248,15 +277,20 @@ def _bins(lines: DataFrame, measures: Sequence[str]) -> DataFrame:
     )
 
 
-def _orders(lines: DataFrame) -> DataFrame:
-    number = col("order_id").cast("bigint")
+def _orders(orders: DataFrame) -> DataFrame:
+    number = col("number").cast("bigint")
     return (
-        lines.filter(number.isNotNull())
+        orders.filter(number.isNotNull())
         .groupBy(*KEYS, F.bitmap_bucket_number(number).alias("bucket"))
         .agg(F.bitmap_construct_agg(F.bitmap_bit_position(number)).alias("orders"))
     )
 
 
+def _data(state: dict) -> list[str]:
+    """The folders of the batches, in their order."""
+    return state.get("data", [])
+
+
 def _merged(name: str, table: DataFrame) -> DataFrame:
     """The rows of all batches added up."""
     if name == "orders":

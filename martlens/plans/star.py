@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from martlens.functions.columns import col, date_parts, elapsed_days, present
-from martlens.sources.tables import materialize
+from martlens.sources.tables import materialize, save_bucketed
 
 
 @dataclass(frozen=True)
@@ -124,6 +124,24 @@ class Star:
         joined = with_features(self._join(self.fact, self._needed(inputs)), columns)
         return joined.select(*[col(c) for c in columns])
 
+    def bucketed(self, prefix: str, key: str, buckets: int) -> Star:
+        """The star with its fact and the chain behind ``key`` stored in buckets of that key.
+
+        The lookups that the key leads to are folded into one and written as
+        ``<prefix>_<lookup>``, the fact as ``<prefix>_fact``; joining both moves no row.
+        Choose the key of the largest lookup, and a bucket size that fits a task.  One key
+        of very many rows makes one large bucket: leave such a fact unbucketed, where a
+        shuffle join splits it.  Tables of these names are replaced.
+        """
+        chains = self._folded(self.lookups)
+        first = next((x for x in chains if x.keys == (key,)), None)
+        if first is None:
+            raise ValueError(f"no lookup is joined by {key} alone")
+        fact = save_bucketed(self.fact, f"{prefix}_fact", [key], buckets)
+        table = save_bucketed(first.table, f"{prefix}_{first.name}", [key], buckets)
+        stored = Lookup(first.name, table, first.keys)
+        return Star(fact, tuple(stored if x is first else x for x in chains))
+
     def rollup(
         self, by: Sequence[str], sums: Sequence[str], nulls_match: bool = False
     ) -> DataFrame:

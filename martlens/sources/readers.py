@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from martlens.functions.columns import col, parse_timestamp
 from martlens.sources.schemas import DATE_FORMATS, NULL_TOKENS, TableSpec, check_required
+from martlens.sources.tables import materialize
 
 
 def blank_to_null(c: str | Column, tokens: Sequence[str] = NULL_TOKENS) -> Column:
@@ -80,6 +81,74 @@ def read_csv(
     return conform(read_csv_text(spark, path, multiline), spec, date_formats)
 
 
+REASONS = "__reasons"
+SOURCE = "__file"
+LINE = "__line"
+
+
+def _complaint(c: str, source: str, wanted: str, formats: Sequence[str]) -> Column:
+    """What is wrong with a text as a value of its type; null if nothing is."""
+    text = col(c)
+    if wanted == "timestamp":
+        fits = F.coalesce(*[F.try_to_timestamp(text, F.lit(f)) for f in formats]).isNotNull()
+    elif wanted == "bigint":
+        number = text.try_cast("decimal(38,18)")
+        fits = number.isNotNull() & (number == F.floor(number))
+        fits = fits & number.cast("decimal(38,0)").try_cast("bigint").isNotNull()
+    else:
+        fits = text.try_cast(wanted).isNotNull()
+    said = F.concat(F.lit(f"{source}: not a {wanted}: "), text)
+    return F.when(text.isNotNull() & ~F.coalesce(fits, F.lit(False)), said)
+
+
+def read_csv_checked(
+    spark: SparkSession,
+    path: str | list[str],
+    spec: TableSpec,
+    date_formats: Sequence[str] = DATE_FORMATS,
+) -> tuple[DataFrame, DataFrame]:
+    """The rows that fit, and the ones that do not as (file, line, reasons).
+
+    Where :func:`read_csv` stops at the first bad row, this sets it aside: a row with too
+    many or too few fields, or with a text that is no value of its column's type.  Each
+    reason names the column as the file does.  The files are parsed once into a written
+    copy that both results read, so their rows add up to the rows of the files.  A file
+    whose header differs from the first one's still stops the job: all its rows would be
+    wrong.  ``line`` is the row as the file has it if its fields do not add up, else its
+    fields with missing tokens left out.
+    """
+    header = spark.read.csv(path, header=True, enforceSchema=False, quote='"', escape='"')
+    check_required(header, spec)
+    fields = [f"`{c}` string" for c in header.columns]
+    raw = (
+        spark.read.schema(", ".join([*fields, f"{LINE} string"]))
+        .csv(path, header=True, enforceSchema=False, quote='"', escape='"', mode="PERMISSIVE",
+             columnNameOfCorruptRecord=LINE)
+        .withColumn(SOURCE, F.col("_metadata.file_path"))
+    )
+    values = raw.select(
+        *[blank_to_null(c).alias(c) for c in header.columns], LINE, SOURCE
+    )
+    complaints = [F.when(F.col(LINE).isNotNull(), F.lit(f"not {len(header.columns)} fields"))]
+    for c in header.columns:
+        name, kind = spec.columns.get(c) or (c, "string")
+        if kind != "string":
+            said = _complaint(c, c, kind, date_formats)
+            complaints.append(F.when(F.col(LINE).isNull(), said))
+    checked = materialize(
+        values.withColumn(REASONS, F.array_compact(F.array(*complaints))), "checked-rows"
+    )
+    good = checked.filter(F.size(REASONS) == 0).drop(REASONS, SOURCE, LINE)
+    line = F.coalesce(
+        F.col(LINE),
+        F.to_csv(F.struct(*[col(c) for c in header.columns]), {"quote": '"', "escape": '"'}),
+    )
+    bad = checked.filter(F.size(REASONS) > 0).select(
+        F.col(SOURCE).alias("file"), line.alias("line"), F.col(REASONS).alias("reasons")
+    )
+    return conform(good, spec, date_formats), bad
+
+
 def read_parquet(spark: SparkSession, path: str, spec: TableSpec) -> DataFrame:
     return conform(spark.read.parquet(path), spec)
 

@@ -11,6 +11,7 @@ import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from martlens.session import delete_path, scratch_path
 
@@ -26,6 +27,17 @@ def save_table(
     return df.sparkSession.table(name)
 
 
+def save_bucketed(df: DataFrame, name: str, keys: Sequence[str], buckets: int) -> DataFrame:
+    """Write ``df`` as a table dealt and sorted by ``keys``; returns the written table.
+
+    Tables dealt by their join keys into the same number of buckets join without being
+    shuffled again.  Rows are dealt before they are written, so a bucket is one file.
+    """
+    dealt = df.repartition(buckets, *[F.col(k) for k in keys])
+    dealt.write.mode("overwrite").bucketBy(buckets, *keys).sortBy(*keys).saveAsTable(name)
+    return df.sparkSession.table(name)
+
+
 def recover_table(spark: SparkSession, name: str) -> None:
     """Put the backup back when a swap broke off between its two renames."""
     backup = f"{name}_backup"

@@ -5,5 +5,6 @@ from martlens.testbed import (  # noqa: F401
     quality_queries,
     report_queries,
     rollup_queries,
+    storage_queries,
 )
 from martlens.testbed.registry import ORACLE, QUERIES  # noqa: F401

@@ -135,3 +135,45 @@ def test_clean_replaces_a_table(spark, inputs, tmp_path):
     cleaned = spark.table("raw_sales")
     assert cleaned.groupBy("order_id", "product_id").count().filter("count > 1").isEmpty()
     assert 0 < cleaned.count() <= 300 and spark.table("raw_sales_backup").count() == 600
+
+
+def test_append_and_dashboard_from_the_store(spark, inputs, tmp_path, tmp_path_factory):
+    flags, pdf = inputs
+    base, store = tmp_path_factory.mktemp("days"), str(tmp_path / "store")
+    rest = flags[2:]
+    for k in range(3):
+        pdf.iloc[k::3].to_csv(base / f"{k}.csv", index=False)
+        day = ["--sales", str(base / f"{k}.csv"), *rest, "--store", store, "--batch", f"day {k}"]
+        more = ["--compact"] if k == 1 else []
+        cli.main(["append", *day, *more, "--out", str(tmp_path / f"a{k}")], spark)
+    assert result(spark, tmp_path / "a2", "batches").count() == 3
+    choice = ["--region", "North", "--store", store]
+    cli.main(["dashboard", *choice, "--out", str(tmp_path / "p")], spark)
+    cli.main(["dashboard", "--region", "North", *flags, "--out", str(tmp_path / "q")], spark)
+    for name in ("kpis", "annual_sales", "region_sales", "correlations"):
+        got, want = (
+            sorted(map(tuple, result(spark, tmp_path / x, name).collect()), key=repr)
+            for x in "pq"
+        )
+        for a, b in zip(got, want, strict=True):
+            assert [x if isinstance(x, str) else pytest.approx(x, rel=1e-9, abs=1e-9) for x in a] == [*b]
+    north = pdf[pdf.Region == "North"]
+    assert result(spark, tmp_path / "p", "orders").first()[0] == north["Order ID"].nunique()
+    cli.main(["dashboard", *choice, *flags, "--out", str(tmp_path / "h")], spark)
+    assert result(spark, tmp_path / "h", "headline").first()["median_sale"] == pytest.approx(
+        north.Sales.median())
+
+
+def test_rejects_are_set_aside(spark, inputs, tmp_path):
+    flags, pdf = inputs
+    path = tmp_path / "sales.csv"
+    pdf.to_csv(path, index=False)
+    with open(path, "a") as file:
+        file.write("not,a,row\n")
+    bad = str(tmp_path / "rejects")
+    given = ["--sales", str(path), *flags[2:], "--rejects", bad]
+    cli.main(["merge", *given, "--out", str(tmp_path / "m")], spark)
+    assert result(spark, tmp_path / "m", "merged").count() == len(pdf)
+    assert [r["line"] for r in spark.read.parquet(bad).collect()] == ["not,a,row"]
+    with pytest.raises(SystemExit, match="CSV"):
+        cli.main(["merge", *given, "--format", "parquet", "--out", str(tmp_path / "m")], spark)

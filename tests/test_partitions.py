@@ -1,0 +1,103 @@
+import glob
+import os
+
+import pytest
+from pyspark.sql import functions as F
+
+from martlens.operators.cleaning import drop_exact_copies
+from martlens.plans.star import Lookup, Star
+from martlens.session import scratch_path
+from martlens.sources.partitions import delete_copies, delete_rows
+from martlens.sources.tables import save_bucketed
+
+
+def files(path):
+    """Name and time of every data file by folder."""
+    return {
+        (os.path.relpath(f, path), os.stat(f).st_mtime_ns)
+        for f in glob.glob(f"{path}/**/part-*", recursive=True)
+    }
+
+
+@pytest.fixture
+def stored(spark):
+    path = scratch_path(spark, "lines")
+    df = spark.range(60).selectExpr(
+        "id AS row_id", "CAST(id % 20 AS string) AS name", "CASE WHEN id % 20 = 7 THEN null "
+        "ELSE lpad(id % 20 % 4 + 1, 2, '0') END AS month", "'x' AS area",
+    )
+    # copies of names that lie in month 01 (0, 4, ...) only, some over in another month
+    df = df.filter("row_id < 20 OR (row_id < 40 AND month = '01')")
+    extra = spark.createDataFrame([(70, "1", "02", "x"), (71, "single", "09", "x")], df.schema)
+    df.unionByName(extra).write.partitionBy("area", "month").parquet(path)
+    return path
+
+
+def test_copies_go_and_other_files_stay(spark, stored, rows):
+    before = files(stored)
+    names = ("name", "month", "area")
+    live = spark.read.parquet(stored)
+    want = rows(drop_exact_copies(live, "row_id", names).select("row_id", *names))
+    changed = delete_copies(spark, stored, ["area", "month"], "row_id", names)
+    assert [f.rsplit("/", 1)[1] for f in changed] == ["month=01", "month=02"]
+    after = files(stored)
+    untouched = {f for f in before if "month=01" not in f[0] and "month=02" not in f[0]}
+    assert untouched <= after and len(untouched) >= 4
+    assert not {f for f in before - untouched} & after
+    assert rows(spark.read.parquet(stored).select("row_id", *names)) == want
+    assert {os.path.basename(os.path.dirname(f)) for f, _ in after} >= {"month=01", "month=09"}
+    # nothing is left to do the second time
+    assert delete_copies(spark, stored, ["area", "month"], "row_id", names) == []
+    assert files(stored) == after
+
+
+def test_a_partition_that_loses_all_rows_goes(spark, stored):
+    doomed = spark.createDataFrame([(71,), (7,), (None,), (999,)], "row_id long")
+    changed = delete_rows(spark, stored, ["area", "month"], doomed, ["row_id"])
+    assert len(changed) == 2
+    left = spark.read.parquet(stored)
+    assert left.filter("row_id IN (7, 71)").count() == 0 and left.filter("month IS NULL").count() == 0
+    assert not os.path.exists(f"{stored}/area=x/month=09")
+    with pytest.raises(ValueError, match="nowhere"):
+        delete_rows(spark, stored, ["nowhere"], doomed, ["row_id"])
+
+
+def test_without_partitions(spark):
+    path = scratch_path(spark, "plain")
+    spark.range(10).selectExpr("id", "id % 5 AS v").write.parquet(path)
+    assert len(delete_copies(spark, path, [], "id", ["v"])) == 1
+    assert sorted(r.id for r in spark.read.parquet(path).collect()) == [0, 1, 2, 3, 4]
+
+
+def test_bucketed_star_joins_without_a_shuffle(spark, rows):
+    fact = spark.range(500).selectExpr("id % 90 AS order_id", "id % 7 AS product_id", "id * 1.0 AS sales")
+    orders = spark.range(80).selectExpr("id AS order_id", "id % 9 AS customer_id")
+    customers = spark.range(9).selectExpr("id AS customer_id", "concat('r', id % 3) AS region")
+    products = spark.range(7).selectExpr("id AS product_id", "concat('d', id % 2) AS division")
+    star = Star(fact, (
+        Lookup("orders", orders, ("order_id",)), Lookup("customers", customers, ("customer_id",)),
+        Lookup("products", products, ("product_id",)),
+    ))
+    stored = star.bucketed("bucket_test", "order_id", 4)
+    columns = ("order_id", "product_id", "sales", "region")
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        joined = stored.select(*columns)
+        assert rows(joined) == rows(star.select(*columns))
+        plan = joined._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "Exchange" not in plan
+        shuffled = star.select(*columns)
+        shuffled.collect()
+        assert "Exchange" in shuffled._jdf.queryExecution().executedPlan().toString()
+        # a sum per order needs none either, and the other lookups still join
+        sums = stored.fact.groupBy("order_id").agg(F.sum("sales").alias("sales"))
+        assert "Exchange" not in sums._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    every = ("order_id", "sales", "region", "division", "customer_id")
+    assert rows(stored.select(*every)) == rows(star.select(*every))
+    with pytest.raises(ValueError, match="alone"):
+        star.bucketed("bucket_test", "customer_id", 4)
+    again = save_bucketed(orders.filter("order_id < 5"), "bucket_test_orders", ["order_id"], 4)
+    assert again.count() == 5

@@ -5,7 +5,14 @@ import pytest
 
 from martlens.session import scratch_path, scratch_scope
 from martlens.sources import schemas, tables
-from martlens.sources.readers import conform, read_csv, read_csv_text, read_parquet, read_table
+from martlens.sources.readers import (
+    conform,
+    read_csv,
+    read_csv_checked,
+    read_csv_text,
+    read_parquet,
+    read_table,
+)
 
 SALES_HEAD = ",".join(schemas.SALES)
 SALES_LINE = (
@@ -169,3 +176,41 @@ def test_scratch_of_a_local_master():
 
 def test_scratch_is_below_the_named_folder(spark):
     assert scratch_path(spark, "x").startswith(spark.conf.get("spark.checkpoint.dir"))
+
+
+def test_csv_rows_that_do_not_fit_are_set_aside(spark, tmp_path):
+    good = SALES_LINE.format(id=1, sales="3.5", units="2.0")
+    first = write(
+        tmp_path, "a.csv", SALES_HEAD, good, SALES_LINE.format(id="x", sales="much", units="2"),
+        "7,US-1", SALES_LINE.format(id=3, sales="NA", units=""),
+    )
+    second = write(
+        tmp_path, "b.csv", SALES_HEAD, good.replace("2024-01-03", "soon"), good + ",extra",
+        SALES_LINE.format(id=5, sales="1", units="2.5"), SALES_LINE.format(id=6, sales="1", units="9" * 25),
+    )
+    rows, rejects = read_csv_checked(spark, [first, second], schemas.SALES_TABLE)
+    assert rows.dtypes == read_csv(spark, [first], schemas.SALES_TABLE).dtypes
+    assert sorted((r["row_id"], r["sales"], r["units"]) for r in rows.collect()) == [
+        (1, 3.5, 2), (3, None, None)
+    ]
+    found = {r["line"][:6]: (os.path.basename(r["file"]), r["reasons"]) for r in rejects.collect()}
+    assert len(found) == rejects.count() - 1  # two lines begin alike
+    assert found["x,US-1"] == (
+        "a.csv", ["Row ID: not a bigint: x", "Sales: not a double: much"])
+    assert found["7,US-1"] == ("a.csv", ["not 18 fields"])
+    reasons = sorted(r["reasons"][0] for r in rejects.collect())
+    assert reasons == sorted([
+        "Row ID: not a bigint: x", "not 18 fields", "Order Date: not a timestamp: soon",
+        "not 18 fields", "Units: not a bigint: 2.5", f"Units: not a bigint: {'9' * 25}",
+    ])
+    whole = next(r["line"] for r in rejects.collect() if r["line"].endswith("extra"))
+    assert whole == good + ",extra"
+
+
+def test_csv_without_rows_or_with_another_header(spark, tmp_path):
+    empty = write(tmp_path, "e.csv", SALES_HEAD)
+    rows, rejects = read_csv_checked(spark, empty, schemas.SALES_TABLE)
+    assert rows.count() == rejects.count() == 0
+    other = write(tmp_path, "o.csv", SALES_HEAD.replace("Sales", "Turnover"), "1,2")
+    with pytest.raises(ValueError, match="Sales"):
+        read_csv_checked(spark, other, schemas.SALES_TABLE)
