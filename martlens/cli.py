@@ -92,11 +92,11 @@ def load_star(spark: SparkSession, args: argparse.Namespace) -> Star:
     lacking = [f"--{n}" for n in INPUTS if not getattr(args, n)]
     if lacking:
         raise SystemExit(f"missing: {' '.join(lacking)}")
+    if getattr(args, "rejects", None) and args.format != "csv":
+        raise SystemExit("--rejects is for CSV files")
     tables = {n: read(spark, getattr(args, n), spec, args.format) for n, spec in INPUTS.items()
               if n != "sales"}
     if getattr(args, "rejects", None):
-        if args.format != "csv":
-            raise SystemExit("--rejects is for CSV files")
         tables["sales"], bad = readers.read_csv_checked(spark, args.sales, INPUTS["sales"])
         bad.write.mode("overwrite").parquet(args.rejects)
     else:
