@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,7 +25,9 @@ from pyspark.sql import functions as F
 from martlens.llm.bpe import slices
 
 WINDOW = 3
-LEAST = 80  # a window of fewer characters is no main text where no article is marked
+LEAST = 80  # a window of fewer characters is no surge, if the page has a heavier one
+
+TAKEN_BACK = 8  # names that may prove wrong one inside the other; beyond that none counts
 
 # Element names of HTML by their role here.
 _RAW = "script|style|title|textarea|noscript|iframe|template|xmp|noembed|noframes|svg|math"
@@ -56,6 +59,19 @@ _HINTS = frozenset(
     "sharing social related recommended newsletter subscribe subscription signup login popup modal "
     "overlay search widget widgets pagination pager toolbar copyright disclaimer".split()
 )
+# Words that say nothing about what they stand beside: site-header, comment-list-wrapper.
+_NEUTRAL = frozenset(
+    "site page main global top bottom left right upper lower primary secondary first last entry post "
+    "posts article articles block blocks box boxes bar bars wrap wrapper container inner outer list "
+    "lists item items area areas section sections row col column columns grid button buttons link "
+    "links icon icons slot unit text title form field panel group set js el".split()
+)
+# Names that never mean the article, however much text they hold beside it.
+_SURE = frozenset(
+    "ad ads advert adverts advertisement advertising sponsor sponsored cookie cookies consent gdpr "
+    "sidebar sidebars nav navbar navigation menu menus breadcrumb breadcrumbs footer comment comments "
+    "disqus newsletter subscribe subscription".split()
+)
 _READERS = frozenset("comment comments disqus respond thread list area section".split())
 
 _TOKEN = re.compile(
@@ -70,47 +86,71 @@ _ATTRIBUTE = re.compile(
     r"([^\s=\"'/>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.S
 )
 _WORD = re.compile(r"[a-z]+")
+_PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")  # of names written like-this, like_this or likeThis
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
 
+def _named(value: str) -> tuple[set[str], bool]:
+    """Hint words of class or id names that say just that, and if others hold one as well.
+
+    A name says just that if its other words are neutral: ``cookie-notice``, not
+    ``no-sidebar``.
+    """
+    plain, mixed = set(), False
+    for name in value.split():
+        words = [w.lower() for w in _PART.findall(name) if len(w) > 1]
+        found = _HINTS.intersection(words)
+        if found and all(w in _HINTS or w in _NEUTRAL for w in words):
+            plain |= found
+        elif found:
+            mixed = True
+    return plain, mixed
+
+
 class _Element:
     """A tag's element; ``link``, ``titled`` and ``holder`` hold for all inside it as well."""
 
-    __slots__ = ("name", "outer", "drop", "head", "hinted", "article", "link", "titled", "holder",
-                 "never", "margin", "top", "size")
+    __slots__ = ("name", "outer", "block", "drop", "head", "hinted", "mixed", "sure", "article",
+                 "freed", "link", "titled", "holder", "never", "margin", "top", "size", "solid")
 
     def __init__(self, name: str, attributes: str, outer: _Element | None):
         self.name, self.outer, self.article = name, outer, name in ("article", "main")
-        self.drop, self.head, self.hinted, self.size = name in _NEVER, name == "header", False, 0
+        self.block = self if outer is None or name in _BLOCK else outer.block
+        self.drop, self.head, self.size = name in _NEVER, name == "header", 0
+        self.hinted = self.mixed = self.sure = self.freed = self.solid = False
         self.link = name == "a" or outer is not None and outer.link
         self.titled = name in _HEADING or outer is not None and outer.titled
         inside = None if outer is None else outer.holder  # the outermost article or main
         self.holder = inside or (self if self.article else None)
         if attributes and attributes != "/":
             self._read(attributes, inside is not None)
-        if self.head and inside is None:
-            self.drop = True
+        if self.head and inside is None:  # beside an article its headings go as well
+            self.drop |= name == "header"
+            self.hinted = True
 
     def _read(self, attributes: str, inside: bool) -> None:
         # in an article words may be its subject: only classes and roles of blocks count
         named = not inside or self.name in _BLOCK and self.name not in _HEADING
         for key, a, b, c in _ATTRIBUTE.findall(attributes):
-            key, value = key.lower(), (a or b or c).lower()
+            key, value = key.lower(), a or b or c
             if key == "class" and named or key == "id" and not inside and self.name not in _HEADING:
-                found = _HINTS.intersection(_WORD.findall(value))
+                found, mixed = _named(value)
                 self.head |= "header" in found
                 self.hinted |= bool(found - {"header"})
+                self.sure |= not found.isdisjoint(_SURE)
+                self.mixed |= mixed and not inside
             elif key == "id" and named and inside:
-                found = set(_WORD.findall(value))
+                found = set(_WORD.findall(value.lower()))
                 self.hinted |= found <= _READERS and not found.isdisjoint(_HINTS)
+                self.sure |= self.hinted
             elif key == "role" and named:
-                self.hinted |= not _ROLES.isdisjoint(value.split())
-            elif key == "hidden" or key == "aria-hidden" and value == "true":
-                self.hinted = True
-            elif key == "style":
-                self.hinted |= _HIDDEN.search(value) is not None
+                self.hinted |= not _ROLES.isdisjoint(value.lower().split())
+            elif key == "hidden" or key == "aria-hidden" and value.lower() == "true":
+                self.hinted = self.sure = True
+            elif key == "style" and _HIDDEN.search(value) is not None:
+                self.hinted = self.sure = True
         if self.name in ("html", "body", "main"):
-            self.hinted = self.head = False
+            self.hinted = self.head = self.mixed = False
 
 
 class _Line:
@@ -123,20 +163,50 @@ class _Line:
         self.block = block
 
 
+class _Open:
+    """The stack of open elements, and how many of each name are on it."""
+
+    def __init__(self):
+        self.stack = [_Element("", "", None)]
+        self.names: Counter[str] = Counter()
+
+    def push(self, element: _Element) -> None:
+        self.stack.append(element)
+        self.names[element.name] += 1
+
+    def close(self, names: frozenset | set, scopes: frozenset | tuple = ()) -> bool:
+        """Close the innermost open element of these names; whether a block ended by that.
+
+        A search passes only elements that it closes, or ends at a scope.
+        """
+        if not any(self.names[n] for n in names):
+            return False
+        for k in range(len(self.stack) - 1, 0, -1):
+            if self.stack[k].name in names:
+                gone = self.stack[k:]
+                del self.stack[k:]
+                for e in gone:
+                    self.names[e.name] -= 1
+                return any(e.name in _BLOCK for e in gone)
+            if self.stack[k].name in scopes:
+                break
+        return False
+
+
 def lines_of(page: str) -> tuple[list[_Element], list[_Line]]:
     """The page's elements, outer before inner ones, and its lines of text."""
-    stack = [_Element("", "", None)]
+    opened = _Open()
+    stack = opened.stack
     elements, lines = stack[:], []
     line: _Line | None = None
     for token in _TOKEN.finditer(page):
         text = token["text"]
         if text is not None:
             if stack[-1].name == "head" and not text.isspace():
-                del stack[-1]
+                opened.close({"head"})
                 line = None
             if line is None:
-                block = next((e for e in reversed(stack) if e.name in _BLOCK), stack[0])
-                line = _Line(block)
+                line = _Line(stack[-1].block)
                 lines.append(line)
             line.parts.append((text, stack[-1]))
             continue
@@ -144,24 +214,16 @@ def lines_of(page: str) -> tuple[list[_Element], list[_Line]]:
         if name is None:
             continue
         name = name.lower()
-        if not token["end"] and name not in _IN_HEAD:
-            # the end tag of a head may be left out: what cannot be in a head ends it
-            for k, outer in enumerate(stack):
-                if outer.name == "head":
-                    del stack[k:]
-                    line = None
-                    break
+        # the end tag of a head may be left out: what cannot be in a head ends it
+        if not token["end"] and name not in _IN_HEAD and opened.close({"head"}):
+            line = None
         if name in _BLOCK:
             line = None
         elif (name in _SPACED or name in _NEVER) and line is not None:
             line.parts.append((" ", None))
         if token["end"]:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].name == name:
-                    if any(e.name in _BLOCK for e in stack[k:]):
-                        line = None
-                    del stack[k:]
-                    break
+            if opened.close({name}):
+                line = None
             continue
         if name in _VOID:
             continue
@@ -169,19 +231,18 @@ def lines_of(page: str) -> tuple[list[_Element], list[_Line]]:
         if name in _BLOCK and name not in ("html", "body"):
             closing = (closing or set()) | {"p"}
         if closing:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].name in closing:
-                    del stack[k:]
-                    break
-                if stack[k].name in _SCOPES:
-                    break
+            opened.close(closing, _SCOPES)
         element = _Element(name, token["attributes"], stack[-1])
         elements.append(element)
         if element.article and not element.hinted:
-            for outer in stack:  # what holds an article is no margin, whatever it is called
-                outer.hinted = outer.head = False
+            # what holds an article is no margin, whatever it is called
+            outer = element.outer
+            while outer is not None and not outer.freed:
+                outer.hinted = outer.head = outer.mixed = False
                 outer.drop &= outer.name not in _HOLDERS
-        stack.append(element)
+                outer.freed = True
+                outer = outer.outer
+        opened.push(element)
         if name in _BLOCK:
             line = None
     return elements, lines
@@ -218,6 +279,47 @@ def _free_forms(elements: list[_Element], lines: list[_Line]) -> None:
         form.drop = 2 * form.size <= elements[0].size
 
 
+def _weigh(elements: list[_Element], lines: list[_Line]) -> None:
+    """``size``: text of an element that no tag drops and no link holds; and if it is solid.
+
+    An element is solid if a line in it weighs as much as a surge.  A name with a hint among
+    other words counts only where nothing solid is inside.
+    """
+    for e in elements:
+        e.size = 0
+    for line in lines:
+        sizes = [(e, len(t.strip())) for t, e in line.parts if e is not None and not e.never]
+        linked = sum(n for e, n in sizes if e.link)
+        whole = sum(n for _, n in sizes)
+        for e, n in sizes:
+            if not e.link:
+                e.size += n
+        line.block.solid |= whole >= LEAST and 2 * linked <= whole
+    for e in reversed(elements):
+        if e.outer is not None:
+            e.outer.size += e.size
+            e.outer.solid |= e.solid
+    for e in elements:
+        e.hinted |= e.mixed and not e.solid
+
+
+def _wrongly_named(elements: list[_Element], kept: list) -> _Element | None:
+    """The heaviest part that a name drops, if what it leaves is next to nothing.
+
+    That is the case if no surge is left and the part holds more than all that is left.
+    While something is left, a name that is sure, or hides its part, stays as it is.
+    """
+    weight = np.array([w for *_, w in kept], np.int64)
+    if len(weight) and window_sums(weight, WINDOW).max() >= LEAST:
+        return None
+    found = [
+        e for e in elements
+        if (e.hinted or e.head) and e.size > weight.sum() and not (kept and e.sure)
+        and not (e.outer.margin or e.outer.top or e.outer.never)
+    ]
+    return max(found, key=lambda e: e.size, default=None)
+
+
 def _dropped(e: _Element, hints: bool) -> bool:
     """Whether a part that is no main text holds the element; headings of an article stay."""
     return e.never or hints and (e.margin or e.top and not e.titled)
@@ -245,14 +347,30 @@ def window_sums(weights: np.ndarray, window: int) -> np.ndarray:
 
 
 def main_text(page: str | None) -> str:
-    """The kept blocks of a page, joined by empty lines; empty if there are none."""
+    """The kept blocks of a page, joined by empty lines; empty if there are none.
+
+    Names of classes and ids never leave a page with next to nothing: the heaviest part
+    that they drop is then taken back, and the page looked at again.
+    """
     elements, lines = lines_of(page or "")
     _free_forms(elements, lines)
     _judge(elements)
+    _weigh(elements, lines)
+    _judge(elements)
     kept = _left(lines, True)
+    for _ in range(TAKEN_BACK):
+        wrong = _wrongly_named(elements, kept)
+        if wrong is None:
+            break
+        wrong.hinted = wrong.head = False
+        wrong.drop &= wrong.name not in _HOLDERS
+        _judge(elements)
+        kept = _left(lines, True)
     if not any(line.block.holder for line, *_ in kept):
         # names that would drop every line of an article mean something else here
         kept = _left([x for x in lines if x.block.holder], False) or kept
+    if not kept:
+        kept = _left(lines, False)
     if not kept:
         return ""
     blocks = [line.block for line, *_ in kept]
@@ -274,7 +392,7 @@ def _chosen(weight: np.ndarray, blocks: list[_Element], elements: list[_Element]
     if not marked.any():
         return _between(weight, blocks, elements)
     solid, outside = np.zeros(len(weight), bool), 0
-    for a, b in _stretches(weight):
+    for a, b in _stretches(weight, short=False):
         solid[a:b] = True
         outside = max(outside, int(np.where(marked, 0, weight)[a:b].sum()))
     located = marked & solid & (weight > 0)
@@ -292,39 +410,39 @@ def _chosen(weight: np.ndarray, blocks: list[_Element], elements: list[_Element]
     return chosen if decided else chosen | _between(weight, blocks, elements)
 
 
-def _path(element: _Element) -> list[_Element]:
-    """The element and all around it, the outermost first."""
-    out = []
-    while element is not None:
-        out.append(element)
-        element = element.outer
-    return out[::-1]
-
-
 def _holder(blocks: list[_Element]) -> _Element | None:
     """The innermost element around all of the blocks, if it is less than the page."""
     if len(blocks) < 2:
         return None
-    shared = _path(blocks[0])
+    depth, up = {}, blocks[0]
+    while up is not None:  # the first block and all around it, by distance
+        depth[up] = len(depth)
+        up = up.outer
+    shared = blocks[0]
+    seen = set(depth)
     for block in blocks[1:]:
-        pairs = zip(shared, _path(block), strict=False)
-        shared = [a for a, b in pairs if a is b]
-    return None if shared[-1].name in ("", "html", "body") else shared[-1]
+        while block not in seen:  # no element is passed twice
+            seen.add(block)
+            block = block.outer
+        if depth.get(block, -1) > depth[shared]:
+            shared = block
+    return None if _whole(shared) else shared
 
 
-def _stretches(weight: np.ndarray) -> list[tuple[int, int]]:
+def _stretches(weight: np.ndarray, short: bool = True) -> list[tuple[int, int]]:
     """Every surge and its dive: runs of heavy windows, without weightless lines at the ends.
 
     On a page of short lines no window is heavy; there a run of lines counts that has no
-    weightless window and ``LEAST`` characters as a whole.
+    weightless window and ``LEAST`` characters as a whole, or, if there is none and
+    ``short`` allows it, any.
     """
     sums = window_sums(weight, WINDOW)
     out = []
-    for least in (LEAST, 1):
+    for least, whole in ((LEAST, LEAST), (1, LEAST), (1, 1))[: 3 if short else 2]:
         edges = np.diff(np.concatenate([[0], (sums >= least).astype(np.int8), [0]]))
         for a, b in zip(np.flatnonzero(edges == 1), np.flatnonzero(edges == -1), strict=True):
             some = a + np.flatnonzero(weight[a : b + WINDOW - 1])
-            if weight[some].sum() >= LEAST:
+            if weight[some].sum() >= whole:
                 out.append((int(some[0]), int(some[-1]) + 1))
         if out:
             break
@@ -355,7 +473,9 @@ def _between(
     holds several heavy lines is kept as a whole.
     """
     n = len(weight)
-    chosen, found = np.zeros(n, bool), _stretches(weight)
+    # beside an empty article a few words are no text
+    short = not any(e.article for e in elements)
+    chosen, found = np.zeros(n, bool), _stretches(weight, short)
     if not found:
         return chosen
     for a, b in found:
@@ -394,7 +514,7 @@ def _between(
     chosen |= _within(blocks, elements, {e for e, count in parents.items() if count > 1})
     chosen &= inside
     start = int(chosen.argmax())
-    while start and blocks[start - 1].titled and inside[start - 1]:
+    while start and blocks[start - 1].titled:  # a heading right before the text is its own
         start -= 1
         chosen[start] = True
     return chosen

@@ -1,9 +1,10 @@
 import html
 import re
+import time
 
 import numpy as np
 
-from martlens.llm.htmltext import extract, main_text, window_sums
+from martlens.llm.htmltext import _stretches, extract, main_text, window_sums
 from martlens.llm.inputs import read, ready
 from martlens.llm.queries import QUERIES
 
@@ -166,3 +167,95 @@ def test_marks_widen_surge_and_dive():
     # the windows decide where the marked part is not the heavy one
     page = f"<article><p>teaser</article><div><p>{LONG}<p>{LONG}<p>end</div>"
     assert main_text(page).split("\n\n") == ["teaser", long, long, "end"]
+
+
+TWO = f"<p>{LONG}</p><p>{LONG}</p>"
+
+
+def test_names_never_empty_a_page():
+    both = "\n\n".join([LONG.strip()] * 2)
+    widget = f'<h1>Title</h1><div class="elementor-widget-container">{TWO}</div>'
+    for page in (f"<main>{widget}</main>", f"<body>{widget}</body>"):
+        assert main_text(page) == f"Title\n\n{both}"
+    for names in (
+        'class="layout no-sidebar"', 'class="post category-social"', 'id="notice-of-appeal"',
+        'class="page-header-fixed"', 'class="header"', 'class="widget"', 'id="search"',
+        'class="related" role="alert"', 'class="footer"', 'class="comments"',
+    ):
+        assert main_text(f"<body><div {names}>{TWO}</div></body>") == both, names
+        nested = f"<body><div {names}><div {names}>{TWO}</div></div><p>x</p></body>"
+        if "footer" not in names and "comments" not in names:
+            assert both in main_text(nested), names
+    article = f'<article><p>{LONG}</p><section class="related-work"><p>b</p></section></article>'
+    assert main_text(article).split("\n\n") == [LONG.strip(), "b"]
+
+
+def test_names_that_are_margins_beside_a_text():
+    long = LONG.strip()
+    for names in (
+        'class="cookie-notice"', 'class="siteFooter"', 'id="comment-list"', 'class="sidebar_left"',
+        'class="related-posts"', 'class="c-share-bar"', "hidden", 'class="x y ads"',
+    ):
+        page = f"<body><div><p>{LONG}</p></div><div {names}><p>{LONG}</p></div></body>"
+        assert main_text(page) == long, names
+    # a mixed name counts where nothing solid stands
+    page = f'<body><div><p>{LONG}<p>{LONG}</div><div class="mc-newsletter"><p>Join us</div>'
+    assert main_text(page) == "\n\n".join([long] * 2)
+    # a short text keeps its long comments out
+    page = f'<body><div><p>Short news of the day.</p></div><div class="comments">{TWO}</div></body>'
+    assert main_text(page) == "Short news of the day."
+
+
+def test_short_pages_without_an_article():
+    assert main_text("<p>Hello there.</p><p>Two short ones.</p>") == "Hello there.\n\nTwo short ones."
+    assert main_text("<body>Only this") == "Only this"
+    assert main_text("<ul><li><a href=/>Home</a></ul><p>Short.</p>") == "Short."
+
+
+def brute_stretches(weight):
+    """Runs of windows, one window at a time."""
+    windows = [sum(weight[i : i + 3]) for i in range(len(weight))]
+    for least, whole in ((80, 80), (1, 80), (1, 1)):
+        out, run = [], []
+        for i, w in enumerate([*windows, 0]):
+            if w >= least and i < len(windows):
+                run.append(i)
+            elif run:
+                lines = [k for k in range(run[0], min(run[-1] + 3, len(weight))) if weight[k]]
+                if sum(weight[k] for k in lines) >= whole:
+                    out.append((lines[0], lines[-1] + 1))
+                run = []
+        if out:
+            return out
+    return []
+
+
+def test_stretches_by_brute_force():
+    rng = np.random.default_rng(7)
+    for _ in range(500):
+        kinds = [0, 0, 0, 3, 30, 90] if rng.random() < 0.7 else [0, 0, 2]
+        weight = rng.choice(kinds, rng.integers(1, 40))
+        assert _stretches(weight) == brute_stretches(weight.tolist())
+
+
+def test_every_line_between_surge_and_dive_stays():
+    rng = np.random.default_rng(3)
+    for k in range(60):
+        sizes = rng.choice([1, 4, 40], rng.integers(3, 25))
+        texts = [f"{i} " + "w " * n for i, n in enumerate(sizes)]
+        texts = [LONG, *texts, LONG]
+        body = "".join(f"<p>{t}</p>" for t in texts)
+        for page in (body, f"<div>{body}</div>", f"<article>{body}</article>", f"<main>{body}</main>"):
+            want = [" ".join(t.split()) for t in texts]
+            assert main_text(f"<body><nav>menu</nav>{page}</body>").split("\n\n") == want, k
+
+
+def test_open_elements_cost_no_more_than_their_number():
+    def took(page):
+        start = time.process_time()
+        main_text(page)
+        return time.process_time() - start
+
+    for part in ("<div>", "<b>", "<article>", "<div>x", "<b>x</p>", "<li>x", "<a><p>" + "long text " * 9,
+                 "</div>", "<span class='ad x'>y"):
+        assert took(part * 100_000 if len(part) < 20 else part * 20_000) < 8, part
