@@ -15,9 +15,10 @@ def brute(rows, least, chars=1):
         return low.strip(" \t\n\v\f\r")
 
     held = {}
-    for number, (_, text) in enumerate(rows):
+    for number, (i, text) in enumerate(rows):
         for line in (text or "").split("\n"):
-            held.setdefault(key(line), set()).add(number)
+            # rows of one id are one document, rows without an id one each
+            held.setdefault(key(line), set()).add(("row", number) if i is None else i)
     gone = {k for k, d in held.items() if len(k) >= chars and len(d) >= least}
     out = []
     for i, text in rows:
@@ -44,6 +45,29 @@ def test_against_brute_force(spark, least, chars):
     assert result(got) == brute(ROWS, least, chars)
 
 
+def test_rows_of_one_id_are_one_document(spark):
+    rows = [(1, f"only of one\nown {k % 5}") for k in range(12)] + [(2, "x\nown 1")]
+    rows += [(None, "without id")] * 12
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for bucket in (16 << 20, 100):
+        got = drop_common_lines(df, 10, bucket_bytes=bucket, shard_rows=4)
+        assert result(got) == brute(rows, 10)
+    assert {r.text for r in got.filter("doc_id = 1").collect()} > {"only of one\nown 0"}
+    assert {r.n_dropped for r in got.filter("doc_id IS NULL").collect()} == {1}
+    con = duckdb.connect()
+    con.register("given", df.filter("doc_id IS NOT NULL").toPandas())
+    con.execute("CREATE VIEW documents AS SELECT * FROM given")
+    # the query's SQL counts the same documents: no line of one id alone is common
+    assert {r[2] for r in con.execute(ORACLE["op7_line_dedup"]).fetchall()} == {0}
+
+
+def test_equal_rows_are_dealt_over_buckets(spark):
+    rows = [(None, "")] * 400 + [(7, "same\ntext")] * 300 + [(k, f"same\nline {k}") for k in range(20)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = drop_common_lines(df, 3, bucket_bytes=500, shard_rows=10)
+    assert result(got) == brute(rows, 3)
+
+
 def test_other_columns_stay(spark):
     df = spark.createDataFrame(ROWS, "doc_id long, text string")
     df = df.selectExpr("'b' AS bucket", "doc_id", "text", "2L AS hi", "length(text) AS n_chars",
