@@ -69,8 +69,8 @@ def _local_scratch(application: str) -> str:
     return tempfile.mkdtemp(prefix=f"martlens-{application}-")
 
 
-def scratch_path(spark: SparkSession, label: str) -> str:
-    """A fresh path below the cluster's shared folder.
+def shared_path(spark: SparkSession, label: str) -> str:
+    """A lasting path below the cluster's shared folder, the same for every session.
 
     The folder is the one the session names in ``spark.checkpoint.dir``.  Only
     a local master may fall back to a temporary folder of this machine: on a
@@ -81,7 +81,12 @@ def scratch_path(spark: SparkSession, label: str) -> str:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder all executors share")
         base = _local_scratch(spark.sparkContext.applicationId)
-    path = f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    return f"{base.rstrip('/')}/{label}"
+
+
+def scratch_path(spark: SparkSession, label: str) -> str:
+    """A fresh path below the cluster's shared folder; a scope removes it at its end."""
+    path = shared_path(spark, f"{label}-{uuid.uuid4().hex}")
     if _scopes:
         _scopes[-1].append(path)
     return path
