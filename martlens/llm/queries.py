@@ -22,7 +22,8 @@ from martlens.llm.suffixdedup import remove_repeats
 from martlens.llm.tokencounts import count_tokens
 from martlens.llm.topk import top_k, whole_steps
 from martlens.llm.vectors import named_vectors
-from martlens.session import scratch_path
+from martlens.llm.wordtokens import version
+from martlens.session import shared_path
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -48,11 +49,10 @@ def tokenizer_file(name: str) -> str:
 
 @register("op2_token_counts")
 def token_counts(spark, sf_dir):
-    """Tokens of every document; the cache is a new one for each run."""
-    return count_tokens(
-        read(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"),
-        scratch_path(spark, "token-cache"),
-    )
+    """Tokens of every document; the cache lasts as long as the shared folder."""
+    path = tokenizer_file("word_bpe_49k.json")
+    cache = shared_path(spark, f"token-cache-{version(path)[:16]}")
+    return count_tokens(read(spark, sf_dir, "documents"), path, cache)
 
 
 @register("op9_best_fit_packing")

@@ -25,6 +25,7 @@ from martlens.llm.bpe import Merges, Store, byte_letters
 # whose lower case and normal form are one character each.
 _WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
 _PLAIN = regex.compile(r"[!-~À-ÖØ-öø-ÿ]*")
+_SPACES = regex.compile(" +")
 _PLAIN_BYTES = bytes(b for b in range(256) if b in b"\n " or _PLAIN.fullmatch(chr(b)))
 # A chunk of a text that is not lower-cased as a whole begins with this.
 _RAW = "\n"
@@ -75,6 +76,19 @@ class WordIds:
                 return False
         return not raw.translate(None, _PLAIN_BYTES)
 
+    def content(self, text: str) -> bytes:
+        """What the ids depend on: the text as the tokenizer's normaliser leaves it.
+
+        Special strings are found before that, so a text with one, in any case, stays raw.
+        """
+        low = text.lower()
+        if any(t.lower() in low for t in self.special):
+            return b"raw\0" + text.encode()
+        if self._plain(text):
+            plain = low.replace("\n", " ")
+            return (_SPACES.sub(" ", plain) if "  " in plain else plain).encode()
+        return self.library.normalizer.normalize_str(text).encode()
+
     def _make(self, chunks: Sequence[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each chunk."""
         out: list[bytes] = [b""] * len(chunks)
