@@ -93,9 +93,23 @@ def _kept(dim: int, most: float):
     return run
 
 
+def tiling(
+    n: int, asked: int, tile_rows: int, tile_queries: int, tasks: int
+) -> tuple[int, int]:
+    """How many groups of candidates and blocks of queries there are.
+
+    A candidate is copied once per block, a query once per group, in each pass.  Few large
+    blocks keep that near the size of both tables; groups are smaller where there would
+    else be fewer tiles than ``tasks``.
+    """
+    blocks = max(1, -(-asked // tile_queries))
+    spare = min(-(-tasks // blocks), -(-n // 1_024))
+    return max(1, -(-n // tile_rows), spare), blocks
+
+
 def top_k(
     candidates: DataFrame, queries: DataFrame, k: int = 20,
-    tile_rows: int = 16_384, tile_queries: int = 1_024,
+    tile_rows: int = 16_384, tile_queries: int = 32_768,
 ) -> DataFrame:
     """The ``k`` candidates of highest integer inner product for each query.
 
@@ -124,7 +138,8 @@ def top_k(
     most = float(np.sqrt(facts["norm"]) * np.sqrt(own["norm"])) + 1  # no product is larger
     if most >= EXACT:
         raise ValueError("inner products beyond 2**53 are not exact")
-    groups, blocks = -(-facts["n"] // tile_rows), -(-own["n"] // tile_queries)
+    tasks = 2 * spark.sparkContext.defaultParallelism
+    groups, blocks = tiling(facts["n"], own["n"], tile_rows, tile_queries, tasks)
     cands = candidates.withColumn("tile", dealt(F.col("vec_id"), groups))
     cands = copied(cands, "block", blocks).groupBy("tile", "block")
 

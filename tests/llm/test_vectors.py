@@ -9,7 +9,7 @@ from martlens.llm.forest import Forest
 from martlens.llm.inputs import read, ready
 from martlens.llm.neighbours import nearest
 from martlens.llm.queries import ORACLE, QUERIES
-from martlens.llm.topk import top_k, whole_steps
+from martlens.llm.topk import tiling, top_k, whole_steps
 from martlens.llm.vectors import named_vectors
 
 SF = "/root/testdata/sf0.01"
@@ -142,3 +142,14 @@ def test_neighbours_closer_than_single_precision(spark, monkeypatch, pairs):
         scores = (np.array(vector) * matrix).sum(axis=1)
         want = np.lexsort((np.arange(len(rows)), -scores))[:20]
         assert sorted(got[one]) == list(enumerate(want.tolist(), 1))
+
+
+def test_candidates_are_copied_once_per_large_block():
+    # candidates are not copied until there are more queries than a block holds
+    for n in (1, 10_000, 600_000):
+        groups, blocks = tiling(n, -(-n // 20), 16_384, 32_768, 16)
+        assert blocks == 1 and (groups - 1) * 1_024 < n and groups * 16_384 >= n
+    assert tiling(600_000, 30_000, 16_384, 32_768, 16)[0] == 37
+    groups, blocks = tiling(6_400_000, 320_000, 16_384, 32_768, 16)
+    assert (groups, blocks) == (391, 10)
+    assert tiling(0, 0, 16_384, 32_768, 16) == (1, 1)
