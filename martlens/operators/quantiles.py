@@ -1,17 +1,12 @@
 """Exact quantiles of very large columns.
 
-The built-in exact ``percentile`` keeps every distinct value of the column in
-one aggregation buffer, which one task has to hold in the end.  Here a sketch
-proposes boundary values around each wanted rank, a counting pass tells exactly
-between which boundaries each rank lies and how many rows lie there too, and
-only once those are few are they sorted.  Each pass is one distributed
-aggregate with a small result, and each shrinks the candidates by a factor of
-several hundred: a hot value becomes a boundary and drops out.
-
-All columns share the passes.  The first one counts and sketches whole columns in a
-single aggregate, and boundaries are counted by one aggregate each, so rows are not
-multiplied; only where brackets are searched on, or boundaries are many, does a row become
-one entry per column.
+The built-in exact ``percentile`` keeps every distinct value of the column in one aggregation
+buffer, which one task has to hold in the end.  Here every value falls into a logarithmic
+bin, a count per bin tells exactly in which bin each wanted rank lies and how many values
+come before it, and only the values of those bins are sorted.  A bin that still holds many
+values is cut down first: a sketch proposes boundary values, a counting pass tells between
+which of them each rank lies, and a hot value becomes a boundary and drops out.  Each pass
+is one distributed aggregate with a small result.  All columns share the passes.
 """
 
 from __future__ import annotations
@@ -65,22 +60,83 @@ def _inside(values: DataFrame, brackets: Sequence[Bracket]) -> DataFrame:
 MOST_COUNTS = 96  # boundaries counted by an aggregate each; more go by slot numbers
 
 
-def _survey(
-    values: DataFrame, columns: Sequence[str], probabilities: Sequence[float], accuracy: int
-) -> tuple[dict[str, int], dict[str, list[float]]]:
-    """Count of each column and sketched boundary values around each probability."""
-    margin = 2.0 / accuracy
-    points = {round(p / margin) for p in probabilities}
-    fractions = sorted({min(max((x + d) * margin, 0.0), 1.0) for x in points for d in (-1, 1)})
-    row = values.agg(
-        *[F.count(col(c)) for c in columns],
-        *[F.percentile_approx(col(c), fractions, accuracy) for c in columns],
-    ).first()
-    size = len(columns)
-    return (
-        {c: row[i] for i, c in enumerate(columns)},
-        {c: sorted(set(row[size + i])) for i, c in enumerate(columns) if row[i]},
+WIDTH = 1.01  # a bin's upper end over its lower end
+_SHIFT = 100_000  # more than the number of bins between the smallest and the largest double
+
+
+def bin_of(value: Column, width: float = WIDTH) -> Column:
+    """The bin of a double: whole, never falling as the number grows, 0 for zero."""
+    step = F.log(F.abs(value)) / F.lit(math.log(width))
+    step = F.greatest(F.least(step, F.lit(_SHIFT - 1.0)), F.lit(1.0 - _SHIFT))  # infinities too
+    size = F.floor(step).cast("int") + _SHIFT
+    return F.when(value == 0, 0).otherwise(F.signum(value).cast("int") * size)
+
+
+def bin_range(number: int, width: float = WIDTH) -> tuple[float, float]:
+    """Bounds that hold every value of a bin; they are a little wider than the bin."""
+    if number == 0:
+        return 0.0, 0.0
+    step = abs(number) - _SHIFT
+    slack, top = 1e-9, math.log(1.7e308) / math.log(width)
+    low = width ** min(step, top) * (1 - slack) if step > -top else 0.0
+    high = width ** (step + 1) * (1 + slack) if step + 1 < top else math.inf
+    return (low, high) if number > 0 else (-high, -low)
+
+
+def bin_counts(values: DataFrame, columns: Sequence[str]) -> dict[str, list[tuple[int, int]]]:
+    """(bin, number of values) of each column, ascending; a row per bin reaches the driver."""
+    entries = [
+        F.struct(F.lit(i).alias("i"), bin_of(col(c)).alias("bin")) for i, c in enumerate(columns)
+    ]
+    long = values.select(F.inline(F.array(*entries))).filter("bin IS NOT NULL")
+    counts: dict[str, list[tuple[int, int]]] = {c: [] for c in columns}
+    for row in long.groupBy("i", "bin").count().collect():
+        counts[columns[row["i"]]].append((row["bin"], row["count"]))
+    return {c: sorted(found) for c, found in counts.items()}
+
+
+def place_ranks(
+    counts: Iterable[tuple[int, int]], ranks: Iterable[int]
+) -> dict[int, tuple[int, int, int]]:
+    """For each rank its bin, its rank inside the bin, and the values of the bin."""
+    place: dict[int, tuple[int, int, int]] = {}
+    wanted, below, at = sorted(ranks), 0, 0
+    for number, n in counts:
+        while at < len(wanted) and wanted[at] < below + n:
+            place[wanted[at]] = (number, wanted[at] - below, n)
+            at += 1
+        below += n
+    return place
+
+
+def values_at(
+    values: DataFrame, places: dict[str, dict[int, tuple[int, int, int]]],
+    accuracy: int = 2_000, max_rows: int = 50_000,
+) -> dict[str, dict[int, float]]:
+    """The values at ranks that :func:`place_ranks` has placed, per column of doubles.
+
+    One pass reads the values of the bins concerned, if none holds over ``max_rows``.
+    """
+    bins = sorted({(c, p[0], p[2]) for c, ranks in places.items() for p in ranks.values()})
+    if not bins:
+        return {c: {} for c in places}
+    name = {(c, number): f"b{i}" for i, (c, number, _) in enumerate(bins)}
+    only = values.select(
+        *[F.when(bin_of(col(c)) == number, col(c)).alias(b) for (c, number), b in name.items()]
     )
+    wanted: dict[str, tuple[int, set[int]]] = {name[c, b]: (n, set()) for c, b, n in bins}
+    for c, ranks in places.items():
+        for number, inside, _ in ranks.values():
+            wanted[name[c, number]][1].add(inside)
+    some = reduce(or_, [F.col(b).isNotNull() for b in wanted])
+    found = order_statistics(only.filter(some), wanted, accuracy, max_rows)
+    return {
+        c: {rank: found[name[c, number], inside] for rank, (number, inside, _) in ranks.items()}
+        for c, ranks in places.items()
+    }
+
+
+MOST_COUNTS = 96  # boundaries counted by an aggregate each; more go by slot numbers
 
 
 def _slot_sizes(
@@ -243,18 +299,13 @@ def exact_quantiles(
         ).first()
         return {c: row[i] or [None] * len(probabilities) for i, c in enumerate(columns)}
 
-    total, proposed = _survey(values, columns, probabilities, accuracy)
-    search: dict[Rank, Bracket] = {
-        (c, rank): Bracket(c, None, None, 0, total[c])
-        for c in columns
-        if total[c]
-        for rank in ranks_of(total[c], probabilities)
-    }
-    answers = _settle(values, search, accuracy, max_rows, proposed)
-    return {
-        c: interpolated({r: v for (own, r), v in answers.items() if own == c}, total[c], probabilities)
-        for c in columns
+    counts = bin_counts(values, columns)
+    total = {c: sum(n for _, n in counts[c]) for c in columns}
+    places = {
+        c: place_ranks(counts[c], ranks_of(total[c], probabilities)) for c in columns if total[c]
     }
+    found = values_at(values, places, accuracy, max_rows)
+    return {c: interpolated(found.get(c, {}), total[c], probabilities) for c in columns}
 
 
 def interpolated(
@@ -289,14 +340,12 @@ def order_statistics(
 
 
 def _settle(
-    values: DataFrame, search: dict[Rank, Bracket], accuracy: int, max_rows: int,
-    proposed: dict[str, list[float]] | None = None,
-) -> dict[Rank, float]:
+    values: DataFrame, search: dict[Rank, Bracket], accuracy: int, max_rows: int
+) -> dict[Rank, float]:
     """Brackets are cut down until each holds ``max_rows`` at most, and then sorted."""
     answers: dict[Rank, float] = {}
     while wide := {k: b for k, b in search.items() if b.inside > max_rows}:
-        ends = proposed or _propose(values, wide, accuracy)
-        ends, proposed = {c: ends[c] for c in dict.fromkeys(c for c, _ in wide)}, None
+        ends = _propose(values, wide, accuracy)
         for key, place in _locate(values, ends, wide).items():
             if isinstance(place, Bracket):
                 search[key] = place

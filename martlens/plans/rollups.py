@@ -16,18 +16,23 @@ the counts, and only the fact's rows in that bin are read to finish it.
 
 from __future__ import annotations
 
-import math
-from collections.abc import Sequence
+from collections.abc import Iterable, Sequence
 from functools import reduce
 from operator import or_
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from martlens.functions.columns import col, present, ratio
 from martlens.operators.filters import ALL, dashboard_filter
-from martlens.operators.quantiles import interpolated, order_statistics, ranks_of
+from martlens.operators.quantiles import (
+    bin_of,
+    bin_range,
+    interpolated,
+    place_ranks,
+    ranks_of,
+    values_at,
+)
 from martlens.operators.statistics import correlations_of, moment_sums, pattern_of
 from martlens.plans.dashboard import CORRELATED, DIMENSIONS, MEASURES
 from martlens.plans.star import Star
@@ -36,27 +41,6 @@ from martlens.sources.versions import Pointer
 
 KEYS = ("order_year", "region", "division")
 TABLES = ("sums", "moments", "bins", "orders")
-WIDTH = 1.01  # a bin's upper end over its lower end
-_SHIFT = 100_000  # more than the number of bins between the smallest and the largest double
-
-
-def bin_of(value: Column, width: float = WIDTH) -> Column:
-    """The bin of a number: whole, never falling as the number grows, 0 for zero."""
-    step = F.log(F.abs(value)) / F.lit(math.log(width))
-    step = F.greatest(F.least(step, F.lit(_SHIFT - 1.0)), F.lit(1.0 - _SHIFT))  # infinities too
-    size = F.floor(step).cast("int") + _SHIFT
-    return F.when(value == 0, 0).otherwise(F.signum(value).cast("int") * size)
-
-
-def bin_range(number: int, width: float = WIDTH) -> tuple[float, float]:
-    """Bounds that hold every value of a bin; they are a little wider than the bin."""
-    if number == 0:
-        return 0.0, 0.0
-    step = abs(number) - _SHIFT
-    slack, top = 1e-9, math.log(1.7e308) / math.log(width)
-    low = width ** min(step, top) * (1 - slack) if step > -top else 0.0
-    high = width ** (step + 1) * (1 + slack) if step + 1 < top else math.inf
-    return (low, high) if number > 0 else (-high, -low)
 
 
 class RollupStore:
@@ -206,29 +190,16 @@ class RollupStore:
         total = sum(n for _, n in counts)
         if not total:
             return [None] * len(probabilities)
-        place: dict[int, tuple[int, int]] = {}  # rank: its bin, and its rank inside
-        inside: dict[int, int] = {}
-        wanted, below, at = sorted(ranks_of(total, probabilities)), 0, 0
-        for number, n in counts:
-            while at < len(wanted) and wanted[at] < below + n:
-                place[wanted[at]] = (number, wanted[at] - below)
-                inside[number] = n
-                at += 1
-            below += n
-        found = order_statistics(
-            self._in_bins(star, column, list(inside), years, region, division),
-            {f"b{i}": (n, {r for b, r in place.values() if b == number})
-             for i, (number, n) in enumerate(inside.items())},
-        )
-        index = {number: f"b{i}" for i, number in enumerate(inside)}
-        values = {rank: found[index[b], r] for rank, (b, r) in place.items()}
-        return interpolated(values, total, probabilities)
+        place = place_ranks(counts, ranks_of(total, probabilities))
+        near = self._near_bins(star, column, {b for b, _, _ in place.values()}, years, region, division)
+        found = values_at(near, {column: place})
+        return interpolated(found[column], total, probabilities)
 
-    def _in_bins(
-        self, star: Star, column: str, numbers: Sequence[int], years, region: str, division: str
+    def _near_bins(
+        self, star: Star, column: str, numbers: Iterable[int], years, region: str, division: str
     ) -> DataFrame:
-        """A column ``b<i>`` per bin, with the values of the choice that lie in it."""
-        ranges = [bin_range(b) for b in numbers]
+        """The values of the choice in the bins' ranges."""
+        ranges = [bin_range(b) for b in sorted(numbers)]
         near = reduce(or_, [col(column).between(F.lit(lo), F.lit(hi)) for lo, hi in ranges])
         # before the joins, where it reaches the scan
         if column in star.fact.columns:
@@ -236,11 +207,7 @@ class RollupStore:
         extra = [c for c, used in zip(KEYS, (years is not None, region != ALL, division != ALL),
                                       strict=True) if used]
         lines = dashboard_filter(star.select(column, *extra), years, region, division)
-        number = bin_of(present(lines, column).cast("double"))
-        return lines.select(
-            *[F.when(number == b, col(column).cast("double")).alias(f"b{i}")
-              for i, b in enumerate(numbers)]
-        ).filter(reduce(or_, [F.col(f"b{i}").isNotNull() for i in range(len(numbers))]))
+        return lines.filter(near).select(present(lines, column).cast("double").alias(column))
 
     def headline(
         self, star: Star, years: Sequence[int] | None = None, region: str = ALL,

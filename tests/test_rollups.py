@@ -9,7 +9,8 @@ from martlens.operators.filters import dashboard_filter
 from martlens.operators.statistics import correlation_matrix
 from martlens.plans import dashboard, reports
 from martlens.plans.dashboard import CORRELATED, DIMENSIONS, MEASURES
-from martlens.plans.rollups import RollupStore, bin_of, bin_range
+from martlens.operators.quantiles import bin_of, bin_range
+from martlens.plans.rollups import RollupStore
 from martlens.plans.star import Star, retail_star
 from martlens.session import scratch_path
 
@@ -159,7 +160,7 @@ def test_an_append_reads_only_the_new_lines(spark, stars, store, days):
 
 
 def test_the_finish_of_a_quantile_is_pruned(stars, store):
-    df = store._in_bins(stars(), "sales", [100_300], [2022], "All", "All")
+    df = store._near_bins(stars(), "sales", [100_300], [2022], "All", "All")
     plan = df._jdf.queryExecution().executedPlan().toString()
     pushed = re.findall(r"PushedFilters: \[[^\n]*", plan)  # long lists are cut short
     assert any("GreaterThanOrEqual(sales" in x for x in pushed), plan
