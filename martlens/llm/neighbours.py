@@ -53,7 +53,7 @@ def _lists(rows: list[np.ndarray] | np.ndarray, kind: pa.DataType) -> pa.Array:
 
 def nearest(
     candidates: DataFrame, queries: DataFrame, k: int = 20, trees: int = 12,
-    leaf_rows: int = 16, sample_rows: int = 16_384, opened: float = 0.08,
+    leaf_rows: int = 64, sample_rows: int = 16_384, opened: float = 0.08,
     shard_rows: int = 32_768, block_queries: int = 16_384,
 ) -> DataFrame:
     """The ``k`` nearest found candidates of each query by inner product.
@@ -65,7 +65,7 @@ def nearest(
 
     The trees are fitted on at most ``sample_rows`` rows, chosen by the hash of their id,
     down to leaves of about ``leaf_rows`` of them; a query opens the part ``opened`` of
-    all leaves, and no fewer than hold 100 k rows of the sample.  Every row is indexed.  With at most k candidates all are returned.
+    all leaves, and no fewer than hold 200 k rows of the sample.  Every row is indexed.  With at most k candidates all are returned.
 
     Of a query id that repeats the smallest vector asks.  Empty tables give an empty
     result.  A task holds ``shard_rows`` members and ``block_queries`` queries.
@@ -94,8 +94,8 @@ def nearest(
     sample = matrix(sample.select("vector").toArrow().column("vector"), dim)
     forest = Forest.fit(_lifted(sample, top), trees, leaf_rows)
     sent = spark.sparkContext.broadcast((forest.directions, forest.cuts))
-    # small tables: as many leaves as hold 100 k members
-    budget = max(trees, int(np.ceil(opened * trees * forest.leaves)), -(-100 * k // leaf_rows))
+    # small tables: as many leaves as hold 200 k members
+    budget = max(trees, int(np.ceil(opened * trees * forest.leaves)), -(-200 * k // leaf_rows))
     forest_leaves = forest.leaves
     runs = min(forest.leaves, -(-facts["n"] // shard_rows))  # of leaves per tree
     splits = -(-facts["n"] // (runs * shard_rows))  # of members, where leaves are large
