@@ -460,6 +460,55 @@ def forest_stump(spark, sf_dir):
     )
 
 
+_TWO_LEVELS = ModelConfig("forest", ("order_month", "order_day"), trees=1, depth=2)
+
+
+def _best_splits(level: str, rows: str) -> str:
+    """CTEs that find the best split of each node of a level, over both features.
+
+    ``rows`` has the node, both features and sales; a split sends values up to ``cut`` left,
+    and takes ``less`` from the squared errors.
+    """
+    return f""", v{level} AS (
+      SELECT node, f, x, count(*) AS n, sum(sales) AS s FROM (
+        SELECT node, 'order_month' AS f, order_month AS x, sales FROM {rows}
+        UNION ALL SELECT node, 'order_day', order_day, sales FROM {rows}) GROUP BY node, f, x),
+    c{level} AS (
+      SELECT node, f, x, sum(n) OVER w AS nl, sum(s) OVER w AS sl,
+             sum(n) OVER a AS n, sum(s) OVER a AS s
+      FROM v{level} WINDOW w AS (PARTITION BY node, f ORDER BY x), a AS (PARTITION BY node, f)),
+    best{level} AS (
+      SELECT node, f, x AS cut,
+             sl * sl / nl + (s - sl) * (s - sl) / (n - nl) - s * s / n AS less
+      FROM c{level} WHERE nl < n
+      QUALIFY row_number() OVER (PARTITION BY node ORDER BY less DESC) = 1)
+    """
+
+
+@register(
+    "forest_two_levels",
+    f""", d AS (SELECT 0 AS node, order_month, order_day, sales FROM star WHERE NOT {_IN_TEST})
+    """
+    + _best_splits("0", "d")
+    + """, e AS (
+      SELECT CASE WHEN CASE f WHEN 'order_month' THEN order_month ELSE order_day END <= cut
+                  THEN 1 ELSE 2 END AS node, order_month, order_day, sales
+      FROM d, best0)
+    """
+    + _best_splits("1", "e")
+    + """, gains AS (SELECT f, less FROM best0 UNION ALL SELECT f, less FROM best1)
+    SELECT feature, round(coalesce(sum(less), 0) / (SELECT sum(less) FROM gains), 6) AS importance
+    FROM (VALUES ('order_month'), ('order_day')) AS t(feature) LEFT JOIN gains ON f = feature
+    GROUP BY feature
+    """,
+    star=True,
+)
+def forest_two_levels(spark, sf_dir):
+    """Importances of one tree of three splits over two features, which SQL can grow too."""
+    fitted = _train(spark, sf_dir, _lines(spark, sf_dir, _TWO_LEVELS.features), _TWO_LEVELS)
+    return finish(fitted.importances(), importance=6)
+
+
 # -- scoring ------------------------------------------------------------------
 
 _SCENARIO_KEYS = ("division", "region", "ship_mode", "order_month", "quarter")
