@@ -5,7 +5,7 @@ import public_tokenizers
 import pytest
 
 from martlens.llm.inputs import read, ready
-from martlens.llm.packing import pack, sum_of_squares
+from martlens.llm.packing import pack, placing_order, sum_of_squares
 from martlens.llm.queries import QUERIES
 from martlens.llm.wordtokens import library
 
@@ -82,3 +82,23 @@ def test_places_have_the_smallest_sum_of_squares():
         for b in range(bins.max() + 1):
             own = order[bins[order] == b]
             assert offsets[own].tolist() == [0, *np.cumsum(lengths[own])[:-1].tolist()]
+
+
+def test_a_full_group_wastes_next_to_nothing():
+    rng = np.random.default_rng(9)
+    lengths = np.minimum(rng.lognormal(5.8, 1.1, 30_000).astype(np.int64) + 1, 2047)
+    order = placing_order(lengths, rng.permutation(len(lengths)))
+    assert sorted(order.tolist()) == list(range(len(lengths)))
+    bins, _ = sum_of_squares(lengths[order], 2048)
+    assert bins.max() + 1 <= 1.001 * lengths.sum() / 2048
+    longest_first = sum_of_squares(np.sort(lengths)[::-1], 2048)[0]
+    assert bins.max() < longest_first.max()
+
+
+def test_placing_order_of_few_pieces():
+    for n in range(12):
+        lengths = np.arange(n) % 4 + 1
+        order = placing_order(lengths, np.arange(n) << 40)
+        assert sorted(order.tolist()) == list(range(n))
+        head = lengths[order[: n - n // 5]].tolist()
+        assert head == sorted(head, reverse=True)
