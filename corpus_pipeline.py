@@ -17,7 +17,7 @@ from martlens.llm.quality import score_quality
 from martlens.llm.queries import tokenizer_file
 from martlens.llm.simhash import near_duplicates
 from martlens.llm.suffixdedup import NO_ID, remove_repeats
-from martlens.sources.tables import materialize
+from martlens.session import delete_path, scratch_path, scratch_scope
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -79,7 +79,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read(ready(spark), sf_dir, "documents")
+    """The stages over documents; each one's input and working copies go once it is written."""
+    docs, given = read(ready(spark), sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), f"pipeline-{name.replace(' ', '-')}")
+        path = scratch_path(spark, f"pipeline-{name.replace(' ', '-')}")
+        with scratch_scope(spark):
+            stage(spark, docs, sf_dir).write.parquet(path)
+        if given:
+            delete_path(spark, given)
+        docs, given = spark.read.parquet(path), path
     return STAGES[-1][1](spark, docs, sf_dir)
