@@ -1,3 +1,5 @@
+import os
+
 from pyspark.sql import functions as F
 
 import __spark_entry__
@@ -10,7 +12,7 @@ SF = "/root/testdata/sf0.001"
 
 def test_every_operator_is_registered():
     names = __spark_entry__.queries()
-    for n in range(1, 11):
+    for n in range(1, 14):
         assert sum(x.startswith(f"op{n}_") for x in names) == 1
     assert names["pipeline"] is corpus_pipeline.run
     assert set(__spark_entry__.oracle_sql()) <= set(names)
@@ -54,8 +56,49 @@ def test_one_of_each_group_stays(spark):
 
 
 def test_stages_take_empty_and_null_rows(spark):
-    docs = read(spark, SF, "documents")
-    for rows in (docs.limit(0), docs.limit(3).withColumn("text", F.lit(None).cast("string"))):
+    docs = read(ready(spark), SF, "documents")
+    null = F.lit(None)
+    without = docs.limit(3).withColumn("text", null.cast("string"))
+    unnamed = docs.limit(3).withColumn("doc_id", null.cast("bigint"))
+    for rows in (docs.limit(0), without, unnamed):
         for name, stage in corpus_pipeline.STAGES:
-            if name != "quality classifier":
-                assert stage(spark, rows, SF).count() <= 3
+            out = stage(spark, rows, SF)
+            if name != "best-fit packing":
+                assert out.columns == docs.columns and out.count() <= 3
+            else:
+                assert out.select("doc_id", "piece").count() >= (0 if rows.isEmpty() else 3)
+
+
+# names that the operators use inside
+CLASHING = ("id", "tag", "whole", "bucket", "key", "text_hash", "fp", "score", "predicted", "held_out",
+            "c0", "c1", "kept", "spread", "doc", "deal", "component", "cuts", "n_lines")
+
+
+def test_stages_keep_columns_of_any_name(spark):
+    docs = read(ready(spark), SF, "documents").limit(40)
+    extra = [F.lit(f"own {c}").alias(c) for c in CLASHING]
+    rows = docs.select(*extra, "*")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        plain, more = stage(spark, docs, SF), stage(spark, rows, SF)
+        assert more.columns == rows.columns, name
+        kept = {(r.doc_id, r.text) for r in more.collect()}
+        assert kept == {(r.doc_id, r.text) for r in plain.collect()}, name
+        replaced = ("kept", "n_lines")
+        for r in more.collect():
+            assert all(r[c] == f"own {c}" for c in CLASHING if c not in replaced), name
+    packing = corpus_pipeline.STAGES[-1][1]
+    assert packing(spark, rows, SF).count() == packing(spark, docs, SF).count()
+
+
+def test_a_run_leaves_only_what_its_result_reads(spark, tmp_path):
+    base = str(tmp_path / "shared")
+    old = spark.conf.get("spark.checkpoint.dir")
+    spark.conf.set("spark.checkpoint.dir", base)
+    try:
+        packed = corpus_pipeline.run(spark, SF)
+        n = packed.count()
+        read_now = {os.path.dirname(f).removeprefix("file:").replace("///", "/") for f in packed.inputFiles()}
+        held = [x for x in os.listdir(base) if not x.startswith("token-cache")]
+        assert n > 0 and len(held) <= 2 and {os.path.join(base, x) for x in held} >= read_now
+    finally:
+        spark.conf.set("spark.checkpoint.dir", old)
