@@ -99,8 +99,8 @@ def vote(
 ) -> np.ndarray:
     """Label mean of the ``near`` voters of highest cosine, weighted by similarity.
 
-    The weight falls from 1 at cosine 1 to 0 at the first voter left out, so no order
-    among equal cosines matters.  A zero vector has no neighbours: its score is 0.
+    The weight is the cosine less that of the first voter left out, so that no order among
+    equal cosines matters.  A zero vector has no neighbours: its score is 0.
     """
     out = np.zeros(len(vectors))
     near = min(near, len(voters) - 1)

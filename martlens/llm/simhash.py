@@ -32,35 +32,47 @@ SEED = 42
 BITS = 64
 
 
-def text_hashes(text: str, shingle: int) -> list[int]:
+BLOCK = 1 << 16  # hashes whose bits are counted at a time
+
+
+def text_hashes(text: str, shingle: int) -> np.ndarray:
     """XXH64 of each run of ``shingle`` words, of all words if there are fewer."""
     words = text.encode().lower().split()  # A-Z only; blanks are \x20 and \x09-\x0D
     if not words:
-        return []
+        return np.empty(0, np.uint64)
     flat = b" ".join(words)
     if len(words) <= shingle:
-        return [xxhash.xxh64_intdigest(flat, SEED)]
+        return np.array([xxhash.xxh64_intdigest(flat, SEED)], np.uint64)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     starts = np.append(0, ends[:-1] + 1)
-    hashed = xxhash.xxh64_intdigest
-    return [
-        hashed(flat[a:b], SEED)
-        for a, b in zip(starts[: len(words) - shingle + 1].tolist(),
-                        ends[shingle - 1 :].tolist(), strict=True)
-    ]
+    n = len(words) - shingle + 1
+    del words
+    hashed, out = xxhash.xxh64_intdigest, np.empty(n, np.uint64)
+    for at in range(0, n, BLOCK):
+        out[at : at + BLOCK] = [
+            hashed(flat[a:b], SEED)
+            for a, b in zip(starts[at : min(at + BLOCK, n)].tolist(),
+                            ends[shingle - 1 :][at : at + BLOCK].tolist(), strict=True)
+        ]
+    return out
 
 
 def majority(hashes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """Fingerprint of each run of hashes: the bits that are set in over half of it."""
-    out = np.zeros(len(sizes), np.uint64)
-    full = np.flatnonzero(sizes)
-    if len(full):
-        bits = np.unpackbits(hashes.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
-        starts = (np.cumsum(sizes) - sizes)[full]
-        votes = np.add.reduceat(bits, starts, axis=0, dtype=np.int64)
-        set_bits = votes * 2 > sizes[full][:, None]
-        out[full] = np.packbits(set_bits, axis=1).view(">u8").ravel()
-    return out
+    """Fingerprint of each run of hashes: the bits that are set in over half of it.
+
+    Bits are unpacked for ``BLOCK`` hashes at a time, however long a run is.
+    """
+    votes = np.zeros((len(sizes), BITS), np.int64)
+    owner = np.repeat(np.arange(len(sizes)), sizes)
+    for at in range(0, len(hashes), BLOCK):
+        own = owner[at : at + BLOCK]
+        raw = hashes[at : at + BLOCK].astype(">u8").view(np.uint8).reshape(-1, 8)
+        starts = np.flatnonzero(np.append(True, own[1:] != own[:-1]))
+        votes[own[starts]] += np.add.reduceat(
+            np.unpackbits(raw, axis=1), starts, axis=0, dtype=np.int64
+        )
+    set_bits = votes * 2 > sizes[:, None]
+    return np.packbits(set_bits, axis=1).view(">u8").ravel().astype(np.uint64)
 
 
 def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
@@ -71,7 +83,7 @@ def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
             for small in slices(batch, "text", 1 << 20):
                 hashes = [text_hashes(t, shingle) for t in small.column("text").to_pylist()]
                 sizes = np.fromiter(map(len, hashes), np.int64, len(hashes))
-                flat = np.fromiter(itertools.chain.from_iterable(hashes), np.uint64, sizes.sum())
+                flat = np.concatenate(hashes)
                 yield pa.RecordBatch.from_arrays(
                     [small.column("doc_id"), pa.array(majority(flat, sizes).view(np.int64)),
                      small.column("text_hash")],

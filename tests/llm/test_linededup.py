@@ -106,3 +106,11 @@ def test_minimal_perfect_hash(n):
 def test_equal_keys_are_refused():
     with pytest.raises(ValueError, match="distinct"):
         MinimalHash.build(np.ones(2, np.uint64), np.ones(2, np.uint64))
+
+
+def test_a_very_long_text_and_line(spark):
+    line = "long " * 100_000
+    rows = [(k, f"{line}\n" + "\n".join(f"{k} {i}" for i in range(20_000))) for k in range(3)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = drop_common_lines(df, 3, bucket_bytes=1 << 16)
+    assert {(r.n_lines, r.n_dropped) for r in got.collect()} == {(20_001, 1)}

@@ -113,3 +113,14 @@ def test_components_of_a_long_chain_and_a_star(spark):
     roots = {r.node: r.root for r in got}
     assert all(roots[i] == 0 for i in range(1, 301))
     assert all(roots[1000 + i] == 1000 for i in range(1, 200))
+
+
+def test_a_text_longer_than_a_block():
+    rng = random.Random(6)
+    long = " ".join(f"w{rng.randrange(5_000)}" for _ in range(simhash.BLOCK + 70))
+    texts = ["", long, "one two", "a b c d e", long + " more"]
+    hashes = [simhash.text_hashes(t, 3) for t in texts]
+    sizes = np.array([len(h) for h in hashes])
+    assert sizes.tolist() == [0, simhash.BLOCK + 68, 1, 3, simhash.BLOCK + 69]
+    got = simhash.majority(np.concatenate(hashes), sizes).tolist()
+    assert got == [brute_print(t) for t in texts]

@@ -161,3 +161,14 @@ def test_equal_windows_fall_to_one_row_before_the_shuffle(spark):
     single = [r for r in out if not r.settled]
     batches = -(-len(single) // 21)
     assert len(out) - len(single) == 50 - batches and batches < 25
+
+
+def test_a_very_long_text(spark):
+    rng = random.Random(11)
+    block = "".join(rng.choice("abcdefgh é") for _ in range(300_000))
+    rows = [(1, block + "new" + block[:5_000]), (2, block[1_000:200_000]), (3, "a" * 200_000)]
+    got = {r.doc_id: r for r in remove_repeats(
+        spark.createDataFrame(rows, "doc_id long, text string"), 100, texts=False).collect()}
+    assert got[1].n_removed == len(block[:5_000].encode()) and got[1].n_spans == 1
+    assert got[2].n_removed == got[2].n_bytes and got[2].n_spans == 1
+    assert got[3].n_removed == 200_000 - 1  # its first byte is in the first string alone
