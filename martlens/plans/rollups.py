@@ -75,7 +75,8 @@ class RollupStore:
         if state["origins"] is None:
             # any numbers near the data do: products around them keep their digits
             means = lines.agg(*[F.avg(present(lines, c)) for c in CORRELATED]).first()
-            state["origins"] = [float(m or 0.0) for m in means]
+            if any(m is not None for m in means):  # not yet, from a batch without lines
+                state["origins"] = [float(m or 0.0) for m in means]
         folder = self.pointer.fresh_folder()
         orders = lines.select(*KEYS, col("order_id").alias("number"))
         if named:
@@ -83,7 +84,7 @@ class RollupStore:
             orders = self._numbered(orders.distinct(), state)
         made = {
             "sums": Star(lines, ()).rollup(DIMENSIONS, MEASURES),
-            "moments": self._moments(lines, state["origins"]),
+            "moments": self._moments(lines, _origins(state)),
             "bins": _bins(lines, MEASURES),
             "orders": _orders(orders),
         }
@@ -159,7 +160,7 @@ class RollupStore:
     ) -> DataFrame:
         """The correlation matrix of a choice as (a, b, r), from the moments alone."""
         chosen = dashboard_filter(self.read("moments"), years, region, division)
-        return correlations_of(chosen, CORRELATED, self._state()["origins"], ranged=True)
+        return correlations_of(chosen, CORRELATED, _origins(self._state()), ranged=True)
 
     def distinct_orders(
         self, by: Sequence[str] = (), years: Sequence[int] | None = None, region: str = ALL,
@@ -218,7 +219,7 @@ class RollupStore:
         (median,) = self.quantiles(star, "sales", [0.5], years, region, division)
         at = CORRELATED.index("sales")
         carries = F.col("carried").bitwiseAND(F.lit(1 << at)) != 0
-        origin = F.lit(self._state()["origins"][at])
+        origin = F.lit(_origins(self._state())[at])
         n = F.sum(F.when(carries, F.col("n")))
         total = F.sum(F.when(carries, F.col(f"s{at}") + F.col("n") * origin))
         return chosen.agg(
@@ -253,6 +254,10 @@ def _orders(orders: DataFrame) -> DataFrame:
     )
 
 
+def _origins(state: dict) -> list[float]:
+    return state["origins"] or [0.0] * len(CORRELATED)
+
+
 def _data(state: dict) -> list[str]:
     """The folders of the batches, in their order."""
     return state.get("data", [])

@@ -199,8 +199,11 @@ def test_an_empty_day(spark, stars, rows):
     assert store.quantiles(new, "sales", [0.5]) == [None]
     assert {r.r for r in store.correlations().collect()} == {None}
     assert store.distinct_orders().first()[0] == 0
+    same(store.headline(new, [1999]), reports.kpi_headline(new.fact.limit(0)), rows)
     store.append(new, "day")
+    assert any(store.pointer.state()["origins"])
     same(store.sums(), new.rollup(DIMENSIONS, MEASURES), rows)
+    same(store.correlations(), correlation_matrix(new.merged(), CORRELATED), rows)
 
 
 def test_orders_named_by_a_text(spark, stars, rows):
