@@ -187,29 +187,26 @@ class ByteCodec:
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         for token, i in self.special.items():
             self.bytes_of[i] = token.encode()
+        most = max(self.bytes_of) + 1
+        self.digits = [b"%d" % i for i in range(most)]
+        self.raw = [self.bytes_of.get(i, b"") for i in range(most)]
         self.cut = regex.compile("|".join(map(regex.escape, sorted(self.special))) or r"(?!)")
         self.words = regex.compile(BYTE_WORDS)
         self.store = Store(self._make, bound)
 
-    def _make(self, chunks: Sequence[str]) -> list[tuple[bytes, bytes]]:
-        """Of each chunk: its ids as decimals, each after a comma, and the decoded bytes."""
+    def _make(self, chunks: Sequence[str]) -> list[bytes]:
+        """Little-endian unsigned 32-bit ids of each chunk."""
         # letters after a space, if any, are one word
-        lists = [
-            [c] if c.isalpha() or c[1:].isalpha() and c[0] == " " else self.words.findall(c)
-            for c in chunks
-        ]
-        distinct = list(set().union(*lists))
-        ids, ends = self.merges.encode([w.encode("utf-8", "surrogatepass") for w in distinct])
-        text = [b",%d" % i for i in ids.tolist()]
-        raw = list(map(self.bytes_of.__getitem__, ids.tolist()))
-        ends = ends.tolist()
-        known, begin = {}, 0
-        for word, end in zip(distinct, ends, strict=True):
-            known[word] = b"".join(text[begin:end]), b"".join(raw[begin:end])
-            begin = end
-        return [known[x[0]] if len(x) == 1 else
-                (b"".join([known[w][0] for w in x]), b"".join([known[w][1] for w in x]))
-                for x in lists]
+        words = [c for c in chunks if c.isalpha() or c[1:].isalpha() and c[0] == " "]
+        known = dict.fromkeys(words)
+        several = {c: self.words.findall(c) for c in chunks if c not in known}
+        words += set().union(*several.values()).difference(known)
+        ids, ends = self.merges.encode([w.encode("utf-8", "surrogatepass") for w in words])
+        flat, places = ids.astype("<u4").tobytes(), [0, *(ends * 4).tolist()]
+        known = {w: flat[a:b] for w, a, b in zip(words, places, places[1:], strict=False)}
+        for chunk, own in several.items():
+            known[chunk] = b"".join(map(known.__getitem__, own))
+        return list(map(known.__getitem__, chunks))
 
     def chunks(self, text: str) -> list[str]:
         """The text in order, cut where a word surely ends."""
@@ -220,31 +217,28 @@ class ByteCodec:
         out[0] = pieces[0]
         return out if pieces[0] else out[1:]
 
-    def plan(self, text: str) -> list[tuple[list[str], bytes, bytes]]:
-        """Runs of chunks, each with the id and bytes of the special string after it."""
+    def plan(self, text: str) -> list[tuple[list[str], bytes]]:
+        """Runs of chunks, each with the id of the special string after it."""
         if not any(t in text for t in self.special):
-            return [(self.chunks(text) if text else [], b"", b"")]
+            return [(self.chunks(text) if text else [], b"")]
         out, at = [], 0
         for found in self.cut.finditer(text):
             between = text[at : found.start()]
             i = self.special[found.group()]
-            out.append((self.chunks(between) if between else [], b",%d" % i, self.bytes_of[i]))
+            out.append((self.chunks(between) if between else [], i.to_bytes(4, "little")))
             at = found.end()
-        return [*out, (self.chunks(text[at:]) if at < len(text) else [], b"", b"")]
+        return [*out, (self.chunks(text[at:]) if at < len(text) else [], b"")]
 
     def run(self, texts: Sequence[str]) -> Iterator[tuple[bytes, bytes]]:
         """For each text its ids, joined by commas, and the decoded text."""
         plans = [self.plan(t) for t in texts]
-        known = self.store.of([chunks for plan in plans for chunks, _, _ in plan]).__getitem__
+        known = self.store.of([chunks for plan in plans for chunks, _ in plan]).__getitem__
         for plan in plans:
-            ids, raw = [], []
-            for chunks, special_id, special_bytes in plan:
-                both = list(map(known, chunks))
-                ids += [a for a, _ in both]
-                raw += [b for _, b in both]
-                ids.append(special_id)
-                raw.append(special_bytes)
-            yield b"".join(ids)[1:], b"".join(raw).decode("utf-8", "replace").encode()
+            flat = b"".join([b"".join(map(known, chunks)) + after for chunks, after in plan])
+            ids = np.frombuffer(flat, "<u4").tolist()
+            raw = b"".join(map(self.raw.__getitem__, ids))
+            yield (b",".join(map(self.digits.__getitem__, ids)),
+                   raw.decode("utf-8", "replace").encode())
 
 
 @functools.lru_cache(maxsize=2)
