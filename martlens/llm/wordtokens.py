@@ -140,5 +140,5 @@ class WordIds:
 
 
 @functools.lru_cache(maxsize=2)
-def word_ids(path: str, bound: int = 250_000) -> WordIds:
+def word_ids(path: str, bound: int = 500_000) -> WordIds:
     return WordIds(path, bound)
