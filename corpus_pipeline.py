@@ -6,8 +6,9 @@ documents; the last returns pieces.  A text that loses everything stays as an em
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Callable
 
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from martlens.llm.inputs import numbered, read, ready, whole_text
@@ -20,17 +21,26 @@ from martlens.llm.suffixdedup import NO_ID, remove_repeats
 from martlens.session import delete_path, scratch_path, scratch_scope
 
 
+OWN = ("doc_id", "text", "lang", "source", "n_chars")
+
+
+def _apart(docs: DataFrame, work: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """``work`` on documents whose other columns cannot clash with those that it adds."""
+    names = [c if c in OWN else f"extra_{i}" for i, c in enumerate(docs.columns)]
+    return work(docs.toDF(*names)).select(*names).toDF(*docs.columns)
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier accepts."""
     ready(spark)
-    scored = score_quality(docs, read(spark, sf_dir, "labels"))
-    return scored.filter(F.col("predicted") == 1).select(*docs.columns)
+    labels = read(spark, sf_dir, "labels")
+    return _apart(docs, lambda d: score_quality(d, labels).filter(F.col("predicted") == 1))
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the lines that ten of them share; none is dropped as a whole."""
     ready(spark)
-    return drop_common_lines(docs, least_docs=10, least_chars=1).select(*docs.columns)
+    return _apart(docs, lambda d: drop_common_lines(d, least_docs=10, least_chars=1))
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -57,7 +67,7 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the passages of 100 bytes that an earlier place has."""
     ready(spark)
-    return remove_repeats(docs, 100).select(*docs.columns)
+    return _apart(docs, lambda d: remove_repeats(d, 100))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
