@@ -57,9 +57,6 @@ def _inside(values: DataFrame, brackets: Sequence[Bracket]) -> DataFrame:
     return long.filter("entry IS NOT NULL").select("entry.bracket", "entry.v")
 
 
-MOST_COUNTS = 96  # boundaries counted by an aggregate each; more go by slot numbers
-
-
 WIDTH = 1.01  # a bin's upper end over its lower end
 _SHIFT = 100_000  # more than the number of bins between the smallest and the largest double
 
@@ -83,16 +80,29 @@ def bin_range(number: int, width: float = WIDTH) -> tuple[float, float]:
     return (low, high) if number > 0 else (-high, -low)
 
 
-def bin_counts(values: DataFrame, columns: Sequence[str]) -> dict[str, list[tuple[int, int]]]:
-    """(bin, number of values) of each column, ascending; a row per bin reaches the driver."""
+def bin_counts(
+    values: DataFrame, columns: Sequence[str]
+) -> tuple[dict[str, list[tuple[int, int]]], dict[tuple[str, int], float]]:
+    """(bin, number of values) of each column, ascending, and the bins of a single value.
+
+    A row per bin reaches the driver.
+    """
     entries = [
-        F.struct(F.lit(i).alias("i"), bin_of(col(c)).alias("bin")) for i, c in enumerate(columns)
+        F.struct(F.lit(i).alias("i"), bin_of(col(c)).alias("bin"), col(c).alias("v"))
+        for i, c in enumerate(columns)
     ]
     long = values.select(F.inline(F.array(*entries))).filter("bin IS NOT NULL")
     counts: dict[str, list[tuple[int, int]]] = {c: [] for c in columns}
-    for row in long.groupBy("i", "bin").count().collect():
-        counts[columns[row["i"]]].append((row["bin"], row["count"]))
-    return {c: sorted(found) for c, found in counts.items()}
+    single: dict[tuple[str, int], float] = {}
+    grouped = long.groupBy("i", "bin").agg(
+        F.count(F.lit(1)).alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")
+    )
+    for row in grouped.collect():
+        c = columns[row["i"]]
+        counts[c].append((row["bin"], row["n"]))
+        if row["lo"] == row["hi"]:
+            single[c, row["bin"]] = row["lo"]
+    return {c: sorted(found) for c, found in counts.items()}, single
 
 
 def place_ranks(
@@ -112,28 +122,74 @@ def place_ranks(
 def values_at(
     values: DataFrame, places: dict[str, dict[int, tuple[int, int, int]]],
     accuracy: int = 2_000, max_rows: int = 50_000,
+    known: dict[tuple[str, int], float] | None = None,
 ) -> dict[str, dict[int, float]]:
     """The values at ranks that :func:`place_ranks` has placed, per column of doubles.
 
-    One pass reads the values of the bins concerned, if none holds over ``max_rows``.
+    One pass reads the values of the bins concerned; one that holds over ``max_rows`` is cut
+    down further.  Of ``known`` bins every value is the same one.
     """
-    bins = sorted({(c, p[0], p[2]) for c, ranks in places.items() for p in ranks.values()})
-    if not bins:
-        return {c: {} for c in places}
-    name = {(c, number): f"b{i}" for i, (c, number, _) in enumerate(bins)}
-    only = values.select(
-        *[F.when(bin_of(col(c)) == number, col(c)).alias(b) for (c, number), b in name.items()]
-    )
-    wanted: dict[str, tuple[int, set[int]]] = {name[c, b]: (n, set()) for c, b, n in bins}
+    known = known or {}
+    found: dict[str, dict[int, float]] = {c: {} for c in places}
+    small: dict[tuple[str, int], set[int]] = {}
+    wide: dict[tuple[str, int], tuple[int, set[int]]] = {}
     for c, ranks in places.items():
-        for number, inside, _ in ranks.values():
-            wanted[name[c, number]][1].add(inside)
-    some = reduce(or_, [F.col(b).isNotNull() for b in wanted])
-    found = order_statistics(only.filter(some), wanted, accuracy, max_rows)
-    return {
-        c: {rank: found[name[c, number], inside] for rank, (number, inside, _) in ranks.items()}
-        for c, ranks in places.items()
-    }
+        for number, inside, n in ranks.values():
+            if (c, number) in known:
+                continue
+            if n <= max_rows:
+                small.setdefault((c, number), set()).add(inside)
+            else:
+                wide.setdefault((c, number), (n, set()))[1].add(inside)
+    picked = _pick_in_bins(values, small) if small else {}
+    if wide:
+        name = {key: f"b{i}" for i, key in enumerate(wide)}
+        only = values.select(
+            *[F.when(bin_of(col(c)) == number, col(c)).alias(b) for (c, number), b in name.items()]
+        )
+        got = order_statistics(only, {name[k]: w for k, w in wide.items()}, accuracy, max_rows)
+        picked |= {(*k, r): got[name[k], r] for k, (_, ranks) in wide.items() for r in ranks}
+    for c, ranks in places.items():
+        found[c] = {
+            rank: known[c, number] if (c, number) in known else picked[c, number, inside]
+            for rank, (number, inside, _) in ranks.items()
+        }
+    return found
+
+
+def _pick_in_bins(
+    values: DataFrame, wanted: dict[tuple[str, int], set[int]]
+) -> dict[tuple[str, int, int], float]:
+    """The order statistics inside bins, by sorting their values.  Each bin is computed once."""
+    columns = sorted({c for c, _ in wanted})
+    entries = [
+        F.struct(F.lit(i).alias("i"), bin_of(col(c)).alias("bin"), col(c).alias("v"))
+        for i, c in enumerate(columns)
+    ]
+    some = [
+        (F.col("i") == i) & F.col("bin").isin(*[b for own, b in wanted if own == c])
+        for i, c in enumerate(columns)
+    ]
+    in_order = Window.partitionBy("i", "bin").orderBy("v")
+    counted = (
+        values.select(F.inline(F.array(*entries)))
+        .filter(reduce(or_, some))
+        .groupBy("i", "bin", "v")
+        .agg(F.count(F.lit(1)).alias("n"))
+        .withColumn("upto", F.sum("n").over(in_order))
+    )
+    hits = [
+        (F.col("i") == columns.index(c)) & (F.col("bin") == b) & (F.col("upto") > r)
+        & (F.col("upto") - F.col("n") <= r)
+        for (c, b), ranks in wanted.items() for r in ranks
+    ]
+    out: dict[tuple[str, int, int], float] = {}
+    for row in counted.filter(reduce(or_, hits)).collect():  # at most one row per rank
+        key = (columns[row["i"]], row["bin"])
+        for r in wanted[key]:
+            if row["upto"] - row["n"] <= r < row["upto"]:
+                out[*key, r] = row["v"]
+    return out
 
 
 MOST_COUNTS = 96  # boundaries counted by an aggregate each; more go by slot numbers
@@ -299,12 +355,12 @@ def exact_quantiles(
         ).first()
         return {c: row[i] or [None] * len(probabilities) for i, c in enumerate(columns)}
 
-    counts = bin_counts(values, columns)
+    counts, single = bin_counts(values, columns)
     total = {c: sum(n for _, n in counts[c]) for c in columns}
     places = {
         c: place_ranks(counts[c], ranks_of(total[c], probabilities)) for c in columns if total[c]
     }
-    found = values_at(values, places, accuracy, max_rows)
+    found = values_at(values, places, accuracy, max_rows, single)
     return {c: interpolated(found.get(c, {}), total[c], probabilities) for c in columns}
 
 
