@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
 from dataclasses import dataclass, field
 
 import numpy as np
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import Imputer, StandardScaler, VectorAssembler
 from pyspark.ml.regression import LinearRegression, RandomForestRegressor
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.storagelevel import StorageLevel
 
 from martlens.functions.columns import col
 from martlens.models.evaluation import regression_metrics
@@ -76,6 +78,36 @@ def placed(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
     )
 
 
+@contextmanager
+def kept_placed(rows: DataFrame, keys: Sequence[str]) -> Iterator[DataFrame]:
+    """:func:`placed` rows, shuffled and sorted once for all passes of a fit.
+
+    They lie on the executors' disks: the memory is left to the forest's own rows.
+    """
+    kept = placed(rows, keys).persist(StorageLevel.DISK_ONLY)
+    try:
+        yield kept
+    finally:
+        kept.unpersist()
+
+
+# A forest's row in memory: its bins and label, and one count per tree.
+ROW_BYTES, COUNT_BYTES = 140, 4
+# Splits are searched for a group of nodes per pass over the rows.  The sums of a group of
+# one MB stay in a core's cache; a larger group takes fewer passes, which cost more than
+# cache misses when most rows lie on disk.
+GROUP_MB, GROUP_MB_ON_DISK = 1, 8
+
+
+def group_mb(spark: SparkSession, rows: int, trees: int) -> int:
+    """How many MB of sums to gather per pass; the trees do not depend on it."""
+    jvm, sc = spark._jvm, spark.sparkContext._jsc.sc()
+    sizes = jvm.scala.jdk.javaapi.CollectionConverters.asJava(sc.getExecutorMemoryStatus())
+    memory = sum(sizes[name]._1() for name in sizes)
+    needed = rows * (ROW_BYTES + COUNT_BYTES * trees)
+    return GROUP_MB if needed <= 1.5 * memory else GROUP_MB_ON_DISK
+
+
 def encoding_stages(config: ModelConfig, rows: DataFrame) -> list:
     """Category codes from all ``rows``, so that every side knows every category; labels
     of a category say nothing about the target.  Means are left to the fit."""
@@ -92,7 +124,7 @@ def encoding_stages(config: ModelConfig, rows: DataFrame) -> list:
     return stages
 
 
-def fitting_stages(config: ModelConfig) -> list:
+def fitting_stages(config: ModelConfig, memory_mb: int = GROUP_MB) -> list:
     """Scale and regress.
 
     The scaler drops the category marks of the codes, so a tree treats a code
@@ -111,6 +143,7 @@ def fitting_stages(config: ModelConfig) -> list:
             maxDepth=config.depth,
             featureSubsetStrategy="all",
             maxBins=config.bins,
+            maxMemoryInMB=memory_mb,
             seed=config.seed,
         )
     else:
@@ -176,6 +209,15 @@ def training_frame(df: DataFrame, config: ModelConfig, keys: Sequence[str]) -> D
     return data
 
 
+def fit_placed(
+    config: ModelConfig, stages: Sequence, rows: DataFrame, keys: Sequence[str]
+) -> PipelineModel:
+    """``stages`` and the regressor, fitted on :func:`placed` rows."""
+    with kept_placed(rows, keys) as kept:
+        memory = group_mb(rows.sparkSession, kept.count(), config.trees)
+        return Pipeline(stages=[*stages, *fitting_stages(config, memory)]).fit(kept)
+
+
 def train(
     df: DataFrame,
     config: ModelConfig,
@@ -193,11 +235,12 @@ def train(
         "side", F.when(in_test, "test").otherwise("train")
     )
     rows = materialize(marked, "training")
-    pipeline = Pipeline(stages=[*encoding_stages(config, rows), *fitting_stages(config)])
-    fit_on = rows.filter("side = 'train'")
+    stages, fit_on = encoding_stages(config, rows), rows.filter("side = 'train'")
     if config.algorithm == "forest":
-        fit_on = placed(fit_on, keys)
-    return Trained(config, pipeline.fit(fit_on), rows)
+        model = fit_placed(config, stages, fit_on, keys)
+    else:
+        model = Pipeline(stages=[*stages, *fitting_stages(config)]).fit(fit_on)
+    return Trained(config, model, rows)
 
 
 def save(trained: Trained, path: str) -> None:
@@ -244,8 +287,7 @@ def _fold_refits(
     """Fit the regressor once per fold."""
     scores = []
     for i in range(folds):
-        fit_on = placed(marked.filter(F.col("fold") != i), keys)
-        model = Pipeline(stages=fitting_stages(config)).fit(fit_on)
+        model = fit_placed(config, [], marked.filter(F.col("fold") != i), keys)
         scored = model.transform(marked.filter(F.col("fold") == i))
         scores.append((i, regression_metrics(scored, config.label).first()["r2"]))
     return marked.sparkSession.createDataFrame(scores, "fold int, r2 double")

@@ -5,7 +5,7 @@ import pytest
 from pyspark.ml import Pipeline
 from pyspark.sql import functions as F
 
-from martlens.models import features
+from martlens.models import features, training
 from martlens.models.evaluation import regression_metrics, residual_histogram
 from martlens.models.scoring import derive_scenarios, score_scenarios
 from martlens.models.training import (
@@ -13,7 +13,11 @@ from martlens.models.training import (
     _fold_refits,
     cross_validate,
     encoding_stages,
+    fit_placed,
+    fitting_stages,
+    group_mb,
     load,
+    placed,
     save,
     train,
     training_frame,
@@ -269,3 +273,45 @@ def test_scoring_with_the_default_features_can_be_written(spark, lines, algorith
     out.write.parquet(path)
     assert len(set(out.columns)) == len(out.columns)
     assert spark.read.parquet(path).first()["gross_profit"] == pytest.approx(12.5)
+
+
+def test_small_groups_of_nodes_grow_the_same_trees(spark, noisy, monkeypatch):
+    config = ModelConfig("forest", trees=12, depth=5)
+    used = []
+
+    class Spied(training.RandomForestRegressor):
+        def fit(self, *args, **kwargs):
+            used.append(self.getMaxMemoryInMB())
+            return super().fit(*args, **kwargs)
+
+    monkeypatch.setattr(training, "RandomForestRegressor", Spied)
+    data = training_frame(noisy, config, ["row_id"]).localCheckpoint()
+    stages = encoding_stages(config, data)
+    few = fit_placed(config, stages, data, ["row_id"])
+    many = Pipeline(stages=[*stages, *fitting_stages(config, 256)]).fit(placed(data, ["row_id"]))
+    assert used == [1, 256]
+
+    def trees(model):
+        return model.stages[-1].toDebugString.split("\n", 1)[1]
+
+    assert trees(few) == trees(many)
+
+
+def test_rows_on_disk_take_fewer_passes(spark):
+    assert group_mb(spark, 1_000, 100) == 1
+    assert group_mb(spark, 10**9, 100) == 8
+
+
+def test_a_fit_places_its_rows_once(spark, noisy):
+    config = ModelConfig("forest", trees=3, depth=2)
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("double")
+    def counted(value):
+        seen.add(1)
+        return value
+
+    data = training_frame(noisy, config, ["row_id"])
+    rows = data.withColumn("sales", counted("sales"))
+    fit_placed(config, encoding_stages(config, data), rows, ["row_id"])
+    assert seen.value == 600
