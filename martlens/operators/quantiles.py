@@ -4,9 +4,9 @@ The built-in exact ``percentile`` keeps every distinct value of the column in on
 buffer, which one task has to hold in the end.  Here every value falls into a logarithmic
 bin, a count per bin tells exactly in which bin each wanted rank lies and how many values
 come before it, and only the values of those bins are sorted.  A bin that still holds many
-values is cut down first: a sketch proposes boundary values, a counting pass tells between
-which of them each rank lies, and a hot value becomes a boundary and drops out.  Each pass
-is one distributed aggregate with a small result.  All columns share the passes.
+values is cut into equal pieces first, whose counts, smallest and largest values tell where to
+go on; a piece of one value needs no sorting.  Each pass is one distributed aggregate with a
+small result.  All columns share the passes.
 """
 
 from __future__ import annotations
@@ -23,40 +23,6 @@ from pyspark.sql import functions as F
 from martlens.functions.columns import col, present
 
 
-@dataclass(frozen=True)
-class Bracket:
-    """The rows strictly between two values, and how many rows precede them."""
-
-    column: str
-    lo: float | None  # None: no bound
-    hi: float | None
-    below: int
-    inside: int
-
-    def condition(self) -> Column:
-        v = col(self.column)
-        keep = v.isNotNull()
-        if self.lo is not None:
-            keep &= v > F.lit(self.lo)
-        if self.hi is not None:
-            keep &= v < F.lit(self.hi)
-        return keep
-
-
-Rank = tuple[str, int]  # a column and a 0-based position in its sorted values
-
-
-def _inside(values: DataFrame, brackets: Sequence[Bracket]) -> DataFrame:
-    """(bracket number, v) of every value inside one of the brackets."""
-    entries: dict[str, Column] = {}
-    for i, b in enumerate(brackets):
-        entry = F.struct(F.lit(i).alias("bracket"), col(b.column).alias("v"))
-        branch = entries[b.column].when if b.column in entries else F.when
-        entries[b.column] = branch(b.condition(), entry)
-    long = values.select(F.explode(F.array(*entries.values())).alias("entry"))
-    return long.filter("entry IS NOT NULL").select("entry.bracket", "entry.v")
-
-
 WIDTH = 1.01  # a bin's upper end over its lower end
 _SHIFT = 100_000  # more than the number of bins between the smallest and the largest double
 
@@ -121,8 +87,7 @@ def place_ranks(
 
 def values_at(
     values: DataFrame, places: dict[str, dict[int, tuple[int, int, int]]],
-    accuracy: int = 2_000, max_rows: int = 50_000,
-    known: dict[tuple[str, int], float] | None = None,
+    max_rows: int = 50_000, known: dict[tuple[str, int], float] | None = None,
 ) -> dict[str, dict[int, float]]:
     """The values at ranks that :func:`place_ranks` has placed, per column of doubles.
 
@@ -143,12 +108,7 @@ def values_at(
                 wide.setdefault((c, number), (n, set()))[1].add(inside)
     picked = _pick_in_bins(values, small) if small else {}
     if wide:
-        name = {key: f"b{i}" for i, key in enumerate(wide)}
-        only = values.select(
-            *[F.when(bin_of(col(c)) == number, col(c)).alias(b) for (c, number), b in name.items()]
-        )
-        got = order_statistics(only, {name[k]: w for k, w in wide.items()}, accuracy, max_rows)
-        picked |= {(*k, r): got[name[k], r] for k, (_, ranks) in wide.items() for r in ranks}
+        picked |= _search_in_bins(values, wide, max_rows)
     for c, ranks in places.items():
         found[c] = {
             rank: known[c, number] if (c, number) in known else picked[c, number, inside]
@@ -192,118 +152,90 @@ def _pick_in_bins(
     return out
 
 
-MOST_COUNTS = 96  # boundaries counted by an aggregate each; more go by slot numbers
-
-
-def _slot_sizes(
-    values: DataFrame, boundaries: dict[str, list[float]]
-) -> dict[str, dict[int, int]]:
-    """Per column the rows in slot 2k, just below boundary k, and in slot 2k + 1, on it."""
-    if sum(map(len, boundaries.values())) > MOST_COUNTS:
-        return _slots_by_number(values, boundaries)
-    row = values.agg(
-        *[
-            count
-            for c, ends in boundaries.items()
-            for count in (
-                F.count(col(c)),
-                *[F.count_if(x) for e in ends for x in (col(c) < F.lit(e), col(c) == F.lit(e))],
-            )
-        ]
-    ).first()
-    sizes, at = {}, 0
-    for c, ends in boundaries.items():
-        own, total, before = {}, row[at], 0
-        for k in range(len(ends)):
-            below, equal = row[at + 1 + 2 * k], row[at + 2 + 2 * k]
-            own |= {2 * k: below - before, 2 * k + 1: equal}
-            before = below + equal
-        own[2 * len(ends)] = total - before
-        sizes[c] = {slot: n for slot, n in own.items() if n}
-        at += 1 + 2 * len(ends)
-    return sizes
-
-
-def _propose(
-    values: DataFrame, search: dict[Rank, Bracket], accuracy: int
-) -> dict[str, list[float]]:
-    """Sketched boundary values around each rank, per column."""
-    brackets = list(dict.fromkeys(search.values()))
-    margin = 2.0 / accuracy
-    wanted: dict[Bracket, set[float]] = {b: set() for b in brackets}
-    for (_, rank), b in search.items():
-        # neighbouring ranks round to one grid point and share its boundaries
-        point = round((rank - b.below) / b.inside / margin)
-        wanted[b] |= {max((point - 1) * margin, 0.0), min((point + 1) * margin, 1.0)}
-    fractions = sorted(set().union(*wanted.values()))
-    rows = (
-        _inside(values, brackets)
-        .groupBy("bracket")
-        .agg(F.percentile_approx("v", fractions, accuracy).alias("ends"))
-        .collect()  # one row per bracket
-    )
-    out: dict[str, set[float]] = {}
-    for row in rows:
-        b = brackets[row["bracket"]]
-        ends = dict(zip(fractions, row["ends"], strict=True))
-        out.setdefault(b.column, set()).update(ends[f] for f in wanted[b])
-        # its own bounds too: what is cut out of a bracket never reaches beyond it
-        out[b.column] |= {bound for bound in (b.lo, b.hi) if bound is not None}
-    return {c: sorted(ends) for c, ends in out.items()}
-
-
-def _slots_by_number(
-    values: DataFrame, boundaries: dict[str, list[float]]
-) -> dict[str, dict[int, int]]:
-    names, stride = list(boundaries), 2 * max(map(len, boundaries.values())) + 1
-    slots = []
-    for i, (c, ends) in enumerate(boundaries.items()):
-        # one number for column and slot keeps the grouping key a plain integer
-        slot = F.when(col(c).isNull(), F.lit(None))
-        for k, end in enumerate(ends):
-            slot = slot.when(col(c) < F.lit(end), i * stride + 2 * k)
-            slot = slot.when(col(c) == F.lit(end), i * stride + 2 * k + 1)
-        slots.append(slot.otherwise(i * stride + 2 * len(ends)))
-    rows = (
-        values.select(F.explode(F.array(*slots)).alias("slot"))
-        .filter("slot IS NOT NULL")
-        .groupBy("slot")
-        .count()
-        .collect()  # a few rows per column
-    )
-    sizes: dict[str, dict[int, int]] = {}
-    for row in rows:
-        i, slot = divmod(row["slot"], stride)
-        sizes.setdefault(names[i], {})[slot] = row["count"]
-    return sizes
-
-
-def _locate(
-    values: DataFrame, boundaries: dict[str, list[float]], search: dict[Rank, Bracket]
-) -> dict[Rank, float | Bracket]:
-    """For each rank the boundary it falls on, or the bracket it falls into."""
-    sizes = _slot_sizes(values, boundaries)
-    found: dict[Rank, float | Bracket] = {}
-    for c, rank in search:
-        below, ends = 0, boundaries[c]
-        for slot, size in sorted(sizes[c].items()):
-            if rank < below + size:
-                break
-            below += size
-        k = slot // 2
-        if slot % 2:
-            found[c, rank] = ends[k]
-        else:
-            old = search[c, rank]
-            lo = ends[k - 1] if k else old.lo
-            hi = ends[k] if k < len(ends) else old.hi
-            found[c, rank] = Bracket(c, lo, hi, below, size)
-    return found
+PIECES = 1_000  # a bracket that holds too many values is cut into so many
+
+
+@dataclass(frozen=True)
+class Bracket:
+    """The values of a column between two bounds, both included; of one bin, if it is given."""
+
+    column: str
+    lo: float
+    hi: float
+    bin: int | None = None
+
+    def condition(self) -> Column:
+        v = col(self.column)
+        keep = v.between(F.lit(self.lo), F.lit(self.hi))
+        return keep if self.bin is None else keep & (bin_of(v) == self.bin)
+
+    def piece(self) -> Column:
+        """A number below ``PIECES`` that never falls as the value grows."""
+        spread = self.hi - self.lo
+        if not 0 < spread < math.inf:
+            return F.lit(0)
+        share = (col(self.column) - F.lit(self.lo)) / F.lit(spread)
+        return F.least(F.floor(share * PIECES), F.lit(PIECES - 1)).cast("int")
+
+
+def _inside(values: DataFrame, brackets: Sequence[Bracket]) -> DataFrame:
+    """(bracket number, piece, v) of every value inside one of the brackets."""
+    entries: dict[str, Column] = {}
+    for i, b in enumerate(brackets):
+        entry = F.struct(
+            F.lit(i).alias("bracket"), b.piece().alias("piece"), col(b.column).alias("v")
+        )
+        branch = entries[b.column].when if b.column in entries else F.when
+        entries[b.column] = branch(b.condition(), entry)
+    long = values.select(F.explode(F.array(*entries.values())).alias("entry"))
+    return long.filter("entry IS NOT NULL").select("entry.*")
+
+
+def _search_in_bins(
+    values: DataFrame, wanted: dict[tuple[str, int], tuple[int, set[int]]], max_rows: int
+) -> dict[tuple[str, int, int], float]:
+    """The order statistics inside bins of many values, given the number of values and ranks.
+
+    Each pass cuts the brackets that still hold over ``max_rows`` values into pieces; the
+    next one starts from the smallest and the largest value of a piece, so it cuts further.
+    """
+    answers: dict[tuple[str, int, int], float] = {}
+    small: dict[tuple[str, int, int], tuple[Bracket, int]] = {}
+    search = {
+        (c, number, rank): (Bracket(c, *bin_range(number), number), rank)
+        for (c, number), (_, ranks) in wanted.items() for rank in ranks
+    }
+    while search:
+        brackets = list(dict.fromkeys(b for b, _ in search.values()))
+        pieces: list[list] = [[] for _ in brackets]
+        grouped = _inside(values, brackets).groupBy("bracket", "piece").agg(
+            F.count(F.lit(1)).alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")
+        )
+        for row in grouped.collect():  # at most PIECES rows per bracket
+            pieces[row["bracket"]].append((row["piece"], row["n"], row["lo"], row["hi"]))
+        number = {b: i for i, b in enumerate(brackets)}
+        further = {}
+        for key, (bracket, rank) in search.items():
+            for _, n, lo, hi in sorted(pieces[number[bracket]]):
+                if rank < n:
+                    break
+                rank -= n
+            if lo == hi:
+                answers[key] = lo
+            else:
+                go_on = small if n <= max_rows else further
+                go_on[key] = (Bracket(bracket.column, lo, hi), rank)
+        search = further
+    return answers | _pick(values, small)
 
 
-def _pick(values: DataFrame, search: dict[Rank, Bracket]) -> dict[Rank, float]:
+def _pick(
+    values: DataFrame, search: dict[tuple[str, int, int], tuple[Bracket, int]]
+) -> dict[tuple[str, int, int], float]:
     """The order statistics inside small brackets, by sorting their values."""
-    brackets = list(dict.fromkeys(search.values()))
+    if not search:
+        return {}
+    brackets = list(dict.fromkeys(b for b, _ in search.values()))
     number = {b: i for i, b in enumerate(brackets)}
     in_order = Window.partitionBy("bracket").orderBy("v")
     counted = (
@@ -313,19 +245,18 @@ def _pick(values: DataFrame, search: dict[Rank, Bracket]) -> dict[Rank, float]:
         .withColumn("upto", F.sum("n").over(in_order))
     )
     wanted = [
-        (F.col("bracket") == number[b])
-        & (F.col("upto") > rank - b.below)
-        & (F.col("upto") - F.col("n") <= rank - b.below)
-        for (_, rank), b in search.items()
-    ]
+        (F.col("bracket") == number[b]) & (F.col("upto") > rank)
+        & (F.col("upto") - F.col("n") <= rank)
+        for b, rank in search.values()
+    ]
     rows = counted.filter(reduce(or_, wanted)).collect()  # at most one row per rank
-    answers = {}
-    for key, b in search.items():
-        local = key[1] - b.below
-        for row in rows:
-            if row["bracket"] == number[b] and row["upto"] - row["n"] <= local < row["upto"]:
-                answers[key] = row["v"]
-    return answers
+    return {
+        key: next(
+            row["v"] for row in rows
+            if row["bracket"] == number[b] and row["upto"] - row["n"] <= rank < row["upto"]
+        )
+        for key, (b, rank) in search.items()
+    }
 
 
 def ranks_of(total: int, probabilities: Iterable[float]) -> set[int]:
@@ -360,7 +291,7 @@ def exact_quantiles(
     places = {
         c: place_ranks(counts[c], ranks_of(total[c], probabilities)) for c in columns if total[c]
     }
-    found = values_at(values, places, accuracy, max_rows, single)
+    found = values_at(values, places, max_rows, single)
     return {c: interpolated(found.get(c, {}), total[c], probabilities) for c in columns}
 
 
@@ -377,37 +308,3 @@ def interpolated(
         lower, upper = values[math.floor(position)], values[math.ceil(position)]
         out.append(lower + (upper - lower) * (position - math.floor(position)))
     return out
-
-
-def order_statistics(
-    values: DataFrame, wanted: dict[str, tuple[int, set[int]]],
-    accuracy: int = 2_000, max_rows: int = 50_000,
-) -> dict[Rank, float]:
-    """The values at given ranks of columns of doubles whose numbers of values are known.
-
-    ``wanted`` maps a column to its number of values and the 0-based ranks.  Columns of up
-    to ``max_rows`` values take one pass.
-    """
-    search = {
-        (c, rank): Bracket(c, None, None, 0, total)
-        for c, (total, ranks) in wanted.items() for rank in ranks
-    }
-    return _settle(values, search, accuracy, max_rows)
-
-
-def _settle(
-    values: DataFrame, search: dict[Rank, Bracket], accuracy: int, max_rows: int
-) -> dict[Rank, float]:
-    """Brackets are cut down until each holds ``max_rows`` at most, and then sorted."""
-    answers: dict[Rank, float] = {}
-    while wide := {k: b for k, b in search.items() if b.inside > max_rows}:
-        ends = _propose(values, wide, accuracy)
-        for key, place in _locate(values, ends, wide).items():
-            if isinstance(place, Bracket):
-                search[key] = place
-            else:
-                answers[key] = place
-                del search[key]
-    if search:
-        answers.update(_pick(values, search))
-    return answers

@@ -4,6 +4,7 @@ import numpy as np
 import pandas as pd
 import pytest
 
+from martlens.operators import quantiles
 from martlens.operators.quantiles import exact_quantiles
 from martlens.operators.statistics import (
     box_stats,
@@ -61,6 +62,30 @@ def test_columns_of_different_fill(spark):
     assert got == {"a": [500.0], "b": [-500.0], "c": [None]}
 
 
+def test_full_bins_need_no_sketch(spark, monkeypatch):
+    def sketch(*_):
+        raise AssertionError("a sketch of a full bin")
+
+    monkeypatch.setattr("martlens.operators.quantiles.F.percentile_approx", sketch)
+    rng = random.Random(4)
+    data = [(rng.uniform(900, 905), rng.choice([5e-324, 1e-323, 1.5e-323])) for _ in range(900)]
+    data += [(float("inf"), -0.0), (float("-inf"), 0.0), (-1.7e308, 1.7e308), (1.7e308, 1e-320)]
+    df = spark.createDataFrame(data, "x double, y double")
+    got = exact_quantiles(df, ["x", "y"], [0.25, 0.5, 0.75], max_rows=2)
+    for i, c in enumerate("xy"):
+        assert got[c] == list(np.quantile([row[i] for row in data], [0.25, 0.5, 0.75]))
+
+
+def test_infinities_and_zeros_fill_a_bin(spark):
+    for value in (float("inf"), float("-inf"), 0.0):
+        df = spark.createDataFrame([(value,)] * 9 + [(1.0,)], "x double")
+        counts, _ = quantiles.bin_counts(df, ["x"])
+        rank = 5 if value >= 0 else 2
+        rank = rank if value else 3
+        place = quantiles.place_ranks(counts["x"], [rank])
+        assert quantiles.values_at(df, {"x": place}, max_rows=2) == {"x": {rank: value}}
+
+
 def test_approximate(spark):
     df = spark.range(10_001).selectExpr("CAST(id AS double) AS x")
     got = exact_quantiles(df, ["x"], [0.5], approximate=True)["x"][0]
