@@ -58,27 +58,38 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.schema(SCHEMAS[name]).parquet(f"{sf_dir}/{name}.parquet")
 
 
-def sales_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    price, discount = F.col("l_extendedprice"), F.col("l_discount")
+def priced_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sales lines with their discount, profit and cost not yet computed."""
     return table(spark, sf_dir, "lineitem").select(
         F.col("l_orderkey").alias("order_id"),
         F.col("l_partkey").alias("product_id"),
         F.col("l_linenumber").alias("line_no"),
         F.col("l_suppkey").alias("factory_id"),
         F.col("l_shipdate").alias("ship_date"),
-        price.alias("sales"),
+        F.col("l_extendedprice").alias("sales"),
         F.col("l_quantity").alias("units"),
-        (price * discount).alias("gross_profit"),
-        (price * (1 - discount)).alias("cost"),
+        F.col("l_discount").alias("discount"),
     )
 
 
+def with_profit(lines: DataFrame) -> DataFrame:
+    price, discount = F.col("sales"), F.col("discount")
+    profit = {"gross_profit": price * discount, "cost": price * (1 - discount)}
+    return lines.withColumns(profit).drop("discount")
+
+
+def sales_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return with_profit(priced_lines(spark, sf_dir))
+
+
 def targets(spark: SparkSession) -> DataFrame:
     rows = ", ".join(f"('{d}', {t!r}D)" for d, t in TARGETS.items())
     return spark.sql(f"SELECT * FROM VALUES {rows} AS t(division, target)")
 
 
-def star(spark: SparkSession, sf_dir: str) -> Star:
+def star(spark: SparkSession, sf_dir: str, lean: bool = False) -> Star:
+    """The star; a ``lean`` one leaves out what can be computed after the joins."""
+
     def dim(name: str, **columns) -> DataFrame:
         return table(spark, sf_dir, name).select(*[c.alias(n) for n, c in columns.items()])
 
@@ -89,7 +100,7 @@ def star(spark: SparkSession, sf_dir: str) -> Star:
         customer_id=c("o_custkey"),
         order_date=c("o_orderdate"),
         ship_mode=c("o_orderpriority"),
-        **date_parts("o_orderdate"),
+        **({} if lean else date_parts("o_orderdate")),
     )
     products = dim(
         "part",
@@ -100,7 +111,7 @@ def star(spark: SparkSession, sf_dir: str) -> Star:
         unit_cost=c("p_retailprice") - c("p_size"),
     )
     return Star(
-        sales_lines(spark, sf_dir),
+        (priced_lines if lean else sales_lines)(spark, sf_dir),
         (
             Lookup("orders", orders, ("order_id",)),
             Lookup(

@@ -7,7 +7,7 @@ from martlens.operators import integrity, statistics
 from martlens.operators.filters import dashboard_filter
 from martlens.plans import reports
 from martlens.plans.star import retail_star
-from martlens.testbed.bindings import input_tables, sales_lines, star, table
+from martlens.testbed.bindings import input_tables, sales_lines, star, table, with_profit
 from martlens.testbed.catalog import QUERIES
 
 
@@ -105,3 +105,14 @@ def test_rollup_holds_on_a_shuffle_join(spark, rows, by):
         assert rows(star(spark, SF).rollup(by, ["units"])) == small
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_the_joins_of_enrich_star_carry_no_column_that_can_be_computed_later(spark, rows):
+    whole, lean = star(spark, SF), star(spark, SF, lean=True)
+    assert not {"gross_profit", "cost"} & set(lean.fact.columns)
+    assert not {"order_year", "order_weekday"} & set(lean.lookups[0].table.columns)
+    want = whole.merged()
+    assert rows(with_profit(lean.merged()), *want.columns) == rows(want)
+    plan = QUERIES["enrich_star"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    below = plan[plan.index("Join"):]
+    assert "dayofmonth" not in below and "gross_profit" not in below
