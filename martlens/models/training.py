@@ -9,7 +9,7 @@ from dataclasses import dataclass, field
 import numpy as np
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import Imputer, StandardScaler, VectorAssembler
-from pyspark.ml.regression import LinearRegression, RandomForestRegressor
+from pyspark.ml.regression import LinearRegression
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.storagelevel import StorageLevel
@@ -25,6 +25,7 @@ from martlens.models.features import (
     test_condition,
     with_fold,
 )
+from martlens.models.forests import RandomForestRegressor
 from martlens.operators.cleaning import drop_incomplete
 from martlens.sources.tables import materialize
 
