@@ -27,6 +27,7 @@ from martlens.models.features import (
 )
 from martlens.models.forests import RandomForestRegressor
 from martlens.operators.cleaning import drop_incomplete
+from martlens.session import release_shuffles
 from martlens.sources.tables import materialize
 
 @dataclass(frozen=True)
@@ -80,12 +81,18 @@ def placed(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 @contextmanager
-def kept_placed(rows: DataFrame, keys: Sequence[str]) -> Iterator[DataFrame]:
+def kept_placed(
+    rows: DataFrame, keys: Sequence[str], columns: Sequence[str] | None = None
+) -> Iterator[DataFrame]:
     """:func:`placed` rows, shuffled and sorted once for all passes of a fit.
 
-    They lie on the executors' disks: the memory is left to the forest's own rows.
+    They lie on the executors' disks: the memory is left to the forest's sums.  Of the rows
+    only ``columns`` stay, once they are in place.
     """
-    kept = placed(rows, keys).persist(StorageLevel.DISK_ONLY)
+    placed_rows = placed(rows, keys)
+    if columns is not None:
+        placed_rows = placed_rows.select(*[col(c) for c in columns])
+    kept = placed_rows.persist(StorageLevel.DISK_ONLY)
     try:
         yield kept
     finally:
@@ -214,7 +221,10 @@ def fit_placed(
     config: ModelConfig, stages: Sequence, rows: DataFrame, keys: Sequence[str]
 ) -> PipelineModel:
     """``stages`` and the regressor, fitted on :func:`placed` rows."""
-    with kept_placed(rows, keys) as kept:
+    release_shuffles(rows.sparkSession)  # of the joins, or of the fold before
+    coded = set(rows.columns).issuperset(config.inputs)
+    columns = [*(config.inputs if coded else config.features), config.label]
+    with kept_placed(rows, keys, list(dict.fromkeys(columns))) as kept:
         memory = group_mb(rows.sparkSession, kept.count(), config.trees)
         return Pipeline(stages=[*stages, *fitting_stages(config, memory)]).fit(kept)
 

@@ -40,6 +40,15 @@ def apply_settings(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def release_shuffles(spark: SparkSession) -> None:
+    """Have Spark delete the files of shuffles that nothing can read any more.
+
+    It does so when the driver's garbage is collected, which may not happen for long while
+    the executors' disks fill.
+    """
+    spark._jvm.java.lang.System.gc()
+
+
 _scopes: list[list[str]] = []
 
 

@@ -1,5 +1,8 @@
+import gc
+import time
+
 import pytest
-from pyspark.ml import regression
+from pyspark.ml import Pipeline, regression
 from pyspark.sql import functions as F
 from test_models import SCHEMA, make_rows
 
@@ -8,9 +11,11 @@ from martlens.models.training import (
     ModelConfig,
     encoding_stages,
     fit_placed,
+    kept_placed,
     train,
     training_frame,
 )
+from martlens.session import release_shuffles
 
 
 @pytest.fixture(scope="module")
@@ -108,6 +113,26 @@ def test_a_constant_label_and_constant_features(spark, noisy, monkeypatch):
         assert trees(own) == trees(sparks)
 
 
+def test_a_fit_keeps_only_what_it_reads(spark, noisy):
+    with kept_placed(noisy, ["row_id"], ["units", "sales"]) as kept:
+        assert kept.columns == ["units", "sales"] and kept.count() == 600
+        whole = training.placed(noisy, ["row_id"]).select("units", "sales")
+        assert [tuple(r) for r in kept.collect()] == [tuple(r) for r in whole.collect()]
+    rows = training_frame(noisy, ModelConfig("forest"), ["row_id"]).withColumn("fold", F.lit(1))
+    config, seen = ModelConfig("forest", trees=2, depth=2), []
+
+    class Spied(Pipeline):
+        def fit(self, dataset, params=None):
+            seen.append(dataset.columns)
+            return super().fit(dataset, params)
+
+    stages = encoding_stages(config, rows)
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(training, "Pipeline", Spied)
+        fit_placed(config, stages, rows, ["row_id"])
+    assert seen == [[*config.features, "sales"]]
+
+
 def test_draws_of_half_a_byte_and_of_a_byte(spark):
     growth = forests._growth(spark.sparkContext.applicationId)
     gateway = spark.sparkContext._gateway
@@ -126,3 +151,19 @@ def test_a_fitted_forest_scores_like_the_mean_of_its_trees(noisy):
     for row in fitted.model.transform(fitted.test).limit(20).collect():
         mean = sum(t.predict(row["scaled"]) for t in model.trees) / 6
         assert row["prediction"] == pytest.approx(mean)
+
+
+def test_files_of_finished_shuffles_go(spark):
+    disk = spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager()
+
+    def files():
+        return disk.getAllFiles().mkString(",").count("shuffle_")
+
+    spark.range(10_000).repartition(7).agg(F.sum("id")).collect()
+    gc.collect()
+    before = files()
+    deadline = time.time() + 30
+    while files() >= before and time.time() < deadline:
+        release_shuffles(spark)
+        time.sleep(0.5)
+    assert files() < before
