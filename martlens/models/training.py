@@ -182,9 +182,15 @@ class Trained:
     def predict(self, df: DataFrame) -> DataFrame:
         return self.model.transform(df).drop("features", "scaled")
 
-    def metrics(self) -> DataFrame:
+    def scored(self) -> DataFrame:
+        """Label and prediction of all rows of both sides, written once for several readers."""
+        scored = self.predict(self.rows).select("side", col(self.config.label), "prediction")
+        return materialize(scored, "scored")
+
+    def metrics(self, scored: DataFrame | None = None) -> DataFrame:
         """R2, MAE, RMSE and MAPE of the train and the test side, in one pass."""
-        return regression_metrics(self.predict(self.rows), self.config.label, by=["side"])
+        scored = self.predict(self.rows) if scored is None else scored
+        return regression_metrics(scored, self.config.label, by=["side"])
 
     def coefficients(self) -> DataFrame:
         """Slopes of a linear model on the original scale, and the intercept."""

@@ -412,12 +412,12 @@ def forest_bounds(spark, sf_dir):
     fitted = _train(spark, sf_dir, _lines(spark, sf_dir, config.features), config)
     low, high = fitted.train.agg(F.min("sales"), F.max("sales")).first()
     total = fitted.importances().agg(F.sum("importance")).first()[0]
-    scored = fitted.predict(fitted.rows)
+    scored = fitted.scored()
     inside = scored.groupBy("side").agg(
         F.count_if(F.col("prediction").between(low, high)).alias("n_inside")
     )
     return finish(
-        fitted.metrics()
+        fitted.metrics(scored)
         .join(inside, "side")
         .select(
             "side", "n", "n_inside", (F.col("r2") > 0.9).cast("string").alias("good_fit"),

@@ -2,6 +2,7 @@ import gc
 import time
 
 import pytest
+from conftest import SF
 from pyspark.ml import Pipeline, regression
 from pyspark.sql import functions as F
 from test_models import SCHEMA, make_rows
@@ -16,6 +17,7 @@ from martlens.models.training import (
     training_frame,
 )
 from martlens.session import release_shuffles
+from martlens.testbed.catalog import QUERIES
 
 
 @pytest.fixture(scope="module")
@@ -167,3 +169,22 @@ def test_files_of_finished_shuffles_go(spark):
         release_shuffles(spark)
         time.sleep(0.5)
     assert files() < before
+
+
+def test_forest_bounds_scores_every_row_once(spark, monkeypatch):
+    calls, plain = [], training.Trained.predict
+    monkeypatch.setattr(
+        training.Trained, "predict", lambda self, df: calls.append(1) or plain(self, df)
+    )
+    rows = QUERIES["forest_bounds"](spark, SF).collect()
+    assert len(calls) == 1
+    assert all(r["n"] == r["n_inside"] > 0 and r["good_fit"] == "true" for r in rows)
+
+
+def test_metrics_of_written_scores(noisy):
+    fitted = train(noisy, ModelConfig("forest", trees=3, depth=3), ["row_id"])
+    scored = fitted.scored()
+    assert scored.columns == ["side", "sales", "prediction"] and scored.count() == 600
+    one = fitted.metrics(scored).orderBy("side").collect()
+    for a, b in zip(one, fitted.metrics().orderBy("side").collect(), strict=True):
+        assert tuple(a)[:2] == tuple(b)[:2] and tuple(a)[2:] == pytest.approx(tuple(b)[2:])
