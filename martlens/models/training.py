@@ -99,16 +99,16 @@ def kept_placed(
         kept.unpersist()
 
 
-# A forest's row in memory: its bins and label, and one count per tree.
+# A row of Spark's own forest in memory: its bins and label, and one count per tree.
 ROW_BYTES, COUNT_BYTES = 140, 4
-# Splits are searched for a group of nodes per pass over the rows.  The sums of a group of
-# one MB stay in a core's cache; a larger group takes fewer passes, which cost more than
-# cache misses when most rows lie on disk.
+# A pass over the rows gathers so many MB of sums of each tree.  One MB stays in a core's
+# cache and holds the levels of a forest of usual depth; more takes fewer passes for deeper
+# ones, which cost more than cache misses when there are many rows.
 GROUP_MB, GROUP_MB_ON_DISK = 1, 8
 
 
 def group_mb(spark: SparkSession, rows: int, trees: int) -> int:
-    """How many MB of sums to gather per pass; the trees do not depend on it."""
+    """How many MB of a tree's sums to gather per pass; the trees do not depend on it."""
     jvm, sc = spark._jvm, spark.sparkContext._jsc.sc()
     sizes = jvm.scala.jdk.javaapi.CollectionConverters.asJava(sc.getExecutorMemoryStatus())
     memory = sum(sizes[name]._1() for name in sizes)
